@@ -11,15 +11,14 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-#: A worker forgets its words when it holds so many, or so many of their ids.
-MAX_WORDS, MAX_POOL = 1 << 21, 1 << 24
-#: Texts are cut at white space into segments of about so many bytes while words are found.
-SEGMENT = 4 << 20
+#: A worker forgets its words when it holds so many, or so many of their ids or of their pieces.
+MAX_WORDS, MAX_POOL, MAX_PIECES = 600_000, 1 << 22, 250_000
+#: Texts are cut at white space into segments of about so many bytes while words are found; new words are learnt so many at once.
+SEGMENT, LEARN = 1 << 20, 1 << 14
 
 # The tokenizer's own pre-split for words of plain Latin letters, digits and signs; others go to it whole.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*\Z")
@@ -47,7 +46,7 @@ class WordHashes:
 
     def _grow(self, n: int) -> None:
         if n > len(self.powers):
-            n = max(n, SEGMENT + (1 << 16))
+            n = max(n, SEGMENT + 1)
             self.powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, self.base, np.uint64)]))
             self.inverses = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, self.inverse, np.uint64)]))
 
@@ -137,26 +136,27 @@ class TextIds:
                 plain.append((k, _PIECE.findall(text.lower())))
             else:
                 whole.append((k, text))
+        if len(self.pieces) > MAX_PIECES:
+            self.pieces = {}
         fresh = list({p for _, pieces in plain for p in pieces if p not in self.pieces})
         for i in range(0, len(fresh), 4096):
             part = fresh[i : i + 4096]
             texts = [" ".join(part[j : j + 256]) for j in range(0, len(part), 256)]
             got = []
             for encoded in self.tokenizer.encode_batch(texts, add_special_tokens=False):
-                owners, ids = np.array(encoded.word_ids), encoded.ids
-                edges = [0, *(np.flatnonzero(np.diff(owners)) + 1).tolist(), len(ids)]
-                got += [tuple(ids[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+                owners, ids = np.array(encoded.word_ids), np.array(encoded.ids, np.uint32).tobytes()
+                edges = [0, *(4 * (np.flatnonzero(np.diff(owners)) + 1)).tolist(), len(ids)]
+                got += [ids[a:b] for a, b in zip(edges, edges[1:], strict=False)]
             if len(got) != len(part):  # a piece that the tokenizer splits further
-                got = [tuple(e.ids) for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+                got = [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
             self.pieces.update(zip(part, got, strict=True))
-        known = self.pieces
-        ids: list = [()] * len(words)
+        known, ids = self.pieces, [b""] * len(words)
         for k, pieces in plain:
-            ids[k] = known[pieces[0]] if len(pieces) == 1 else sum((known[p] for p in pieces), ())
+            ids[k] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
         for k, encoded in zip([k for k, _ in whole], self.tokenizer.encode_batch([t for _, t in whole], add_special_tokens=False), strict=True):
-            ids[k] = encoded.ids
-        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+            ids[k] = np.array(encoded.ids, np.uint32).tobytes()
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         need_words, need_ids = self.n_words + len(ids), self.n_ids + len(flat)
         if need_words > len(self.sizes):
             self.sizes, self.starts = np.resize(self.sizes, 2 * need_words), np.resize(self.starts, 2 * need_words)
@@ -179,8 +179,9 @@ class TextIds:
             fresh, first = np.unique(hashes[missing], return_index=True)
             at = missing[first]
             new = np.arange(self.n_words, self.n_words + len(fresh), dtype=np.int32)
-            text = data.tobytes()
-            self._learn([text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            text = memoryview(data.tobytes())
+            for i in range(0, len(at), LEARN):
+                self._learn([bytes(text[a:b]) for a, b in zip(starts[at[i : i + LEARN]].tolist(), ends[at[i : i + LEARN]].tolist(), strict=True)])
             self.places.add(fresh, new)
             numbers[missing] = new[np.searchsorted(fresh, hashes[missing])]
         sizes = self.sizes[numbers].astype(np.int64)
