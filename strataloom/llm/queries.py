@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import mixing, packing, sharding, simhash, token_store, warc
+from . import embedding_dedup, fingerprints, mixing, packing, secrets, sharding, simhash, token_store, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
@@ -27,12 +27,24 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), 24)
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     mixed = mixing.replicate(docs, mixing.rates(docs))
     return mixed.select("doc_id", "source", "copies", "copy", "shuffle_key")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_documents(_table(spark, sf_dir, "documents"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
@@ -52,7 +64,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_mixing": op4_mixing,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_secrets": op6_secrets,
     "op7_simhash": op7_simhash,
     "op8_token_store": op8_token_store,
     "op10_warc": op10_warc,
@@ -63,6 +78,13 @@ _CHAR = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({bits} >> {shift}) & 31)::
 _DIGEST = " || ".join(_CHAR.format(bits=_BITS.format(at=5 * i + 1), shift=s) for i in range(8) for s in (15, 10, 5, 0))
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS n, vec_id AS r FROM v UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.n)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, min(r) AS component_id, vec_id = min(r) AS kept
+FROM v JOIN reach ON reach.n = vec_id GROUP BY vec_id
+""",
     "op4_mixing": """
 WITH sizes AS (SELECT source, sum(greatest(length(coalesce(text, '')), 1))::DOUBLE AS size FROM documents GROUP BY source),
 rates AS (SELECT source, (1.0 / count(*) OVER ()) * (sum(size) OVER ()) / size AS rate FROM sizes),
