@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import embedding_dedup, fingerprints, mixing, packing, secrets, sharding, simhash, token_store, warc
+from . import embedding_dedup, fingerprints, mixing, packing, secrets, sharding, simhash, token_store, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
@@ -56,6 +56,11 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(spark, path)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_warc(_table(spark, sf_dir, "pages"))
     return warc.read_warc(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -70,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op6_secrets": op6_secrets,
     "op7_simhash": op7_simhash,
     "op8_token_store": op8_token_store,
+    "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
 }
 
