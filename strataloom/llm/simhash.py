@@ -200,3 +200,21 @@ def near_duplicates(docs: DataFrame, width: int = 3, key: str = "doc_id", text:
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
     label = staged(labelled.join(ids, F.col("root") == F.col("r")).select(F.col("fingerprint").alias("f"), "component_id"), "labels")
     return rows.join(label, F.col("fingerprint") == F.col("f")).select(key, "fingerprint", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row, that of the least key, of each group of near-duplicates.
+
+    Of rows that share a key one stays.  A row with a null key stays.  The rows that go are
+    anti-joined by key: broadcast while they are few, shuffled beyond that, so the
+    texts of a corpus with few copies don't move.
+    """
+    found = staged(near_duplicates(docs, width, key, text), "groups")
+    out = staged(found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__out")).distinct(), "out")
+    small = out.count() <= 200_000
+    kept = docs.join(F.broadcast(out) if small else out, F.col(key) == F.col("__out"), "left_anti")
+    twice = staged(found.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__twice")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__twice"), "twice")
+    if twice.isEmpty():
+        return kept
+    single = kept.join(twice, F.col(key) == F.col("__twice"), "left_anti")
+    return single.unionByName(kept.join(twice, F.col(key) == F.col("__twice"), "left_semi").dropDuplicates([key]))
