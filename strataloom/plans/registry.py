@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import knowledge
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**knowledge.QUERIES}
+ORACLE_SQL: dict[str, str] = {**knowledge.ORACLE_SQL}
