@@ -37,4 +37,5 @@ def retrieve(chunks: DataFrame, documents: DataFrame, query: DataFrame, k: int =
     """
     best = top_k(chunks.where(F.col("document_id").isNotNull()), query, k, "id")
     named = documents.select(F.col("id").alias("__doc"), "source_document")
-    return best.join(named, F.col("document_id") == F.col("__doc")).drop("__doc")
+    joined = best.join(named, F.col("document_id") == F.col("__doc")).drop("__doc")
+    return joined.orderBy(F.col("similarity").desc_nulls_last(), "id")
