@@ -62,18 +62,20 @@ def replicate(docs: DataFrame, rate: DataFrame, seed: int = 0, key: str = "doc_i
     partitioning; rows with the same key draw alike.  Adds copies, copy (0 to
     copies - 1) and shuffle_key, by whose hash the copies are dealt to partitions and by
     which they are sorted there.  A null source is a source like any other, a null key
-    draws once for all its rows; an empty table stays empty.
+    draws once for all its rows; an empty table stays empty.  Columns of
+    ``docs`` with the names of the added ones are replaced, all others stay.
     """
-    table = staged(_distribution(rate).withColumnRenamed("source", "__source"), "rates")
+    spread = _distribution(rate).select(F.col("source").alias("__source"), F.col("parts").alias("__parts"), F.col("cumulative").alias("__cumulative"))
+    table = staged(spread, "rates")
     small = table.count() <= BROADCAST_SOURCES
     joined = docs.join(F.broadcast(table) if small else table, F.col(source).eqNullSafe(F.col("__source")))
     who = F.coalesce(F.col(key).cast("string"), F.lit(""))
     draws = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda j: F.size(F.filter("cumulative", lambda c: c <= uniform(F.lit(seed), who, j))),
+        F.sequence(F.lit(0), F.col("__parts") - 1),
+        lambda j: F.size(F.filter("__cumulative", lambda c: c <= uniform(F.lit(seed), who, j))),
     )
     copies = F.aggregate(draws, F.lit(0).cast("bigint"), lambda acc, n: acc + n)
-    some = joined.withColumn("copies", copies).where("copies > 0").drop("__source", "rate", "parts", "cumulative")
+    some = joined.withColumn("copies", copies).where("copies > 0").drop("__source", "__parts", "__cumulative")
     each = some.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
     marked = each.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit("order"), F.lit(seed).cast("string"), who, F.col("copy").cast("string")).cast("binary")))
     return marked.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
