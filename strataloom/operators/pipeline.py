@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import asciidoc, chunking, licences, typography
 
+#: The title and the note of generated documents.
 TITLE = "Structure extraite du PDF"
 NOTE = "Document genere automatiquement — pipeline auto-detection PDF/EPUB."
 
