@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .arrow import bound_batches
 from .tokens import Places, WordHashes, text_bytes, words_of
 
-#: Labelled rows that training takes of each label at most (the least by a hash), and characters of a text that it takes in training.
+#: Labelled rows that training takes of each label at most (the least by a hash); of these it leaves out texts of more characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 3000, 100_000
 #: Word features (hashed), documents of the sample that a feature must be in, and how training goes.
 FEATURES, LEAST_DOCS, ROUNDS, RATE, SHRINK = 1 << 18, 5, 150, 0.1, 2e-4
@@ -114,8 +114,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Fit a model to the rows of ``docs`` that ``labels`` (key, 0 or 1) marks, outside the held-out fold.
 
     Takes at most SAMPLE_ROWS rows of each label, by the least hash of their keys, and weighs them so that
-    each label counts as often as in all of ``labels``.  Rows with a null key, label or text
-    are left out; without rows of both labels the model scores everything near the share found.
+    each label counts as often as in all of ``labels``.  Rows with a null key, label or text, or a text
+    of more than SAMPLE_CHARS characters, are left out; without rows of both labels the model scores everything near the share found.
     """
     usable = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(key))).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     usable = usable.groupBy("k").agg(F.max("y").alias("y"))
@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return Model(np.zeros(FEATURES, np.float32), 4.0 if share else -8.0)
     parts = [usable.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(SAMPLE_ROWS) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # at most 2 * SAMPLE_ROWS keys
-    some = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("dk"), F.substring(text, 1, SAMPLE_CHARS).alias("t"))
+    some = docs.where(F.length(text) <= SAMPLE_CHARS).select(F.col(key).alias("dk"), F.col(text).alias("t"))
     sample = some.join(F.broadcast(chosen), F.col("dk") == F.col("k")).select("k", "t", "y").toArrow().sort_by("k")
     y = np.asarray(sample.column("y").combine_chunks()).astype(np.float64)
     if len(set(y.tolist())) < 2:
