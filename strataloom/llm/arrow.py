@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Rows and bytes that one Arrow batch to a Python worker holds at most.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -16,3 +20,10 @@ def bound_batches(spark: SparkSession) -> None:
     size = int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") or 0)
     if size <= 0 or size > BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Return a worker's freed memory to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)

@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .arrow import bound_batches
+from .arrow import bound_batches, give_back
 from .components import components
-from .tokens import text_bytes, words_of
+from .tokens import groups, words_of
 
 SEED = 42
 _BLOCKS = ((0, 22), (22, 43), (43, 64))
@@ -94,12 +94,16 @@ def fingerprints(docs: DataFrame, width: int = 3, key: str = "doc_id", text: str
     kind = docs.schema[key].dataType
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            joined, starts, ends, many = shingle_bounds(_lowered(data[offsets[0] : offsets[-1]]), offsets - offsets[0], width)
-            view, digest = memoryview(joined.tobytes()), xxhash.xxh64_intdigest
-            hashes = np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(majority(hashes, many).view(np.int64))], names=[key, "fingerprint"])
+            prints = np.zeros(batch.num_rows, np.uint64)
+            for first, last, data, offsets in groups(batch.column(1)):
+                joined, starts, ends, many = shingle_bounds(_lowered(data), offsets, width)
+                view = memoryview(joined.tobytes())
+                hashes = np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+                prints[first:last] = majority(hashes, many)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=[key, "fingerprint"])
+        give_back()
 
     return docs.select(key, text).mapInArrow(sketch, f"`{key}` {kind.simpleString()}, fingerprint bigint")
 

@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .arrow import give_back
+
 #: A worker forgets its words when it holds so many, or so many of their ids or of their pieces.
 MAX_WORDS, MAX_POOL, MAX_PIECES = 600_000, 1 << 22, 250_000
 #: Texts are cut at white space into segments of about so many bytes while words are found; new words are learnt so many at once.
@@ -119,8 +121,8 @@ class Places:
 class TextIds:
     """Ids of batches of texts; keeps the ids of the words that it has met, up to a bound."""
 
-    def __init__(self, path: str):
-        self.tokenizer, self.hashes = load_tokenizer(path), WordHashes()
+    def __init__(self, path: str, room: int = 1):
+        self.tokenizer, self.hashes, self.room = load_tokenizer(path), WordHashes(), room
         self._forget()
 
     def _forget(self) -> None:
@@ -136,7 +138,7 @@ class TextIds:
                 plain.append((k, _PIECE.findall(text.lower())))
             else:
                 whole.append((k, text))
-        if len(self.pieces) > MAX_PIECES:
+        if len(self.pieces) > self.room * MAX_PIECES:
             self.pieces = {}
         fresh = list({p for _, pieces in plain for p in pieces if p not in self.pieces})
         for i in range(0, len(fresh), 4096):
@@ -170,7 +172,7 @@ class TextIds:
     def _segment(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the words of one segment, and each word's start and number of ids."""
         starts, ends = words_of(data, cuts)
-        if self.n_words > MAX_WORDS or self.n_ids > MAX_POOL:
+        if self.n_words > self.room * MAX_WORDS or self.n_ids > self.room * MAX_POOL:
             self._forget()
         hashes = self.hashes.of(data, starts, ends)
         numbers = self.places.find(hashes)
@@ -227,19 +229,29 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(buffer, np.uint8) if buffer else np.zeros(0, np.uint8), offsets
 
 
-_LOADED: dict[str, TextIds] = {}
+def groups(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows a to b of a text column at a time, about ``size`` bytes or one text, with their bytes and offsets."""
+    data, offsets = text_bytes(column)
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1)
+        yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        a = b
+
+
+_LOADED: dict[tuple[str, int], TextIds] = {}
 
 
-def text_ids(path: str) -> TextIds:
-    """The worker's tokenizer, kept from task to task."""
-    if path not in _LOADED:
-        _LOADED[path] = TextIds(path)
-    return _LOADED[path]
+def text_ids(path: str, room: int = 1) -> TextIds:
+    """The worker's tokenizer, kept from task to task; its tables hold ``room`` times the usual bounds."""
+    if (path, room) not in _LOADED:
+        _LOADED[path, room] = TextIds(path, room)
+    return _LOADED[path, room]
 
 
-def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, column: str = "text"):
+def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, column: str = "text", room: int = 1):
     """Each batch with its texts' ids, ``end_id`` behind each text, and where each text's ids begin and the last end."""
-    encoder = text_ids(path)
+    encoder = text_ids(path, room)
     for batch in batches:
         ids, counts = encoder.of_column(batch.column(column))
         bounds = np.zeros(len(counts) + 1, np.int64)
@@ -249,3 +261,4 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, co
         kept[bounds[1:] - 1] = False
         out[kept] = ids
         yield batch, out, bounds
+    give_back()

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import bound_batches
-from .tokens import Places, WordHashes, text_bytes, words_of
+from .arrow import bound_batches, give_back
+from .tokens import Places, WordHashes, groups, words_of
 
 #: Labelled rows that training takes of each label at most (the least by a hash); of these it leaves out texts of more characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 3000, 100_000
@@ -30,8 +30,7 @@ FEATURES, LEAST_DOCS, ROUNDS, RATE, SHRINK = 1 << 18, 5, 150, 0.1, 2e-4
 FOLDS = 5
 _END = re.compile(r"[.!?…][^\w]*\Z")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_GROUP = 2 << 20
-_WORDS = 1 << 20
+_WORDS = 300_000
 
 
 def held_out(key: Column) -> Column:
@@ -85,16 +84,6 @@ class Sentences:
         return features, np.cumsum(new) - 1, owner[first], starts[first], ends[np.append(first[1:], len(starts)) - 1] if len(first) else first
 
 
-def groups(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Rows a to b of a text column at a time, about 2 MB or one text, with their bytes and offsets."""
-    data, offsets = text_bytes(column)
-    a, n = 0, len(offsets) - 1
-    while a < n:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + _GROUP, "right")) - 1)
-        yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        a = b
-
-
 @dataclass(frozen=True)
 class Model:
     """Weights of the word features and the logit of a sentence without any."""
@@ -193,6 +182,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             scores = np.clip(scores, 0.0, 1.0)
             cells = [batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(many), pa.array(worst)]
             yield pa.RecordBatch.from_arrays(cells, names=[key, "held_out", "score", "predicted", "sentences", "worst_score"])
+        give_back()
 
     rows = docs.select(key, held_out(F.col(key)).alias("held_out"), text)
     return rows.mapInArrow(rate, f"`{key}` {kind}, held_out boolean, score double, predicted int, sentences bigint, worst_score double")
@@ -231,5 +221,6 @@ def keep_clean(docs: DataFrame, model: Model, least: float = 0.5, key: str = "do
                 f, s, owner, _, _ = reader.of(data, offsets)
                 clean[a:b] = _noisy_or(model.logits(f, s, len(owner)), owner, b - a) < least
             yield pa.RecordBatch.from_arrays(batch.columns, names=names).filter(pa.array(clean))
+        give_back()
 
     return docs.mapInArrow(keep, docs.schema)
