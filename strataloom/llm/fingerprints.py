@@ -14,8 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import staged
-
 IDENTITY, LANES = 8, 64
 _ID_MOD, _LANE_MOD = 1 << 32, 1 << 20
 #: Documents are put in order in buckets of about so many bytes; bounds come from a histogram of at most BINS ids.
@@ -38,22 +36,35 @@ def _identity(digests: Column) -> Column:
     return F.array(*(F.pmod(part(j), F.lit(_ID_MOD)) for j in range(IDENTITY)))
 
 
-def vectors(rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """``keys`` and vector, an array of 73 longs, for each row's ``text``; the keys tell rows apart.
+def _lane_sums(hashes: Column, where: Column) -> list[Column]:
+    """How often each of the 64 bits is set in the hashes of the rows ``where``; two counts share a long."""
+    both = F.lit((1 << 32) | 1)
+    return [F.sum(F.when(where, F.shiftrightunsigned(hashes, k).bitwiseAND(both)).otherwise(F.lit(0).cast("bigint"))) for k in range(32)]
+
+
+def _vector(identity: Column, sums: list[Column], count: Column) -> Column:
+    low = [s.bitwiseAND(F.lit(_LANE_MOD - 1)) for s in sums]
+    high = [F.shiftright(s, 32).bitwiseAND(F.lit(_LANE_MOD - 1)) for s in sums]
+    return F.concat(identity, F.array(*low, *high, F.pmod(count, F.lit(_LANE_MOD))))
 
-    Each text is exploded into shingles and summed within its own partition, so only
-    vectors are shuffled.  Two counts share a long while they are summed.
+
+def vectors(rows: DataFrame, texts: dict[str, str], keys: list[str]) -> DataFrame:
+    """``keys`` and, for each name in ``texts``, the vector of that column's text, an array of 73 longs.
+
+    The keys tell rows apart.  Texts are exploded into shingles and summed within their own
+    partition, all texts of a row into one row of sums, so only that is shuffled.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    hashed = rows.select(*keys, _digests(body).alias("__d"), _shingle_hashes(body).alias("__hs"))
-    given = hashed.select(*keys, _identity(F.col("__d")).alias("__id"), "__hs")  # once a text, below the explosion
-    many = given.select(*keys, "__id", F.explode("__hs").alias("__h"))
-    both = F.lit((1 << 32) | 1)
-    sums = [F.sum(F.shiftrightunsigned("__h", k).bitwiseAND(both)).alias(f"__s{k}") for k in range(32)]
-    summed = many.groupBy(*keys, "__id").agg(*sums, F.count(F.lit(1)).alias("__n"))
-    low = [F.col(f"__s{k}").bitwiseAND(F.lit(_LANE_MOD - 1)) for k in range(32)]
-    high = [F.shiftright(f"__s{k}", 32).bitwiseAND(F.lit(_LANE_MOD - 1)) for k in range(32)]
-    return summed.select(*keys, F.concat(F.col("__id"), F.array(*low, *high, F.pmod(F.col("__n"), F.lit(_LANE_MOD)))).alias("vector"))
+    names = list(texts)
+    body = {n: F.coalesce(F.col(c), F.lit("")) for n, c in texts.items()}
+    hashed = rows.select(*keys, *(_digests(body[n]).alias(f"__d{i}") for i, n in enumerate(names)), F.array(*(F.struct(F.lit(i).alias("v"), body[n].alias("t")) for i, n in enumerate(names))).alias("__texts"))
+    ids = [f"__id{i}" for i in range(len(names))]
+    given = hashed.select(*keys, *(_identity(F.col(f"__d{i}")).alias(f"__id{i}") for i in range(len(names))), "__texts")  # once a text, below the explosion
+    each = given.select(*keys, *ids, F.explode("__texts").alias("__x")).select(*keys, *ids, F.col("__x.v").alias("__v"), _shingle_hashes(F.col("__x.t")).alias("__hs"))
+    many = each.select(*keys, *ids, "__v", F.explode("__hs").alias("__h"))
+    sums = [c.alias(f"__s{i}_{k}") for i in range(len(names)) for k, c in enumerate(_lane_sums(F.col("__h"), F.col("__v") == i))]
+    counts = [F.sum((F.col("__v") == i).cast("bigint")).alias(f"__n{i}") for i in range(len(names))]
+    summed = many.groupBy(*keys, *ids).agg(*sums, *counts)
+    return summed.select(*keys, *(_vector(F.col(ids[i]), [F.col(f"__s{i}_{k}") for k in range(32)], F.col(f"__n{i}")).alias(n) for i, n in enumerate(names)))
 
 
 def combine(a: Column, b: Column, minus: bool = False) -> Column:
@@ -82,7 +93,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Add to (doc_id, text) the place of each row and the next one's place and text, in descending doc_id order.
+    """Add to (doc_id, text) the text of the next row in descending doc_id order.
 
     After the last row comes the first.  The order isn't found in one task: ids are
     dealt into ranges of about BUCKET_BYTES bytes of text by a histogram; each
@@ -113,9 +124,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     guests = dealt.join(F.broadcast(first), F.col("o") == F.col("head")).select("doc_id", "text", "o", "h", F.col("into").alias("bucket"), F.lit(1).alias("guest"))
     all_rows = dealt.select("doc_id", "text", "o", "h", "bucket", F.lit(0).alias("guest")).unionByName(guests)
     down = Window.partitionBy("bucket").orderBy("guest", F.desc("o"), F.desc("h"))
-    after = F.lead(F.struct(F.col("text").alias("text"), F.col("o").alias("o"), F.col("h").alias("h"))).over(down)
-    out = all_rows.withColumn("next", after).where("guest = 0")
-    return out.select("doc_id", "text", "o", "h", F.col("next.text").alias("next_text"), F.col("next.o").alias("next_o"), F.col("next.h").alias("next_h"))
+    out = all_rows.withColumn("next_text", F.lead("text").over(down)).where("guest = 0")
+    return out.select("doc_id", "text", "next_text")
 
 
 def compare_documents(docs: DataFrame) -> DataFrame:
@@ -130,16 +140,10 @@ def compare_documents(docs: DataFrame) -> DataFrame:
     n = F.length("text").cast("bigint")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.left("text", n.cast("int") - cut), F.left("next_text", cut))
-    rows = rows.select("doc_id", "o", "h", "next_o", "next_h", "text", n.alias("n_chars"), edited.alias("edited"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select("doc_id", "text", "next_text", n.alias("n_chars"), edited.alias("edited"), F.monotonically_increasing_id().alias("row"))
     rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    versions = F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t"))))
-    about = ["row", "doc_id", "o", "h", "next_o", "next_h", "n_chars", "edited_sha256"]
-    each = rows.select(*about, versions.alias("x")).select(*about, F.col("x.v").alias("v"), F.col("x.t").alias("t"))
-    found = vectors(each, "t", [*about, "v"])
-    paired = staged(found.groupBy(*about).pivot("v", [0, 1]).agg(F.first("vector")), "vectors")
-    other = paired.groupBy(F.col("o").alias("other_o"), F.col("h").alias("other_h")).agg(F.first("0").alias("next_vector"))
-    joined = paired.join(other, (F.col("next_o") == F.col("other_o")) & (F.col("next_h") == F.col("other_h")))
-    return joined.select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("0")).alias("fingerprint"), as_text(F.col("1")).alias("edited_fingerprint"),
-        likeness(F.col("0"), F.col("1")).alias("near_edited"), likeness(F.col("0"), F.col("next_vector")).alias("near_next"),
+    found = vectors(rows, {"own": "text", "of_edited": "edited", "of_next": "next_text"}, ["row", "doc_id", "n_chars", "edited_sha256"])
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("of_edited")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("of_edited")).alias("near_edited"), likeness(F.col("own"), F.col("of_next")).alias("near_next"),
     )

@@ -99,7 +99,7 @@ def test_fingerprints(spark, odd, real, empty):
 def test_fingerprints_add_up(spark):
     a, b = "one two three\nfour five", "six\n\nfour five"
     rows = spark.createDataFrame([(0, a), (1, b), (2, a + "\n" + b), (3, "six\nfour five\n\nfour five\none two three")], "k int, t string")
-    v = {r.k: r.vector for r in fingerprints.vectors(rows, "t", ["k"]).collect()}
+    v = {r.k: r.vector for r in fingerprints.vectors(rows, {"vector": "t"}, ["k"]).collect()}
     both = spark.createDataFrame([(v[0], v[1], v[2])], "a array<long>, b array<long>, c array<long>")
     sums = both.select(fingerprints.combine(F.col("a"), F.col("b")), fingerprints.combine(F.col("c"), F.col("b"), minus=True)).first()
     assert sums[0] == v[2] == v[3] and sums[1] == v[0]
