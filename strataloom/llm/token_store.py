@@ -170,7 +170,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
             shard, first, names, rows, sizes, held = shard + 1, first + held, [], [], [], 0
             return pa.RecordBatch.from_arrays(list(cells.values()), names=list(cells))
 
-        for batch, ids, bounds in encode_batches(batches, tokenizer, end_id):
+        for batch, ids, bounds in encode_batches(batches, tokenizer, end_id, room=2):
             a = 0
             while a < batch.num_rows:
                 b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + BLOCK - held, "right")) - 1)
