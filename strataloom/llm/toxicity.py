@@ -1,10 +1,11 @@
 """Toxicity by multiple-instance learning: noisy-or over sentences, trained from document labels.
 
-A sentence's score is a logistic function of its words' weights; a document is toxic if any
-sentence is, so its score is 1 minus the product of the sentences' complements.
-Training fits the weights to document labels by gradient descent through that noisy-or, on a
-bounded sample of labelled rows; scoring takes all sentences of all whole texts, and the sentence
-scores locate what offends.  Only the text is an input.
+A sentence's score is a logistic function of its words' weights; a passage of WINDOW sentences is
+toxic if any of them is, so its score is 1 minus the product of their complements.  A document's
+score is that of its worst passage: a clean sentence's small chance adds up within a passage only,
+not with the length of the text.  Training fits the weights to document labels by gradient descent
+through the worst passages, on a bounded sample of labelled rows of all lengths; scoring takes all
+sentences of all whole texts, and the sentence scores locate what offends.  Only the text is an input.
 """
 
 from __future__ import annotations
@@ -16,16 +17,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import bound_batches, give_back
 from .tokens import Places, WordHashes, groups, words_of
 
-#: Labelled rows that training takes of each label at most (the least by a hash); of these it leaves out texts of more characters.
-SAMPLE_ROWS, SAMPLE_CHARS = 3000, 100_000
+#: Labelled rows that training takes of each label at most (the least by a hash), and their characters in all.
+SAMPLE_ROWS, SAMPLE_CHARS = 3000, 32_000_000
+#: Sentences of a passage.
+WINDOW = 8
 #: Word features (hashed), documents of the sample that a feature must be in, and how training goes.
 FEATURES, LEAST_DOCS, ROUNDS, RATE, SHRINK = 1 << 18, 5, 150, 0.1, 2e-4
+#: Of the rounds so many at first go through whole texts.
+START = 75
 #: Folds of crc32(key as text); fold 0 is held out.
 FOLDS = 5
 _END = re.compile(r"[.!?…][^\w]*\Z")
@@ -99,12 +104,30 @@ def _noisy_or(logits: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(-np.bincount(owner, np.logaddexp(0, logits), n))
 
 
+def _passages(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each sentence's passage, and each passage's text; ``owner`` ascends."""
+    if not len(owner):
+        return owner, owner
+    at = (np.arange(len(owner)) - np.searchsorted(owner, owner)) // WINDOW
+    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (at[1:] != at[:-1])])
+    return np.cumsum(new) - 1, owner[new]
+
+
+def _scores(logits: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """The worst passage's noisy-or of each of n texts, 0 without a sentence."""
+    passage, of = _passages(owner)
+    out = np.zeros(n)
+    np.maximum.at(out, of, _noisy_or(logits, passage, len(of)))
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit a model to the rows of ``docs`` that ``labels`` (key, 0 or 1) marks, outside the held-out fold.
 
-    Takes at most SAMPLE_ROWS rows of each label, by the least hash of their keys, and weighs them so that
-    each label counts as often as in all of ``labels``.  Rows with a null key, label or text, or a text
-    of more than SAMPLE_CHARS characters, are left out; without rows of both labels the model scores everything near the share found.
+    Takes at most SAMPLE_ROWS rows of each label, by the least hash of their keys, and of these as many, in
+    that order, as have SAMPLE_CHARS characters together (always one), whatever the length of each; weighs them so that
+    each label counts as often as in all of ``labels``.  Rows with a null key, label or text
+    are left out; without rows of both labels the model scores everything near the share found.
     """
     usable = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(key))).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     usable = usable.groupBy("k").agg(F.max("y").alias("y"))
@@ -114,8 +137,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return Model(np.zeros(FEATURES, np.float32), 4.0 if share else -8.0)
     parts = [usable.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(SAMPLE_ROWS) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # at most 2 * SAMPLE_ROWS keys
-    some = docs.where(F.length(text) <= SAMPLE_CHARS).select(F.col(key).alias("dk"), F.col(text).alias("t"))
-    sample = some.join(F.broadcast(chosen), F.col("dk") == F.col("k")).select("k", "t", "y").toArrow().sort_by("k")
+    some = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("dk"), F.col(text).alias("t"))
+    met = some.join(F.broadcast(chosen), F.col("dk") == F.col("k"))
+    sizes = met.groupBy("k", "y").agg(F.sum(F.length("t").cast("bigint")).alias("n")).withColumn("h", F.xxhash64("k"))
+    before = Window.partitionBy("y").orderBy("h", "k")
+    within = sizes.withColumn("upto", F.sum("n").over(before)).withColumn("at", F.row_number().over(before)).where((F.col("upto") <= SAMPLE_CHARS) | (F.col("at") == 1))
+    taken = within.select(F.col("k").alias("tk"))  # at most 2 * SAMPLE_ROWS keys
+    sample = met.join(F.broadcast(taken), F.col("k") == F.col("tk")).select("k", "t", "y").toArrow().sort_by("k")
     y = np.asarray(sample.column("y").combine_chunks()).astype(np.float64)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(FEATURES, np.float32), -8.0)
@@ -131,7 +159,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def fit(features: np.ndarray, sentence: np.ndarray, owner: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Model:
-    """Adam on the weighted log loss of the noisy-or, with weights shrunk towards 0 at each step."""
+    """Adam on the weighted log loss of the worst passages' noisy-or, with weights shrunk towards 0 at each step.
+
+    Without weights no passage is worse than another, so the first START rounds go through whole texts.
+    """
     n, m = len(y), len(owner)
     seen = np.unique(owner[sentence].astype(np.int64) * FEATURES + features)
     often = np.bincount(seen % FEATURES, minlength=FEATURES) >= LEAST_DOCS
@@ -141,13 +172,22 @@ def fit(features: np.ndarray, sentence: np.ndarray, owner: np.ndarray, y: np.nda
     at[used] = np.arange(len(used))
     kept = at[features] >= 0
     f, s = at[features[kept]], sentence[kept]
+    whole = (owner, np.arange(n))
+    parts = _passages(owner)
+    first = np.flatnonzero(np.diff(parts[1], prepend=-1))  # each text's first passage
     theta, bias = np.zeros(len(used)), -4.0
     m1, m2, b1, b2 = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for t in range(1, ROUNDS + 1):
         z = bias + np.bincount(s, theta[f], m)
-        p = 1 / (1 + np.exp(-z))
-        doc = np.clip(_noisy_or(z, owner, n), 1e-6, 1.0)
-        g = p * (weight * (1 - y / doc))[owner] / n
+        p = np.exp(-np.logaddexp(0, -z))
+        passage, of = whole if t <= START else parts
+        each = _noisy_or(z, passage, len(of))
+        doc = np.zeros(n)
+        np.maximum.at(doc, of, each)
+        worst = np.full(len(of), t <= START)
+        if t > START:  # the first of a text's worst passages
+            worst[np.lexsort((-each, of))[first]] = True
+        g = np.where(worst[passage], p * (weight * (1 - y / np.clip(doc, 1e-6, 1.0)))[owner] / n, 0.0)
         grad, gb = np.bincount(f, g[s], len(used)), g.sum()
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad * grad
         b1, b2 = 0.9 * b1 + 0.1 * gb, 0.999 * b2 + 0.001 * gb * gb
@@ -176,7 +216,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             for a, b, data, offsets in groups(batch.column(2)):
                 f, s, owner, _, _ = reader.of(data, offsets)
                 z = model.logits(f, s, len(owner))
-                scores[a:b] = _noisy_or(z, owner, b - a)
+                scores[a:b] = _scores(z, owner, b - a)
                 many[a:b] = np.bincount(owner, minlength=b - a)
                 np.maximum.at(worst, owner + a, 1 / (1 + np.exp(-z)))
             scores = np.clip(scores, 0.0, 1.0)
@@ -219,7 +259,7 @@ def keep_clean(docs: DataFrame, model: Model, least: float = 0.5, key: str = "do
             clean = np.ones(batch.num_rows, bool)
             for a, b, data, offsets in groups(batch.column(where)):
                 f, s, owner, _, _ = reader.of(data, offsets)
-                clean[a:b] = _noisy_or(model.logits(f, s, len(owner)), owner, b - a) < least
+                clean[a:b] = _scores(model.logits(f, s, len(owner)), owner, b - a) < least
             yield pa.RecordBatch.from_arrays(batch.columns, names=names).filter(pa.array(clean))
         give_back()
 
