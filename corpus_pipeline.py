@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import mixing, packing, secrets, simhash, toxicity
+from strataloom.llm import mixing, near_copies, packing, secrets, toxicity
 from strataloom.session import staged
 
 #: The scores, draws and packing patterns aren't SQL; tests/llm holds each stage against a plain version.
@@ -26,8 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least doc_id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies (five-word similarity 0.8 or more) the document with the least doc_id stays."""
+    return near_copies.keep_one(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
