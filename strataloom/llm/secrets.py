@@ -5,15 +5,20 @@ characters of [A-Za-z0-9+/_=-] is a candidate.  Its encoding is inferred from th
 has (hex, base32, base36, base64), and its symbols go through three tests against
 uniform random symbols: chi-squared over the alphabet, runs about the
 alphabet's middle, and serial correlation.  The smallest of the three p-values, times 3, is the
-candidate's p.  Runs without a digit, or of digits alone, are words or numbers; they
-are scored likewise and serve as decoys.  In each band of lengths, a
-candidate is a secret if its p reaches the least level at which the share of
-decoys that reach it is at most ``FDR`` times the share of candidates that do.  So short
-candidates, which tests can hardly tell from words, need more evidence than long ones.
+candidate's p.  Runs without a digit, or of digits alone, are words or numbers and no candidates.
+
+A candidate whose p is under ``UNIFORM`` isn't random.  For the others false discoveries are controlled against
+a fixed null: in words joined with numbers, at most about one neighbour in five goes from letter to digit, digit to
+letter, lower to upper case, or to lower case after a capital that doesn't begin a word, and ``chance`` is the binomial chance of as many such changes as the
+candidate has.  It needs no other run of the corpus, and is the less the longer a random run
+is.  By Benjamini and Hochberg over the candidates of the corpus, those are secrets whose chance is
+at most the greatest level that keeps the expected share of words among them within ``FDR``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +32,11 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-BANDS = (20, 24, 32, 48, 64)
-LEVELS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5)
 FDR = 0.05
+#: The battery's least p of a random run; the rate of changes in words with numbers; levels of chance are 10^(-step / STEPS), down to 10^(-LEAST_STEP / STEPS).
+UNIFORM, CHANGES = 0.01, 0.2
+STEPS, LEAST_STEP = 8, 320
+_CHANGE = r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z0-9][A-Z])(?=[a-z])"
 _ALPHABETS = {16: "0123456789abcdef", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 36: "0123456789abcdefghijklmnopqrstuvwxyz", 64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 
 
@@ -43,7 +50,8 @@ def _two_sided(z: Column) -> Column:
 
 def randomness(token: Column) -> Column:
     """The p-value of the battery for one token of 20 or more characters."""
-    body = F.regexp_replace(token, "=+$", "")
+    stripped = F.regexp_replace(token, "=+$", "")
+    body = F.when(stripped == "", F.lit("A")).otherwise(stripped)  # signs alone score 0, as one symbol does
     hexes, base32, base36 = body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), body.rlike("^[A-Z2-7]+$"), body.rlike("^[0-9a-z]+$")
     size = F.when(hexes, 16).when(base32, 32).when(base36, 36).otherwise(64)
     spelt = F.when(hexes, F.lower(body)).when(base32 | base36, body).otherwise(F.translate(body, "-_", "+/"))
@@ -87,18 +95,25 @@ def is_decoy(token: Column) -> Column:
     return ~(token.rlike("[0-9]") & token.rlike("[A-Za-z]"))
 
 
-def _band(token: Column) -> Column:
-    out = F.lit(0)
-    for k, low in enumerate(BANDS):
-        out = F.when(F.length(token) >= low, F.lit(k)).otherwise(out)
-    return out
+def chance(token: Column) -> Column:
+    """The chance of as many changes in words with numbers, an upper bound of the binomial tail; 1 for a run that isn't random."""
+    x = F.struct((F.length(token) - 1).cast("double").alias("n"), F.regexp_count(token, F.lit(_CHANGE)).cast("double").alias("c"), randomness(token).alias("p"))
+    return F.element_at(F.transform(F.array(x), lambda s: F.when(s["p"] < UNIFORM, F.lit(1.0)).otherwise(_tail(s["n"], s["c"]))), 1)
+
+
+def _tail(n: Column, c: Column) -> Column:
+    rest = n - c
+    apart = c * F.ln(F.greatest(c, F.lit(1.0)) / (n * CHANGES)) + F.when(rest > 0, rest * F.ln(F.greatest(rest, F.lit(1.0)) / (n * (1 - CHANGES)))).otherwise(0.0)
+    point = F.exp(-F.least(apart, F.lit(700.0))) / F.sqrt(F.greatest(F.lit(1.0), 2 * 3.141592653589793 * c * rest / n))  # Stirling
+    ratio = rest * CHANGES / ((c + 1) * (1 - CHANGES))  # of the next term to this one
+    return F.when(c <= n * CHANGES, F.lit(1.0)).otherwise(F.least(F.lit(1.0), point / F.greatest(F.lit(1e-9), 1 - ratio)))
 
 
 def _none(kind: str) -> Column:
     return F.array().cast(kind)
 
 
-_MATCH = "array<struct<kind:int,i:int,gap:bigint,len:bigint,good:boolean,p:double,band:int,decoy:boolean>>"
+_MATCH = "array<struct<kind:int,i:int,gap:bigint,len:bigint,good:boolean,chance:double,decoy:boolean>>"
 
 
 def _matches(text: Column, kind: str) -> Column:
@@ -107,10 +122,10 @@ def _matches(text: Column, kind: str) -> Column:
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == "assign" else found
     bound = F.array(F.struct(gaps.alias("g"), found.alias("f"), values.alias("v")))
-    no = {"p": F.lit(None).cast("double"), "band": F.lit(None).cast("int"), "decoy": F.lit(None).cast("boolean")}
+    no = {"chance": F.lit(None).cast("double"), "decoy": F.lit(None).cast("boolean")}
 
     def one(s: Column, m: Column, i: Column) -> Column:
-        scored = {"p": randomness(m), "band": _band(m), "decoy": is_decoy(m)} if kind == "random" else no
+        scored = {"chance": F.when(is_decoy(m), F.lit(1.0)).otherwise(chance(m)), "decoy": is_decoy(m)} if kind == "random" else no
         good = F.lit(False) if kind == "random" else F.length(F.get(s["v"], i)) >= LEAST[kind]
         return F.struct(
             F.lit(KINDS.index(kind)).alias("kind"), i.alias("i"), F.length(F.get(s["g"], i)).cast("bigint").alias("gap"), F.length(m).cast("bigint").alias("len"),
@@ -128,30 +143,24 @@ def found_matches(docs: DataFrame, keys: list[str], text: str = "text") -> DataF
     return arrays.select(*keys, F.explode_outer("m").alias("m")).select(*keys, "m.*")
 
 
-def levels(matches: DataFrame) -> dict[int, float]:
-    """To each band of lengths the least p of a secret; bands without one are absent.
+def level(matches: DataFrame) -> float:
+    """The greatest chance of a secret; 0 if there is none.
 
-    The counts by band and level are taken over all documents; 5 bands by 8 levels come to the driver.
+    The counts by step are taken over all documents; LEAST_STEP + 1 rows at most come to the driver.
     """
-    step = sum((F.when(F.col("p") >= x, 1).otherwise(0) for x in LEVELS), F.lit(0))
-    rows = matches.where("p is not null").groupBy("band", "decoy", step.alias("step")).count().collect()
-    out = {}
-    for band in range(len(BANDS)):
-        reach = {d: [sum(r["count"] for r in rows if r["band"] == band and r["decoy"] == d and r["step"] >= k) for k in range(len(LEVELS) + 1)] for d in (False, True)}
-        for k, level in enumerate(LEVELS, 1):
-            share = reach[False][k] / max(1, reach[False][0])
-            decoys = (reach[True][k] + 1) / (reach[True][0] + 1)  # one more, so few decoys prove little
-            if reach[False][k] and decoys <= FDR * share:
-                out[band] = level
-                break
-    return out
+    step = F.least(F.lit(LEAST_STEP), F.floor(-F.log10(F.greatest(F.col("chance"), F.lit(1e-300))) * STEPS)).cast("int")
+    counts = {r["step"]: r["count"] for r in matches.where("chance is not null and not decoy").groupBy(step.alias("step")).count().collect()}
+    total = sum(counts.values())
+    for k in range(LEAST_STEP + 1):
+        reach = sum(n for j, n in counts.items() if j >= k)
+        if reach and 10 ** (-k / STEPS) * total <= FDR * reach:
+            return 10 ** (-k / STEPS)
+    return 0.0
 
 
-def _accepted(level: dict[int, float], p: Column, band: Column, decoy: Column) -> Column:
-    ok = F.lit(False)
-    for k, x in level.items():
-        ok = ok | ((band == k) & (p >= x))
-    return ok & ~decoy
+def _accepted(most: float, chance: Column, decoy: Column) -> Column:
+    step = F.least(F.lit(LEAST_STEP), F.floor(-F.log10(F.greatest(chance, F.lit(1e-300))) * STEPS))
+    return ~decoy & (step >= round(-math.log10(most) * STEPS)) if most else F.lit(False)
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -164,10 +173,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """
     numbered = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
     matches = staged(found_matches(numbered, ["row", "key"]), "matches")
-    level = levels(matches)
+    most = level(matches)
     before = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = matches.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(before))
-    taken = F.col("good") | F.coalesce(_accepted(level, F.col("p"), F.col("band"), F.col("decoy")), F.lit(False))
+    taken = F.col("good") | F.coalesce(_accepted(most, F.col("chance"), F.col("decoy")), F.lit(False))
     span = F.when(taken, F.struct((F.col("end") - F.col("len")).alias("start"), "kind", "end"))
     grouped = placed.groupBy("row", "key").agg(F.sort_array(F.collect_list(span)).alias("s"))
     name = lambda k: F.element_at(F.array(*(F.lit(x) for x in KINDS)), k + 1)
@@ -183,7 +192,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
     """``docs`` with every secret in ``text`` replaced by ``mark``, kind after kind; a null text stays null."""
     body = F.col(text)
     found = docs.select(_matches(F.coalesce(body, F.lit("")), "random").alias("m")).select(F.explode("m").alias("m")).select("m.*")
-    level = levels(found)
+    most = level(found)
     out = docs
     for kind in KINDS:
         pattern = {"assign": ASSIGN, "access": ACCESS, "hex": HEX.replace("+", f"{{{LEAST['hex']},}}"), "random": CANDIDATE}[kind]
@@ -192,7 +201,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
         bound = F.array(F.struct(gaps.alias("g"), every.alias("f"), values.alias("v")))
 
         def swap(m: Column, value: Column, kind: str = kind) -> Column:
-            bad = _accepted(level, randomness(m), _band(m), is_decoy(m)) if kind == "random" else F.length(value) >= LEAST[kind]
+            bad = _accepted(most, chance(m), is_decoy(m)) if kind == "random" else F.length(value) >= LEAST[kind]
             return F.when(bad, F.lit(mark)).otherwise(m)
 
         pieces = F.flatten(F.transform(bound, lambda s: F.flatten(F.transform(s["g"], lambda g, i: F.when(i < F.size(s["f"]), F.array(g, swap(F.get(s["f"], i), F.get(s["v"], i)))).otherwise(F.array(g))))))
