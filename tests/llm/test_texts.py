@@ -2,7 +2,6 @@
 
 import hashlib
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -10,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strataloom.llm import embedding_dedup, fingerprints, secrets, simhash, toxicity
+from strataloom.llm import embedding_dedup, fingerprints, secrets, simhash
 
 
 def components(n, links):
@@ -145,32 +144,6 @@ def test_secrets_by_randomness(spark):
     assert len(right) > 75 and len(hits) - len(right) <= 0.1 * len(hits) and hits[right[0]] == "random:4:48"
 
 
-def test_toxicity(spark, odd, empty):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    model = toxicity.train(docs, labels)
-    rows = toxicity.score(docs, model).join(labels, "doc_id").collect()
-    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and (r.score >= 0.5) == r.predicted for r in rows)
-    held = [r for r in rows if r.held_out]
-    assert np.mean([r.predicted == r.toxic for r in held]) > 0.85
-    # held-out labels are never learnt from
-    flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
-    assert (toxicity.train(docs, flipped).weights == model.weights).all()
-    scores = toxicity.score(odd, model).collect()
-    assert len(scores) == odd.count() and all(r.score == 0 for r in scores if r.doc_id in (0, 1, 2))
-    kept = toxicity.keep_clean(odd, model)
-    assert kept.columns == odd.columns and kept.count() == sum(r.score < 0.5 for r in scores)
-    assert toxicity.score(empty, model).count() == 0 and toxicity.score(odd, toxicity.train(docs, labels.limit(0))).count() == odd.count()
-
-
-def test_offending_sentences(spark):
-    weights = np.zeros(toxicity.FEATURES, np.float32)
-    weights[zlib.crc32(b"idiot") % (toxicity.FEATURES - 1) + 1] = 10
-    docs = spark.createDataFrame([(1, "Été fine. You IDIOT!### Bye\nidiot"), (2, None)], "doc_id long, text string")
-    rows = toxicity.offending_sentences(docs, toxicity.Model(weights, -5.0)).collect()
-    text = "Été fine. You IDIOT!### Bye\nidiot"
-    assert [text[r.start : r.end] for r in sorted(rows, key=lambda r: r.start)] == ["You IDIOT!###", "idiot"]
-
-
 def test_embeddings(spark):
     rng = np.random.default_rng(7)
     rows = []
