@@ -1,32 +1,40 @@
 """Token ids of whole texts, a batch at a time, through the tokenizers library.
 
-The tokenizer (``word_bpe_49k.json``) drops white space and never merges across it,
-so the ids of a text are the ids of its words in turn.  Texts repeat most of
-their words; each distinct word goes through the library once a worker, and
-the texts are put together from these with array operations.
+The tokenizer (``word_bpe_49k.json``) drops white space, lowers the case and cuts texts into pieces - runs of
+letters, single digits, runs of other signs - that never merge.  So the ids of a text are the ids
+of its pieces in turn.  Texts repeat most of their pieces; each distinct one goes through
+the library once a worker, and the texts are put together from these with
+array operations.  Words that hold anything but Latin-1 letters, ASCII digits and plain signs go through it whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from .arrow import give_back
 
-#: A worker forgets its words when it holds so many, or so many of their ids or of their pieces.
-MAX_WORDS, MAX_POOL, MAX_PIECES = 600_000, 1 << 22, 250_000
-#: Texts are cut at white space into segments of about so many bytes while words are found; new words are learnt so many at once.
+#: A worker forgets its pieces when it holds so many, or so many of their ids.
+MAX_WORDS, MAX_POOL = 1 << 20, 1 << 23
+#: Texts are cut at white space into segments of about so many bytes while pieces are found; new ones are learnt so many at once.
 SEGMENT, LEARN = 1 << 20, 1 << 14
+#: Longer byte ranges are hashed one by one: sums of powers are too regular for them.
+LONG = 64
 
-# The tokenizer's own pre-split for words of plain Latin letters, digits and signs; others go to it whole.
-_PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*\Z")
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+# Kinds of bytes.
+_NONE, _LETTER, _DIGIT, _SIGN, _OTHER = 0, 1, 2, 3, 4
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[0x21:0x7F] = _SIGN
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _LETTER
+_KIND[0x27] = _OTHER  # an apostrophe may begin a piece with letters
+_KIND[_SPACE] = _NONE
 
 
 def load_tokenizer(path: str):
@@ -37,7 +45,7 @@ def load_tokenizer(path: str):
 
 
 class WordHashes:
-    """64-bit hashes of byte ranges: sums of random values of the bytes times powers of an odd number."""
+    """64-bit hashes of byte ranges: sums of random values of the bytes times powers of an odd number; XXH3 beyond LONG bytes."""
 
     def __init__(self, seed: int = 20240611):
         rng = np.random.default_rng(seed)
@@ -57,9 +65,14 @@ class WordHashes:
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.values[data] * self.powers[: len(data)], out=sums[1:])
         got = (sums[ends] - sums[starts]) * self.inverses[starts]
+        got += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         got ^= got >> np.uint64(29)
         got *= np.uint64(0xBF58476D1CE4E5B9)
         got ^= got >> np.uint64(32)
+        long = np.flatnonzero(ends - starts > LONG)
+        if len(long):
+            view = memoryview(np.ascontiguousarray(data))
+            got[long] = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
         return got | np.uint64(1)  # 0 marks a free place
 
 
@@ -77,6 +90,47 @@ def words_of(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def pieces_of(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes in lower case, starts and ends of the pieces in them, and which of these are whole words left as they are.
+
+    A word with a byte of kind _OTHER, or with ``<|``, which may begin a special token, is one piece.
+    """
+    if not len(data):
+        return data, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    kind = _KIND[data]
+    lower = data + ((data >= 0x41) & (data <= 0x5A)) * np.uint8(0x20)
+    lead = np.flatnonzero(data[:-1] == 0xC3)  # Latin-1 letters, but for the signs of multiplication and division
+    if len(lead):
+        tail = data[lead + 1]
+        lead = lead[(tail != 0x97) & (tail != 0xB7)]
+        tail = data[lead + 1]
+        kind[lead] = kind[lead + 1] = _LETTER
+        lower[lead + 1] = np.where(tail <= 0x9E, tail | 0x20, tail)
+    starts, ends = words_of(data, cuts)
+    odd = kind == _OTHER
+    odd[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+    begins = np.zeros(len(data) + 1, bool)
+    begins[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    begins[starts] = True
+    if odd.any():
+        counts = np.concatenate([[0], np.cumsum(odd)])
+        whole = np.flatnonzero(counts[ends] > counts[starts])
+        mask = np.zeros(len(data) + 1, np.int8)
+        mask[starts[whole]] += 1
+        mask[ends[whole]] -= 1  # of words that touch, the next one's start undoes it
+        inside = np.cumsum(mask[:-1], dtype=np.int8).astype(bool)
+        lower = np.where(inside, data, lower)
+        begins[:-1] &= ~inside
+        begins[starts[whole]] = True
+    else:
+        inside = None
+    begins[:-1] &= kind != _NONE
+    first = np.flatnonzero(begins[:-1])
+    owner = np.searchsorted(starts, first, "right") - 1
+    last = np.append(first[1:], len(data))
+    return lower, first, np.minimum(last, ends[owner]), inside[first] if inside is not None else np.zeros(len(first), bool)
+
+
 class Places:
     """An open-addressing table from hashes to numbers, looked up for whole arrays."""
 
@@ -119,44 +173,37 @@ class Places:
 
 
 class TextIds:
-    """Ids of batches of texts; keeps the ids of the words that it has met, up to a bound."""
+    """Ids of batches of texts; keeps the ids of the pieces that it has met, up to a bound."""
 
-    def __init__(self, path: str, room: int = 1):
-        self.tokenizer, self.hashes, self.room = load_tokenizer(path), WordHashes(), room
+    def __init__(self, path: str):
+        self.tokenizer, self.hashes = load_tokenizer(path), WordHashes()
         self._forget()
 
     def _forget(self) -> None:
-        self.places, self.pieces = Places(), {}
+        self.places = Places()
         self.starts, self.sizes, self.pool, self.n_words, self.n_ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.uint32), 0, 0
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Append the ids of ``words`` to the pool."""
-        plain, whole = [], []
-        for k, word in enumerate(words):
-            text = word.decode()
-            if "<|" not in text and _PLAIN.match(text):
-                plain.append((k, _PIECE.findall(text.lower())))
-            else:
-                whole.append((k, text))
-        if len(self.pieces) > self.room * MAX_PIECES:
-            self.pieces = {}
-        fresh = list({p for _, pieces in plain for p in pieces if p not in self.pieces})
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            texts = [" ".join(part[j : j + 256]) for j in range(0, len(part), 256)]
-            got = []
-            for encoded in self.tokenizer.encode_batch(texts, add_special_tokens=False):
-                owners, ids = np.array(encoded.word_ids), np.array(encoded.ids, np.uint32).tobytes()
-                edges = [0, *(4 * (np.flatnonzero(np.diff(owners)) + 1)).tolist(), len(ids)]
-                got += [ids[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-            if len(got) != len(part):  # a piece that the tokenizer splits further
-                got = [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
-            self.pieces.update(zip(part, got, strict=True))
-        known, ids = self.pieces, [b""] * len(words)
-        for k, pieces in plain:
-            ids[k] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
-        for k, encoded in zip([k for k, _ in whole], self.tokenizer.encode_batch([t for _, t in whole], add_special_tokens=False), strict=True):
+    def _encode(self, words: list[bytes], whole: list[bool]) -> list[bytes]:
+        """The ids of each; pieces go through the library many at once, between spaces."""
+        ids = [b""] * len(words)
+        plain, odd = [k for k, w in enumerate(whole) if not w], [k for k, w in enumerate(whole) if w]
+        for i in range(0, len(plain), 256):
+            part = plain[i : i + 256]
+            encoded = self.tokenizer.encode(" ".join([words[k].decode() for k in part]), add_special_tokens=False)
+            owners, got = np.array(encoded.word_ids), np.array(encoded.ids, np.uint32).tobytes()
+            edges = [0, *(4 * (np.flatnonzero(np.diff(owners)) + 1)).tolist(), len(got)]
+            if len(edges) == len(part) + 1:
+                for k, a, b in zip(part, edges, edges[1:], strict=False):
+                    ids[k] = got[a:b]
+            else:  # a piece that the tokenizer cuts further
+                odd += part
+        for k, encoded in zip(odd, self.tokenizer.encode_batch([words[k].decode() for k in odd], add_special_tokens=False), strict=True):
             ids[k] = np.array(encoded.ids, np.uint32).tobytes()
+        return ids
+
+    def _learn(self, words: list[bytes], whole: list[bool]) -> None:
+        """Append the ids of ``words`` to the pool."""
+        ids = self._encode(words, whole)
         sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), np.uint32)
         need_words, need_ids = self.n_words + len(ids), self.n_ids + len(flat)
@@ -170,9 +217,9 @@ class TextIds:
         self.n_words, self.n_ids = need_words, need_ids
 
     def _segment(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of the words of one segment, and each word's start and number of ids."""
-        starts, ends = words_of(data, cuts)
-        if self.n_words > self.room * MAX_WORDS or self.n_ids > self.room * MAX_POOL:
+        """Ids of the pieces of one segment, and each piece's start and number of ids."""
+        data, starts, ends, whole = pieces_of(data, cuts)
+        if self.n_words > MAX_WORDS or self.n_ids > MAX_POOL:
             self._forget()
         hashes = self.hashes.of(data, starts, ends)
         numbers = self.places.find(hashes)
@@ -183,7 +230,8 @@ class TextIds:
             new = np.arange(self.n_words, self.n_words + len(fresh), dtype=np.int32)
             text = memoryview(data.tobytes())
             for i in range(0, len(at), LEARN):
-                self._learn([bytes(text[a:b]) for a, b in zip(starts[at[i : i + LEARN]].tolist(), ends[at[i : i + LEARN]].tolist(), strict=True)])
+                some = at[i : i + LEARN]
+                self._learn([bytes(text[a:b]) for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)], whole[some].tolist())
             self.places.add(fresh, new)
             numbers[missing] = new[np.searchsorted(fresh, hashes[missing])]
         sizes = self.sizes[numbers].astype(np.int64)
@@ -239,19 +287,19 @@ def groups(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int, np
         a = b
 
 
-_LOADED: dict[tuple[str, int], TextIds] = {}
+_LOADED: dict[str, TextIds] = {}
 
 
-def text_ids(path: str, room: int = 1) -> TextIds:
-    """The worker's tokenizer, kept from task to task; its tables hold ``room`` times the usual bounds."""
-    if (path, room) not in _LOADED:
-        _LOADED[path, room] = TextIds(path, room)
-    return _LOADED[path, room]
+def text_ids(path: str) -> TextIds:
+    """The worker's tokenizer, kept from task to task."""
+    if path not in _LOADED:
+        _LOADED[path] = TextIds(path)
+    return _LOADED[path]
 
 
-def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, column: str = "text", room: int = 1):
+def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, column: str = "text"):
     """Each batch with its texts' ids, ``end_id`` behind each text, and where each text's ids begin and the last end."""
-    encoder = text_ids(path, room)
+    encoder = text_ids(path)
     for batch in batches:
         ids, counts = encoder.of_column(batch.column(column))
         bounds = np.zeros(len(counts) + 1, np.int64)

@@ -49,3 +49,20 @@ def test_places(n):
         table.add(part, np.searchsorted(hashes, part).astype(np.int32))
     assert table.find(hashes).tolist() == list(range(len(hashes)))
     assert (table.find(rng.integers(1, 1 << 63, 50, dtype=np.uint64) | np.uint64(1 << 63)) == -1).all()
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[i.bit_count() & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 65, 512, 1024, 2048, 4096])
+@pytest.mark.parametrize("letters", ["ab", "1!", "é."])
+def test_regular_words_are_told_apart(n, letters):
+    """Sums of powers of an odd number modulo 2^64 are equal for these words and their complements."""
+    against_library([f"{thue_morse(n, letters)} {thue_morse(n, letters[::-1])}", thue_morse(n, letters[::-1])])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="abAÉé×÷ß1.'<|> \n日", max_size=60))
+def test_pieces_of_mixed_signs(text):
+    against_library([text, text + "'s", "x" + text])
