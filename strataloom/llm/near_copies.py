@@ -1,8 +1,12 @@
-"""Near copies by five-word shingles: Jaccard similarity of 0.8 or more, by MinHash bands and an exact check.
+"""Near copies by SimHash and five-word shingles: Jaccard similarity of 0.8 or more.
 
-A text's set of shingle hashes gets BANDS keys of ROWS minima each.  Texts of similarity s share
-a key with a chance of 1 - (1 - s^ROWS)^BANDS, which at 0.8 misses 5 pairs in a million, and fewer above.
-Texts that share a key are candidates; only an exact similarity of 0.8 or more links them.
+Texts whose 64-bit SimHash fingerprints lie within 3 bits, found by ball hashing, are the
+first candidates; an exact similarity of 0.8 or more links them.  At 0.8 fingerprints differ in about 10 bits,
+beyond any ball that could be emitted, so the pairs that they leave out are found by MinHash: a
+text's set of shingle hashes gets BANDS keys of ROWS minima each.  Texts of similarity s share
+a key with a chance of 1 - (1 - s^ROWS)^BANDS, which at 0.8 misses 6 pairs in 100,000, and fewer above.
+Of texts that share a key those are candidates whose minima agree in one bit as often
+as similar ones do; again the exact similarity decides.
 
 Pairs inside a group of copies aren't listed: texts of one set are one node, each key's
 texts are first checked against one of them, and pairs are listed only of keys whose texts are
@@ -22,10 +26,12 @@ from pyspark.sql import functions as F
 from ..session import staged
 from .arrow import bound_batches, give_back
 from .components import components
-from .simhash import SEED, _lowered, shingle_bounds
+from .simhash import SEED, _lowered, keep_least, majority, near_pairs, shingle_bounds
 from .tokens import groups
 
-WIDTH, BANDS, ROWS = 5, 40, 6
+WIDTH, BANDS, ROWS = 5, 32, 6
+#: One bit of each minimum makes a sketch; at 0.8 about a tenth differ, and more than so many in 2 pairs of 100,000.
+APART = 38
 #: The least similarity of a link, as a fraction.
 LEAST = (4, 5)
 #: Rounds in which a key's texts are checked against one of them, before pairs are listed.
@@ -53,35 +59,38 @@ def _set_ids(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(view[8 * i : 8 * j], SEED) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], np.uint64).view(np.int64)
 
 
-def _band_keys(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """BANDS keys of each text that has shingles; 0 for the others."""
-    out = np.zeros((len(cuts) - 1, BANDS), np.uint64)
+def _band_keys(hashes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BANDS keys and the sketch of each text that has shingles; 0 for the others."""
+    out, bits = np.zeros((len(cuts) - 1, BANDS), np.uint64), np.zeros((len(cuts) - 1, BANDS * ROWS // 64), np.uint64)
     full = np.flatnonzero(np.diff(cuts))
     if len(full):
         at = cuts[full]
         for k in range(BANDS):
             key = np.full(len(full), k + 1, np.uint64)
-            for f in _FACTORS[k * ROWS : (k + 1) * ROWS]:
-                key = (key ^ np.minimum.reduceat(hashes * f, at)) * np.uint64(0x9E3779B97F4A7C15)
+            for j in range(k * ROWS, (k + 1) * ROWS):
+                least = np.minimum.reduceat(hashes * _FACTORS[j], at)
+                key = (key ^ least) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(31)
+                bits[full, j // 64] |= ((least ^ least >> np.uint64(17) ^ least >> np.uint64(34)) & np.uint64(1)) << np.uint64(j % 64)
             out[full, k] = key
-    return out
+    return out, bits
 
 
 def sketches(docs: DataFrame, row: str, text: str = "text") -> DataFrame:
-    """row, set_id (equal for equal sets of shingles), size (distinct shingles) and the keys of every whole text."""
+    """row, set_id (equal for equal sets of shingles), size (distinct shingles), fingerprint, sketch and the keys of every whole text."""
     bound_batches(docs.sparkSession)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, hashes, cuts in _shingle_sets(batch.column(1)):
-                keys = pa.array(_band_keys(hashes, cuts).view(np.int64).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * BANDS + 1, BANDS, dtype=np.int32)), keys)
-                cells = [batch.column(0).slice(a, b - a), pa.array(_set_ids(hashes, cuts)), pa.array(np.diff(cuts).astype(np.int64)), lists]
-                yield pa.RecordBatch.from_arrays(cells, names=[row, "set_id", "size", "keys"])
+                keys, bits = _band_keys(hashes, cuts)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.view(np.int64).ravel())) for x in (bits, keys)]
+                prints = pa.array(majority(hashes, np.diff(cuts)).view(np.int64))
+                cells = [batch.column(0).slice(a, b - a), pa.array(_set_ids(hashes, cuts)), pa.array(np.diff(cuts).astype(np.int64)), prints, *lists]
+                yield pa.RecordBatch.from_arrays(cells, names=[row, "set_id", "size", "fingerprint", "sketch", "keys"])
         give_back()
 
-    return docs.select(row, text).mapInArrow(sketch, f"`{row}` {docs.schema[row].dataType.simpleString()}, set_id bigint, size bigint, keys array<bigint>")
+    return docs.select(row, text).mapInArrow(sketch, f"`{row}` {docs.schema[row].dataType.simpleString()}, set_id bigint, size bigint, fingerprint bigint, sketch array<bigint>, keys array<bigint>")
 
 
 def shingles(texts: DataFrame) -> DataFrame:
@@ -98,9 +107,11 @@ def shingles(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(hashed, "set_id bigint, hashes array<bigint>")
 
 
-def _could(m: Column, n: Column) -> Column:
-    """Sets of these sizes can be similar enough."""
-    return F.least(m, n) * LEAST[1] >= F.greatest(m, n) * LEAST[0]
+def _could(x: str, y: str) -> Column:
+    """Sets of these sizes and sketches can be similar enough."""
+    m, n = F.col(f"{x}.size"), F.col(f"{y}.size")
+    apart = sum(F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(BANDS * ROWS // 64))
+    return (F.least(m, n) * LEAST[1] >= F.greatest(m, n) * LEAST[0]) & (apart <= APART)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -111,45 +122,64 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(common * LEAST[1] >= (F.size("x") + F.size("y") - common) * LEAST[0]).select("a", "b", "ga", "gb")
 
 
+_SET = ["set_id", "size", *(f"s{i}" for i in range(BANDS * ROWS // 64))]
+
+
 def _regrouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``nodes`` (set_id, size, grp) with the groups that ``links`` (ga, gb) join made one."""
+    """``nodes`` (a set, its size, sketch and grp) with the groups that ``links`` (ga, gb) join made one."""
     found = staged(components(links.select(F.col("ga").alias("a"), F.col("gb").alias("b"))), "joined")
-    return staged(nodes.join(found, F.col("grp") == F.col("node"), "left").select("set_id", "size", F.coalesce("root", "grp").alias("grp")), "regrouped")
+    return staged(nodes.join(found, F.col("grp") == F.col("node"), "left").select(*_SET, F.coalesce("root", "grp").alias("grp")), "regrouped")
 
 
 def _mixed(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, set_id, size, grp) of the keys that several groups share."""
+    """The sets of the keys that several groups share."""
     rows = keyed.join(nodes, "set_id")
     several = rows.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select(F.col("key").alias("k"))
     return staged(rows.join(several, F.col("key") == F.col("k"), "left_semi"), "mixed")
 
 
+def _by_fingerprint(sets: DataFrame) -> DataFrame:
+    """Candidates (x, y): sets of one fingerprint against the least of them, and these of fingerprints within 3 bits."""
+    prints = staged(sets.groupBy("fingerprint").agg(F.min("set_id").alias("least")), "prints")
+    same = sets.join(prints, "fingerprint").where("set_id <> least").select(F.col("least").alias("x"), F.col("set_id").alias("y"))
+    stars, _, pairs = near_pairs(prints)
+    near = stars.unionByName(pairs.select("a", "b")).distinct()
+    ends = near.join(prints.select(F.col("fingerprint").alias("a"), F.col("least").alias("x")), "a").join(prints.select(F.col("fingerprint").alias("b"), F.col("least").alias("y")), "b")
+    return same.unionByName(ends.select("x", "y"))
+
+
 def near_copies(docs: DataFrame, row: str, text: str = "text") -> DataFrame:
     """row and grp of every row: equal for texts that links of similarity 0.8 or more join; texts without words are one group."""
     rows = staged(sketches(docs, row, text), "sketches")
-    sets = staged(rows.groupBy("set_id").agg(F.first("size").alias("size"), F.min(row).alias("one"), F.first("keys").alias("keys")), "sets")
-    keyed = sets.where("size > 0").select("set_id", F.explode("keys").alias("key"))
+    sets = staged(rows.groupBy("set_id").agg(F.min(row).alias("one"), *(F.first(c).alias(c) for c in ("size", "fingerprint", "sketch", "keys"))), "sets")
+    worded = sets.where("size > 0")
+    keyed = worded.select("set_id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"))
     keyed = staged(keyed.join(shared, F.col("key") == F.col("k"), "left_semi"), "keyed")
-    nodes = staged(sets.join(keyed.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "size", F.col("set_id").alias("grp")), "nodes")
-    ones = sets.join(nodes, "set_id", "left_semi").select("set_id", F.col("one").alias("__one"))
+    alike = staged(_by_fingerprint(worded.select("set_id", "fingerprint")), "alike")
+    some = keyed.select("set_id").unionByName(alike.select(F.col("x").alias("set_id"))).unionByName(alike.select(F.col("y").alias("set_id"))).distinct()
+    chosen = sets.join(some, "set_id", "left_semi")
+    nodes = staged(chosen.select("set_id", "size", *(F.col("sketch")[i].alias(f"s{i}") for i in range(BANDS * ROWS // 64)), F.col("set_id").alias("grp")), "nodes")
+    ones = chosen.select("set_id", F.col("one").alias("__one"))
     hashes = staged(shingles(docs.join(ones, F.col(row) == F.col("__one")).select("set_id", text)), "shingles")
     checked = None
-    for turn in range(STARS + 1):
-        mixed = _mixed(keyed, nodes)
-        x, y = mixed.alias("x"), mixed.alias("y")
-        if turn < STARS:  # each key's texts against one of them
-            centre = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "grp").alias("h"), "set_id", "size", "grp")).alias("c")).select("key", "c.*")
-            met = y.join(centre.alias("x"), "key")
+    for turn in range(STARS + 2):
+        if turn == 0:  # what the fingerprints say
+            x, y = (nodes.select(*(F.col(c).alias(f"{c}_{e}") for c in (*_SET, "grp"))) for e in "xy")
+            both = alike.join(x, F.col("x") == F.col("set_id_x")).join(y, F.col("y") == F.col("set_id_y"))
+            met = both.select(*(F.struct(*(F.col(f"{c}_{e}").alias(c) for c in (*_SET, "grp"))).alias(e) for e in "xy")).where(_could("x", "y"))
         else:
-            met = x.join(y, "key")
-        met = met.where((F.col("x.grp") != F.col("y.grp")) & _could(F.col("x.size"), F.col("y.size")))
-        if turn == STARS:
-            met = met.where(F.col("x.set_id") < F.col("y.set_id"))
-        a, b = F.least("x.set_id", "y.set_id"), F.greatest("x.set_id", "y.set_id")
+            mixed = _mixed(keyed, nodes)
+            y = mixed.select("key", F.struct(*_SET, "grp").alias("y"))
+            if turn <= STARS:  # each key's texts against one of them
+                x = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "grp").alias("h"), F.struct(*_SET, "grp").alias("x")))["x"].alias("x")).withColumnRenamed("key", "k")
+                met = y.join(x, (F.col("key") == F.col("k")) & (F.col("x.grp") != F.col("y.grp")) & _could("x", "y"))
+            else:
+                x = mixed.select(F.col("key").alias("k"), F.struct(*_SET, "grp").alias("x"))
+                met = y.join(x, (F.col("key") == F.col("k")) & (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.grp") != F.col("y.grp")) & _could("x", "y"))
         first = F.col("x.set_id") < F.col("y.set_id")
-        ga, gb = F.when(first, F.col("x.grp")).otherwise(F.col("y.grp")), F.when(first, F.col("y.grp")).otherwise(F.col("x.grp"))
-        pairs = met.select(a.alias("a"), b.alias("b"), ga.alias("ga"), gb.alias("gb")).distinct()
+        ends = {"a": ("x", "y", "set_id"), "b": ("y", "x", "set_id"), "ga": ("x", "y", "grp"), "gb": ("y", "x", "grp")}
+        pairs = met.select(*(F.when(first, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(n) for n, (p, q, c) in ends.items())).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
@@ -165,13 +195,5 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     Rows are told apart by a row number, so only rows whose text another one's is
     near go, whatever their keys.
     """
-    names = docs.columns
     numbered = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = near_copies(numbered, "__row", text)
-    placed = staged(found.join(numbered.select("__row", F.col(key).alias("__key")), "__row"), "groups")
-    least = placed.groupBy("grp").agg(F.min(F.struct(F.col("__key").isNull().alias("no"), "__key", "__row"))["__row"].alias("__kept"), F.count(F.lit(1)).alias("n"))
-    # rows that go are the few
-    several = least.where("n > 1").select(F.col("grp").alias("g"), "__kept")
-    out = staged(placed.join(several, F.col("grp") == F.col("g")).where("__row <> __kept").select(F.col("__row").alias("__out")), "out")
-    small = out.count() <= 200_000
-    return numbered.join(F.broadcast(out) if small else out, F.col("__row") == F.col("__out"), "left_anti").select(*names)
+    return keep_least(numbered, near_copies(numbered, "__row", text), key, docs.columns)

@@ -172,18 +172,27 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from (mixed(r) for r in pa.Table.from_batches(held).combine_chunks().to_batches() if r.num_rows)
 
 
-def link_fingerprints(prints: DataFrame) -> DataFrame:
-    """(node, root) for the distinct fingerprints of ``prints`` that others lie within 3 bits of."""
+def near_pairs(prints: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a, b) of the distinct fingerprints of ``prints`` within 3 bits, enough to join all that are.
+
+    The stars of step 1, the groups (node, root) that they make, and the pairs of step 2 with their groups (ga, gb).
+    """
     near = _variants(prints.select("fingerprint"), _full_variants()).repartition("variant").sortWithinPartitions("variant", "fingerprint")
-    first = staged(components(near.mapInArrow(_stars, "a bigint, b bigint")), "near")
+    stars = staged(near.mapInArrow(_stars, "a bigint, b bigint").distinct(), "stars")
+    first = staged(components(stars), "near")
     grouped = prints.select("fingerprint").join(first, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("grp"))
     far = _variants(grouped, _block_variants()).repartition("variant").sortWithinPartitions("variant")
     met = staged(far.mapInArrow(_mixed, "fingerprint bigint, grp bigint, variant bigint"), "met")
     x, y = met.alias("x"), met.alias("y")
     apart = F.bit_count(F.col("x.fingerprint").bitwiseXOR(F.col("y.fingerprint")))
     pairs = x.join(y, (F.col("x.variant") == F.col("y.variant")) & (F.col("x.grp") < F.col("y.grp")) & (apart <= 3))
-    links = pairs.select(F.col("x.grp").alias("a"), F.col("y.grp").alias("b"))
-    second = staged(components(links), "far")
+    return stars, first, pairs.select(F.col("x.fingerprint").alias("a"), F.col("y.fingerprint").alias("b"), F.col("x.grp").alias("ga"), F.col("y.grp").alias("gb"))
+
+
+def link_fingerprints(prints: DataFrame) -> DataFrame:
+    """(node, root) for the distinct fingerprints of ``prints`` that others lie within 3 bits of."""
+    _, first, pairs = near_pairs(prints)
+    second = staged(components(pairs.select(F.col("ga").alias("a"), F.col("gb").alias("b"))), "far")
     # roots of the first step are nodes of the second
     joined = first.select("node", F.col("root").alias("r1")).unionByName(second.select("node", F.col("node").alias("r1")).join(first.select("node"), "node", "left_anti"))
     return joined.join(second.select(F.col("node").alias("n2"), F.col("root").alias("r2")), F.col("r1") == F.col("n2"), "left").select("node", F.coalesce("r2", "r1").alias("root"))
@@ -206,19 +215,27 @@ def near_duplicates(docs: DataFrame, width: int = 3, key: str = "doc_id", text:
     return rows.join(label, F.col("fingerprint") == F.col("f")).select(key, "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row, that of the least key, of each group of near-duplicates.
+def keep_least(numbered: DataFrame, groups: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """The columns ``names`` of ``numbered`` (with __row), one row of each group of ``groups`` (__row, grp).
 
-    Of rows that share a key one stays.  A row with a null key stays.  The rows that go are
-    anti-joined by key: broadcast while they are few, shuffled beyond that, so the
-    texts of a corpus with few copies don't move.
+    The row of the least key stays (null last), of several the least numbered.  Rows are told apart by __row, so only
+    rows of a group go, whatever their keys.  The rows that go are anti-joined: broadcast while they are few,
+    shuffled beyond that, so the texts of a corpus with few copies don't move.
     """
-    found = staged(near_duplicates(docs, width, key, text), "groups")
-    out = staged(found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__out")).distinct(), "out")
+    placed = staged(groups.join(numbered.select("__row", F.col(key).alias("__key")), "__row"), "groups")
+    least = placed.groupBy("grp").agg(F.min(F.struct(F.col("__key").isNull().alias("no"), "__key", "__row"))["__row"].alias("__kept"), F.count(F.lit(1)).alias("n"))
+    several = least.where("n > 1").select(F.col("grp").alias("g"), "__kept")
+    out = staged(placed.join(several, F.col("grp") == F.col("g")).where("__row <> __kept").select(F.col("__row").alias("__out")), "out")
     small = out.count() <= 200_000
-    kept = docs.join(F.broadcast(out) if small else out, F.col(key) == F.col("__out"), "left_anti")
-    twice = staged(found.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__twice")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__twice"), "twice")
-    if twice.isEmpty():
-        return kept
-    single = kept.join(twice, F.col(key) == F.col("__twice"), "left_anti")
-    return single.unionByName(kept.join(twice, F.col(key) == F.col("__twice"), "left_semi").dropDuplicates([key]))
+    return numbered.join(F.broadcast(out) if small else out, F.col("__row") == F.col("__out"), "left_anti").select(*names)
+
+
+def keep_one(docs: DataFrame, width: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row, that of the least key (null last), of each group of near-duplicates.
+
+    Rows that share a key and have different texts go or stay by their texts; a row with a null key
+    goes if another one's text is near.
+    """
+    numbered = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered, width, "__row", text)
+    return keep_least(numbered, found.select("__row", F.col("component_id").alias("grp")), key, docs.columns)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from strataloom.llm import near_copies
+from strataloom.llm import near_copies, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -71,3 +71,26 @@ def test_rows_of_one_id_go_by_their_texts(spark):
     kept = near_copies.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(map(tuple, kept), key=str) == sorted([rows[1], rows[2], rows[3]], key=str)
     assert near_copies.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_simhash_keeps_every_text(spark):
+    """Rows go by their texts, not by their ids."""
+    a, b = "one text of its own here today", "quite another one that nobody else has"
+    rows = [(5, a), (7, a), (7, b), (9, b)]
+    assert sorted(map(tuple, simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect())) == [(5, a), (7, b)]
+    rng = np.random.default_rng(4)
+    words = [f"{w}{k}" for k in range(40) for w in ("river", "stone", "cloud")]
+    texts = [" ".join(rng.choice(words, 30)) for _ in range(12)]
+    rows = [(int(rng.integers(0, 8)), texts[int(rng.integers(0, 12))]) for _ in range(80)]
+    kept = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()]
+    assert sorted(kept) == sorted((min(k for k, t in rows if t == text), text) for text in {t for _, t in rows})
+
+
+def test_a_common_passage_links_nothing(spark):
+    """Texts that share a third of their words stay, copies of one with few edits go."""
+    rng = np.random.default_rng(9)
+    passage = [f"p{k}" for k in range(60)]
+    base = [f"b{k}" for k in range(150)]
+    texts = [" ".join(passage + [f"w{rng.integers(1 << 30)}" for _ in range(90)]) for _ in range(300)] + [" ".join(edited(rng, base, 2)) for _ in range(200)]
+    kept = corpus_pipeline.drop_copies(spark, spark.createDataFrame(list(enumerate(texts)), SCHEMA), "")
+    assert sorted(r.doc_id for r in kept.collect()) == brute_force(list(enumerate(texts)))
