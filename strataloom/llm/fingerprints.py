@@ -2,148 +2,172 @@
 
 A paragraph (a line) is hashed to a wide vector: 8 numbers of 32 bits cut from its
 SHA-256, then 64 counts of the bits of its three-word shingles' XXH64s, then the number of shingles.
-A document's fingerprint is the sum of its paragraphs' vectors modulo powers
-of two (2^32 and 2^20).  So the order of paragraphs doesn't matter, and the fingerprint after
-inserting or deleting paragraphs is the old one plus or minus their vectors.
+A document's fingerprint is the sum of its paragraphs' vectors modulo 2^32.
+So the order of paragraphs doesn't matter, and the fingerprint after
+inserting or deleting paragraphs is the old one plus or minus their vectors; paragraphs that two texts
+share are hashed once.
 The first part tells multisets of paragraphs apart; the second, twice the counts less
-the number of shingles, is a random projection of the shingles, whose cosine is the likeness.
+the number of shingles, is a random projection of the shingles, whose cosine is the likeness.  Counts
+are exact for texts of under 2^31 shingles, more than a string can hold.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-IDENTITY, LANES = 8, 64
-_ID_MOD, _LANE_MOD = 1 << 32, 1 << 20
-#: Documents are put in order in buckets of about so many bytes; bounds come from a histogram of at most BINS ids.
-BUCKET_BYTES, BINS = 4 << 20, 1 << 16
-
-
-def _shingle_hashes(text: Column) -> Column:
-    """XXH64 of the word triples of each line; a line's last two start shorter ones."""
-    lines = F.transform(F.split(text, "\n"), lambda line: F.split(line, " "))
-    return F.flatten(F.transform(lines, lambda words: F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))))
+IDENTITY, LANES, MOD = 8, 64, 1 << 32
+#: Documents are put in order in buckets of about so many bytes, at most BINS of them; bounds come from about PER_BIN keys a bucket.
+BUCKET_BYTES, BINS, PER_BIN = 4 << 20, 1 << 14, 16
 
 
-def _digests(text: Column) -> Column:
-    return F.transform(F.split(text, "\n"), lambda line: F.sha2(line.cast("binary"), 256))
+def _identity(text: Column) -> Column:
+    """The sums of the 32-bit parts of the lines' SHA-256s, modulo 2^32; zeros for null, which has no lines."""
+    digests = F.transform(F.split(text, "\n", -1), lambda line: F.sha2(line.cast("binary"), 256))
+    part = lambda xs, j: F.aggregate(xs, F.lit(0).cast("bigint"), lambda acc, x: acc + F.conv(F.substring(x, 8 * j + 1, 8), 16, 10).cast("bigint"))
+    bound = F.transform(F.array(F.coalesce(digests, F.array().cast("array<string>"))), lambda xs: F.array(*(F.pmod(part(xs, j), F.lit(MOD)) for j in range(IDENTITY))))
+    return F.element_at(bound, 1)
 
 
-def _identity(digests: Column) -> Column:
-    """The sums of the 32-bit parts of the lines' SHA-256s, modulo 2^32."""
-    part = lambda j: F.aggregate(digests, F.lit(0).cast("bigint"), lambda acc, x: acc + F.conv(F.substring(x, 8 * j + 1, 8), 16, 10).cast("bigint"))
-    return F.array(*(F.pmod(part(j), F.lit(_ID_MOD)) for j in range(IDENTITY)))
+def _lane_sums(rows: DataFrame, keys: list[str], texts: str) -> DataFrame:
+    """``keys``, v, n and s0 to s31 for the structs (v, t) of the array ``texts``.
 
-
-def _lane_sums(hashes: Column, where: Column) -> list[Column]:
-    """How often each of the 64 bits is set in the hashes of the rows ``where``; two counts share a long."""
+    n is the number of shingles of t, the triples of neighbouring words of each line (a line's last two start
+    shorter ones); the low and the high 32 bits of sK count those whose XXH64 has bit K and bit K + 32.
+    Line ends become words of their own, so that the hashes and sums are plain expressions in generated code.
+    """
+    each = rows.select(*keys, F.explode(texts).alias("x")).select(*keys, F.col("x.v").alias("v"), F.split(F.replace(F.col("x.t"), F.lit("\n"), F.lit(" \n ")), " ", -1).alias("w"))
+    many = F.size("w")
+    triples = F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), many).alias("b"), F.slice("w", F.lit(3), many).alias("c"))
+    words = each.select(*keys, "v", F.inline(triples)).where("a <> '\\n'")
+    end = F.col("b").eqNullSafe("\n")
+    second, third = F.when(~end, F.col("b")), F.when(~end & ~F.col("c").eqNullSafe("\n"), F.col("c"))
+    hashed = words.select(*keys, "v", F.xxhash64("a", second, third).alias("h"))
     both = F.lit((1 << 32) | 1)
-    return [F.sum(F.when(where, F.shiftrightunsigned(hashes, k).bitwiseAND(both)).otherwise(F.lit(0).cast("bigint"))) for k in range(32)]
+    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(both)).alias(f"s{k}") for k in range(LANES // 2)]
+    return hashed.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"), *sums)
 
 
-def _vector(identity: Column, sums: list[Column], count: Column) -> Column:
-    low = [s.bitwiseAND(F.lit(_LANE_MOD - 1)) for s in sums]
-    high = [F.shiftright(s, 32).bitwiseAND(F.lit(_LANE_MOD - 1)) for s in sums]
-    return F.concat(identity, F.array(*low, *high, F.pmod(count, F.lit(_LANE_MOD))))
+def _lanes(name: str = "s", count: str = "n") -> Column:
+    """The 64 counts and the number of shingles, from two counts a long."""
+    low = [F.col(f"{name}{k}").bitwiseAND(F.lit(MOD - 1)) for k in range(LANES // 2)]
+    high = [F.shiftrightunsigned(f"{name}{k}", 32) for k in range(LANES // 2)]
+    return F.array(*low, *high, F.pmod(F.col(count), F.lit(MOD)))
 
 
-def vectors(rows: DataFrame, texts: dict[str, str], keys: list[str]) -> DataFrame:
-    """``keys`` and, for each name in ``texts``, the vector of that column's text, an array of 73 longs.
+def vectors(rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """``keys``, which tell rows apart, and vector: that of the column ``text``, an array of 73 longs.
 
-    The keys tell rows apart.  Texts are exploded into shingles and summed within their own
-    partition, all texts of a row into one row of sums, so only that is shuffled.
+    A null text is empty.  Repeated keys are added up as if their texts were one's paragraphs.
     """
-    names = list(texts)
-    body = {n: F.coalesce(F.col(c), F.lit("")) for n, c in texts.items()}
-    hashed = rows.select(*keys, *(_digests(body[n]).alias(f"__d{i}") for i, n in enumerate(names)), F.array(*(F.struct(F.lit(i).alias("v"), body[n].alias("t")) for i, n in enumerate(names))).alias("__texts"))
-    ids = [f"__id{i}" for i in range(len(names))]
-    given = hashed.select(*keys, *(_identity(F.col(f"__d{i}")).alias(f"__id{i}") for i in range(len(names))), "__texts")  # once a text, below the explosion
-    each = given.select(*keys, *ids, F.explode("__texts").alias("__x")).select(*keys, *ids, F.col("__x.v").alias("__v"), _shingle_hashes(F.col("__x.t")).alias("__hs"))
-    many = each.select(*keys, *ids, "__v", F.explode("__hs").alias("__h"))
-    sums = [c.alias(f"__s{i}_{k}") for i in range(len(names)) for k, c in enumerate(_lane_sums(F.col("__h"), F.col("__v") == i))]
-    counts = [F.sum((F.col("__v") == i).cast("bigint")).alias(f"__n{i}") for i in range(len(names))]
-    summed = many.groupBy(*keys, *ids).agg(*sums, *counts)
-    return summed.select(*keys, *(_vector(F.col(ids[i]), [F.col(f"__s{i}_{k}") for k in range(32)], F.col(f"__n{i}")).alias(n) for i, n in enumerate(names)))
+    body = F.coalesce(F.col(text), F.lit(""))
+    sums = _lane_sums(rows.select(*keys, F.array(F.struct(F.lit(0).alias("v"), body.alias("t"))).alias("__texts")), keys, "__texts")
+    ids = rows.select(*keys, _identity(body).alias("__id")).groupBy(*keys).agg(*(F.pmod(F.sum(F.col("__id")[j]), F.lit(MOD)).alias(f"__{j}") for j in range(IDENTITY)))
+    lanes = sums.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), _lanes().alias("__lanes"))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    condition = same[0]
+    for one in same[1:]:
+        condition = condition & one
+    return ids.join(lanes, condition).select(*keys, F.concat(F.array(*(F.col(f"__{j}") for j in range(IDENTITY))), "__lanes").alias("vector"))
 
 
 def combine(a: Column, b: Column, minus: bool = False) -> Column:
     """The vector of both texts' paragraphs together, or of the first's without the second's."""
-    signed = F.zip_with(a, b, lambda x, y: x - y if minus else x + y)
-    return F.transform(signed, lambda x, i: F.pmod(x, F.when(i < IDENTITY, F.lit(_ID_MOD)).otherwise(F.lit(_LANE_MOD))))
+    return F.zip_with(a, b, lambda x, y: F.pmod(x - y if minus else x + y, F.lit(MOD)))
 
 
 def as_text(vector: Column) -> Column:
-    """The fingerprint: 8 hex digits for each identity number, 5 for each count."""
-    return F.lower(F.array_join(F.transform(vector, lambda x, i: F.lpad(F.hex(x), F.when(i < IDENTITY, 8).otherwise(5), F.lit("0"))), ""))
+    """The fingerprint: 8 hex digits for each number."""
+    return F.lower(F.array_join(F.transform(vector, lambda x: F.substring(F.hex(x + F.lit(MOD)), -8, 8)), ""))
 
 
-def _projection(vector: Column) -> Column:
-    n = F.element_at(vector, -1)
-    signed = lambda c: F.pmod(2 * c - n + _LANE_MOD // 2, F.lit(_LANE_MOD)) - _LANE_MOD // 2
-    return F.transform(F.slice(vector, IDENTITY + 1, LANES), lambda c: signed(c).cast("double"))
+def likeness(a: Column, b: Column) -> Column:
+    """Estimated cosine of two texts' shingle counts, 0 to 1, from their vectors; 1 for equal lanes."""
+    x, y = F.slice(a, -LANES - 1, LANES + 1), F.slice(b, -LANES - 1, LANES + 1)
+    signed = lambda v: F.transform(F.slice(v, 1, LANES), lambda c: (2 * c - F.element_at(v, -1)).cast("double"))
+    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda m, n: m * n), F.lit(0.0), lambda acc, v: acc + v)
+    bound = F.transform(F.array(F.struct(signed(x).alias("x"), signed(y).alias("y"))), lambda s: F.try_divide(dot(s["x"], s["y"]), F.sqrt(dot(s["x"], s["x"]) * dot(s["y"], s["y"]))))
+    return F.when(x == y, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.element_at(bound, 1), F.lit(0.0)))))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated cosine of two texts' shingle counts, 0 to 1, from their fingerprints; 1 for equal ones."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
-    x, y = _projection(a), _projection(b)
-    cosine = F.try_divide(dot(x, y), F.sqrt(dot(x, x) * dot(y, y)))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(cosine, F.lit(0.0)))))
+_KEY = "struct<o:bigint,h:bigint,row:bigint>"
+
+
+def _bucket(key: Column, bounds: list[tuple[int, int, int]]) -> Column:
+    """The number of ``bounds`` (ascending) that ``key`` isn't less than, by a search in two levels."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    table = F.from_json(F.lit(json.dumps([[dict(zip(("o", "h", "row"), b, strict=True)) for b in p] for p in parts])), f"array<array<{_KEY}>>")
+    below = lambda xs: F.size(F.filter(xs, lambda b: b <= key))
+    part = F.size(F.filter(table, lambda p: F.get(p, F.lit(0)) <= key))  # parts that begin at or below the key
+    return F.when(part == 0, F.lit(0)).otherwise((part - 1) * step + below(F.get(table, part - 1))).cast("int")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Add to (doc_id, text) the text of the next row in descending doc_id order.
+def in_order(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in descending doc_id order: adds bucket, pos (from 1 in the bucket), guest and next_text.
 
-    After the last row comes the first.  The order isn't found in one task: ids are
-    dealt into ranges of about BUCKET_BYTES bytes of text by a histogram; each
-    range also gets the first row of the range after it.  Null ids
-    are last, equal ids are ordered by a hash of the text.
+    After the last row comes the first.  The order isn't found in one task: rows are dealt into ranges of about
+    BUCKET_BYTES bytes of text, whose bounds are quantiles of a sample of the keys (id, a hash of the text, row
+    number); so neither far-off ids nor one id on many rows fill a range.  Each range also gets the first row of the range after it, marked as its
+    guest, for which next_text is null.  Null ids are last, equal ids are ordered by a hash of the text.
     """
     spark = docs.sparkSession
-    ends = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = (ends[0] or 0) - 1, max(ends[1] or 0, (ends[0] or 0))
-    width = -(-(high - low + 1) // BINS)
     text = F.coalesce("text", F.lit(""))
-    placed = docs.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(low)).alias("o"))
-    placed = placed.withColumn("bin", F.floor((F.col("o") - F.lit(low)) / F.lit(width)).cast("int")).withColumn("h", F.xxhash64("text"))
-    bins = {r[0]: r[1] for r in placed.groupBy("bin").agg(F.sum(F.octet_length("text") + 64)).collect()}  # at most BINS rows
-    limit, bucket, held, of = max(BUCKET_BYTES, sum(bins.values()) // BINS), 0, 0, []
-    for k in range(max(bins, default=0) + 1):
-        of.append(bucket)
-        held += bins.get(k, 0)
-        if held >= limit:
-            bucket, held = bucket + 1, 0
-    table = F.lit(",".join(map(str, of)))
-    dealt = placed.withColumn("bucket", F.get(F.split(table, ","), F.col("bin")).cast("int"))
-    heads = dealt.groupBy("bucket").agg(F.max("o").alias("head")).collect()  # one row a bucket
-    tops = sorted((r[0], r[1]) for r in heads)
-    # the rows at the head of each bucket follow the last ones of the bucket above, the top one those of the lowest
-    follow = [(head, tops[(i + 1) % len(tops)][0]) for i, (_, head) in enumerate(tops)]
-    first = spark.createDataFrame(follow, "head bigint, into int")
-    guests = dealt.join(F.broadcast(first), F.col("o") == F.col("head")).select("doc_id", "text", "o", "h", F.col("into").alias("bucket"), F.lit(1).alias("guest"))
-    all_rows = dealt.select("doc_id", "text", "o", "h", "bucket", F.lit(0).alias("guest")).unionByName(guests)
-    down = Window.partitionBy("bucket").orderBy("guest", F.desc("o"), F.desc("h"))
-    out = all_rows.withColumn("next_text", F.lead("text").over(down)).where("guest = 0")
-    return out.select("doc_id", "text", "next_text")
+    ends = docs.agg(F.min("doc_id"), F.count(F.lit(1)), F.sum(F.octet_length(text).cast("bigint") + 64)).first()
+    lowest = (ends[0] or 0) - 1
+    # nulls are put below the least id, and at the least long beside it where there is none below
+    order = F.coalesce("doc_id", F.lit(max(lowest, -(1 << 63))))
+    placed = docs.select("doc_id", text.alias("text"), F.struct(order.alias("o"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row")).alias("key"))
+    many = min(BINS, max(1, (ends[2] or 0) // BUCKET_BYTES))
+    bounds: list[tuple[int, int, int]] = []
+    if many > 1:  # about PER_BIN * BINS keys at most
+        keys = sorted(tuple(r[0]) for r in placed.select("key").sample(fraction=min(1.0, PER_BIN * many / ends[1]), seed=1).collect())
+        bounds = sorted({keys[len(keys) * i // many] for i in range(1, many)}) if keys else []
+    dealt = placed.withColumn("bucket", _bucket(F.col("key"), bounds))
+    heads = {r[0]: tuple(r[1]) for r in dealt.groupBy("bucket").agg(F.max("key").alias("head")).collect()}  # one row a bucket
+    tops = sorted(heads)
+    # the first row of each bucket follows the last one of the bucket above, that of the top one the last of the lowest
+    follow = [(heads[b], tops[(i + 1) % len(tops)], b) for i, b in enumerate(tops)]
+    first = spark.createDataFrame(follow, f"head {_KEY}, into int, of int")  # one row a bucket
+    guests = dealt.join(F.broadcast(first), (F.col("bucket") == F.col("of")) & (F.col("key") == F.col("head"))).select("doc_id", "text", "key", F.col("into").alias("bucket"), F.lit(True).alias("guest"))
+    every = dealt.select("doc_id", "text", "key", "bucket", F.lit(False).alias("guest")).unionByName(guests)
+    down = Window.partitionBy("bucket").orderBy("guest", F.desc("key"))
+    return every.select("doc_id", "text", "bucket", "guest", F.row_number().over(down).alias("pos"), F.lead("text").over(down).alias("next_text"))
 
 
 def compare_documents(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they and the next one's are.
 
     The edited text has the last floor(n_chars / 3) code points replaced by the first as
-    many (or all) of the next text in descending doc_id order.  A null text is empty; repeated
+    many (or all) of the next text in descending doc_id order.  Its vector is the text's less
+    the paragraphs that the edit cuts or drops plus those that it makes: the paragraphs kept, lost and new are each
+    hashed once.  The next text's vector is taken from its own row.  A null text is empty; repeated
     rows each give a row; one row alone is next to itself; an empty table gives an empty
     table.  Other columns are ignored.
     """
-    rows = with_next(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
-    n = F.length("text").cast("bigint")
+    rows = in_order(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    n = F.length("text")
     cut = F.floor(n / 3).cast("int")
-    edited = F.concat(F.left("text", n.cast("int") - cut), F.left("next_text", cut))
-    rows = rows.select("doc_id", "text", "next_text", n.alias("n_chars"), edited.alias("edited"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    found = vectors(rows, {"own": "text", "of_edited": "edited", "of_next": "next_text"}, ["row", "doc_id", "n_chars", "edited_sha256"])
-    return found.select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("of_edited")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("of_edited")).alias("near_edited"), likeness(F.col("own"), F.col("of_next")).alias("near_next"),
-    )
+    head, tail, given = F.left("text", n - cut), F.right("text", cut), F.left(F.coalesce("next_text", F.lit("")), cut)
+    parts = rows.select("doc_id", "bucket", "pos", "guest", n.cast("bigint").alias("n_chars"), head.alias("head"), tail.alias("tail"), given.alias("given"))
+    lines = F.length(F.substring_index("head", "\n", -1))  # of the last, cut line of the head
+    kept = F.when(lines < F.length("head"), F.left("head", F.length("head") - lines - 1))
+    parts = parts.select("doc_id", "bucket", "pos", "guest", "n_chars", "head", "given", kept.alias("kept"), F.concat(F.right("head", lines), "tail").alias("lost"), F.concat(F.right("head", lines), "given").alias("new"))
+    texts = F.array(*(F.struct(F.lit(i).alias("v"), F.col(c).alias("t")) for i, c in enumerate(("kept", "lost", "new"))))
+    # one bucket is in one partition, so the sums and the next row's are found without another shuffle
+    sums = _lane_sums(parts.select("bucket", "pos", texts.alias("texts")), ["bucket", "pos"], "texts")
+    total = lambda c, v: F.sum(F.when(F.col("v") != v, F.col(c)).otherwise(F.lit(0).cast("bigint")))
+    names = ["n", *(f"s{k}" for k in range(LANES // 2))]
+    added = sums.groupBy("bucket", "pos").agg(*(total(c, 2).alias(f"own_{c}") for c in names), *(total(c, 1).alias(f"edited_{c}") for c in names))
+    lanes = added.select("bucket", "pos", _lanes("own_s", "own_n").alias("own"), _lanes("edited_s", "edited_n").alias("edited"))
+    lanes = lanes.withColumn("next", F.lead("own").over(Window.partitionBy("bucket").orderBy("pos")))
+    lanes = lanes.select(F.col("bucket").alias("b"), F.col("pos").alias("p"), "own", "edited", likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
+    ids = {c: _identity(F.col(c)) for c in ("kept", "lost", "new")}
+    about = parts.where("not guest").select("doc_id", "bucket", "pos", "n_chars", F.sha2(F.concat("head", "given").cast("binary"), 256).alias("edited_sha256"), *(x.alias(f"{c}_id") for c, x in ids.items()))
+    own, edited = (F.concat(combine(F.col("kept_id"), F.col(f"{c}_id")), F.col(v)) for c, v in (("lost", "own"), ("new", "edited")))
+    found = about.join(lanes, (F.col("bucket") == F.col("b")) & (F.col("pos") == F.col("p")))
+    return found.select("doc_id", "n_chars", "edited_sha256", as_text(own).alias("fingerprint"), as_text(edited).alias("edited_fingerprint"), "near_edited", "near_next")
