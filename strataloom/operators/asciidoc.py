@@ -65,10 +65,10 @@ def classify(docs: DataFrame, rules: str = FULL, fenced: bool = False) -> DataFr
     run = F.sum((F.col("rule") == "code_start").cast("int")).over(up.rowsBetween(Window.unboundedPreceding, 0))
     coded = ruled.withColumn("run", run)
     in_run = Window.partitionBy("doc", "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = F.collect_list(F.when(F.col("rule") == "code", F.col("line"))).over(in_run)
+    held = F.count(F.when(F.col("rule") == "code", F.lit(1))).over(in_run)  # code lines of the run so far
     language = F.first(F.when(F.col("rule") == "code_start", F.regexp_extract("t", r"\[source,(\w+)\]", 1)), ignorenulls=True).over(in_run)
-    coded = coded.withColumn("held", F.when(F.col("rule") == "code_end", held)).withColumn("language", F.coalesce(F.nullif(language, F.lit("")), F.lit("text")))
-    keeps = F.col("rule").isin("code", "skip", "code_start", "blank") | ((F.col("rule") == "code_end") & (F.size("held") == 0))
+    coded = coded.withColumn("held", held).withColumn("language", F.coalesce(F.nullif(language, F.lit("")), F.lit("text")))
+    keeps = F.col("rule").isin("code", "skip", "code_start", "blank") | ((F.col("rule") == "code_end") & (F.col("held") == 0))
     counted = coded.withColumn("grp", F.coalesce(F.sum((~keeps).cast("int")).over(up), F.lit(0)))
     in_group = Window.partitionBy("doc", "grp").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return counted.withColumn("pending", F.coalesce(F.sum((F.col("rule") == "blank").cast("int")).over(in_group), F.lit(0)))
@@ -90,7 +90,9 @@ def _emitted(rules: str) -> Column:
     body = F.regexp_replace(t, r"pass:\[([^\]]*)\]", "$1") if rules == FULL else t
     item = F.when(t.startswith("*"), rest(1)).otherwise(rest(2))
     return (
-        F.when((rule == "code_end") & (F.size("held") > 0), F.concat(F.array(F.concat(F.lit("```"), F.col("language"))), F.col("held"), F.array(F.lit("```"), blank)))
+        # code is emitted line by line, a fence before the first
+        F.when((rule == "code") & (F.col("held") == 1), F.array(F.concat(F.lit("```"), F.col("language")), F.col("line"))).when(rule == "code", F.array("line"))
+        .when((rule == "code_end") & (F.col("held") > 0), F.array(F.lit("```"), blank))
         .when(rule == "admonition", F.array(F.concat(F.lit("> **"), label, F.lit("**"))))
         .when(rule.isin("example", "table_edge"), F.array(blank))
         .when(rule == "heading", F.concat(some, F.array(F.concat(F.expr("repeat('#', least(length(regexp_extract(t, '^(=+)', 1)), 6))"), F.lit(" "), title), blank)))
@@ -108,12 +110,10 @@ def _emitted(rules: str) -> Column:
 def to_markdown(docs: DataFrame, rules: str = FULL, fenced: bool = False) -> DataFrame:
     """doc and text: ``docs`` (doc, text) as Markdown; a null or empty text gives one line break."""
     lines = classify(docs, rules, fenced).withColumn("out", _emitted(rules))
-    # code still open at the end is flushed
-    tail = F.max(F.struct("pos", F.col("in_code").alias("open"), F.col("rule").alias("rule"), F.col("run").alias("run"), F.col("language").alias("language")))
-    grouped = lines.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", "out"))).alias("o"), tail.alias("e"), F.sort_array(F.collect_list(F.when(F.col("rule") == "code", F.struct("pos", "run", "line")))).alias("c"))
-    left = F.transform(F.filter("c", lambda x: x["run"] == F.col("e.run")), lambda x: x["line"])
-    still = (F.col("e.rule") == "code") & (F.size(left) > 0)
-    end = F.when(still, F.concat(F.array(F.concat(F.lit("```"), F.col("e.language"))), left, F.array(F.lit("```")))).otherwise(_none())
+    # code still open at the end is closed
+    tail = F.max(F.struct("pos", "rule"))
+    grouped = lines.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", "out"))).alias("o"), tail.alias("e"))
+    end = F.when(F.col("e.rule") == "code", F.array(F.lit("```"))).otherwise(_none())
     text = F.array_join(F.concat(F.flatten(F.transform("o", lambda x: x["out"])), end), "\n")
     made = grouped.select("doc", F.concat(rtrim_ws(text), F.lit("\n")).alias("text"))
     return docs.select("doc").join(made, "doc", "left").select("doc", F.coalesce("text", F.lit("\n")).alias("text"))

@@ -35,33 +35,55 @@ def sections(docs: DataFrame, strict_ancestors: bool = False) -> DataFrame:
     fence = (~F.col("is_heading")) & F.regexp_replace("line", r"^[\s\p{Z}]+", "").startswith("```")
     in_section = Window.partitionBy("source_document", "sec").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     fenced = numbered.withColumn("fence", fence).withColumn("run", F.sum(F.col("fence").cast("int")).over(in_section))
-    line = F.struct("pos", "line", "is_heading", "fence", "run")
-    grouped = fenced.groupBy("source_document", "sec").agg(F.first("license").alias("license"), F.sort_array(F.collect_list(line)).alias("rows"))
+    # a run is what lies between two fences; odd ones that another fence follows are code
+    line = F.struct("pos", "line", "is_heading", "fence")
+    runs = fenced.groupBy("source_document", "sec", "run").agg(F.first("license").alias("license"), F.sort_array(F.collect_list(line)).alias("rows"))
+    code = F.when(F.col("run") % 2 == 1, rtrim_ws(F.array_join(F.transform(F.filter("rows", lambda r: ~r["fence"]), lambda r: r["line"]), "\n")))
+    coded = runs.withColumn("code", code)
+    grouped = coded.groupBy("source_document", "sec").agg(F.first("license").alias("license"), F.max("run").alias("last"), F.sort_array(F.collect_list(F.struct("run", "rows", "code"))).alias("runs"))
+    grouped = grouped.withColumn("rows", F.flatten(F.transform("runs", lambda r: r["rows"])))
+    blocks = F.transform(F.filter("runs", lambda r: r["code"].isNotNull() & (r["run"] < F.col("last"))), lambda r: r["code"])
     head = F.element_at("rows", 1)
     body = F.filter("rows", lambda r: ~r["is_heading"])
     level = F.when(head["is_heading"], F.length(F.regexp_extract(head["line"], HEADING, 1))).otherwise(0)
     title = F.when(head["is_heading"], trim_ws(F.regexp_extract(head["line"], HEADING, 2))).otherwise(F.col("source_document"))
     out = grouped.select(
         "source_document", "license", "sec", level.alias("level"), title.alias("title"), F.when(head["is_heading"], head["line"]).alias("heading_line"),
-        F.when(head["is_heading"], _stripped(F.transform(body, lambda r: r["line"]))).otherwise(F.transform(body, lambda r: r["line"])).alias("lines"), _code(body).alias("code_blocks"),
+        F.when(head["is_heading"], _stripped(F.transform(body, lambda r: r["line"]))).otherwise(F.transform(body, lambda r: r["line"])).alias("lines"), blocks.alias("code_blocks"),
     )
     order = Window.partitionBy("source_document").orderBy("sec")
-    chapter = F.sum((F.col("level") == 1).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    up = Window.partitionBy("source_document", "chapter").orderBy("sec").rowsBetween(Window.unboundedPreceding, -1)
-    placed = out.withColumn("overlap", first_sentences(F.lead("lines").over(order))).withColumn("chapter", chapter)
-    placed = placed.withColumn("earlier", F.collect_list(F.struct("level", "title")).over(up))
-    return placed.withColumn("path", F.array_join(F.concat(_ancestors(strict_ancestors), F.array("title")), " > ")).drop("earlier", "chapter")
-
-
-def _ancestors(strict: bool) -> Column:
-    lower = F.filter("earlier", lambda e: (e["level"] < F.col("level")) & (e["level"] > 0))
-    if strict:  # going back, each one kept is lower than all kept before
-        kept = F.aggregate(
-            F.reverse(lower), F.array().cast("array<struct<level:int,title:string>>"),
-            lambda acc, e: F.when((F.size(acc) == 0) | (e["level"] < F.element_at(acc, 1)["level"]), F.concat(F.array(e), acc)).otherwise(acc),
-        )
-        return F.transform(kept, lambda e: e["title"])
-    return F.transform(lower, lambda e: e["title"])
+    return _with_paths(out.withColumn("overlap", first_sentences(F.lead("lines").over(order))), strict_ancestors)
+
+
+def _with_paths(found: DataFrame, strict: bool) -> DataFrame:
+    """Add path, the titles above each section and its own."""
+    up = Window.partitionBy("source_document").orderBy("sec").rowsBetween(Window.unboundedPreceding, 0)
+    placed = found.withColumn("chapter", F.sum((F.col("level") == 1).cast("int")).over(up))
+    if strict:  # the last heading of each lower level, unless a later one is lower still
+        before = Window.partitionBy("source_document", "chapter").orderBy("sec").rowsBetween(Window.unboundedPreceding, -1)
+        last = [F.last(F.when(F.col("level") == k, F.struct("sec", "title")), ignorenulls=True).over(before) for k in range(1, 6)]
+        placed = placed.withColumns({f"h{k}": c for k, c in enumerate(last, 1)})
+        kept = [F.when((F.col("level") > k) & _behind(k), F.col(f"h{k}.title")) for k in range(1, 6)]
+        return placed.withColumn("path", F.array_join(F.concat(F.filter(F.array(*kept), lambda t: t.isNotNull()), F.array("title")), " > ")).drop("chapter", *(f"h{k}" for k in range(1, 6)))
+    # a chapter's headings of each level or a lower one are listed once; a path is the beginning of one list
+    inside = Window.partitionBy("source_document", "chapter").orderBy("sec").rowsBetween(Window.unboundedPreceding, -1)
+    counts = [F.coalesce(F.sum(F.col("level").between(1, k).cast("int")).over(inside), F.lit(0)).cast("int") for k in range(1, 6)]
+    counted = placed.select("source_document", "chapter", "sec", "level", "title", F.array(F.lit(0), *counts).alias("n"))
+    ahead = F.when(F.col("level") > 1, F.element_at("n", F.least(F.col("level"), F.lit(6)))).otherwise(0)
+    lists = [F.sort_array(F.collect_list(F.when(F.col("level").between(1, k), F.struct("sec", "title")))).alias(f"l{k}") for k in range(1, 6)]
+    chapters = counted.withColumn("n", ahead).groupBy("source_document", "chapter").agg(F.collect_list(F.struct("sec", "level", "title", "n")).alias("s"), *lists)
+    titles = F.array(*(F.transform(f"l{k}", lambda h: h["title"]) for k in range(1, 6)))
+    paths = F.transform("s", lambda s: F.struct(s["sec"].alias("sec"), F.array_join(F.concat(F.when(s["n"] > 0, F.slice(F.element_at("titles", s["level"] - 1), 1, s["n"])).otherwise(F.array().cast("array<string>")), F.array(s["title"])), " > ").alias("path")))
+    named = chapters.withColumn("titles", titles).select(F.col("source_document").alias("d"), F.explode(paths).alias("p")).select("d", F.col("p.sec").alias("s"), "p.path")
+    return placed.drop("chapter").join(named, F.col("source_document").eqNullSafe(F.col("d")) & (F.col("sec") == F.col("s"))).drop("d", "s")
+
+
+def _behind(k: int) -> Column:
+    """No heading of a level below k comes after the last one of level k."""
+    out = F.lit(True)
+    for j in range(1, k):
+        out = out & (F.col(f"h{j}").isNull() | (F.col(f"h{j}.sec") < F.col(f"h{k}.sec")))
+    return out
 
 
 def _stripped(lines: Column) -> Column:
@@ -71,14 +93,6 @@ def _stripped(lines: Column) -> Column:
     return F.when(first.isNull(), F.array().cast("array<string>")).otherwise(F.slice(lines, first + 1, last - first + 1))
 
 
-def _code(rows: Column) -> Column:
-    """Closed fenced blocks: the lines between an odd fence and the next."""
-    most = F.coalesce(F.array_max(F.transform(rows, lambda r: r["run"])), F.lit(0))
-    opened = F.filter(F.sequence(F.lit(0), most), lambda k: (k % 2 == 1) & (k < most))
-    block = lambda k: F.array_join(F.transform(F.filter(rows, lambda r: (r["run"] == k) & ~r["fence"]), lambda r: r["line"]), "\n")
-    return F.transform(opened, lambda k: rtrim_ws(block(k)))
-
-
 def first_sentences(lines: Column) -> Column:
     """The first two sentences of at most three text lines; null if there are none."""
     text = F.filter(lines, lambda x: ~trim_ws(x).startswith("#") & ~trim_ws(x).startswith("```") & ~is_blank(x))

@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import numbered, running_sum
 
-def document_rows(chunks: DataFrame, source: str = "source_document", licence: str = "license", pos: str = "pos") -> DataFrame:
-    """A row a source: id in order of first appearance, chunk_count, and the first chunk's licence.
 
-    Ids are numbered over one row a source.
-    """
+def document_rows(chunks: DataFrame, source: str = "source_document", licence: str = "license", pos: str = "pos") -> DataFrame:
+    """A row a source: id in order of first appearance, chunk_count, and the first chunk's licence."""
     grouped = chunks.groupBy(F.col(source).alias("source_document")).agg(
         F.count(F.lit(1)).cast("int").alias("chunk_count"), F.min_by(licence, pos).alias("license"), F.min(pos).alias("first_pos")
     )
-    return grouped.withColumn("id", F.row_number().over(Window.orderBy("first_pos", "source_document")).cast("bigint")).drop("first_pos")
+    return numbered(grouped, ["first_pos", "source_document"], "id").withColumn("id", F.col("id") + 1).drop("first_pos")
 
 
 def with_chunk_index(chunks: DataFrame, source: str = "source_document", pos: str = "pos") -> DataFrame:
-    """Add chunk_index: 0-based place within the source, whatever the content."""
-    return chunks.withColumn("chunk_index", (F.row_number().over(Window.partitionBy(source).orderBy(pos)) - 1).cast("int"))
+    """Add chunk_index: 0-based place within the source, whatever the content.
+
+    All rows are numbered in one order, source by source, and each source's first number is taken off, so a source
+    with most of the rows is no single task's work.
+    """
+    counts = chunks.groupBy(F.col(source).alias("__s")).agg(F.count(F.lit(1)).alias("__many"))
+    starts = running_sum(counts, ["__s"], F.col("__many"), "__first").drop("__many")
+    placed = numbered(chunks, [source, pos], "__place").join(starts, F.col(source).eqNullSafe(F.col("__s")))
+    return placed.withColumn("chunk_index", (F.col("__place") - F.col("__first")).cast("int")).drop("__s", "__first", "__place")
 
 
 def ingest(chunks: DataFrame, embed) -> tuple[DataFrame, DataFrame]:

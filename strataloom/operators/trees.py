@@ -6,6 +6,8 @@ has no recursive struct.  ``path`` is the zero-padded chain of ordinals, by whic
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_lines, trim_ws
+from ..session import staged
 
 NODES = "doc string, path string, parent string, ordinal int, depth int, level int, title string, type string, text string"
 
@@ -27,12 +30,12 @@ def from_asciidoc(docs: DataFrame) -> DataFrame:
     up = order.rowsBetween(Window.unboundedPreceding, 0)
     blocks = lines.withColumn("block", F.sum((starts & ~F.col("blank")).cast("int")).over(up)).where(~F.col("blank"))
     nodes = blocks.groupBy("doc", "block").agg(F.min("pos").alias("pos"), F.max("level").alias("level"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "t"))), lambda r: r["t"]), "\n").alias("text"))
-    heads = F.when(F.col("level") > 0, F.struct("block", "level"))
     by_block = Window.partitionBy("doc").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.collect_list(heads).over(by_block)
-    linked = nodes.withColumn("above", F.filter(earlier, lambda h: (F.col("level") == 0) | (h["level"] < F.col("level"))))
-    parent = F.when(F.size("above") > 0, F.element_at("above", -1)["block"])
-    named = linked.withColumn("parent_block", parent)
+    # the last heading of each level says which one is the nearest of lower level
+    last = [F.last(F.when(F.col("level") == k, F.col("block")), ignorenulls=True).over(by_block) for k in range(1, 7)]
+    linked = nodes.withColumns({f"last{k}": c for k, c in enumerate(last, 1)})
+    above = F.greatest(*(F.when((F.col("level") == 0) | (F.col("level") > k), F.col(f"last{k}")) for k in range(1, 7)))
+    named = linked.withColumn("parent_block", above)
     ordinal = (F.row_number().over(Window.partitionBy("doc", "parent_block").orderBy("block")) - 1).cast("int")
     title = F.when(F.col("level") > 0, trim_ws(F.regexp_replace("text", r"^=+\s+", ""))).otherwise(F.lit(""))
     return named.select(
@@ -41,49 +44,106 @@ def from_asciidoc(docs: DataFrame) -> DataFrame:
     )
 
 
+_TOKEN = re.compile(r'[ \t\r\n]*(?:([\[\]{},:])|("(?:[^"\\\\]|\\\\.)*"|[^\s\[\]{},:"]+))')
+
+
+def parse_json(text: str):
+    """What json.loads gives, for nesting of any depth; ValueError for invalid text."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        pass
+    at, end, open_, key, result = 0, len(text.rstrip()), [], [], []
+    want = "value"  # or "key", "colon", "next", and "first" right behind an opening bracket
+
+    def put(value) -> None:
+        if not open_:
+            result.append(value)
+        elif isinstance(open_[-1], list):
+            open_[-1].append(value)
+        else:
+            open_[-1][key.pop()] = value
+
+    while at < end:
+        found = _TOKEN.match(text, at)
+        if not found or (result and not open_):
+            raise ValueError(f"invalid JSON at {at}")
+        at, (sign, scalar) = found.end(), found.groups()
+        inside = open_[-1] if open_ else None
+        if sign in ("[", "{") and want in ("value", "first") and not (want == "first" and isinstance(inside, dict)):
+            value = [] if sign == "[" else {}
+            put(value)
+            open_.append(value)
+            want = "first"
+        elif sign in ("]", "}") and want in ("next", "first") and isinstance(inside, list if sign == "]" else dict):
+            open_.pop()
+            want = "next"
+        elif sign == "," and want == "next" and open_:
+            want = "value" if isinstance(inside, list) else "key"
+        elif sign == ":" and want == "colon":
+            want = "value"
+        elif scalar and isinstance(inside, dict) and want in ("key", "first") and scalar[0] == '"':
+            key.append(json.loads(scalar))
+            want = "colon"
+        elif scalar and want in ("value", "first") and not (want == "first" and isinstance(inside, dict)):
+            put(json.loads(scalar))
+            want = "next"
+        else:
+            raise ValueError(f"invalid JSON at {at}")
+    if open_ or not result:
+        raise ValueError("incomplete JSON")
+    return result[0]
+
+
 def from_json(docs: DataFrame) -> DataFrame:
     """Nodes of ``docs`` (doc, json): each a list of nested {title, level, type, text, children}.
 
     The nesting has no bound, so each document is walked on its own in Arrow batches; an invalid or missing
-    text gives no nodes.
+    text gives no nodes.  What isn't an object is no node; a level that isn't an integer is 0, and a title, type or
+    text that isn't a string is missing.
     """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
         columns = [x.split()[0] for x in NODES.split(", ")]
+        string = lambda x: x if isinstance(x, str) else None
+        number = lambda x: x if isinstance(x, int) and not isinstance(x, bool) and abs(x) < 1 << 31 else 0
+        many = lambda x: x if isinstance(x, list) else []
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc"], batch["json"], strict=True):
                 try:
-                    roots = json.loads(text or "[]")
+                    roots = parse_json(text or "[]")
                 except ValueError:
                     continue
-                todo = [(node, "", i, 0) for i, node in enumerate(roots if isinstance(roots, list) else [])][::-1]
+                todo = [(node, "", i, 0) for i, node in enumerate(many(roots))][::-1]
                 while todo:
                     node, parent, i, depth = todo.pop()
+                    if not isinstance(node, dict):
+                        continue
                     path = f"{parent}/{i:09d}"
-                    rows.append((doc, path, parent or None, i, depth, node.get("level") or 0, node.get("title") or "", node.get("type"), node.get("text")))
-                    todo += [(c, path, j, depth + 1) for j, c in enumerate(node.get("children") or [])][::-1]
+                    rows.append((doc, path, parent or None, i, depth, number(node.get("level")), string(node.get("title")) or "", string(node.get("type")), string(node.get("text"))))
+                    todo += [(c, path, j, depth + 1) for j, c in enumerate(many(node.get("children")))][::-1]
             yield pd.DataFrame(rows, columns=columns)
 
     return docs.select(F.col("doc").cast("string").alias("doc"), "json").mapInPandas(walk, NODES)
 
 
-def with_paths(nodes: DataFrame, depth: int = 32) -> DataFrame:
+def with_paths(nodes: DataFrame) -> DataFrame:
     """Add path to nodes with node_id, parent_id and ordinal, by doubling pointers.
 
-    Each round joins every unfinished node with its ancestor's ancestor, so a tree of depth d takes log2(d)
-    rounds; ``depth`` bounds the rounds.
+    Each round joins every unfinished node with its ancestor's ancestor until none is left, so a tree of depth d takes
+    log2(d) rounds.  A node whose parent isn't there is a root; a node on or below a cycle
+    of parents has no root and gets a null path.
     """
     part = F.lpad(F.col("ordinal").cast("string"), 9, "0")
-    now = nodes.select("doc", "node_id", F.col("parent_id").alias("up"), F.concat(F.lit("/"), part).alias("path"))
-    rounds = max(1, (depth - 1).bit_length())
-    for _ in range(rounds):
+    now = staged(nodes.select("doc", "node_id", F.col("parent_id").alias("up"), F.concat(F.lit("/"), part).alias("path")), "paths")
+    for _ in range(now.count().bit_length() + 1):  # more rounds than any path needs
+        if now.where(F.col("up").isNotNull()).isEmpty():
+            break
         above = now.select(F.col("doc").alias("d"), F.col("node_id").alias("n"), F.col("up").alias("up2"), F.col("path").alias("path2"))
         joined = now.join(above, (F.col("doc") == F.col("d")) & (F.col("up") == F.col("n")), "left")
-        now = joined.select("doc", "node_id", F.col("up2").alias("up"), F.concat(F.coalesce("path2", F.lit("")), "path").alias("path"))
-    return nodes.join(now.select("doc", "node_id", "path"), ["doc", "node_id"])
+        now = staged(joined.select("doc", "node_id", F.col("up2").alias("up"), F.concat(F.coalesce("path2", F.lit("")), "path").alias("path")), "paths")
+    return nodes.join(now.select("doc", "node_id", F.when(F.col("up").isNull(), F.col("path")).alias("path")), ["doc", "node_id"])
 
 
 def is_paragraph(kind: Column, text: Column) -> Column:

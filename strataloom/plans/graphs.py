@@ -43,7 +43,7 @@ def _world(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = trees.with_paths(_world(spark, sf_dir), 4)
+    nodes = trees.with_paths(_world(spark, sf_dir))
     return nodes.withColumn("parent", F.when(F.col("parent_id").isNotNull(), F.regexp_extract("path", "^(.*)/[^/]*$", 1)))
 
 

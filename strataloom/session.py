@@ -44,7 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     where = sc.getCheckpointDir()
     if where is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strataloom-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strataloom-"))
         where = sc.getCheckpointDir()
     return where
 
@@ -64,3 +67,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def complete(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in ``path`` that a finished write has left, ascending; none if it isn't there."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [x.getPath().getName() for x in files.listStatus(folder) if x.isDirectory()]
+    return sorted(n for n in names if files.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))

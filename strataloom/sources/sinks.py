@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import json_text
+from ..session import complete, staged
 
 DOCUMENTS = "id bigint, source_document string, chunk_count int, license string"
 CHUNKS = "id bigint, document_id bigint, chunk_index int, chunk_text string, section_path string, heading_level int, embedding array<float>"
@@ -37,37 +39,47 @@ def chunks_json(chunks: DataFrame) -> DataFrame:
 
 
 class ChunkStore:
-    """documents and chunks as Parquet tables that grow by appending.
+    """documents and chunks as Parquet tables that grow by batches.
 
-    Ids go on from the largest one there.  Ingesting a document again stores it again.
+    A batch is a folder of its own, chunks first and documents last; it counts once both are complete, so a write that
+    was broken off is as if it hadn't been, and is written over by the next.  Ids go on from the largest one
+    there.  Ingesting a document again stores it again, but a batch whose name is there is stored once.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        for name, schema in (("documents", DOCUMENTS), ("chunks", CHUNKS)):
-            spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/{name}")
+
+    def batches(self) -> list[str]:
+        return [n for n in complete(self.spark, f"{self.path}/documents") if n in set(complete(self.spark, f"{self.path}/chunks"))]
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema({"documents": DOCUMENTS, "chunks": CHUNKS}[name]).parquet(f"{self.path}/{name}")
+        schema = {"documents": DOCUMENTS, "chunks": CHUNKS}[name]
+        paths = [f"{self.path}/{name}/{b}" for b in self.batches()]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _next(self, name: str) -> int:
         return (self.table(name).agg(F.max("id")).first()[0] or 0) + 1
 
-    def add(self, chunks: DataFrame, embed) -> None:
-        """Append ``chunks`` (source_document, section_path, heading_level, content, license, pos) and their vectors."""
+    def add(self, chunks: DataFrame, embed, batch: str | None = None) -> None:
+        """Store ``chunks`` (source_document, section_path, heading_level, content, license, pos) and their vectors as a batch.
+
+        Without a name the batch is a new one.
+        """
+        from ..functions.ordering import running_sum
         from ..operators.ingest import ingest
-        from ..session import staged
 
+        name = f"batch-{batch or uuid.uuid4().hex}"
+        if name in self.batches():
+            return
         documents, rows = ingest(chunks, embed)
         first, base = self._next("documents"), self._next("chunks")
         documents = staged(documents, "documents")
-        documents.select((F.col("id") + F.lit(first - 1)).alias("id"), "source_document", "chunk_count", "license").write.mode("append").parquet(f"{self.path}/documents")
         # a document's chunks follow those of the documents before it
-        before = F.coalesce(F.sum("chunk_count").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        starts = documents.select(F.col("id").alias("__d"), before.alias("__b"))
+        starts = running_sum(documents.select(F.col("id").alias("__d"), "chunk_count"), ["__d"], F.col("chunk_count"), "__b").drop("chunk_count")
         numbered = rows.join(starts, F.col("document_id") == F.col("__d"))
         numbered = numbered.select((F.col("__b") + F.col("chunk_index") + F.lit(base)).cast("bigint").alias("id"), (F.col("document_id") + F.lit(first - 1)).alias("document_id"), "chunk_index", "chunk_text", "section_path", "heading_level", "embedding")
-        numbered.write.mode("append").parquet(f"{self.path}/chunks")
+        numbered.write.mode("overwrite").parquet(f"{self.path}/chunks/{name}")
+        documents.select((F.col("id") + F.lit(first - 1)).alias("id"), "source_document", "chunk_count", "license").write.mode("overwrite").parquet(f"{self.path}/documents/{name}")
 
     def search(self, query_vector: list[float], k: int = 10) -> DataFrame:
         """The k nearest chunks with their documents; no query vector gives no rows."""

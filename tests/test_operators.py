@@ -1,9 +1,13 @@
 """Small cases with known results."""
 
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from strataloom.operators import asciidoc, chunking, context, enrich, html, knowledge_base, licences, ocr, ontology, pipeline, profiles, trees, typography
+from strataloom.functions import ordering
+from strataloom.operators import asciidoc, chunking, context, enrich, html, ingest, knowledge_base, licences, ocr, ontology, pipeline, profiles, trees, typography
 
 
 def one(spark, column, **values):
@@ -175,3 +179,86 @@ def test_profiles(spark):
     assert row.progression_pct == 20.0 and row.completed_modules == ["m", "n"] and row.current_module is None and len(row.embedding) == 384
     assert store.load("l", "g").first().embedding is None and store.load("x", "f").count() == 0
     assert row.created_at <= row.updated_at
+
+
+def test_trees_of_any_depth(spark, tmp_path):
+    text = '{"title":"t","level":2,"children":['
+    deep = f"[{text * 5000}{']}' * 5000}]"
+    odd = '[1, "x", null, {"title": 3, "level": "two", "children": {"a": 1}}, {"children": [[], {"text": "in", "type": "paragraph"}]}]'
+    docs = spark.createDataFrame([("deep", deep), ("odd", odd), ("bad", deep[:-3]), ("worse", deep[:-2] + ",}]")], "doc string, json string")
+    counts = {r.doc: (r["count"], r.depth) for r in trees.from_json(docs).groupBy("doc").agg(F.count("*").alias("count"), F.max("depth").alias("depth")).collect()}
+    assert counts == {"deep": (5000, 4999), "odd": (3, 1)}
+    chain = spark.createDataFrame([("d", i, i - 1 if i else None, 0) for i in range(100)] + [("c", 1, 2, 0), ("c", 2, 1, 0), ("c", 3, 2, 0), ("c", 4, 9, 0)], "doc string, node_id int, parent_id int, ordinal int")
+    found = {(r.doc, r.node_id): r.path for r in trees.with_paths(chain).collect()}
+    assert all(found["d", i].count("/") == i + 1 for i in range(100))
+    assert [found["c", i] for i in (1, 2, 3, 4)] == [None, None, None, "/000000000"]
+    assert trees.with_paths(chain.limit(0)).count() == 0
+
+
+def test_json_of_any_depth():
+    for text in ('{"a": [1, 2.5e3, true, null, "q\\"\\\\"], "b": {}}', "[]", '"x"', "3"):
+        assert trees.parse_json(text) == json.loads(text)
+    deep = trees.parse_json("[" * 200_000 + '{"a": [1, {}], "b": "]"}' + "]" * 200_000)
+    for _ in range(200_000):
+        (deep,) = deep
+    assert deep == {"a": [1, {}], "b": "]"}
+    nested = "[" * 200_000
+    for bad in (nested, nested + "]" * 199_999, nested + "1 2" + "]" * 200_000, nested + "]" * 200_000 + "]", nested + "{1:2}" + "]" * 200_000, nested + "{,}" + "]" * 200_000, nested + "[1,]" + "]" * 200_000):
+        with pytest.raises(ValueError):
+            trees.parse_json(bad)
+
+
+def plain_paths(heads, strict):
+    """Paths of (level, title) by the rules as said."""
+    out = []
+    for i, (level, title) in enumerate(heads):
+        start = max((j for j in range(i + 1) if heads[j][0] == 1), default=0)
+        above = [h for h in heads[start:i] if h[0] < level]
+        if strict:
+            kept = []
+            for h in above[::-1]:
+                if not kept or h[0] < kept[0][0]:
+                    kept.insert(0, h)
+            above = kept
+        out.append(" > ".join([t for _, t in above] + [title]))
+    return out
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_paths_of_any_headings(spark, strict):
+    rng = random.Random(5)
+    docs = [[(rng.choice([1, 2, 2, 3, 3, 4, 5, 6]), f"t{rng.randrange(30)}") for _ in range(rng.randrange(1, 40))] for _ in range(40)]
+    rows = [(f"d{k}", "\n".join(f"{'#' * n} {t}\nbody" for n, t in heads), None) for k, heads in enumerate(docs)]
+    found = chunking.sections(spark.createDataFrame(rows, "source_document string, text string, license string"), strict)
+    got = {}
+    for r in found.orderBy("source_document", "sec").collect():
+        got.setdefault(r.source_document, []).append(r.path)
+    assert got == {f"d{k}": plain_paths(heads, strict) for k, heads in enumerate(docs)}
+
+
+def test_code_of_many_blocks(spark):
+    text = "# T\n" + "".join(f"```py\nx{i}\n\ny \n```\ntext {i}\n" for i in range(300)) + "```\nopen"
+    row = chunking.sections(spark.createDataFrame([("d", text, None)], "source_document string, text string, license string")).first()
+    assert row.code_blocks == [f"x{i}\n\ny" for i in range(300)] and row.lines[-1] == "open"
+
+
+def test_order_is_split(spark):
+    rows = spark.createDataFrame([("hot" if i % 3 else f"s{i}", i) for i in range(3000)], "source_document string, pos int").repartition(5)
+    found = ingest.with_chunk_index(rows).collect()
+    places = {}
+    for r in sorted(found, key=lambda r: r.pos):
+        assert r.chunk_index == places.get(r.source_document, 0)
+        places[r.source_document] = r.chunk_index + 1
+    assert ordering.numbered(rows.limit(0), ["pos"], "n").count() == 0
+
+
+def test_profiles_open_again(spark, tmp_path):
+    path = str(tmp_path / "p")
+    row = ("l", "f", ["m"], "m2", 10.0, 0.5, ["joins"], None, {"k": "note"})
+    schema = ", ".join(profiles.SCHEMA.split(", ")[:9])
+    profiles.ProfileStore(spark, path=path).save(spark.createDataFrame([row], schema))
+    (tmp_path / "p/v2").mkdir()  # a write that was broken off
+    store = profiles.ProfileStore(spark, path=path)
+    assert store.version == 1 and store.load("l", "f").first().progression_pct == 10.0
+    store.save(spark.createDataFrame([(*row[:4], 20.0, *row[5:])], schema))
+    assert profiles.ProfileStore(spark, path=path).load("l", "f").first().progression_pct == 20.0
