@@ -26,7 +26,7 @@ from .arrow import bound_batches, give_back
 from .tokens import Places, WordHashes, groups, words_of
 
 #: Labelled rows that training takes of each label at most (the least by a hash), and their characters in all.
-SAMPLE_ROWS, SAMPLE_CHARS = 3000, 12_000_000
+SAMPLE_ROWS, SAMPLE_CHARS = 2000, 8_000_000
 #: Sentences of a passage.
 WINDOW = 8
 #: Hashed features; beginnings of a word (bytes) that are features, and the length of the runs in it that are.
@@ -195,15 +195,21 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if len(set(y.tolist())) < 2:
         return _constant(y.mean() if len(y) else 0.0)
     reader, words, sentences, owners, n = Sentences(keep=True), [], [], [], 0
-    for a, _, data, offsets in groups(sample.column("t").combine_chunks()):
+    for a, _, data, offsets in groups(sample.column("t").combine_chunks(), 1 << 18):
         w, s, o, _, _ = reader.of(data, offsets)
         words.append(w)
         sentences.append((s + n).astype(np.int32))
-        owners.append(o + a)
+        owners.append((o + a).astype(np.int32))
         n += len(o)
+    del sample
+    words, sentences, owners = np.concatenate(words), np.concatenate(sentences), np.concatenate(owners)
     found, many = (np.concatenate(x) for x in zip(*reader.lists, strict=True)) if reader.lists else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    del reader
     weight = np.where(y == 1, len(y) / (2 * (y == 1).sum()), len(y) / (2 * (y == 0).sum()))
-    return fit(np.concatenate(words), np.concatenate(sentences), np.concatenate(owners), found, many, y, weight)
+    model = fit(words, sentences, owners, found, many, y, weight)
+    del words, sentences, owners, found, many
+    give_back()
+    return model
 
 
 def fit(words: np.ndarray, sentence: np.ndarray, owner: np.ndarray, found: np.ndarray, many: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Model:
@@ -216,6 +222,7 @@ def fit(words: np.ndarray, sentence: np.ndarray, owner: np.ndarray, found: np.nd
     n, vocabulary = len(y), len(many)
     pairs = np.unique(owner[sentence].astype(np.int64) * vocabulary + words)  # a text and a word in it
     in_texts = np.bincount(pairs % max(vocabulary, 1), minlength=vocabulary)
+    del pairs
     of_word = np.repeat(np.arange(vocabulary, dtype=np.int32), many)
     often = np.bincount(found, in_texts[of_word], FEATURES) >= LEAST_DOCS
     used = np.flatnonzero(often)
@@ -223,6 +230,12 @@ def fit(words: np.ndarray, sentence: np.ndarray, owner: np.ndarray, found: np.nd
     at[used] = np.arange(len(used), dtype=np.int32)
     kept = often[found]
     f, of_word = at[found[kept]], of_word[kept]
+    del kept, at, often
+    # words without any of these weigh nothing
+    some = np.zeros(vocabulary, bool)
+    some[of_word] = True
+    new = np.cumsum(some, dtype=np.int32) - 1
+    sentence, words, of_word, vocabulary = sentence[some[words]], new[words[some[words]]], new[of_word], int(some.sum())
     whole = (owner, np.arange(n))
     parts = _passages(owner)
     theta, bias = np.zeros(len(used)), -4.0
