@@ -11,22 +11,43 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DIMENSION = 384
+#: Words that a worker remembers.
+_WORDS = 200_000
 
 
-def hashed_vector(text: str, dimension: int = DIMENSION) -> list[float]:
-    """Signed hashing of words and their letter trigrams, normalised; no model is needed."""
-    out = np.zeros(dimension)
-    for word in (text or "").lower().split():
-        marked = f"^{word}$"
-        for gram in (marked, *(marked[i : i + 3] for i in range(len(marked) - 2))):
-            h = zlib.crc32(gram.encode())
-            out[h % dimension] += 1 if h >> 31 else -1
-    norm = float(np.sqrt(out @ out))
-    return (out / norm if norm else out).astype(np.float32).tolist()
+def _grams(word: str, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of a word and its letter trigrams."""
+    marked = f"^{word}$"
+    hashes = np.array([zlib.crc32(g.encode()) for g in (marked, *(marked[i : i + 3] for i in range(len(marked) - 2)))], np.int64)
+    return hashes % dimension, np.where(hashes >> 31, 1.0, -1.0)
+
+
+def hashed_vectors(texts: list[str | None], dimension: int = DIMENSION, known: dict | None = None) -> np.ndarray:
+    """Signed hashing of words and their letter trigrams, normalised; no model is needed.  Zeros for a null or blank text."""
+    known = {} if known is None else known
+    out = np.zeros((len(texts), dimension))
+    for row, text in zip(out, texts, strict=True):
+        words, counts = np.unique((text or "").lower().split(), return_counts=True)
+        if len(known) > _WORDS:
+            known.clear()
+        parts = []
+        for word in words.tolist():
+            if word not in known:
+                known[word] = _grams(word, dimension)
+            parts.append(known[word])
+        if parts:
+            weights = np.concatenate([signs * n for (_, signs), n in zip(parts, counts.tolist(), strict=True)])
+            row += np.bincount(np.concatenate([places for places, _ in parts]), weights, dimension)
+    norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, norms, out=out, where=norms > 0).astype(np.float32)
+
+
+def hashed_vector(text: str | None, dimension: int = DIMENSION) -> list[float]:
+    return hashed_vectors([text], dimension)[0].tolist()
 
 
 def hashed_embedding(text: Column, dimension: int = DIMENSION) -> Column:
-    """``hashed_vector`` over Arrow batches.
+    """``hashed_vectors`` over Arrow batches.
 
     A stand-in for a sentence model behind the same interface: any function of the same shape
     may take its place.  Null or blank text gives the zero vector.
@@ -34,7 +55,8 @@ def hashed_embedding(text: Column, dimension: int = DIMENSION) -> Column:
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict = {}
         for batch in batches:
-            yield batch.map(lambda t: hashed_vector(t, dimension))
+            yield pd.Series(list(hashed_vectors([t if isinstance(t, str) else None for t in batch], dimension, known)))
 
     return embed(text)

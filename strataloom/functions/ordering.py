@@ -25,6 +25,18 @@ def running_sum(rows: DataFrame, order: list[str], value: Column, out: str) -> D
     return joined.withColumn(out, F.col(out) + F.col("__before")).drop("__part", "__p", "__before")
 
 
+def place_in_group(rows: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
+    """Add ``out``: each row's place in its ``group`` in ``order``, from 0.
+
+    All rows are numbered in one order, group by group, and each group's first number is taken off, so a group
+    with most of the rows is no single task's work.  Nulls in ``group`` are a group.
+    """
+    counts = rows.groupBy(F.col(group).alias("__s")).agg(F.count(F.lit(1)).alias("__many"))
+    starts = running_sum(counts, ["__s"], F.col("__many"), "__first").drop("__many")
+    placed = numbered(rows, [group, *order], "__place").join(starts, F.col(group).eqNullSafe(F.col("__s")))
+    return placed.withColumn(out, F.col("__place") - F.col("__first")).drop("__s", "__first", "__place")
+
+
 def numbered(rows: DataFrame, order: list[str], out: str) -> DataFrame:
     """Add ``out``: each row's place in ``order``, from 0."""
     return running_sum(rows, order, F.lit(1), out)

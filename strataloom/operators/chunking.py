@@ -105,6 +105,11 @@ def chunk_id(source: Column, path: Column) -> Column:
     return F.concat(F.lit("chk-"), F.substring(F.sha2(F.concat(source, F.lit(":"), path).cast("binary"), 256), 1, 16))
 
 
+def summary(chunks: DataFrame) -> DataFrame:
+    """source_document, chunks and their lines in all."""
+    return chunks.groupBy("source_document").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.size(split_lines(F.col("content"))).cast("bigint")).alias("lines"))
+
+
 def chunk_documents(docs: DataFrame, strict_ancestors: bool = False) -> DataFrame:
     """Chunks of ``docs`` (source_document, text, license): one a section that isn't blank.
 

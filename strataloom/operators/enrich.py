@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import rtrim_ws, trim_ws
+from ..functions.text import json_text, rtrim_ws, trim_ws
 
 #: Fixed value: runs of capitalised words.
 ENTITY = r"(?<![A-Za-z0-9_])[A-Z][A-Za-z0-9]+(?:\s+[A-Z][A-Za-z0-9]+)*(?![A-Za-z0-9_])"
@@ -46,6 +46,24 @@ def enrich(nodes: DataFrame, chunks: DataFrame, graph: DataFrame) -> DataFrame:
     )
 
 
+def summary(enriched: DataFrame) -> DataFrame:
+    """One row: sections, chunks attached and graph nodes resolved."""
+    total = lambda c: F.coalesce(F.sum(F.size(c).cast("bigint")), F.lit(0))
+    return enriched.agg(F.count(F.lit(1)).alias("sections"), total("chunk_ids").alias("chunks"), total("graph_ids").alias("graph_nodes"))
+
+
+def as_json(enriched: DataFrame, chunks: DataFrame, order: str) -> DataFrame:
+    """One row, text: the enriched nodes (title, level, ...) in ``order`` as a JSON array, with their chunks whole."""
+    names = {"id": "id", "source_document": "sourceDocument", "section_path": "sectionPath", "heading_level": "headingLevel", "content": "content", "license": "license"}
+    one = F.struct(*(F.col(c).alias(n) for c, n in names.items() if c in chunks.columns))
+    ids = enriched.select(F.col(order).alias("o"), F.posexplode("chunk_ids").alias("n", "cid"))
+    attached = ids.join(chunks.select(F.col("id").alias("i"), one.alias("c")), F.col("cid") == F.col("i")).groupBy("o").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "c"))), lambda r: r["c"]).alias("rag"))
+    joined = enriched.join(attached, F.col(order) == F.col("o"), "left")
+    node = F.struct(F.struct("title", "level").alias("ldd"), F.coalesce("rag", F.array().cast(attached.schema["rag"].dataType)).alias("ragChunks"), F.col("graph_ids").alias("graphifyNodes"), F.col("density").alias("semanticDensity"), "entities")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("k"), node.alias("v")))), lambda r: r["v"])
+    return joined.agg(json_text(ordered).alias("text"))
+
+
 def graph_section(enriched: DataFrame, group: str, order: str) -> DataFrame:
     """group and text: the titles of nodes with graph ids, each with its ids as a list, two blank lines between."""
     block = F.concat(F.col("title"), F.lit("\n"), F.array_join(F.transform("graph_ids", lambda g: F.concat(F.lit("- "), g, F.lit("\n"))), ""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import numbered, running_sum
+from ..functions.ordering import numbered, place_in_group
 
 
 def document_rows(chunks: DataFrame, source: str = "source_document", licence: str = "license", pos: str = "pos") -> DataFrame:
@@ -17,15 +17,8 @@ def document_rows(chunks: DataFrame, source: str = "source_document", licence: s
 
 
 def with_chunk_index(chunks: DataFrame, source: str = "source_document", pos: str = "pos") -> DataFrame:
-    """Add chunk_index: 0-based place within the source, whatever the content.
-
-    All rows are numbered in one order, source by source, and each source's first number is taken off, so a source
-    with most of the rows is no single task's work.
-    """
-    counts = chunks.groupBy(F.col(source).alias("__s")).agg(F.count(F.lit(1)).alias("__many"))
-    starts = running_sum(counts, ["__s"], F.col("__many"), "__first").drop("__many")
-    placed = numbered(chunks, [source, pos], "__place").join(starts, F.col(source).eqNullSafe(F.col("__s")))
-    return placed.withColumn("chunk_index", (F.col("__place") - F.col("__first")).cast("int")).drop("__s", "__first", "__place")
+    """Add chunk_index: 0-based place within the source, whatever the content."""
+    return place_in_group(chunks, source, [pos], "chunk_index").withColumn("chunk_index", F.col("chunk_index").cast("int"))
 
 
 def ingest(chunks: DataFrame, embed) -> tuple[DataFrame, DataFrame]:

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import base64
+import shutil
+import subprocess
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import place_in_group
 from ..functions.text import is_blank
+from ..session import staged
 
 #: Image suffixes with their types, language codes, the prompt, and the texts of empty pages and books.
 IMAGE_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "tif": "image/tiff", "tiff": "image/tiff", "bmp": "image/bmp", "gif": "image/gif"}
 LANGUAGES = {"fra": ("fr", "fra", "french"), "eng": ("en", "eng", "english", "auto"), "deu": ("de", "deu", "german"), "spa": ("es", "spa", "spanish"), "ita": ("it", "ita", "italian")}
 PROMPT = "Extract all visible text from the image and structure it as AsciiDoc. Use = for section titles, code blocks for code, tables for tabular data."
 EMPTY_PAGE = "[page vide ou OCR échec]"
-EMPTY_BOOK = "= [Empty OCR]"
+EMPTY_BOOK = "= [Empty OCR]\n\nNo images found in {}.\n"
+LLM_CONFIDENCE, COMMAND_CONFIDENCE = 0.9, 0.7
 
 
 def is_image(path: Column) -> Column:
@@ -60,6 +66,52 @@ class Engine(Protocol):
     def process(self, content: bytes, mime: str, language: str) -> tuple[str, float]: ...
 
 
+class ChatClient(Protocol):
+    """A vision model's chat: the text that it answers to a prompt with images (data URIs)."""
+
+    def chat(self, config: Mapping[str, object], prompt: str, images: Sequence[str]) -> str: ...
+
+
+#: The settings of the default model.
+CONFIG = {"provider": "ollama", "model": "gpt-oss:120b-cloud", "maxTokens": 4096, "temperature": 0.0, "endpoint": None, "extra": {}}
+
+
+class ChatEngine:
+    """Reads a page through a chat client; an empty image or a blank answer is no success.
+
+    What the client raises counts as a failed page (see run_engines).
+    """
+
+    def __init__(self, client: ChatClient, config: Mapping[str, object] = CONFIG, prompt: str | None = None):
+        self.client, self.config, self.prompt, self.name = client, config, prompt, str(config["model"])
+
+    def process(self, content: bytes, mime: str, language: str) -> tuple[str, float]:
+        if not content:
+            return "", 0.0
+        kind = mime.removeprefix("image/") if mime.startswith("image/") else "png"
+        image = f"data:image/{kind};base64,{base64.b64encode(content).decode()}"
+        answer = (self.client.chat(self.config, f"{self.prompt or PROMPT}\nLanguage: {language}", [image]) or "").strip()
+        return (answer, LLM_CONFIDENCE) if answer else ("", 0.0)
+
+
+class CommandEngine:
+    """Reads a page with a program that takes an image on its input and writes text, such as tesseract.
+
+    Where the program isn't installed every page fails, and the next engine is tried.
+    """
+
+    def __init__(self, command: Sequence[str] = ("tesseract", "-", "-", "-l", "{language}"), name: str = "tesseract", seconds: float = 120):
+        self.command, self.name, self.seconds = tuple(command), name, seconds
+
+    def process(self, content: bytes, mime: str, language: str) -> tuple[str, float]:
+        if not content or not shutil.which(self.command[0]):
+            return "", 0.0
+        code = next((k for k, names in LANGUAGES.items() if language.lower() in names), language.lower()[:3])
+        done = subprocess.run([part.format(language=code) for part in self.command], input=content, capture_output=True, timeout=self.seconds, check=False)
+        text = done.stdout.decode(errors="replace").strip() if done.returncode == 0 else ""
+        return (text, COMMAND_CONFIDENCE) if text else ("", 0.0)
+
+
 RESULTS = "page_id string, engine int, model string, text string, confidence double"
 
 
@@ -76,7 +128,7 @@ def run_engines(pages: DataFrame, engines: Sequence[Engine]) -> DataFrame:
             for page in batch.itertuples(index=False):
                 for k, engine in enumerate(chain):
                     try:
-                        text, confidence = engine.process(page.content, page.mime, page.language)
+                        text, confidence = engine.process(bytes(page.content or b""), page.mime, page.language)
                     except Exception:  # noqa: BLE001  whatever an engine raises is a failed page, not a failed job
                         text, confidence = "", 0.0
                     rows.append((page.page_id, k, engine.name, text or "", float(confidence)))
@@ -119,14 +171,39 @@ def updated_cache(cache: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def numbered_pages(pages: DataFrame, book: str = "book", stem: str = "page_id", text: str = "text") -> DataFrame:
     """Add page_number (by stem within the book), file_name and body; a blank page says so."""
-    number = F.row_number().over(Window.partitionBy(book).orderBy(stem))
     body = F.when(is_blank(F.coalesce(F.col(text), F.lit(""))), F.lit(EMPTY_PAGE)).otherwise(F.col(text))
-    numbered = pages.withColumn("page_number", number)
+    numbered = place_in_group(pages, book, [stem], "page_number").withColumn("page_number", F.col("page_number") + 1)
     return numbered.withColumn("file_name", F.format_string("%03d-%s.adoc", "page_number", F.col(stem).cast("string"))).withColumn("body", body)
 
 
-def book_text(pages: DataFrame, book: str = "book") -> DataFrame:
-    """book and text: the numbered pages under one title, a section a page."""
+def book_text(pages: DataFrame, book: str = "book", books: DataFrame | None = None) -> DataFrame:
+    """book and text: the numbered pages under one title, a section a page.
+
+    With ``books`` (book), those without pages have a text that says so.
+    """
     part = F.struct("page_number", F.concat(F.lit("== Page "), F.col("page_number").cast("string"), F.lit("\n\n"), F.col("body"), F.lit("\n")).alias("p"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda r: r["p"]), "\n")
-    return pages.groupBy(book).agg(F.concat(F.lit("= OCR Book\n\n"), joined).alias("text"))
+    texts = pages.groupBy(book).agg(F.concat(F.lit("= OCR Book\n\n"), joined).alias("text"))
+    if books is None:
+        return texts
+    empty = F.concat(F.lit(EMPTY_BOOK.split("{}")[0]), F.col(book).cast("string"), F.lit(EMPTY_BOOK.split("{}")[1]))
+    return books.select(book).distinct().join(texts, book, "left").select(book, F.coalesce("text", empty).alias("text"))
+
+
+CACHE = "page_id string, source_hash string, text string, confidence double, model string"
+
+
+def collect(images: DataFrame, cache: DataFrame, engines: Sequence[Engine], language: str = "fr") -> tuple[DataFrame, DataFrame]:
+    """The pages of ``images`` (book, page_id, content, mime) and the cache (CACHE) afterwards.
+
+    A page is read by the engines, in turn, only if the cache doesn't hold its image's hash; what they find is stored, failures
+    too.  Pages have book, page_id, page_number, file_name, body and hit.  Cache entries are named book/page_id.
+    """
+    name = F.concat_ws("/", F.col("book").cast("string"), F.col("page_id"))
+    named = images.select("book", F.col("page_id").alias("stem"), name.alias("page_id"), "content", "mime", content_hash(F.col("content")).alias("source_hash"))
+    misses = cache_misses(named, cache).withColumn("language", F.lit(language))
+    fresh = staged(first_success(run_engines(misses, engines)), "ocr")  # engines run once
+    pages = named.drop("content", "mime")
+    after = updated_cache(cache, fresh.join(pages.select("page_id", "source_hash"), "page_id").select(cache.columns))
+    numbered = numbered_pages(with_cache(pages, cache, fresh), "book", "stem", "text")
+    return numbered.select("book", F.col("stem").alias("page_id"), "page_number", "file_name", "body", "hit"), after

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import trim_ws
+from ..functions.text import json_text, trim_ws
 from ..session import staged
 
 #: The patterns by which DDL is read, and the words that begin constraints and not columns.
@@ -73,6 +73,18 @@ def aggregates(scripts: DataFrame) -> DataFrame:
     return grouped.join(found.select("doc", F.col("name").alias("root")).distinct(), ["doc", "root"], "left_semi")
 
 
+def as_json(scripts: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """doc and text: each script's contexts, aggregates and value objects as one JSON object."""
+    order = lambda rows: F.transform(F.sort_array(F.collect_list(rows)), lambda r: r["v"])
+    bounded = contexts(scripts, titles).groupBy("doc").agg(order(F.struct("place", F.struct("name", "tables").alias("v"))).alias("boundedContexts"))
+    roots = aggregates(scripts).groupBy("doc").agg(order(F.struct("root", F.struct(F.col("root").alias("rootTable"), F.col("dependents").alias("dependentTables")).alias("v"))).alias("aggregates"))
+    places = tables(scripts).groupBy("doc", "name").agg(F.min("place").alias("place"))
+    values = value_objects(scripts).join(places, ["doc", "name"]).groupBy("doc").agg(order(F.struct("place", F.struct(F.col("name").alias("table"), "columns").alias("v"))).alias("valueObjects"))
+    every = scripts.select("doc").distinct().join(bounded, "doc", "left").join(roots, "doc", "left").join(values, "doc", "left")
+    parts = [F.coalesce(c, F.array().cast(every.schema[c].dataType)).alias(c) for c in ("boundedContexts", "aggregates", "valueObjects")]
+    return every.select("doc", json_text(F.struct(*parts)).alias("text"))
+
+
 def value_objects(scripts: DataFrame) -> DataFrame:
     """doc, name and columns of the tables that refer to none."""
     found = tables(scripts)

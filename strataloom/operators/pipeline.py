@@ -1,14 +1,16 @@
-"""The whole way from positioned lines or markup to chunks."""
+"""The whole way from PDF and EPUB files, or from markup, to chunks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.readers import Parser, dispatch, epub_texts, file_name, file_stem, licences_of, positioned_lines
+from ..sources.sinks import write_metadata, write_texts
 from . import asciidoc, chunking, licences, typography
 
-#: The title and the note of generated documents.
-TITLE = "Structure extraite du PDF"
+#: The titles and the note of generated documents.
+TITLE, EPUB_TITLE = "Structure extraite du PDF", "Structure extraite de l'EPUB"
 NOTE = "Document genere automatiquement — pipeline auto-detection PDF/EPUB."
 
 
@@ -22,3 +24,39 @@ def asciidoc_to_chunks(texts: DataFrame, fallback_zone: str = "UNKNOWN") -> Data
     zone = licences.effective_zone(licences.detect(F.col("text")), F.lit(fallback_zone))
     docs = marked.select(F.col("doc").cast("string").alias("source_document"), "text", zone.alias("license"))
     return chunking.chunk_documents(docs).withColumn("route", licences.route(F.col("license")))
+
+
+def auto_detect(files: DataFrame, parser: Parser, license: str | None = None, fallback_zone: str = "UNKNOWN") -> DataFrame:
+    """A row a file of ``files`` (path, content): path, name, kind, text (AsciiDoc), license, zone, route and file_name.
+
+    PDF files go through ``parser`` (see readers.Parser), EPUB files through their markup; a file of another
+    kind is an error.  The licence is the one given, else the zone of the file's folder; the zone that
+    routes is that of a PDF's own text, else ``fallback_zone``.
+    """
+    kinds = files.select("path", "content", dispatch(F.col("path")).alias("kind"))
+    pdf, epub = kinds.where("kind = 'pdf'"), kinds.where("kind = 'epub'")
+    style = typography.font_style(F.col("font_name"))
+    lines = positioned_lines(pdf, parser, plain=True).select(F.col("path").alias("doc"), "page", "seq", "text", style.alias("style"), "font_size", "y")
+    books = lines_to_asciidoc(pdf.select(F.col("path").alias("doc")), lines).select(F.col("doc").alias("path"), "text")
+    head = (f"= {EPUB_TITLE}", "", "[NOTE]", "====", NOTE, "====", "")
+    texts = books.unionByName(epub_texts(epub, True, head))
+    found = licences_of(pdf, parser).select(F.col("path").alias("p"), "zone")
+    zone = licences.effective_zone(F.col("zone"), F.lit(fallback_zone))
+    named = F.lit(license) if license is not None else licences.zone_of_path(F.col("path"))
+    return texts.join(found, F.col("path") == F.col("p"), "left").select(
+        "path", file_name(F.col("path")).alias("name"), dispatch(F.col("path")).alias("kind"), "text", named.alias("license"), zone.alias("zone"), licences.route(zone).alias("route"),
+        F.concat(file_stem(F.col("path")), F.lit(".adoc")).alias("file_name"),
+    )
+
+
+def chunks_of(texts: DataFrame) -> DataFrame:
+    """The chunks of auto_detect's rows; their source is the file's name with its suffix."""
+    marked = asciidoc.to_markdown(texts.select(F.col("path").alias("doc"), "text"), asciidoc.PLAIN)
+    named = marked.join(texts.select("path", "name", "license"), F.col("doc") == F.col("path"))
+    return chunking.chunk_documents(named.select(F.col("name").alias("source_document"), "text", "license"))
+
+
+def write(texts: DataFrame, folder: str, routed: bool = False) -> None:
+    """auto_detect's texts in ``folder``, with ``routed`` by their route, and a metadata sidecar."""
+    write_texts(texts, f"{folder}/texts", "route" if routed else None)
+    write_metadata(texts.sparkSession, f"{folder}/metadata", "pipeline", 1, model="onnx-local")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
-from ..session import complete, fresh_path
+from ..session import fresh_path
+from ..sources.versions import VersionedTable
 
 SCHEMA = (
     "learner_id string, formation_id string, completed_modules array<string>, current_module string, progression_pct double, comprehension_score double, "
@@ -37,24 +38,10 @@ def upsert(stored: DataFrame, new: DataFrame, keys: list[str], order: str, creat
 
 
 class ProfileStore:
-    """Profiles in a folder of versions; a save writes the next version and never what it reads.
-
-    An existing folder is opened at its latest complete version; a write that was broken off leaves
-    none and is written over.
-    """
+    """Profiles in a versioned table: a save upserts, a load looks one up."""
 
     def __init__(self, spark: SparkSession, embed=None, path: str | None = None):
-        self.spark, self.embed, self.path = spark, embed, path or fresh_path(spark, "profiles")
-        self.version = max((int(n[1:]) for n in complete(spark, self.path) if n[:1] == "v" and n[1:].isdigit()), default=-1)
-        if self.version < 0:
-            self._write(spark.createDataFrame([], SCHEMA))
-
-    def _write(self, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{self.version + 1}")
-        self.version += 1
-
-    def _table(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v{self.version}")
+        self.embed, self.table = embed, VersionedTable(spark, path or fresh_path(spark, "profiles"), SCHEMA)
 
     def save(self, profiles: DataFrame) -> None:
         """Upsert ``profiles``; a profile without text to embed keeps its old vector."""
@@ -62,8 +49,8 @@ class ProfileStore:
         vector = F.when(text != "", self.embed(text)) if self.embed else F.lit(None).cast("array<float>")
         now = F.current_timestamp()
         rows = profiles.withColumns({"embedding": vector, "created_at": now, "updated_at": now})
-        self._write(upsert(self._table(), rows, KEYS, "updated_at", "created_at", ("embedding",)))
+        self.table.write(upsert(self.table.read(), rows, KEYS, "updated_at", "created_at", ("embedding",)))
 
     def load(self, learner_id: str, formation_id: str) -> DataFrame:
         """The profile's row, none if it isn't there."""
-        return self._table().where((F.col("learner_id") == learner_id) & (F.col("formation_id") == formation_id))
+        return self.table.read().where((F.col("learner_id") == learner_id) & (F.col("formation_id") == formation_id))

@@ -175,7 +175,7 @@ def quoted(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("'"), F.lit("''")), F.lit("\\"), F.lit("\\\\"))
 
 
-#: The tables of the script.
+#: The tables of the script, and what it ends with.
 DDL = (
     "CREATE TABLE IF NOT EXISTS book (\n    id BIGSERIAL PRIMARY KEY,\n    title TEXT NOT NULL,\n    created_at TIMESTAMP DEFAULT NOW()\n);",
     "CREATE TABLE IF NOT EXISTS documents (\n    id BIGSERIAL PRIMARY KEY,\n    book_id BIGINT REFERENCES book(id) ON DELETE CASCADE,\n    title TEXT NOT NULL,\n    level INTEGER NOT NULL,\n    parent_id BIGINT REFERENCES documents(id) ON DELETE CASCADE,\n    sort_order INTEGER NOT NULL\n);",
@@ -183,6 +183,9 @@ DDL = (
 )
 
 
+SCRIPT_END = ("SELECT setval('book_id_seq', (SELECT COALESCE(MAX(id), 1) FROM book));", "SELECT setval('documents_id_seq', (SELECT COALESCE(MAX(id), 1) FROM documents));", "COMMIT;")
+
+
 def sql_script(nodes: DataFrame) -> DataFrame:
     """doc and text: the tables and their rows as one transaction."""
     book, documents, paragraphs = relational(nodes)
@@ -193,7 +196,6 @@ def sql_script(nodes: DataFrame) -> DataFrame:
         .unionByName(paragraphs.select("doc", F.lit(3).alias("part"), "id", F.concat(F.lit("INSERT INTO paragraphs (doc_id, text, position) VALUES ("), number("doc_id"), F.lit(", '"), quoted(F.coalesce("text", F.lit(""))), F.lit("', "), number("position"), F.lit(");")).alias("line")))
     )
     lines = F.transform(F.sort_array(F.collect_list(F.struct("part", "id", "line"))), lambda r: r["line"])
-    tail = ["SELECT setval('book_id_seq', (SELECT COALESCE(MAX(id), 1) FROM book));", "SELECT setval('documents_id_seq', (SELECT COALESCE(MAX(id), 1) FROM documents));", "COMMIT;"]
     grouped = rows.groupBy("doc").agg(lines.alias("rows"))
-    script = F.concat(F.array(F.lit("BEGIN;"), *(F.lit(x) for x in DDL)), "rows", F.array(*(F.lit(x) for x in tail)))
+    script = F.concat(F.array(F.lit("BEGIN;"), *(F.lit(x) for x in DDL)), "rows", F.array(*(F.lit(x) for x in SCRIPT_END)))
     return grouped.select("doc", F.concat(F.array_join(script, "\n"), F.lit("\n")).alias("text"))

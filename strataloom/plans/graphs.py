@@ -68,30 +68,33 @@ def adoc_to_ldd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.from_asciidoc(docs)
 
 
-DRIVER_DDL = """CREATE TABLE region (r_regionkey INT, r_name TEXT);
-CREATE TABLE nation (n_nationkey INT, n_regionkey INT REFERENCES region(r_regionkey) ON DELETE CASCADE, n_name TEXT);
-CREATE TABLE customer (c_custkey BIGINT, c_nationkey INT REFERENCES nation(n_nationkey), c_name TEXT);
-CREATE TABLE IF NOT EXISTS orders (o_orderkey BIGINT, o_custkey BIGINT REFERENCES customer(c_custkey) ON DELETE CASCADE, PRIMARY KEY (o_orderkey));
-CREATE TABLE part (p_partkey BIGINT, p_name TEXT);
-CREATE TABLE lineitem (l_orderkey BIGINT REFERENCES orders(o_orderkey) ON DELETE CASCADE, l_linenumber INT);
-CREATE TABLE events (event_id BIGINT, user_id BIGINT REFERENCES users(id));
-CREATE TABLE documents (doc_id BIGINT, parent BIGINT REFERENCES documents(doc_id) ON DELETE CASCADE);"""
+#: A region's table, its nations', every other one with a cascading delete, and one of notes a nation.
+_REGION_DDL = """concat('CREATE TABLE region_', r_regionkey, ' (id INT, r_name TEXT, PRIMARY KEY (id));', chr(10), array_join(transform(nations, n ->
+  concat('CREATE TABLE IF NOT EXISTS nation_', n.n_nationkey, ' (', chr(10), 'n_id INT,', chr(10), 'r_id INT REFERENCES region_', r_regionkey, '(id)', if(n.n_nationkey % 2 = 0, ' ON DELETE CASCADE', ''), ',', chr(10), 'n_name TEXT);',
+  chr(10), 'CREATE TABLE note_', n.n_nationkey, ' (note_id INT, body TEXT);')), chr(10)))"""
 
 
-def _ddl(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.lit("driver").alias("doc"), F.lit(DRIVER_DDL).alias("sql"))
+def _ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script a region."""
+    nations = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("nations"))
+    joined = table(spark, sf_dir, "region").join(nations, F.col("r_regionkey") == F.col("n_regionkey"))
+    return joined.select(F.col("r_name").alias("doc"), F.expr(_REGION_DDL).alias("sql"))
 
 
 def ontology_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ontology.contexts(_ddl(spark)).select("name", F.array_join("tables", ",").alias("tables"))
+    return ontology.contexts(_ddl(spark, sf_dir)).select("doc", "name", F.array_join("tables", ",").alias("tables"))
 
 
 def ontology_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ontology.aggregates(_ddl(spark)).select("root", F.array_join("dependents", ",").alias("dependents"))
+    return ontology.aggregates(_ddl(spark, sf_dir)).select("doc", "root", F.array_join("dependents", ",").alias("dependents"))
 
 
 def ontology_value_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ontology.value_objects(_ddl(spark)).select("name", F.array_join("columns", ",").alias("columns"))
+    return ontology.value_objects(_ddl(spark, sf_dir)).select("doc", "name", F.array_join("columns", ",").alias("columns"))
+
+
+def ontology_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ontology.as_json(_ddl(spark, sf_dir))
 
 
 def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +194,7 @@ def profile_embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", embed_text(F.col("p_name")).alias("embedding"))
+    return table(spark, sf_dir, "documents").select("doc_id", embed_text(F.col("text")).alias("embedding"))
 
 
 QUERIES = {
@@ -206,6 +209,7 @@ QUERIES = {
     "ontology_contexts": ontology_contexts,
     "ontology_aggregates": ontology_aggregates,
     "ontology_value_objects": ontology_value_objects,
+    "ontology_json": ontology_json,
     "enrich_ldd": enrich_ldd,
     "entities": entities,
     "graphify_section": graphify_section,
@@ -222,31 +226,28 @@ QUERIES = {
     "hashed_embedding": hashed_embedding,
 }
 
-_PATHS = """WITH r AS (SELECT 'r' || r_regionkey AS node_id, r_regionkey, r_name, '/' || lpad((row_number() OVER (ORDER BY r_regionkey) - 1)::VARCHAR, 9, '0') AS path, row_number() OVER (ORDER BY r_regionkey) - 1 AS o FROM region),
+PATHS_SQL = """WITH r AS (SELECT 'r' || r_regionkey AS node_id, r_regionkey, r_name, '/' || lpad((row_number() OVER (ORDER BY r_regionkey) - 1)::VARCHAR, 9, '0') AS path, row_number() OVER (ORDER BY r_regionkey) - 1 AS o FROM region),
 n AS (SELECT 'n' || n_nationkey AS node_id, n_nationkey, n_name, r.node_id AS up, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS o, r.path || '/' || lpad((row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::VARCHAR, 9, '0') AS path FROM nation JOIN r ON n_regionkey = r_regionkey),
 s AS (SELECT 's' || s_suppkey AS node_id, s_name, n.node_id AS up, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS o, n.path || '/' || lpad((row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1)::VARCHAR, 9, '0') AS path FROM supplier JOIN n ON s_nationkey = n_nationkey),
 d AS (SELECT row_number() OVER (ORDER BY path) AS id, * FROM (SELECT node_id, r_name AS title, 1 AS level, NULL AS up, o, path FROM r UNION ALL SELECT node_id, n_name, 2, up, o, path FROM n))
 """
 _ENRICHED = """WITH c AS (SELECT n_nationkey AS k, count(*) AS chunks FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey), t AS (SELECT count(*) AS total FROM customer)
 SELECT n_nationkey AS node_id, coalesce(chunks, 0)::INT AS chunks, CASE WHEN n_nationkey % 2 = 0 THEN 'g' || n_nationkey ELSE '' END AS graph_ids, round(coalesce(coalesce(chunks, 0) / total, 0.0), 9) AS density FROM nation LEFT JOIN c ON k = n_nationkey CROSS JOIN t"""
-_RESULTS = """WITH best AS (SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
+RESULTS_SQL = """WITH best AS (SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
 ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, vec_id LIMIT 10),
 res AS (SELECT vec_id AS chunk_id, text, 'Corpus > ' || lang AS section_path, source AS source_document, similarity FROM best JOIN documents ON vec_id = doc_id)
 """
 
 ORACLE_SQL = {
     "html_headings": "SELECT page_id, unnest(range(0, len(h)))::INT AS n, unnest(h) AS heading FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h FROM pages)",
-    "ldd_flatten": _PATHS + "SELECT node_id, path, 1 AS level, r_name AS title FROM r UNION ALL SELECT node_id, path, 2, n_name FROM n UNION ALL SELECT node_id, path, 0, '' FROM s",
-    "book_documents": _PATHS + "SELECT d.id, d.title, d.level, p.id AS parent_id, d.o::INT AS sort_order FROM d LEFT JOIN d p ON d.up = p.node_id",
-    "book_paragraphs": _PATHS + "SELECT d.id AS doc_id, s_name AS text, (s.o + 1)::INT AS position FROM s JOIN d ON s.up = d.node_id",
-    "ontology_contexts": "SELECT * FROM (VALUES ('bc_1', 'customer,lineitem,nation,orders,region'), ('bc_2', 'part'), ('bc_3', 'events,users'), ('bc_4', 'documents')) t(name, tables)",
-    "ontology_aggregates": "SELECT * FROM (VALUES ('customer', 'orders'), ('orders', 'lineitem'), ('region', 'nation')) t(root, dependents)",
-    "ontology_value_objects": "SELECT * FROM (VALUES ('region', 'r_regionkey,r_name'), ('part', 'p_partkey,p_name')) t(name, columns)",
+    "ldd_flatten": PATHS_SQL + "SELECT node_id, path, 1 AS level, r_name AS title FROM r UNION ALL SELECT node_id, path, 2, n_name FROM n UNION ALL SELECT node_id, path, 0, '' FROM s",
+    "book_documents": PATHS_SQL + "SELECT d.id, d.title, d.level, p.id AS parent_id, d.o::INT AS sort_order FROM d LEFT JOIN d p ON d.up = p.node_id",
+    "book_paragraphs": PATHS_SQL + "SELECT d.id AS doc_id, s_name AS text, (s.o + 1)::INT AS position FROM s JOIN d ON s.up = d.node_id",
     "enrich_ldd": _ENRICHED,
     "entities": r"""SELECT doc_id, len(e)::INT AS entities, md5(array_to_string(list_sort(e), '|')) AS entities_md5 FROM (SELECT doc_id, list_distinct(regexp_extract_all(coalesce(text, ''), '\b[A-Z][A-Za-z0-9]+(?:\s+[A-Z][A-Za-z0-9]+)*\b')) AS e FROM documents)""",
     "graphify_section": "SELECT n_regionkey, coalesce(rtrim(string_agg(n_name || chr(10) || '- g' || n_nationkey || chr(10), chr(10) || chr(10) ORDER BY n_nationkey) FILTER (n_nationkey % 2 = 0), chr(10)), '') AS text FROM nation GROUP BY n_regionkey",
-    "composite_entries": _RESULTS + "SELECT chunk_id, md5(left(text, 500)) AS text_md5, length(left(text, 500))::INT AS chars, section_path, source_document, similarity FROM res",
-    "composite_docs": _RESULTS + """, t AS (SELECT left(string_agg('[' || source_document || ' / ' || section_path || '] (similarity=' || printf('%.3f', similarity) || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY similarity DESC, chunk_id), 2800) AS text, count(*) AS results FROM res)
+    "composite_entries": RESULTS_SQL + "SELECT chunk_id, md5(left(text, 500)) AS text_md5, length(left(text, 500))::INT AS chars, section_path, source_document, similarity FROM res",
+    "composite_docs": RESULTS_SQL + """, t AS (SELECT left(string_agg('[' || source_document || ' / ' || section_path || '] (similarity=' || printf('%.3f', similarity) || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY similarity DESC, chunk_id), 2800) AS text, count(*) AS results FROM res)
 SELECT 'q0' AS query, md5(text) AS text_md5, length(text)::INT AS chars, results FROM t WHERE results > 0""",
     "ocr_cascade": """WITH e AS (SELECT event_id % 300 AS page_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS engine, CASE WHEN event_id % 4 = 0 THEN '' ELSE 'text ' || event_id END AS text, round(value - 20, 3) AS confidence, event_type AS model FROM events),
 g AS (SELECT page_id, min({'engine': engine, 'text': text, 'confidence': confidence, 'model': model}) FILTER (text <> '' AND confidence > 0) AS b FROM e GROUP BY page_id)

@@ -55,6 +55,10 @@ def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("source_document", "pos", "heading_level", F.md5("content").alias("content_md5"), F.length("content").alias("content_chars"))
 
 
+def chunk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.summary(chunking.chunk_documents(conversation_markdown(spark, sf_dir)))
+
+
 def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sections(spark, sf_dir).select("source_document", F.col("sec").alias("pos"), "title", "path")
 
@@ -114,6 +118,7 @@ QUERIES = {
     "ingest_documents": ingest_documents,
     "ingest_chunks": ingest_chunks,
     "chunk_index": chunk_index,
+    "chunk_summary": chunk_summary,
     "chunk_sections": chunk_sections,
     "section_paths": section_paths,
     "chunk_ids": chunk_ids,
@@ -139,7 +144,7 @@ THEN regexp_extract(p, '^([^0-9]*)', 1) || CASE WHEN length(regexp_extract(p, '^
 ELSE CASE WHEN length(p) >= 4 THEN p ELSE lpad(p, 4, ' ') END END), ' > ')"""
 _TOP = "SELECT e.vec_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE {where} ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, vec_id LIMIT 10"
 _BODY = r"regexp_replace(CASE WHEN contains(content, chr(10)) THEN substr(content, instr(content, chr(10)) + 1) ELSE '' END, '^\s+|\s+$', '', 'g')"
-_CHUNKS = f"""WITH {CONVERSATION_SQL},
+CHUNKS_SQL = f"""WITH {CONVERSATION_SQL},
 fenced AS (SELECT source_document, sec, run, array_to_string(list(line ORDER BY pos) FILTER (NOT fence), chr(10)) AS block FROM trimmed WHERE NOT h GROUP BY source_document, sec, run),
 ends AS (SELECT source_document, sec, max(run) AS most FROM trimmed GROUP BY source_document, sec),
 blocks AS (SELECT f.source_document, f.sec, list(regexp_replace(coalesce(block, ''), '\\s+$', '') ORDER BY run) AS bs FROM fenced f JOIN ends e ON e.source_document = f.source_document AND e.sec = f.sec
@@ -162,21 +167,21 @@ ORACLE_SQL = {
     "chunk_sections": f"WITH {CONVERSATION_SQL} SELECT source_document, sec AS pos, level AS heading_level, md5(content) AS content_md5, length(content)::INT AS content_chars FROM contents WHERE content <> ''",
     "section_paths": f"WITH {CONVERSATION_SQL} SELECT source_document, sec AS pos, title, path FROM paths",
     "chunk_ids": f"WITH {CONVERSATION_SQL} SELECT 'chk-' || substr(sha256(source_document || ':' || path), 1, 16) AS id, source_document, sec AS pos, 'Apache-2.0' AS license FROM contents WHERE content <> ''",
-    "chunk_overlap": _CHUNKS + "SELECT source_document, sec AS pos, overlap_next FROM chunks",
-    "code_blocks": _CHUNKS + "SELECT source_document, sec AS pos, len(bs)::INT AS blocks, array_to_string(bs, chr(10)) AS code FROM chunks WHERE len(bs) > 0",
+    "chunk_overlap": CHUNKS_SQL + "SELECT source_document, sec AS pos, overlap_next FROM chunks",
+    "code_blocks": CHUNKS_SQL + "SELECT source_document, sec AS pos, len(bs)::INT AS blocks, array_to_string(bs, chr(10)) AS code FROM chunks WHERE len(bs) > 0",
     "licence_detect": f"SELECT doc_id, {_ZONE} AS zone FROM documents",
     "licence_route": f"""WITH z AS (SELECT CASE WHEN {_ZONE} = 'UNKNOWN' THEN CASE WHEN source = 'src0' THEN 'OSS' ELSE 'UNKNOWN' END ELSE {_ZONE} END AS zone FROM documents)
 SELECT zone, {_NAME} AS license, CASE WHEN zone = 'OSS' THEN 'OSS' ELSE 'office' END AS route, count(*) AS documents FROM z GROUP BY zone""",
     "licence_zone_path": f"SELECT page_id, zone, {_NAME} AS license FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'OSS' WHEN 1 THEN 'CSS' ELSE 'UNKNOWN' END AS zone FROM pages)",
     "kb_sort_key": "SELECT c_custkey, " + _KEY.format(path="path") + " AS sort_key FROM (SELECT c_custkey, n_name || ' > Chapter ' || (c_custkey % 120) || '.2 end > ' || c_name AS path FROM customer JOIN nation ON c_nationkey = n_nationkey)",
-    "kb_order": _CHUNKS + "SELECT source_document, sec AS pos, place, sort_key FROM placed",
-    "kb_markdown": _CHUNKS + """, texts AS (SELECT source_document, place,
+    "kb_order": CHUNKS_SQL + "SELECT source_document, sec AS pos, place, sort_key FROM placed",
+    "kb_markdown": CHUNKS_SQL + """, texts AS (SELECT source_document, place,
   CASE WHEN level = 1 AND last <> 1 THEN chr(10) ELSE '' END || repeat('#', level) || ' ' || name || chr(10) || chr(10) || CASE WHEN rest <> '' THEN rest || chr(10) || chr(10) ELSE '' END
   || coalesce(array_to_string(list_transform(bs, lambda b: '```text' || chr(10) || regexp_replace(b, '^\\s+|\\s+$', '', 'g') || chr(10) || '```' || chr(10) || chr(10)), ''), '')
   || CASE WHEN overlap_next IS NOT NULL THEN '> _Continued: ' || overlap_next || '_' || chr(10) || chr(10) ELSE '' END || CASE WHEN level = 1 THEN '---' || chr(10) ELSE '' END || chr(10) AS part FROM levelled),
 whole AS (SELECT source_document, regexp_replace('# ' || source_document || chr(10) || chr(10) || string_agg(part, '' ORDER BY place), '\\s+$', '') || chr(10) AS text FROM texts GROUP BY source_document)
 SELECT source_document, md5(text) AS text_md5, length(text)::INT AS chars FROM whole""",
-    "kb_asciidoc": _CHUNKS + """, texts AS (SELECT source_document, place, repeat('=', least(level, 5)) || ' ' || name || chr(10) || chr(10) || CASE WHEN rest <> '' THEN rest || chr(10) || chr(10) ELSE '' END
+    "kb_asciidoc": CHUNKS_SQL + """, texts AS (SELECT source_document, place, repeat('=', least(level, 5)) || ' ' || name || chr(10) || chr(10) || CASE WHEN rest <> '' THEN rest || chr(10) || chr(10) ELSE '' END
   || coalesce(array_to_string(list_transform(bs, lambda b: '[source,text]' || chr(10) || '----' || chr(10) || regexp_replace(b, '^\\s+|\\s+$', '', 'g') || chr(10) || '----' || chr(10) || chr(10)), ''), '')
   || CASE WHEN overlap_next IS NOT NULL THEN '[TIP]' || chr(10) || 'Continued: ' || overlap_next || chr(10) || chr(10) ELSE '' END || '''''''' || chr(10) || chr(10) AS part FROM levelled),
 whole AS (SELECT source_document, regexp_replace('= ' || source_document || chr(10) || chr(10) || '[NOTE]' || chr(10) || '====' || chr(10) || 'Auto-generated by deployKnowledgeBase. Aggregated knowledge base from ' || count(*) || ' chunks.' || chr(10) || '====' || chr(10) || chr(10)

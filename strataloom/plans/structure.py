@@ -96,7 +96,7 @@ QUERIES = {
 _STYLE = """CASE WHEN regexp_matches(f, 'mono|courier|consolas|menlo|monaco|typewriter|source code|fira code|jetbrains') THEN 'MONOSPACE'
 WHEN regexp_matches(f, 'bold|bd |heavy|black') AND regexp_matches(f, 'italic|oblique|slanted|it ') THEN 'BOLD_ITALIC' WHEN regexp_matches(f, 'bold|bd |heavy|black') THEN 'BOLD'
 WHEN regexp_matches(f, 'italic|oblique|slanted|it ') THEN 'ITALIC' ELSE 'NORMAL' END"""
-_STYLED = f"""styled AS (SELECT *, {_STYLE} AS style FROM (SELECT p_partkey, p_partkey % 20 AS doc, (p_partkey % 3)::INT AS page, p_partkey::INT AS seq, p_name AS text, p_size::FLOAT AS font_size,
+STYLED_SQL = f"""styled AS (SELECT *, {_STYLE} AS style FROM (SELECT p_partkey, p_partkey % 20 AS doc, (p_partkey % 3)::INT AS page, p_partkey::INT AS seq, p_name AS text, p_size::FLOAT AS font_size,
 ((p_partkey * 7 % 101) * 0.75)::FLOAT AS y, lower({_FONT_SQL}) AS f FROM part)),
 stats AS (SELECT doc, coalesce(avg(font_size::DOUBLE) FILTER (style <> 'MONOSPACE'), 'nan'::DOUBLE) AS avg, coalesce(max(font_size::DOUBLE) FILTER (style <> 'MONOSPACE'), 'nan'::DOUBLE) AS max,
   coalesce(min(font_size::DOUBLE) FILTER (style <> 'MONOSPACE'), 'nan'::DOUBLE) AS min FROM styled GROUP BY doc),
@@ -109,7 +109,7 @@ near AS (SELECT *, coalesce(lag(mono) OVER w, false) OR coalesce(lead(mono) OVER
     ", ".join(f"CASE WHEN range > {k} AND NOT isnan(range) THEN max - range * {a} ELSE max * {b} END AS h{k}" for k, a, b in ((1, 0.05, 0.95), (2, 0.25, 0.75), (3, 0.5, 0.5), (4, 0.7, 0.35)))
 )
 
-_MACHINE = r"""WITH docs AS (SELECT s_suppkey AS doc, string_split(%s, chr(10)) AS l FROM supplier),
+MACHINE_SQL = r"""WITH docs AS (SELECT s_suppkey AS doc, string_split(%s, chr(10)) AS l FROM supplier),
 raw AS (SELECT doc, unnest(range(0, len(l)))::INT AS pos, unnest(l) AS line FROM docs),
 nexts AS (SELECT *, trim(line) AS t, lead(trim(line)) OVER (PARTITION BY doc ORDER BY pos) AS nxt FROM raw),
 vis AS (SELECT *, CASE WHEN t LIKE '[source,%%' THEN 1 WHEN t = '----' THEN 0 END AS marker FROM nexts WHERE t NOT LIKE '//%%'),
@@ -126,7 +126,7 @@ grps AS (SELECT *, coalesce(sum((NOT (rule IN ('code', 'skip', 'code_start', 'bl
 pend AS (SELECT *, coalesce(sum((rule = 'blank')::INT) OVER (PARTITION BY doc, grp ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pending FROM grps)
 """ % SUPPLIER_ADOC  # noqa: UP031
 
-_EMIT = r""", emitted AS (SELECT *, CASE rule WHEN 'code_end' THEN CASE WHEN n > 0 THEN '```' || lang || chr(10) || code || chr(10) || '```' || chr(10) || chr(10) ELSE '' END
+EMIT_SQL = r""", emitted AS (SELECT *, CASE rule WHEN 'code_end' THEN CASE WHEN n > 0 THEN '```' || lang || chr(10) || code || chr(10) || '```' || chr(10) || chr(10) ELSE '' END
   WHEN 'admonition' THEN '> **' || CASE WHEN t LIKE '%]' THEN upper(substr(t, 2, 1)) || lower(substr(t, 3, length(t) - 3)) ELSE lower(t) END || '**' || chr(10)
   WHEN 'example' THEN chr(10) WHEN 'table_edge' THEN chr(10)
   WHEN 'heading' THEN CASE WHEN pending > 0 THEN chr(10) ELSE '' END || repeat('#', least(length(regexp_extract(t, '^=+')), 6)) || ' ' || trim(regexp_replace(t, '^=+', '')) || chr(10) || chr(10)
@@ -141,17 +141,19 @@ ends AS (SELECT doc, CASE WHEN last(rule ORDER BY pos) = 'code' THEN '```' || la
 texts AS (SELECT doc, string_agg(part, '' ORDER BY pos) AS body FROM emitted GROUP BY doc)
 SELECT texts.doc, regexp_replace(body || tail, '\s+$', '') || chr(10) AS text FROM texts JOIN ends ON texts.doc = ends.doc"""
 
+KINDS_SQL = """SELECT near.doc, grp, CASE WHEN mono AND size <= 14 AND lines = 1 AND NOT near_mono THEN 'inline' WHEN mono AND size <= 14 THEN 'code'
+WHEN NOT mono AND lines <= 2 AND size + CASE WHEN strong THEN 0.5 ELSE 0 END >= h1 THEN 'h1' WHEN NOT mono AND lines <= 2 AND size + CASE WHEN strong THEN 0.5 ELSE 0 END >= h2 THEN 'h2'
+WHEN NOT mono AND lines <= 2 AND size + CASE WHEN strong THEN 0.5 ELSE 0 END >= h3 THEN 'h3' WHEN NOT mono AND lines <= 2 AND size + CASE WHEN strong THEN 0.5 ELSE 0 END >= h4 THEN 'h4' ELSE 'text' END AS kind
+FROM near JOIN limits ON near.doc = limits.doc"""
+
 ORACLE_SQL = {
-    "adoc_lines": _MACHINE + "SELECT doc, pos, rule, in_code, pending FROM pend",
-    "adoc_to_markdown": _MACHINE + _EMIT,
+    "adoc_lines": MACHINE_SQL + "SELECT doc, pos, rule, in_code, pending FROM pend",
+    "adoc_to_markdown": MACHINE_SQL + EMIT_SQL,
     "font_style": f"SELECT p_partkey, style, style = 'MONOSPACE' AS mono, style IN ('BOLD', 'BOLD_ITALIC') AS bold FROM (SELECT p_partkey, {_STYLE} AS style FROM (SELECT p_partkey, lower({_FONT_SQL}) AS f FROM part))",
-    "header_thresholds": f"WITH {_STYLED} SELECT doc, round(avg, 6) AS avg, round(max, 6) AS max, round(range, 6) AS range, round(h1, 6) AS h1, round(h2, 6) AS h2, round(h3, 6) AS h3, round(h4, 6) AS h4 FROM limits",
-    "heading_levels": f"""WITH {_STYLED}, p AS (SELECT doc, CASE WHEN range <= 0.5 THEN max + 0.1 ELSE max * 0.95 END AS h1, CASE WHEN range <= 0.5 THEN max + 0.1 ELSE max * 0.75 END AS h2, CASE WHEN range <= 0.5 THEN max + 0.1 ELSE max * 0.5 END AS h3 FROM thresholds)
+    "header_thresholds": f"WITH {STYLED_SQL} SELECT doc, round(avg, 6) AS avg, round(max, 6) AS max, round(range, 6) AS range, round(h1, 6) AS h1, round(h2, 6) AS h2, round(h3, 6) AS h3, round(h4, 6) AS h4 FROM limits",
+    "heading_levels": f"""WITH {STYLED_SQL}, p AS (SELECT doc, CASE WHEN range <= 0.5 THEN max + 0.1 ELSE max * 0.95 END AS h1, CASE WHEN range <= 0.5 THEN max + 0.1 ELSE max * 0.75 END AS h2, CASE WHEN range <= 0.5 THEN max + 0.1 ELSE max * 0.5 END AS h3 FROM thresholds)
 SELECT seq, CASE WHEN font_size::DOUBLE >= h1 AND style IN ('BOLD', 'BOLD_ITALIC') THEN 1 WHEN font_size::DOUBLE >= h1 THEN 2 WHEN font_size::DOUBLE >= h2 AND style IN ('BOLD', 'BOLD_ITALIC') THEN 2 WHEN font_size::DOUBLE >= h2 THEN 3
 WHEN font_size::DOUBLE >= h3 AND style IN ('BOLD', 'BOLD_ITALIC') THEN 3 ELSE 0 END AS level FROM styled JOIN p ON styled.doc = p.doc""",
-    "visual_lines": f"WITH {_STYLED} SELECT doc, grp, lines, mono, near_mono FROM near",
-    "book_groups": f"""WITH {_STYLED} SELECT near.doc, grp, CASE WHEN mono AND size <= 14 AND lines = 1 AND NOT near_mono THEN 'inline' WHEN mono AND size <= 14 THEN 'code'
-WHEN NOT mono AND lines <= 2 AND size + CASE WHEN strong THEN 0.5 ELSE 0 END >= h1 THEN 'h1' WHEN NOT mono AND lines <= 2 AND size + CASE WHEN strong THEN 0.5 ELSE 0 END >= h2 THEN 'h2'
-WHEN NOT mono AND lines <= 2 AND size + CASE WHEN strong THEN 0.5 ELSE 0 END >= h3 THEN 'h3' WHEN NOT mono AND lines <= 2 AND size + CASE WHEN strong THEN 0.5 ELSE 0 END >= h4 THEN 'h4' ELSE 'text' END AS kind
-FROM near JOIN limits ON near.doc = limits.doc""",
+    "visual_lines": f"WITH {STYLED_SQL} SELECT doc, grp, lines, mono, near_mono FROM near",
+    "book_groups": f"WITH {STYLED_SQL} {KINDS_SQL}",
 }

@@ -8,13 +8,16 @@ source's rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import rtrim_ws, trim_ws
 from ..operators.html import asciidoc
-from ..operators.ocr import content_hash, is_image, mime_type
+from ..operators.licences import detect
+from ..operators.ocr import CONFIG, content_hash, is_image, mime_type
 
 CHUNK = (
     "id string, sourceDocument string, sectionPath string, headingLevel int, content string, codeBlocks array<string>, entities array<string>, overlapNext string, license string"
@@ -119,16 +122,66 @@ def dispatch(path: Column) -> Column:
     return F.when(low.endswith(".pdf"), "pdf").when(low.endswith(".epub"), "epub").otherwise(F.raise_error(F.concat(F.lit("unsupported format: "), path)))
 
 
-def read_positioned_lines(spark: SparkSession, path: str, parser: Callable[[bytes], list[tuple[int, int, str, str, float, float]]]) -> DataFrame:
-    """Lines of PDF files by a parser port that gives (page, seq, text, font name, size, y); blank lines are dropped."""
+Run = tuple[int, int, str, str, "float | list[float]", float]
+#: What reads a PDF: (page, number, text, font name, size or its glyphs' sizes, y) of each run of text.
+Parser = Callable[[bytes], "list[Run]"]
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """path and content of binary files."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def positioned_lines(files: DataFrame, parser: Parser, plain: bool = False) -> DataFrame:
+    """Lines of PDF ``files`` (path, content) by a parser port; blank lines are dropped.
+
+    A line has its first glyph's size and no white space at its end; with ``plain`` the largest glyph's, and its white
+    space collapsed.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in LINES.split(", ")]
+
+        def size(x) -> float:
+            return float((max(x) if plain else x[0]) if isinstance(x, list) and x else 0.0 if isinstance(x, list) else x)
+
+        for batch in batches:
+            rows = [(p, page, n, text, font, size(glyphs), y) for p, c in zip(batch["path"], batch["content"], strict=True) for page, n, text, font, glyphs, y in parser(bytes(c))]
+            yield pd.DataFrame(rows, columns=names)
+
+    text = trim_ws(F.regexp_replace("text", r"\s+", " ")) if plain else rtrim_ws(F.col("text"))
+    return files.select("path", "content").mapInPandas(parse, LINES).withColumn("text", text).where(trim_ws(F.col("text")) != "")
+
+
+def read_positioned_lines(spark: SparkSession, path: str, parser: Parser, plain: bool = False) -> DataFrame:
+    return positioned_lines(read_files(spark, path), parser, plain)
+
+
+def raw_texts(files: DataFrame, parser: Parser) -> DataFrame:
+    """path and text of PDF ``files`` (path, content): runs by page, y and number, those of one y joined by a blank.
+
+    A file that can't be read has a null text.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([(p, *row) for p, c in zip(batch["path"], batch["content"], strict=True) for row in parser(bytes(c))], columns=names)
+            texts = []
+            for content in batch["content"]:
+                try:
+                    runs = sorted((page, y, n, text) for page, n, text, _, _, y in parser(bytes(content)))
+                except Exception:  # noqa: BLE001  whatever a parser raises is a file that can't be read
+                    texts.append(None)
+                    continue
+                lines = [" ".join(r[3] for r in row) for _, row in groupby(runs, key=lambda r: r[:2])]
+                texts.append("".join(f"{line}\n" for line in lines))
+            yield pd.DataFrame({"path": batch["path"], "text": texts})
+
+    return files.select("path", "content").mapInPandas(read, "path string, text string")
+
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(parse, LINES).where(F.trim("text") != "")
+def licences_of(files: DataFrame, parser: Parser) -> DataFrame:
+    """path and zone of PDF ``files`` by their texts; a file that can't be read is UNKNOWN."""
+    return raw_texts(files, parser).select("path", detect(F.col("text")).alias("zone"))
 
 
 def epub_markup(content: bytes) -> list[str]:
@@ -150,8 +203,8 @@ def epub_markup(content: bytes) -> list[str]:
     return [book.read(posixpath.join(base, items[i])).decode() for i in spine if i in items]
 
 
-def read_epubs(spark: SparkSession, path: str, plain: bool = False) -> DataFrame:
-    """source_document and text (AsciiDoc) of EPUB files; one that can't be read is empty."""
+def epub_texts(files: DataFrame, plain: bool = False, head: tuple[str, ...] = ()) -> DataFrame:
+    """path and text (AsciiDoc) of EPUB ``files`` (path, content); one that can't be read is empty."""
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -160,9 +213,47 @@ def read_epubs(spark: SparkSession, path: str, plain: bool = False) -> DataFrame
                 try:
                     markup = "".join(epub_markup(bytes(content)))
                 except Exception:  # noqa: BLE001  a broken archive is a document without text
-                    markup = ""
-                rows.append((where, asciidoc(f"<body>{markup}</body>" if "<body" not in markup else markup, plain)))
+                    rows.append((where, asciidoc("", plain)))
+                    continue
+                rows.append((where, asciidoc(f"<body>{markup}</body>" if "<body" not in markup else markup, plain, head)))
             yield pd.DataFrame(rows, columns=["path", "text"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(convert, "path string, text string").select(file_stem(F.col("path")).alias("source_document"), "text")
+    return files.select("path", "content").mapInPandas(convert, "path string, text string")
+
+
+def read_epubs(spark: SparkSession, path: str, plain: bool = False) -> DataFrame:
+    """source_document and text (AsciiDoc) of EPUB files."""
+    return epub_texts(read_files(spark, path), plain).select(file_stem(F.col("path")).alias("source_document"), "text")
+
+
+ENRICHED = f"ldd struct<title:string,level:int>, ragChunks array<struct<{CHUNK.replace(' ', ':').replace(',:', ',')}>>, graphifyNodes array<string>, semanticDensity double, entities array<string>"
+
+
+def enriched_nodes(texts: DataFrame, column: str = "text") -> DataFrame:
+    """ordinal, title, level, chunk_ids, graph_ids, density and entities of enriched JSON ``texts``; invalid or missing text gives none."""
+    parsed = texts.select(F.posexplode(F.from_json(F.col(column), f"array<struct<{ENRICHED.replace(' array', ':array').replace(' struct', ':struct').replace(' double', ':double').replace(', ', ',')}>>")).alias("ordinal", "n"))
+    none = F.array().cast("array<string>")
+    return parsed.select(
+        "ordinal", F.col("n.ldd.title").alias("title"), F.col("n.ldd.level").alias("level"), F.coalesce(F.transform("n.ragChunks", lambda c: c["id"]), none).alias("chunk_ids"),
+        F.coalesce("n.graphifyNodes", none).alias("graph_ids"), F.coalesce("n.semanticDensity", F.lit(0.0)).alias("density"), F.coalesce("n.entities", none).alias("entities"),
+    )
+
+
+def _json_rows(spark: SparkSession, path: str, schema: str, defaults: dict[str, object]) -> DataFrame:
+    rows = spark.read.schema(schema).json(path, multiLine=True)
+    return rows.withColumns({c: F.coalesce(F.col(c), F.lit(v) if not isinstance(v, dict) else F.create_map().cast("map<string,string>")) for c, v in defaults.items()})
+
+
+def read_ocr_config(spark: SparkSession, path: str) -> DataFrame:
+    """OCR settings; missing ones take defaults."""
+    return _json_rows(spark, path, "provider string, model string, maxTokens int, temperature double, endpoint string, extra map<string,string>", {k: v for k, v in CONFIG.items() if k in ("maxTokens", "temperature", "extra")})
+
+
+def read_ocr_requests(spark: SparkSession, path: str) -> DataFrame:
+    """content, mime, language and prompt of OCR requests, whose images are base64."""
+    rows = _json_rows(spark, path, "imageData string, format string, language string, prompt string", {})
+    return rows.select(F.unbase64("imageData").alias("content"), F.col("format").alias("mime"), "language", "prompt")
+
+
+def read_ocr_results(spark: SparkSession, path: str) -> DataFrame:
+    return _json_rows(spark, path, OCR_RESULT, {"metadata": {}})

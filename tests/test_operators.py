@@ -257,8 +257,8 @@ def test_profiles_open_again(spark, tmp_path):
     row = ("l", "f", ["m"], "m2", 10.0, 0.5, ["joins"], None, {"k": "note"})
     schema = ", ".join(profiles.SCHEMA.split(", ")[:9])
     profiles.ProfileStore(spark, path=path).save(spark.createDataFrame([row], schema))
-    (tmp_path / "p/v2").mkdir()  # a write that was broken off
+    (tmp_path / "p/v2").mkdir(parents=True)  # a write that was broken off
     store = profiles.ProfileStore(spark, path=path)
-    assert store.version == 1 and store.load("l", "f").first().progression_pct == 10.0
+    assert store.table.version == 1 and store.load("l", "f").first().progression_pct == 10.0
     store.save(spark.createDataFrame([(*row[:4], 20.0, *row[5:])], schema))
     assert profiles.ProfileStore(spark, path=path).load("l", "f").first().progression_pct == 20.0
