@@ -177,7 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     that order, as have SAMPLE_CHARS characters together (always one), whatever the length of each.  Both labels
     weigh the same.  Of rows that share a key the one of the least text counts, and a key labelled both
     ways is toxic.  Rows with a null key, label or text are left out.  If the sample has rows of one label
-    only, everything is scored as that label; without any rows, as clean.
+    only, everything is scored as that label; without any rows, as clean.  The fit is one task of the bounded sample; only
+    the weights come to the driver.
     """
     usable = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(key))).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     usable = usable.groupBy("k").agg(F.max("y").alias("y"))
@@ -190,10 +191,26 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     before = Window.partitionBy("y").orderBy("h", "k")
     within = sizes.withColumn("upto", F.sum("n").over(before)).withColumn("at", F.row_number().over(before)).where((F.col("upto") <= SAMPLE_CHARS) | (F.col("at") == 1))
     taken = within.select(F.col("k").alias("tk"))  # at most 2 * SAMPLE_ROWS keys
-    sample = single.join(F.broadcast(taken), F.col("k") == F.col("tk")).select("k", "t", "y").toArrow().sort_by("k")
+    sample = single.join(F.broadcast(taken), F.col("k") == F.col("tk")).select(F.xxhash64("k").alias("h"), F.col("k").cast("string").alias("k"), "t", "y")
+    bound_batches(docs.sparkSession)
+    row = sample.repartition(1).mapInArrow(_learn, "features array<int>, weights array<double>, bias double").first()
+    return Model(np.array(row["features"], np.int32), np.array(row["weights"], np.float64), row["bias"]) if row else _constant(0.0)
+
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task, of a bounded sample (h, k, t, y): the model as a row."""
+    held = [b for b in batches if b.num_rows]
+    sample = pa.Table.from_batches(held).sort_by([("h", "ascending"), ("k", "ascending")]) if held else None
+    model = _fitted(sample) if held else _constant(0.0)
+    yield pa.RecordBatch.from_arrays([pa.array([model.features.tolist()], pa.list_(pa.int32())), pa.array([model.weights.tolist()], pa.list_(pa.float64())), pa.array([model.bias], pa.float64())], names=["features", "weights", "bias"])
+    del held, sample, model
+    give_back()
+
+
+def _fitted(sample: pa.Table) -> Model:
     y = np.asarray(sample.column("y").combine_chunks()).astype(np.float64)
     if len(set(y.tolist())) < 2:
-        return _constant(y.mean() if len(y) else 0.0)
+        return _constant(y.mean())
     reader, words, sentences, owners, n = Sentences(keep=True), [], [], [], 0
     for a, _, data, offsets in groups(sample.column("t").combine_chunks(), 1 << 18):
         w, s, o, _, _ = reader.of(data, offsets)
@@ -201,15 +218,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         sentences.append((s + n).astype(np.int32))
         owners.append((o + a).astype(np.int32))
         n += len(o)
-    del sample
     words, sentences, owners = np.concatenate(words), np.concatenate(sentences), np.concatenate(owners)
     found, many = (np.concatenate(x) for x in zip(*reader.lists, strict=True)) if reader.lists else (np.zeros(0, np.int32), np.zeros(0, np.int64))
     del reader
     weight = np.where(y == 1, len(y) / (2 * (y == 1).sum()), len(y) / (2 * (y == 0).sum()))
-    model = fit(words, sentences, owners, found, many, y, weight)
-    del words, sentences, owners, found, many
-    give_back()
-    return model
+    return fit(words, sentences, owners, found, many, y, weight)
 
 
 def fit(words: np.ndarray, sentence: np.ndarray, owner: np.ndarray, found: np.ndarray, many: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Model:
