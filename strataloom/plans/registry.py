@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import generated, graphs, knowledge, structure
+from . import composites, generated, graphs, knowledge, structure
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**knowledge.QUERIES, **structure.QUERIES, **graphs.QUERIES}
-ORACLE_SQL: dict[str, str] = {**knowledge.ORACLE_SQL, **structure.ORACLE_SQL, **graphs.ORACLE_SQL, **generated.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**knowledge.QUERIES, **structure.QUERIES, **graphs.QUERIES, **composites.QUERIES}
+ORACLE_SQL: dict[str, str] = {**knowledge.ORACLE_SQL, **structure.ORACLE_SQL, **graphs.ORACLE_SQL, **generated.ORACLE_SQL, **composites.ORACLE_SQL}
