@@ -159,10 +159,11 @@ def compare_documents(docs: DataFrame) -> DataFrame:
     parts = parts.select("doc_id", "bucket", "pos", "guest", "n_chars", "head", "given", kept.alias("kept"), F.concat(F.right("head", lines), "tail").alias("lost"), F.concat(F.right("head", lines), "given").alias("new"))
     texts = F.array(*(F.struct(F.lit(i).alias("v"), F.col(c).alias("t")) for i, c in enumerate(("kept", "lost", "new"))))
     # one bucket is in one partition, so the sums and the next row's are found without another shuffle
-    sums = _lane_sums(parts.select("bucket", "pos", texts.alias("texts")), ["bucket", "pos"], "texts")
+    # doc_id is a key here only so that both branches read the same columns of one shuffle of the texts
+    sums = _lane_sums(parts.select("bucket", "pos", "doc_id", texts.alias("texts")), ["bucket", "pos", "doc_id"], "texts")
     total = lambda c, v: F.sum(F.when(F.col("v") != v, F.col(c)).otherwise(F.lit(0).cast("bigint")))
     names = ["n", *(f"s{k}" for k in range(LANES // 2))]
-    added = sums.groupBy("bucket", "pos").agg(*(total(c, 2).alias(f"own_{c}") for c in names), *(total(c, 1).alias(f"edited_{c}") for c in names))
+    added = sums.groupBy("bucket", "pos", "doc_id").agg(*(total(c, 2).alias(f"own_{c}") for c in names), *(total(c, 1).alias(f"edited_{c}") for c in names))
     lanes = added.select("bucket", "pos", _lanes("own_s", "own_n").alias("own"), _lanes("edited_s", "edited_n").alias("edited"))
     lanes = lanes.withColumn("next", F.lead("own").over(Window.partitionBy("bucket").orderBy("pos")))
     lanes = lanes.select(F.col("bucket").alias("b"), F.col("pos").alias("p"), "own", "edited", likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
