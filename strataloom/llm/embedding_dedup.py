@@ -2,11 +2,14 @@
 
 Vectors are normalised, so cosine 0.95 is a distance.  Each of several tables has a key of several
 quantised Gaussian projections, floor((a.v + b) / w); near vectors share a key in some table with a
-probability that the numbers of tables and projections set.  Vectors with a key in common are
-compared by exact cosine in blocks.  A bucket reports only links that
-join its parts (a spanning forest), never its pairs; oversized buckets are
-split into blocks whose pairs are compared in different tasks.  Linked vectors
-lie in the same component, so each component's exact comparison, in blocks too, counts all
+probability that the numbers of tables and projections set.  Keys travel with ids and sketches (the signs of 64 more
+projections), not with vectors: of vectors with a key in common those are candidates whose
+sketches differ as little as near ones' do, and only they are fetched and compared by exact
+cosine in double precision.
+
+Pairs inside a dense group aren't listed: in a few tables each key's vectors are first checked against one of them,
+and then only pairs of different groups are candidates.  Linked vectors
+lie in the same component, so each component's exact comparison, in blocks, counts all
 links, also those between vectors that no table brought together.
 """
 
@@ -24,10 +27,16 @@ from ..session import staged
 from .arrow import bound_batches
 from .components import components
 
-#: Width of a quantisation step, the chance to miss a pair at the threshold, and the seed of the projections.
-WIDTH, MISS, SEED = 2.0, 1e-4, 7
-#: Vectors of a bucket or component that one block holds; groups of more are dealt out as pairs of blocks.
-BLOCK = 1024
+#: Width of a quantisation step, the chance to miss a pair at the threshold by keys and by sketches, and the seed of the projections.
+WIDTH, MISS, SKETCH_MISS, SEED = 2.0, 1e-4, 2e-5, 7
+#: Unrelated vectors that share a vector's key in a table, about.
+MATES = 16
+#: Tables of each of the rounds that check a key's vectors against one of them.
+STAR_TABLES = 6
+#: A group of rows is compared in blocks of BLOCK rows, in larger ones where that would make more than MOST_BLOCKS, and in more blocks where they would be larger than LARGEST.
+BLOCK, MOST_BLOCKS, LARGEST = 128, 64, 8192
+#: Rows of one key that are compared where they meet; more are dealt out in blocks.
+HELD = 4096
 
 
 def collision(distance: float, width: float = WIDTH) -> float:
@@ -37,12 +46,22 @@ def collision(distance: float, width: float = WIDTH) -> float:
 
 
 def plan(n: int, threshold: float) -> tuple[int, int]:
-    """Projections a key and tables: unrelated vectors meet about once a table, pairs at the threshold are missed with chance MISS."""
+    """Projections a key and tables: MATES unrelated vectors share a key, pairs at the threshold are missed with chance MISS."""
     near, far = collision(math.sqrt(2 - 2 * threshold)), collision(math.sqrt(2))
-    k = max(4, math.ceil(math.log(max(n, 2)) / math.log(1 / far)))
+    k = max(4, math.ceil(math.log(max(n / MATES, 2)) / math.log(1 / far)))
     return k, math.ceil(math.log(MISS) / math.log(1 - near**k))
 
 
+def most_apart(threshold: float) -> int:
+    """The bits of 64 by which the sketches of vectors at the threshold differ, exceeded with chance SKETCH_MISS."""
+    p, left = math.acos(threshold) / math.pi, 1.0
+    for c in range(65):
+        left -= math.comb(64, c) * p**c * (1 - p) ** (64 - c)
+        if left <= SKETCH_MISS:
+            return c
+    return 64
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """A list column whose lists have one length, as float64 rows."""
     n = len(column)
@@ -61,26 +80,32 @@ def _by_width(batch: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
         yield batch if (lengths == d).all() else batch.filter(pa.array(lengths == d))
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """The links (a, b) that join parts not joined before."""
-    up, out = list(range(n)), []
+def _sketched(vectors: DataFrame) -> DataFrame:
+    """Add sketch to (id, v, ...)."""
+    names = vectors.columns
 
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[int, np.ndarray] = {}
+        for whole in batches:
+            for batch in _by_width(whole, "v"):
+                rows = _matrix(batch.column("v"))
+                if not len(rows):
+                    continue
+                d = rows.shape[1]
+                if d not in planes:
+                    planes[d] = np.random.default_rng([SEED, d, 1]).standard_normal((d, 64))
+                bits = np.packbits((_unit(rows) @ planes[d]) >= 0, axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.ascontiguousarray(bits).view(np.int64).ravel())], names=[*names, "sketch"])
+
+    return vectors.mapInArrow(signs, _schema(vectors) + ", sketch bigint")
 
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = root(x), root(y)
-        if p != q:
-            up[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
 
+def _schema(rows: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
-def _keys(vectors: DataFrame, per_key: int, tables: int) -> DataFrame:
-    """id, v and key for every table; keys of different tables or vector lengths differ."""
+
+def _keys(nodes: DataFrame, per_key: int, tables: int, first: int, last: int) -> DataFrame:
+    """key, id, sketch and grp for the tables ``first`` to ``last``; keys of different tables or vector lengths differ."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple] = {}
@@ -92,25 +117,137 @@ def _keys(vectors: DataFrame, per_key: int, tables: int) -> DataFrame:
                 d = rows.shape[1]
                 if d not in held:
                     rng = np.random.default_rng([SEED, d])
-                    held[d] = rng.standard_normal((d, per_key * tables)), rng.random(per_key * tables) * WIDTH, rng.integers(1, 1 << 62, (tables, per_key), dtype=np.int64) * 2 + 1, rng.integers(1, 1 << 62, tables, dtype=np.int64)
+                    planes, shifts = rng.standard_normal((d, per_key * tables)), rng.random(per_key * tables) * WIDTH
+                    odd, start = rng.integers(1, 1 << 62, (tables, per_key), dtype=np.int64) * 2 + 1, rng.integers(1, 1 << 62, tables, dtype=np.int64)
+                    held[d] = np.ascontiguousarray(planes[:, first * per_key : last * per_key]), shifts[first * per_key : last * per_key], odd[first:last], start[first:last]
                 planes, shifts, odd, start = held[d]
                 for i in range(0, len(rows), 256):
                     part = batch.slice(i, 256)
-                    steps = np.floor((_unit(rows[i : i + 256]) @ planes + shifts) / WIDTH).astype(np.int64).reshape(-1, tables, per_key)
+                    steps = np.floor((_unit(rows[i : i + 256]) @ planes + shifts) / WIDTH).astype(np.int64).reshape(-1, last - first, per_key)
                     key = (steps * odd).sum(axis=2) + start
                     key ^= key >> np.int64(31)
-                    owner = np.repeat(np.arange(len(steps)), tables)
-                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(owner)), part.column("v").take(pa.array(owner)), pa.array(key.ravel())], names=["id", "v", "key"])
-
-    return vectors.select("id", "v").mapInArrow(hashed, "id bigint, v array<float>, key bigint")
+                    owner = pa.array(np.repeat(np.arange(len(steps)), last - first))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(part.column(c).take(owner) for c in ("id", "sketch", "grp"))], names=["key", "id", "sketch", "grp"])
+
+    return nodes.select("id", "v", "sketch", "grp").mapInArrow(hashed, "key bigint, id bigint, sketch bigint, grp bigint")
+
+
+def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [np.asarray(batch.column(c)) for c in names]
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((x ^ y).view(np.uint64))
+
+
+def _stars(most: int):
+    """Sorted by key: candidates (a, b) of each key's first vector and the others of other groups."""
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # key, id, sketch and grp of the first row of the last key
+        for batch in batches:
+            key, id_, sketch, grp = _columns(batch, "key", "id", "sketch", "grp")
+            if not len(key):
+                continue
+            at = np.where(np.concatenate([[last is None or last[0] != key[0]], key[1:] != key[:-1]]), np.arange(len(key)), -1)
+            at = np.maximum.accumulate(at)
+            old = at < 0
+            centre = [np.where(old, last[k] if last else 0, c[at]) for k, c in enumerate((key, id_, sketch, grp))]
+            last = tuple(int(c[-1]) for c in centre)
+            some = (centre[3] != grp) & (_apart(centre[2], sketch) <= most)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(centre[1], id_)[some]), pa.array(np.maximum(centre[1], id_)[some])], names=["a", "b"])
+
+    return star
+
+
+def _block_pairs(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...] | None, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates of two blocks (id, sketch, grp), or within the first."""
+    other = x if y is None else y
+    for i in range(0, len(x[0]), 512):
+        near = (_apart(x[1][i : i + 512, None], other[1][None, :]) <= most) & (x[2][i : i + 512, None] != other[2][None, :])
+        p, q = np.nonzero(near)
+        p += i
+        if y is None:
+            p, q = p[p < q], q[p < q]
+        yield x[0][p], other[0][q]
+
+
+def _pairs(most: int):
+    """Sorted by key: candidates (a, b) of different groups, and, with n 1, the rows of keys of more than HELD rows."""
+    names = ["n", "a", "b", "sketch", "grp"]
+
+    def cells(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        zero = pa.array(np.zeros(len(a), np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), zero, zero], names=names)
+
+    def large(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(batch.num_rows, np.int32)), *(batch.column(c) for c in ("key", "id", "sketch", "grp"))], names=names)
+
+    def compare(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        key, id_, sketch, grp = _columns(rows, "key", "id", "sketch", "grp")
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        mixed = np.minimum.reduceat(grp, starts) != np.maximum.reduceat(grp, starts)
+        few = np.repeat(mixed & (sizes <= 64), sizes)
+        left = np.flatnonzero(few)
+        for d in range(1, 64):  # small keys all at once: each row with the d-th one behind it
+            left = left[left + d < len(key)]
+            left = left[key[left] == key[left + d]]
+            if not len(left):
+                break
+            some = left[(grp[left] != grp[left + d]) & (_apart(sketch[left], sketch[left + d]) <= most)]
+            if len(some):
+                yield cells(id_[some], id_[some + d])
+        for k in np.flatnonzero(mixed & (sizes > 64)):
+            part = slice(starts[k], starts[k] + sizes[k])
+            for a, b in _block_pairs((id_[part], sketch[part], grp[part]), None, most):
+                if len(a):
+                    yield cells(a, b)
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the last key, if not too many
+        many, over = 0, None  # over: the key whose rows go on as they are
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.asarray(batch.column("key"))
+            if over is not None:
+                n = int(np.searchsorted(key, over, "right")) if key[0] == over else 0
+                if n:
+                    yield large(batch.slice(0, n))
+                if n == batch.num_rows:
+                    continue
+                batch, key, over = batch.slice(n), key[n:], None
+            cut = int(np.searchsorted(key, key[-1]))
+            if held and held[0].column("key")[0].as_py() != key[0]:
+                yield from compare(_joined(held))
+                held, many = [], 0
+            if cut:
+                yield from compare(_joined([*held, batch.slice(0, cut)]))
+                held, many = [], 0
+            held.append(batch.slice(cut))
+            many += batch.num_rows - cut
+            if many > HELD:
+                over = int(key[-1])
+                yield from map(large, held)
+                held, many = [], 0
+        if held:
+            yield from compare(_joined(held))
+
+    return pair
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
 def _dealt(rows: DataFrame, counts: DataFrame, key: str) -> DataFrame:
     """Add block pairs (lo, hi) and side to ``rows``: one pair for small groups, all pairs of blocks for those in ``counts``.
 
-    A group of m rows is m / BLOCK blocks; each row goes to every pair that its block is in.
+    Each row goes to every pair that its block is in.
     """
-    big = staged(counts.where(F.col("n") > BLOCK).select(F.col(key).alias("big"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "blocks")
+    blocks = F.greatest(F.ceil(F.col("n") / LARGEST), F.least(F.ceil(F.col("n") / BLOCK), F.lit(MOST_BLOCKS))).cast("int")
+    big = staged(counts.where(F.col("n") > BLOCK).select(F.col(key).alias("big"), blocks.alias("blocks")), "blocks")
     few = big.count() <= 100_000
     joined = rows.join(F.broadcast(big) if few else big, F.col(key) == F.col("big"), "left")
     mine = F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -150,34 +287,46 @@ def _runs(batch: pa.RecordBatch, by: list[str]) -> list[tuple[int, int]]:
     return list(zip(edges.tolist(), np.append(edges[1:], batch.num_rows).tolist(), strict=True))
 
 
-def _near(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    return np.nonzero(x @ y.T >= threshold)
-
-
-def _links(rows: DataFrame, threshold: float) -> DataFrame:
-    """Spanning links (a, b) of every bucket's block pair."""
+def _large_pairs(rows: DataFrame, most: int) -> DataFrame:
+    """Candidates (a, b) of rows (key, id, sketch, grp) of keys with many, by block pairs in different tasks."""
     by = ["key", "lo", "hi"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches, by):
-            ids, side, out = np.asarray(batch.column("id")), batch.column("side").to_numpy(zero_copy_only=False), []
-            lengths = np.asarray(batch.column("v").value_lengths())
+            id_, sketch, grp, lo, hi = _columns(batch, "id", "sketch", "grp", "lo", "hi")
+            side = batch.column("side").to_numpy(zero_copy_only=False)
             for a, b in _runs(batch, by):
-                if b - a < 2 or (lengths[a:b] != lengths[a]).any():
-                    continue  # alone; the key includes the length
-                v, s, own = _unit(_matrix(batch.column("v").slice(a, b - a))), side[a:b], ids[a:b]
-                if s.any():  # two different blocks
-                    left, right = np.flatnonzero(~s), np.flatnonzero(s)
-                    i, j = _near(v[left], v[right], threshold)
-                    i, j = left[i], right[j]
-                else:
-                    i, j = _near(v, v, threshold)
-                    i, j = i[i < j], j[i < j]
-                out += [(own[p], own[q]) for p, q in _forest(i, j, b - a)]
-            pairs = np.array(out, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                x, s = tuple(c[a:b] for c in (id_, sketch, grp)), side[a:b]
+                same = lo[a] == hi[a]
+                for p, q in _block_pairs(tuple(c[~s] for c in x), None if same else tuple(c[s] for c in x), most):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
+    dealt = _dealt(rows, rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "a bigint, b bigint")
+
 
-    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "a bigint, b bigint")
+def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """The groups (a, b) of the pairs (a, b) whose vectors are near enough."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _by_width(batch, "va"):
+                part = part.filter(pa.array(np.asarray(part.column("va").value_lengths()) == np.asarray(part.column("vb").value_lengths())))
+                if part.num_rows:
+                    good = (_unit(_matrix(part.column("va"))) * _unit(_matrix(part.column("vb")))).sum(axis=1) >= threshold
+                    yield pa.RecordBatch.from_arrays([part.column("ga").filter(pa.array(good)), part.column("gb").filter(pa.array(good))], names=["a", "b"])
+
+    ends = pairs.select(F.col("a").alias("e")).unionByName(pairs.select(F.col("b").alias("e"))).distinct()
+    met = nodes.join(ends, F.col("id") == F.col("e"), "left_semi")  # only these vectors move
+    x, y = (met.select(F.col("id").alias(c), F.col("v").alias(f"v{c}"), F.col("grp").alias(f"g{c}")) for c in "ab")
+    return pairs.join(x, "a").join(y, "b").select("va", "vb", "ga", "gb").mapInArrow(near, "a bigint, b bigint").distinct()
+
+
+def _regrouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``nodes`` with the groups that ``links`` (a, b) join made one."""
+    found = staged(components(links), "joined")
+    small = found.count() <= 200_000
+    return staged(nodes.join(F.broadcast(found) if small else found, F.col("grp") == F.col("node"), "left").withColumn("grp", F.coalesce("root", "grp")).drop("node", "root"), "grouped")
 
 
 def _counts(rows: DataFrame, threshold: float) -> DataFrame:
@@ -212,26 +361,43 @@ def _valid(v: Column) -> Column:
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """key, n_links, component_id and kept of every row.
 
-    Rows at cosine ``threshold`` or more are linked; component_id is the least key reachable.
+    Rows at cosine ``threshold`` or more, in double precision, are linked; component_id is the least key reachable.
     Vectors that are null, empty, zero or hold null or non-finite numbers link with
     nothing; neither do vectors of different lengths.  Equal vectors, repeated rows too, are
-    compared once and counted as often as they occur.  Keys must not be null for vectors that link; a null key's component is null.  An empty
+    compared once and counted as often as they occur.  Rows with a null key have links like others but aren't the least
+    unless no key is there (then component_id is null).  An empty
     table gives an empty table; other columns are ignored.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
-    rows = staged(vectors.select(F.col(key).cast("bigint").alias("vec"), F.col(column).cast("array<float>").alias("v")).withColumn("valid", _valid(F.col("v"))), "vectors")
-    distinct = rows.where("valid").groupBy("v").agg(F.min("vec").alias("id"), F.count(F.lit(1)).alias("copies")).where("id is not null")
-    distinct = staged(distinct, "distinct")
-    per_key, tables = plan(distinct.count(), threshold)
-    keyed = _keys(distinct, per_key, tables)
-    sizes = _keys(distinct, per_key, tables).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    found = staged(components(_links(_dealt(keyed, sizes, "key"), threshold)), "components")
-    members = staged(distinct.join(found, F.col("id") == F.col("node")).select("id", "v", "copies", "root"), "members")
-    counted = _counts(_dealt(members, members.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root"), threshold)
-    about = distinct.join(found.select(F.col("node"), "root"), F.col("id") == F.col("node"), "left").join(counted.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left")
-    about = staged(about.select(F.col("v").alias("dv"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "id").alias("component")), "linked")
+    kind = "array<float>" if vectors.schema[column].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = staged(vectors.select(F.col(key).cast("bigint").alias("vec"), F.col(column).cast(kind).alias("v")).withColumn("valid", _valid(F.col("v"))), "vectors")
+    distinct = rows.where("valid").groupBy("v").agg(F.min("vec").alias("least"), F.count(F.lit(1)).alias("copies"))
+    nodes = staged(_sketched(distinct.withColumn("id", F.monotonically_increasing_id())).withColumn("grp", F.col("id")), "nodes")
+    (per_key, tables), most = plan(nodes.count(), threshold), most_apart(threshold)
+    for turn in range(3):
+        star = turn < 2
+        first, last = (turn * STAR_TABLES, (turn + 1) * STAR_TABLES) if star else (0, tables)
+        first, last = min(first, tables), min(last, tables)
+        if first == last:
+            continue
+        keyed = _keys(nodes, per_key, tables, first, last).repartition("key").sortWithinPartitions("key", *(["id"] if star else []))
+        if star:
+            pairs = staged(keyed.mapInArrow(_stars(most), "a bigint, b bigint").distinct(), "pairs")
+        else:
+            met = staged(keyed.mapInArrow(_pairs(most), "n int, a bigint, b bigint, sketch bigint, grp bigint"), "met")
+            large = met.where("n = 1").select(F.col("a").alias("key"), F.col("b").alias("id"), "sketch", "grp")
+            pairs = met.where("n = 0").select("a", "b")
+            if not large.isEmpty():
+                pairs = pairs.unionByName(_large_pairs(large, most))
+            pairs = staged(pairs.distinct(), "pairs")
+        nodes = _regrouped(nodes, _verified(pairs, nodes, threshold))
+    sizes = staged(nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("component")), "sizes")
+    several = sizes.where("n > 1").select(F.col("grp").alias("root"), "n")
+    members = nodes.join(several.select(F.col("root").alias("r")), F.col("grp") == F.col("r"), "left_semi").select("id", "v", "copies", F.col("grp").alias("root"))
+    counted = staged(_counts(_dealt(members, several, "root"), threshold), "counted")
+    about = nodes.join(counted.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left").join(sizes.select(F.col("grp").alias("g"), "component"), F.col("grp") == F.col("g"))
+    about = staged(about.select(F.col("v").alias("dv"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("links"), "component"), "linked")
     joined = rows.where("valid").join(about, F.col("v") == F.col("dv"), "left").select("vec", "links", "component")
-    every = joined.unionByName(rows.where("not valid").select("vec", F.lit(None).cast("bigint").alias("links"), F.lit(None).cast("bigint").alias("component")))
-    component = F.coalesce("component", "vec")
-    return every.select(F.col("vec").alias(key), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("vec").eqNullSafe(component).alias("kept"))
+    every = joined.unionByName(rows.where("not valid").select("vec", F.lit(0).cast("bigint").alias("links"), F.col("vec").alias("component")))
+    return every.select(F.col("vec").alias(key), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), F.col("component").alias("component_id"), F.col("vec").eqNullSafe(F.col("component")).alias("kept"))

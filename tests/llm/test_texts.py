@@ -210,7 +210,7 @@ def test_secrets_by_randomness(spark):
     assert len(right) > 75 and len(hits) - len(right) <= 0.1 * len(hits) and hits[right[0]] == "random:4:48"
 
 
-def test_embeddings(spark):
+def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(7)
     rows = []
     for _ in range(40):
@@ -227,10 +227,19 @@ def test_embeddings(spark):
     counts = Counter(x for pair in links for x in pair)
     least = {k: min(ids[i] for i in range(len(ids)) if roots[i] == k) for k in set(roots)}
     want = Counter((ids[i], counts[i], least[roots[i]], ids[i] == least[roots[i]]) for i in range(len(ids)))
-    for block in (1024, 3):
-        embedding_dedup.BLOCK = block
-        try:
-            assert Counter(map(tuple, embedding_dedup.near_duplicates(vectors).collect())) == want
-        finally:
-            embedding_dedup.BLOCK = 1024
+    for block, held in ((128, 4096), (3, 4096), (3, 2)):
+        monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+        monkeypatch.setattr(embedding_dedup, "HELD", held)
+        assert Counter(map(tuple, embedding_dedup.near_duplicates(vectors).collect())) == want
     assert embedding_dedup.near_duplicates(vectors.limit(0)).count() == 0
+
+
+def test_embeddings_in_double_precision(spark):
+    """Two cosines that floats can't tell apart, numbers beyond floats, and null keys."""
+    t = 0.95
+    near, far = [1.0, (1 / (t + 1e-12) ** 2 - 1) ** 0.5], [1.0, (1 / (t - 1e-12) ** 2 - 1) ** 0.5]
+    rows = [(1, [1.0, 0.0]), (2, near), (4, [0.0, 0.0, 1e200]), (3, [0.0, 0.0, 1e250]), (None, [0.0, 1e-200, 0.0, 0.0]), (None, [0.0, 1e-220, 0.0, 0.0]), (7, [0.0, 1.0, 0.0, 0.0, 0.0]), (None, [0.0, 2.0, 0.0, 0.0, 0.0])]
+    found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert Counter(map(tuple, found)) == Counter([(1, 1, 1, True), (2, 1, 1, False), (4, 1, 3, False), (3, 1, 3, True), (None, 1, None, True), (None, 1, None, True), (7, 1, 7, True), (None, 1, 7, False)])
+    found = embedding_dedup.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0]), (2, far)], "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, found)) == [(1, 0, 1, True), (2, 0, 2, True)]
