@@ -70,10 +70,8 @@ def replicate(docs: DataFrame, rate: DataFrame, seed: int = 0, key: str = "doc_i
     small = table.count() <= BROADCAST_SOURCES
     joined = docs.join(F.broadcast(table) if small else table, F.col(source).eqNullSafe(F.col("__source")))
     who = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    draws = F.transform(
-        F.sequence(F.lit(0), F.col("__parts") - 1),
-        lambda j: F.size(F.filter("__cumulative", lambda c: c <= uniform(F.lit(seed), who, j))),
-    )
+    drawn = F.transform(F.sequence(F.lit(0), F.col("__parts") - 1), lambda j: uniform(F.lit(seed), who, j))  # once, before the search
+    draws = F.transform(drawn, lambda u: F.size(F.filter("__cumulative", lambda c: c <= u)))
     copies = F.aggregate(draws, F.lit(0).cast("bigint"), lambda acc, n: acc + n)
     some = joined.withColumn("copies", copies).where("copies > 0").drop("__source", "__parts", "__cumulative")
     each = some.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import discard, staged
 from .arrow import bound_batches, give_back
 from .components import components
 from .simhash import SEED, _lowered, keep_least, majority, near_pairs, shingle_bounds
@@ -164,6 +164,7 @@ def near_copies(docs: DataFrame, row: str, text: str = "text") -> DataFrame:
     hashes = staged(shingles(docs.join(ones, F.col(row) == F.col("__one")).select("set_id", text)), "shingles")
     checked = None
     for turn in range(STARS + 2):
+        mixed = None
         if turn == 0:  # what the fingerprints say
             x, y = (nodes.select(*(F.col(c).alias(f"{c}_{e}") for c in (*_SET, "grp"))) for e in "xy")
             both = alike.join(x, F.col("x") == F.col("set_id_x")).join(y, F.col("y") == F.col("set_id_y"))
@@ -185,7 +186,9 @@ def near_copies(docs: DataFrame, row: str, text: str = "text") -> DataFrame:
         pairs = staged(pairs, "pairs")
         done = pairs.select("a", "b")
         checked = done if checked is None else checked.unionByName(done)
-        nodes = _regrouped(nodes, _verified(pairs, hashes))
+        before, nodes = nodes, _regrouped(nodes, _verified(pairs, hashes))
+        discard(before, *([] if mixed is None else [mixed]))
+    discard(keyed, hashes, alike)
     return rows.select(row, F.col("set_id").alias("s")).join(nodes, F.col("s") == F.col("set_id"), "left").select(row, F.coalesce("grp", "s").alias("grp"))
 
 

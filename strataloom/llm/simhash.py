@@ -10,7 +10,8 @@ fingerprint emits all variants within half that radius, 1 bit:
    meet, and colliding pairs that step 1 hasn't joined are verified on all bits.
 
 So links of all distances up to 3 are found, with 196 variants a fingerprint instead of the 2081
-of a ball of radius 2, and pairs inside a group of copies are never listed.
+of a ball of radius 2, and pairs inside a group of copies are never listed.  Variants of many fingerprints
+are compared in blocks by several tasks.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 from .arrow import bound_batches, give_back
+from .blocks import candidate_pairs
 from .components import components
 from .tokens import groups, words_of
 
@@ -148,45 +150,21 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(centres[other]), pa.array(print_[other])], names=["a", "b"])
 
 
-def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by variant: keep the rows of variants that several groups share."""
-    held: list[pa.RecordBatch] = []
-
-    def mixed(rows: pa.RecordBatch) -> pa.RecordBatch:
-        variant, group = np.asarray(rows.column("variant")), np.asarray(rows.column("grp"))
-        starts = np.flatnonzero(np.concatenate([[True], variant[1:] != variant[:-1]]))
-        several = np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts)
-        return rows.filter(pa.array(np.repeat(several, np.diff(np.append(starts, len(variant))))))
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        variant = np.asarray(batch.column("variant"))
-        cut = int(np.searchsorted(variant, variant[-1]))  # the last variant may go on
-        if cut or (held and held[-1].column("variant")[-1].as_py() != variant[0]):
-            rows = pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()
-            held = []
-            yield from (mixed(r) for r in rows if r.num_rows)
-        held.append(batch.slice(cut))
-    if held:
-        yield from (mixed(r) for r in pa.Table.from_batches(held).combine_chunks().to_batches() if r.num_rows)
-
-
 def near_pairs(prints: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs (a, b) of the distinct fingerprints of ``prints`` within 3 bits, enough to join all that are.
 
     The stars of step 1, the groups (node, root) that they make, and the pairs of step 2 with their groups (ga, gb).
     """
+    bound_batches(prints.sparkSession)
     near = _variants(prints.select("fingerprint"), _full_variants()).repartition("variant").sortWithinPartitions("variant", "fingerprint")
     stars = staged(near.mapInArrow(_stars, "a bigint, b bigint").distinct(), "stars")
     first = staged(components(stars), "near")
     grouped = prints.select("fingerprint").join(first, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("grp"))
-    far = _variants(grouped, _block_variants()).repartition("variant").sortWithinPartitions("variant")
-    met = staged(far.mapInArrow(_mixed, "fingerprint bigint, grp bigint, variant bigint"), "met")
-    x, y = met.alias("x"), met.alias("y")
-    apart = F.bit_count(F.col("x.fingerprint").bitwiseXOR(F.col("y.fingerprint")))
-    pairs = x.join(y, (F.col("x.variant") == F.col("y.variant")) & (F.col("x.grp") < F.col("y.grp")) & (apart <= 3))
-    return stars, first, pairs.select(F.col("x.fingerprint").alias("a"), F.col("y.fingerprint").alias("b"), F.col("x.grp").alias("ga"), F.col("y.grp").alias("gb"))
+    far = _variants(grouped, _block_variants()).select(F.col("variant").alias("key"), F.col("fingerprint").alias("id"), F.col("fingerprint").alias("sketch"), "grp")
+    groups = grouped.select(F.col("fingerprint").alias("f"), "grp")
+    pairs = candidate_pairs(far, 3)
+    ends = pairs.join(groups.select(F.col("f").alias("a"), F.col("grp").alias("ga")), "a").join(groups.select(F.col("f").alias("b"), F.col("grp").alias("gb")), "b")
+    return stars, first, ends.select("a", "b", "ga", "gb")
 
 
 def link_fingerprints(prints: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from .arrow import give_back
 
 #: A worker forgets its pieces when it holds so many, or so many of their ids.
-MAX_WORDS, MAX_POOL = 1 << 20, 1 << 23
+MAX_WORDS, MAX_POOL = 400_000, 1 << 21
 #: Texts are cut at white space into segments of about so many bytes while pieces are found; new ones are learnt so many at once.
 SEGMENT, LEARN = 1 << 20, 1 << 14
 #: Longer byte ranges are hashed one by one: sums of powers are too regular for them.
@@ -181,7 +181,7 @@ class TextIds:
 
     def _forget(self) -> None:
         self.places = Places()
-        self.starts, self.sizes, self.pool, self.n_words, self.n_ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.uint32), 0, 0
+        self.starts, self.sizes, self.pool, self.n_words, self.n_ids = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.uint32), 0, 0
 
     def _encode(self, words: list[bytes], whole: list[bool]) -> list[bytes]:
         """The ids of each; pieces go through the library many at once, between spaces."""
@@ -208,9 +208,9 @@ class TextIds:
         flat = np.frombuffer(b"".join(ids), np.uint32)
         need_words, need_ids = self.n_words + len(ids), self.n_ids + len(flat)
         if need_words > len(self.sizes):
-            self.sizes, self.starts = np.resize(self.sizes, 2 * need_words), np.resize(self.starts, 2 * need_words)
+            self.sizes, self.starts = np.resize(self.sizes, need_words * 5 // 4), np.resize(self.starts, need_words * 5 // 4)
         if need_ids > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * need_ids)
+            self.pool = np.resize(self.pool, need_ids * 5 // 4)
         self.sizes[self.n_words : need_words] = sizes
         self.starts[self.n_words : need_words] = self.n_ids + np.cumsum(sizes) - sizes
         self.pool[self.n_ids : need_ids] = flat
@@ -236,7 +236,7 @@ class TextIds:
             numbers[missing] = new[np.searchsorted(fresh, hashes[missing])]
         sizes = self.sizes[numbers].astype(np.int64)
         first = np.cumsum(sizes) - sizes
-        ids = self.pool[np.arange(int(sizes.sum())) + np.repeat(self.starts[numbers] - first, sizes)]
+        ids = self.pool[np.arange(int(sizes.sum())) + np.repeat(self.starts[numbers].astype(np.int64) - first, sizes)]
         return ids, starts, sizes
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,7 +277,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(buffer, np.uint8) if buffer else np.zeros(0, np.uint8), offsets
 
 
-def groups(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def groups(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows a to b of a text column at a time, about ``size`` bytes or one text, with their bytes and offsets."""
     data, offsets = text_bytes(column)
     a, n = 0, len(offsets) - 1

@@ -39,7 +39,7 @@ START = 60
 FOLDS = 5
 _END = re.compile(r"[.!?…][^\w]*\Z")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_WORDS = 300_000
+_WORDS = 200_000
 
 
 def held_out(key: Column) -> Column:
@@ -199,6 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One task, of a bounded sample (h, k, t, y): the model as a row."""
+    give_back()
     held = [b for b in batches if b.num_rows]
     sample = pa.Table.from_batches(held).sort_by([("h", "ascending"), ("k", "ascending")]) if held else None
     model = _fitted(sample) if held else _constant(0.0)
@@ -221,6 +222,7 @@ def _fitted(sample: pa.Table) -> Model:
     words, sentences, owners = np.concatenate(words), np.concatenate(sentences), np.concatenate(owners)
     found, many = (np.concatenate(x) for x in zip(*reader.lists, strict=True)) if reader.lists else (np.zeros(0, np.int32), np.zeros(0, np.int64))
     del reader
+    give_back()
     weight = np.where(y == 1, len(y) / (2 * (y == 1).sum()), len(y) / (2 * (y == 0).sum()))
     return fit(words, sentences, owners, found, many, y, weight)
 

@@ -36,7 +36,7 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     """The store and path of a URI; file:/x and file:///x are the same."""
     if uri.startswith("file:") or "://" not in uri:
         return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1) if uri.startswith("s3a://") else uri)
 
 
 def base32_sha1(body: Column) -> Column:

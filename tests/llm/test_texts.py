@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strataloom.llm import embedding_dedup, fingerprints, secrets, simhash
+from strataloom.llm import blocks, embedding_dedup, fingerprints, secrets, simhash
 
 
 def components(n, links):
@@ -228,8 +228,8 @@ def test_embeddings(spark, monkeypatch):
     least = {k: min(ids[i] for i in range(len(ids)) if roots[i] == k) for k in set(roots)}
     want = Counter((ids[i], counts[i], least[roots[i]], ids[i] == least[roots[i]]) for i in range(len(ids)))
     for block, held in ((128, 4096), (3, 4096), (3, 2)):
-        monkeypatch.setattr(embedding_dedup, "BLOCK", block)
-        monkeypatch.setattr(embedding_dedup, "HELD", held)
+        monkeypatch.setattr(blocks, "BLOCK", block)
+        monkeypatch.setattr(blocks, "HELD", held)
         assert Counter(map(tuple, embedding_dedup.near_duplicates(vectors).collect())) == want
     assert embedding_dedup.near_duplicates(vectors.limit(0)).count() == 0
 
