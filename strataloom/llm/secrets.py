@@ -163,6 +163,15 @@ def _accepted(most: float, chance: Column, decoy: Column) -> Column:
     return ~decoy & (step >= round(-math.log10(most) * STEPS)) if most else F.lit(False)
 
 
+def _spans(docs: DataFrame, text: str, keys: list[str]) -> tuple[DataFrame, float]:
+    """The staged matches of ``docs`` with their places, and the greatest chance of a secret."""
+    matches = staged(found_matches(docs, keys, text), "matches")
+    before = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    most = level(matches)
+    taken = F.col("good") | F.coalesce(_accepted(most, F.col("chance"), F.col("decoy")), F.lit(False))
+    return matches.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(before)).withColumn("taken", taken), most
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_assign, n_access, n_hex, base_sha256 and spans of every whole text.
 
@@ -172,12 +181,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     key are kept; an empty table gives an empty table.  Other columns are ignored.
     """
     numbered = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    matches = staged(found_matches(numbered, ["row", "key"]), "matches")
-    most = level(matches)
-    before = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = matches.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(before))
-    taken = F.col("good") | F.coalesce(_accepted(most, F.col("chance"), F.col("decoy")), F.lit(False))
-    span = F.when(taken, F.struct((F.col("end") - F.col("len")).alias("start"), "kind", "end"))
+    placed, _ = _spans(numbered, "text", ["row", "key"])
+    span = F.when(F.col("taken"), F.struct((F.col("end") - F.col("len")).alias("start"), "kind", "end"))
     grouped = placed.groupBy("row", "key").agg(F.sort_array(F.collect_list(span)).alias("s"))
     name = lambda k: F.element_at(F.array(*(F.lit(x) for x in KINDS)), k + 1)
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -188,22 +193,31 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     )
 
 
+#: A table of spans of at most so many rows is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 100_000
+
+
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by ``mark``, kind after kind; a null text stays null."""
+    """``docs`` with every secret in ``text`` replaced by ``mark``; spans that overlap are replaced as one.
+
+    The texts are searched once; then only those with a secret are rewritten.  A null text stays null, repeated rows are each
+    rewritten, an empty table stays empty; other columns are as they were.
+    """
+    names = docs.columns
+    numbered = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    placed, _ = _spans(numbered.select(F.col("__row").alias("row"), F.col(text).alias("text")), "text", ["row"])
+    found = placed.where("taken").groupBy("row").agg(F.sort_array(F.collect_list(F.struct((F.col("end") - F.col("len")).cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias("__s"))
+    found = staged(found.select(F.col("row").alias("__r"), "__s"), "spans")
+    small = found.count() <= BROADCAST_ROWS
+    joined = numbered.join(F.broadcast(found) if small else found, F.col("__row") == F.col("__r"), "left")
+    # the text behind each span up to the next; a span that begins inside the ones before it only moves their end
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     body = F.col(text)
-    found = docs.select(_matches(F.coalesce(body, F.lit("")), "random").alias("m")).select(F.explode("m").alias("m")).select("m.*")
-    most = level(found)
-    out = docs
-    for kind in KINDS:
-        pattern = {"assign": ASSIGN, "access": ACCESS, "hex": HEX.replace("+", f"{{{LEAST['hex']},}}"), "random": CANDIDATE}[kind]
-        gaps, every = F.split(body, pattern, -1), F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
-        values = F.regexp_extract_all(body, F.lit(pattern), F.lit(2)) if kind == "assign" else every
-        bound = F.array(F.struct(gaps.alias("g"), every.alias("f"), values.alias("v")))
-
-        def swap(m: Column, value: Column, kind: str = kind) -> Column:
-            bad = _accepted(most, chance(m), is_decoy(m)) if kind == "random" else F.length(value) >= LEAST[kind]
-            return F.when(bad, F.lit(mark)).otherwise(m)
-
-        pieces = F.flatten(F.transform(bound, lambda s: F.flatten(F.transform(s["g"], lambda g, i: F.when(i < F.size(s["f"]), F.array(g, swap(F.get(s["f"], i), F.get(s["v"], i)))).otherwise(F.array(g))))))
-        out = out.withColumn(text, F.when(body.rlike(pattern), F.array_join(pieces, "")).otherwise(body))
-    return out
+
+    def step(acc: Column, s: Column) -> Column:
+        apart = s["start"] >= acc["at"]
+        between = F.substring(body, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        return F.struct(F.when(apart, F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+    done = F.aggregate("__s", start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
+    return joined.withColumn(text, F.when(F.col("__s").isNotNull(), done).otherwise(body)).select(*names)

@@ -284,9 +284,9 @@ def gradient(theta: np.ndarray, bias: float, words: np.ndarray, sentence: np.nda
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, held_out, score, predicted, sentences and the worst sentence's score of every whole text.
+    """key, held_out, score, predicted, sentences, and the worst sentence's score, start and end (code points) of every whole text.
 
-    A null or empty text has no sentence and scores 0.  Repeated rows each give a row, a null
+    A null or empty text has no sentence, scores 0 and has no place.  Repeated rows each give a row, a null
     key is kept (its fold is that of an empty text); an empty table gives an empty table.
     """
     bound_batches(docs.sparkSession)
@@ -295,20 +295,27 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = model.reader()
         for batch in batches:
-            scores, many, worst = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            n = batch.num_rows
+            scores, many, worst, place = np.zeros(n), np.zeros(n, np.int64), np.zeros(n), np.zeros((2, n), np.int64)
             for a, b, data, offsets in groups(batch.column(2)):
-                f, s, owner, _, _ = reader.of(data, offsets)
+                f, s, owner, starts, ends = reader.of(data, offsets)
                 z = model.logits(f, s, len(owner))
                 scores[a:b] = _scores(z, owner, b - a)
                 many[a:b] = np.bincount(owner, minlength=b - a)
-                np.maximum.at(worst, owner + a, 1 / (1 + np.exp(-z)))
+                full = np.flatnonzero(many[a:b])
+                if len(full):
+                    first = np.lexsort((np.arange(len(z)), -z, owner))[np.searchsorted(owner, full)]  # the first of a text's worst sentences
+                    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                    worst[a + full] = 1 / (1 + np.exp(-z[first]))
+                    place[:, a + full] = points[np.stack([starts[first], ends[first]])] - points[offsets[full]]
             scores = np.clip(scores, 0.0, 1.0)
-            cells = [batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(many), pa.array(worst)]
-            yield pa.RecordBatch.from_arrays(cells, names=[key, "held_out", "score", "predicted", "sentences", "worst_score"])
+            none = many == 0
+            cells = [batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(many), pa.array(worst), pa.array(place[0], mask=none), pa.array(place[1], mask=none)]
+            yield pa.RecordBatch.from_arrays(cells, names=[key, "held_out", "score", "predicted", "sentences", "worst_score", "worst_start", "worst_end"])
         give_back()
 
     rows = docs.select(key, held_out(F.col(key)).alias("held_out"), text)
-    return rows.mapInArrow(rate, f"`{key}` {kind}, held_out boolean, score double, predicted int, sentences bigint, worst_score double")
+    return rows.mapInArrow(rate, f"`{key}` {kind}, held_out boolean, score double, predicted int, sentences bigint, worst_score double, worst_start bigint, worst_end bigint")
 
 
 def offending_sentences(docs: DataFrame, model: Model, least: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:

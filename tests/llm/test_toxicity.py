@@ -119,3 +119,5 @@ def test_offending_sentences(spark):
     rows = toxicity.offending_sentences(docs, toxicity.Model(found[:1], np.array([10.0]), -5.0)).collect()
     text = "Été fine. You IDIOT!### Bye\nidiot"
     assert [text[r.start : r.end] for r in sorted(rows, key=lambda r: r.start)] == ["You IDIOT!###", "idiot"]
+    scored = {r.doc_id: r for r in toxicity.score(docs, toxicity.Model(found[:1], np.array([10.0]), -5.0)).collect()}
+    assert text[scored[1].worst_start : scored[1].worst_end] == "You IDIOT!###" and scored[2].worst_start is None
