@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
+from .names import own
 
 #: A table of sources of at most so many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_SOURCES = 20_000
@@ -65,15 +66,16 @@ def replicate(docs: DataFrame, rate: DataFrame, seed: int = 0, key: str = "doc_i
     draws once for all its rows; an empty table stays empty.  Columns of
     ``docs`` with the names of the added ones are replaced, all others stay.
     """
-    spread = _distribution(rate).select(F.col("source").alias("__source"), F.col("parts").alias("__parts"), F.col("cumulative").alias("__cumulative"))
+    of, parts, cumulative = own(docs.columns, "__source", "__parts", "__cumulative")
+    spread = _distribution(rate).select(F.col("source").alias(of), F.col("parts").alias(parts), F.col("cumulative").alias(cumulative))
     table = staged(spread, "rates")
     small = table.count() <= BROADCAST_SOURCES
-    joined = docs.join(F.broadcast(table) if small else table, F.col(source).eqNullSafe(F.col("__source")))
+    joined = docs.join(F.broadcast(table) if small else table, F.col(source).eqNullSafe(F.col(of)))
     who = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    drawn = F.transform(F.sequence(F.lit(0), F.col("__parts") - 1), lambda j: uniform(F.lit(seed), who, j))  # once, before the search
-    draws = F.transform(drawn, lambda u: F.size(F.filter("__cumulative", lambda c: c <= u)))
+    drawn = F.transform(F.sequence(F.lit(0), F.col(parts) - 1), lambda j: uniform(F.lit(seed), who, j))  # once, before the search
+    draws = F.transform(drawn, lambda u: F.size(F.filter(cumulative, lambda c: c <= u)))
     copies = F.aggregate(draws, F.lit(0).cast("bigint"), lambda acc, n: acc + n)
-    some = joined.withColumn("copies", copies).where("copies > 0").drop("__source", "__parts", "__cumulative")
+    some = joined.withColumn("copies", copies).where("copies > 0").drop(of, parts, cumulative)
     each = some.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
     marked = each.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit("order"), F.lit(seed).cast("string"), who, F.col("copy").cast("string")).cast("binary")))
     return marked.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

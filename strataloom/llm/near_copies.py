@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..session import discard, staged
 from .arrow import bound_batches, give_back
 from .components import components
+from .names import own
 from .simhash import SEED, _lowered, keep_least, majority, near_pairs, shingle_bounds
 from .tokens import groups
 
@@ -198,5 +199,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     Rows are told apart by a row number, so only rows whose text another one's is
     near go, whatever their keys.
     """
-    numbered = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    return keep_least(numbered, near_copies(numbered, "__row", text), key, docs.columns)
+    (row,) = own(docs.columns, "__row")
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    return keep_least(numbered, row, near_copies(numbered, row, text), key, docs.columns)

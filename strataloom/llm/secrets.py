@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
+from .names import own
 
 #: The base patterns, and how long a match (for assign: its second group) must be.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -204,12 +205,13 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
     rewritten, an empty table stays empty; other columns are as they were.
     """
     names = docs.columns
-    numbered = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    placed, _ = _spans(numbered.select(F.col("__row").alias("row"), F.col(text).alias("text")), "text", ["row"])
-    found = placed.where("taken").groupBy("row").agg(F.sort_array(F.collect_list(F.struct((F.col("end") - F.col("len")).cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias("__s"))
-    found = staged(found.select(F.col("row").alias("__r"), "__s"), "spans")
+    row, of, spans = own(names, "__row", "__r", "__s")
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    placed, _ = _spans(numbered.select(F.col(row).alias("row"), F.col(text).alias("text")), "text", ["row"])
+    found = placed.where("taken").groupBy("row").agg(F.sort_array(F.collect_list(F.struct((F.col("end") - F.col("len")).cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias(spans))
+    found = staged(found.select(F.col("row").alias(of), spans), "spans")
     small = found.count() <= BROADCAST_ROWS
-    joined = numbered.join(F.broadcast(found) if small else found, F.col("__row") == F.col("__r"), "left")
+    joined = numbered.join(F.broadcast(found) if small else found, F.col(row) == F.col(of), "left")
     # the text behind each span up to the next; a span that begins inside the ones before it only moves their end
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     body = F.col(text)
@@ -219,5 +221,5 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
         between = F.substring(body, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         return F.struct(F.when(apart, F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    done = F.aggregate("__s", start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
-    return joined.withColumn(text, F.when(F.col("__s").isNotNull(), done).otherwise(body)).select(*names)
+    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
+    return joined.withColumn(text, F.when(F.col(spans).isNotNull(), done).otherwise(body)).select(*names)

@@ -28,6 +28,7 @@ from ..session import staged
 from .arrow import bound_batches, give_back
 from .blocks import candidate_pairs
 from .components import components
+from .names import own
 from .tokens import groups, words_of
 
 SEED = 42
@@ -193,19 +194,21 @@ def near_duplicates(docs: DataFrame, width: int = 3, key: str = "doc_id", text:
     return rows.join(label, F.col("fingerprint") == F.col("f")).select(key, "fingerprint", "component_id")
 
 
-def keep_least(numbered: DataFrame, groups: DataFrame, key: str, names: list[str]) -> DataFrame:
-    """The columns ``names`` of ``numbered`` (with __row), one row of each group of ``groups`` (__row, grp).
+def keep_least(numbered: DataFrame, row: str, groups: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """The columns ``names`` of ``numbered`` (with its row number), one row of each group of ``groups`` (row, grp).
 
-    The row of the least key stays (null last), of several the least numbered.  Rows are told apart by __row, so only
+    The row of the least key stays (null last), of several the least numbered.  Rows are told apart by number, so only
     rows of a group go, whatever their keys.  The rows that go are anti-joined: broadcast while they are few,
     shuffled beyond that, so the texts of a corpus with few copies don't move.
     """
-    placed = staged(groups.join(numbered.select("__row", F.col(key).alias("__key")), "__row"), "groups")
-    least = placed.groupBy("grp").agg(F.min(F.struct(F.col("__key").isNull().alias("no"), "__key", "__row"))["__row"].alias("__kept"), F.count(F.lit(1)).alias("n"))
-    several = least.where("n > 1").select(F.col("grp").alias("g"), "__kept")
-    out = staged(placed.join(several, F.col("grp") == F.col("g")).where("__row <> __kept").select(F.col("__row").alias("__out")), "out")
+    keys = numbered.select(F.col(row).alias("row"), F.col(key).alias("key"))
+    placed = staged(groups.select(F.col(row).alias("row"), "grp").join(keys, "row"), "groups")
+    least = placed.groupBy("grp").agg(F.min(F.struct(F.col("key").isNull().alias("no"), "key", "row"))["row"].alias("kept"), F.count(F.lit(1)).alias("n"))
+    several = least.where("n > 1").select(F.col("grp").alias("g"), "kept")
+    (gone,) = own(numbered.columns, "__out")
+    out = staged(placed.join(several, F.col("grp") == F.col("g")).where("row <> kept").select(F.col("row").alias(gone)), "out")
     small = out.count() <= 200_000
-    return numbered.join(F.broadcast(out) if small else out, F.col("__row") == F.col("__out"), "left_anti").select(*names)
+    return numbered.join(F.broadcast(out) if small else out, F.col(row) == F.col(gone), "left_anti").select(*names)
 
 
 def keep_one(docs: DataFrame, width: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -214,6 +217,7 @@ def keep_one(docs: DataFrame, width: int = 3, key: str = "doc_id", text: str = "
     Rows that share a key and have different texts go or stay by their texts; a row with a null key
     goes if another one's text is near.
     """
-    numbered = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(numbered, width, "__row", text)
-    return keep_least(numbered, found.select("__row", F.col("component_id").alias("grp")), key, docs.columns)
+    (row,) = own(docs.columns, "__row")
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered, width, row, text)
+    return keep_least(numbered, row, found.select(row, F.col("component_id").alias("grp")), key, docs.columns)
