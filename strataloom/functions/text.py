@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: characters that count as white space when text is trimmed.
-WHITE = r"[\s\p{Z}\x1c-\x1f]"
+#: Fixed value: characters that count as white space when text is trimmed (ASCII ones, separators, and information separators).
+WHITE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def trim_ws(c: Column) -> Column:
     """Trim Unicode white space, not just blanks."""
-    return F.regexp_replace(c, rf"^{WHITE}+|{WHITE}+$", "")
+    return F.trim(c, F.lit(WHITE))
 
 
 def rtrim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{WHITE}+$", "")
+    return F.rtrim(c, F.lit(WHITE))
 
 
 def is_blank(c: Column) -> Column:
