@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
 from ..sources.readers import Parser, dispatch, epub_texts, file_name, file_stem, licences_of, positioned_lines
 from ..sources.sinks import write_metadata, write_texts
 from . import asciidoc, chunking, licences, typography
@@ -31,7 +32,8 @@ def auto_detect(files: DataFrame, parser: Parser, license: str | None = None, fa
 
     PDF files go through ``parser`` (see readers.Parser), EPUB files through their markup; a file of another
     kind is an error.  The licence is the one given, else the zone of the file's folder; the zone that
-    routes is that of a PDF's own text, else ``fallback_zone``.
+    routes is that of a PDF's own text, else ``fallback_zone``.  The rows are staged, so files are parsed once
+    whatever is made of them.
     """
     kinds = files.select("path", "content", dispatch(F.col("path")).alias("kind"))
     pdf, epub = kinds.where("kind = 'pdf'"), kinds.where("kind = 'epub'")
@@ -43,10 +45,11 @@ def auto_detect(files: DataFrame, parser: Parser, license: str | None = None, fa
     found = licences_of(pdf, parser).select(F.col("path").alias("p"), "zone")
     zone = licences.effective_zone(F.col("zone"), F.lit(fallback_zone))
     named = F.lit(license) if license is not None else licences.zone_of_path(F.col("path"))
-    return texts.join(found, F.col("path") == F.col("p"), "left").select(
+    rows = texts.join(found, F.col("path") == F.col("p"), "left").select(
         "path", file_name(F.col("path")).alias("name"), dispatch(F.col("path")).alias("kind"), "text", named.alias("license"), zone.alias("zone"), licences.route(zone).alias("route"),
         F.concat(file_stem(F.col("path")), F.lit(".adoc")).alias("file_name"),
     )
+    return staged(rows, "files")
 
 
 def chunks_of(texts: DataFrame) -> DataFrame:
