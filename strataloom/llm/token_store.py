@@ -25,6 +25,8 @@ from .tokens import encode_batches
 BLOCK = 1 << 20
 #: A round replaces all pairs that occur at least 1/STEP as often as its most frequent pair, down to LEAST times.
 STEP, LEAST = 4, 8
+#: Rounds at LEAST go on while one shortens the sequence by 1/GAIN.
+GAIN = 50
 _BITS = 21  # of a symbol: vocabulary and rules
 
 SHARD = (
@@ -52,8 +54,8 @@ def repair(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
         counts = np.diff(np.append(edges, len(ordered)))
         top = int(counts.max()) if top is None else min(top, int(counts.max()))
         least = max(LEAST, -(-top // STEP))
-        top = least - 1
-        often = np.flatnonzero(counts >= least)
+        top = max(least - 1, LEAST)
+        often, before = np.flatnonzero(counts >= least), len(seq)
         room = (1 << _BITS) - terminals - sum(map(len, rules))
         often = often[np.lexsort((ordered[edges[often]], -counts[often]))][:room]
         if len(often):
@@ -77,7 +79,7 @@ def repair(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
             kept[where + 1] = False
             seq = seq[kept]
             rules.append(np.stack([chosen[good] >> _BITS, chosen[good] & ((1 << _BITS) - 1)], 1))
-        if least == LEAST:
+        if least == LEAST and before - len(seq) <= before // GAIN:
             break
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
