@@ -1,7 +1,8 @@
 """Candidate pairs of rows that share a key, without listing the pairs of a group or putting a large key into one task.
 
-Rows have a key, an id, a 64-bit sketch and the group that they are known to be in.  Rows of one key are a candidate
-pair if their groups differ and their sketches differ in few bits.  Keys of many rows are dealt out as pairs of blocks.
+Rows have a key, an id, a sketch and the group that they are known to be in.  Rows of one key are a candidate
+pair if their groups differ and their sketches differ in few places: bits of a long, or half bytes of a
+binary of a multiple of 8 bytes.  Keys of many rows are dealt out as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -21,12 +22,29 @@ BLOCK, MOST_BLOCKS, LARGEST = 128, 64, 8192
 HELD = 4096
 
 
+#: Bytes of sketches that are compared at once, about.
+_AT_ONCE = 1 << 24
+_HALF = np.uint64(0x1111111111111111)
+
+
 def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
-    return [np.asarray(batch.column(c)) for c in names]
+    out = []
+    for c in names:
+        column = batch.column(c)
+        wide = pa.types.is_binary(column.type)
+        out.append(np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1) if wide else np.asarray(column))
+    return out
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((x ^ y).view(np.uint64))
+    """In how many places sketches differ; wide ones have a last dimension."""
+    z = x ^ y
+    if z.dtype == np.int64:
+        return np.bitwise_count(z.view(np.uint64))
+    z |= z >> np.uint64(1)
+    z |= z >> np.uint64(2)
+    z &= _HALF
+    return np.bitwise_count(z).sum(axis=-1, dtype=np.int64)
 
 
 def _stars(most: int):
@@ -52,8 +70,9 @@ def _stars(most: int):
 def _block_pairs(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...] | None, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidates of two blocks (id, sketch, grp), or within the first."""
     other = x if y is None else y
-    for i in range(0, len(x[0]), 512):
-        near = (_apart(x[1][i : i + 512, None], other[1][None, :]) <= most) & (x[2][i : i + 512, None] != other[2][None, :])
+    step = max(1, _AT_ONCE // max(1, other[1].nbytes))
+    for i in range(0, len(x[0]), step):
+        near = (_apart(x[1][i : i + step, None], other[1][None, :]) <= most) & (x[2][i : i + step, None] != other[2][None, :])
         p, q = np.nonzero(near)
         p += i
         if y is None:
@@ -61,13 +80,13 @@ def _block_pairs(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...] | None, mo
         yield x[0][p], other[0][q]
 
 
-def _pairs(most: int):
+def _pairs(most: int, wide: bool):
     """Sorted by key: candidates (a, b) of different groups, and, with n 1, the rows of keys of more than HELD rows."""
     names = ["n", "a", "b", "sketch", "grp"]
 
     def cells(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        zero = pa.array(np.zeros(len(a), np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), zero, zero], names=names)
+        none = pa.nulls(len(a), pa.binary() if wide else pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, pa.array(np.zeros(len(a), np.int64))], names=names)
 
     def large(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.ones(batch.num_rows, np.int32)), *(batch.column(c) for c in ("key", "id", "sketch", "grp"))], names=names)
@@ -84,7 +103,8 @@ def _pairs(most: int):
             left = left[key[left] == key[left + d]]
             if not len(left):
                 break
-            some = left[(grp[left] != grp[left + d]) & (_apart(sketch[left], sketch[left + d]) <= most)]
+            apart = left[grp[left] != grp[left + d]]
+            some = apart[_apart(sketch[apart], sketch[apart + d]) <= most]
             if len(some):
                 yield cells(id_[some], id_[some + d])
         for k in np.flatnonzero(mixed & (sizes > 64)):
@@ -197,7 +217,8 @@ def _large_pairs(rows: DataFrame, most: int) -> DataFrame:
 def candidate_pairs(keyed: DataFrame, most: int) -> DataFrame:
     """The candidates (a, b), a < b, of ``keyed`` (key, id, sketch, grp), staged and each once."""
     dealt = keyed.repartition("key").sortWithinPartitions("key")
-    met = staged(dealt.mapInArrow(_pairs(most), "n int, a bigint, b bigint, sketch bigint, grp bigint"), "met")
+    kind = keyed.schema["sketch"].dataType.simpleString()
+    met = staged(dealt.mapInArrow(_pairs(most, kind == "binary"), f"n int, a bigint, b bigint, sketch {kind}, grp bigint"), "met")
     large = met.where("n = 1").select(F.col("a").alias("key"), F.col("b").alias("id"), "sketch", "grp")
     pairs = met.where("n = 0").select("a", "b")
     if not large.isEmpty():

@@ -5,7 +5,7 @@ first candidates; an exact similarity of 0.8 or more links them.  At 0.8 fingerp
 beyond any ball that could be emitted, so the pairs that they leave out are found by MinHash: a
 text's set of shingle hashes gets BANDS keys of ROWS minima each.  Texts of similarity s share
 a key with a chance of 1 - (1 - s^ROWS)^BANDS, which at 0.8 misses 6 pairs in 100,000, and fewer above.
-Of texts that share a key those are candidates whose minima agree in one bit as often
+Of texts that share a key those are candidates whose minima agree as often
 as similar ones do; again the exact similarity decides.
 
 Pairs inside a group of copies aren't listed: texts of one set are one node, each key's
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import discard, staged
 from .arrow import bound_batches, give_back
+from .blocks import candidate_pairs
 from .components import components
 from .names import own
 from .simhash import SEED, _lowered, keep_least, majority, near_pairs, shingle_bounds
@@ -33,6 +34,8 @@ from .tokens import groups
 WIDTH, BANDS, ROWS = 5, 32, 6
 #: One bit of each minimum makes a sketch; at 0.8 about a tenth differ, and more than so many in 2 pairs of 100,000.
 APART = 38
+#: The last candidates are held against wider sketches: half bytes of WIDE minima, of which more than WIDE_APART differ in 2 pairs of 100,000 at 0.8.
+WIDE, WIDE_APART = 768, 190
 #: The least similarity of a link, as a fraction.
 LEAST = (4, 5)
 #: Rounds in which a key's texts are checked against one of them, before pairs are listed.
@@ -108,6 +111,30 @@ def shingles(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(hashed, "set_id bigint, hashes array<bigint>")
 
 
+_WIDE_FACTORS = np.random.default_rng(20240613).integers(1, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _wide(sets: DataFrame) -> DataFrame:
+    """(set_id, hashes) to set_id and its wide sketch."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = np.asarray(batch.column("hashes").flatten()).view(np.uint64)
+            at = np.concatenate([[0], np.cumsum(np.asarray(batch.column("hashes").value_lengths()))])
+            out = np.zeros((batch.num_rows, WIDE // 16), np.uint64)
+            for i in range(0, batch.num_rows, 64):  # 64 texts at a time
+                j = min(i + 64, batch.num_rows)
+                part, cuts = hashes[at[i] : at[j]], at[i:j] - at[i]
+                for k, factor in enumerate(_WIDE_FACTORS):
+                    least = np.minimum.reduceat(part * factor, cuts)
+                    least ^= least >> np.uint64(17) ^ least >> np.uint64(34)
+                    out[i:j, k // 16] |= (least & np.uint64(15)) << np.uint64(4 * (k % 16))
+            yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array([r.tobytes() for r in out], pa.binary())], names=["set_id", "sketch"])
+        give_back()
+
+    return sets.mapInArrow(sketch, "set_id bigint, sketch binary")
+
+
 def _could(x: str, y: str) -> Column:
     """Sets of these sizes and sketches can be similar enough."""
     m, n = F.col(f"{x}.size"), F.col(f"{y}.size")
@@ -177,8 +204,12 @@ def near_copies(docs: DataFrame, row: str, text: str = "text") -> DataFrame:
                 x = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "grp").alias("h"), F.struct(*_SET, "grp").alias("x")))["x"].alias("x")).withColumnRenamed("key", "k")
                 met = y.join(x, (F.col("key") == F.col("k")) & (F.col("x.grp") != F.col("y.grp")) & _could("x", "y"))
             else:
-                x = mixed.select(F.col("key").alias("k"), F.struct(*_SET, "grp").alias("x"))
-                met = y.join(x, (F.col("key") == F.col("k")) & (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.grp") != F.col("y.grp")) & _could("x", "y"))
+                some = mixed.select(F.col("set_id").alias("s")).distinct()
+                wide = _wide(hashes.join(some, F.col("set_id") == F.col("s"), "left_semi")).withColumnRenamed("set_id", "id")
+                rows_ = mixed.select("key", F.col("set_id").alias("id"), "grp").join(wide, "id").select("key", "id", "sketch", "grp")
+                found = candidate_pairs(rows_, WIDE_APART)
+                x, y = (nodes.select(F.col("set_id").alias(c), F.struct(*_SET, "grp").alias(e)) for c, e in (("a", "x"), ("b", "y")))
+                met = found.join(x, "a").join(y, "b").where(F.col("x.grp") != F.col("y.grp"))
         first = F.col("x.set_id") < F.col("y.set_id")
         ends = {"a": ("x", "y", "set_id"), "b": ("y", "x", "set_id"), "ga": ("x", "y", "grp"), "gb": ("y", "x", "grp")}
         pairs = met.select(*(F.when(first, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(n) for n, (p, q, c) in ends.items())).distinct()

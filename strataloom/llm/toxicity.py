@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .arrow import bound_batches, give_back
 from .tokens import Places, WordHashes, groups, words_of
 
 #: Labelled rows that training takes of each label at most (the least by a hash), and their characters in all.
-SAMPLE_ROWS, SAMPLE_CHARS = 2000, 8_000_000
+SAMPLE_ROWS, SAMPLE_CHARS = 1200, 4_000_000
 #: Sentences of a passage.
 WINDOW = 8
 #: Hashed features; beginnings of a word (bytes) that are features, and the length of the runs in it that are.
@@ -186,8 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen = parts[0].unionByName(parts[1])  # at most 2 * SAMPLE_ROWS keys
     some = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("dk"), F.col(text).alias("t"))
     met = some.join(F.broadcast(chosen), F.col("dk") == F.col("k"))
-    single = met.groupBy("k", "y").agg(F.min("t").alias("t"))
-    sizes = met.groupBy("k", "y").agg(F.min(F.struct("t", F.length("t").cast("bigint").alias("n")))["n"].alias("n")).withColumn("h", F.xxhash64("k"))
+    single = staged(met.groupBy("k", "y").agg(F.min("t").alias("t")), "labelled")  # at most 2 * SAMPLE_ROWS rows
+    sizes = single.select("k", "y", F.length("t").cast("bigint").alias("n"), F.xxhash64("k").alias("h"))
     before = Window.partitionBy("y").orderBy("h", "k")
     within = sizes.withColumn("upto", F.sum("n").over(before)).withColumn("at", F.row_number().over(before)).where((F.col("upto") <= SAMPLE_CHARS) | (F.col("at") == 1))
     taken = within.select(F.col("k").alias("tk"))  # at most 2 * SAMPLE_ROWS keys
