@@ -26,7 +26,7 @@ BLOCK = 1 << 20
 #: A round replaces all pairs that occur at least 1/STEP as often as its most frequent pair, down to LEAST times.
 STEP, LEAST = 4, 8
 #: Rounds at LEAST go on while one shortens the sequence by 1/GAIN.
-GAIN = 50
+GAIN = 25
 _BITS = 21  # of a symbol: vocabulary and rules
 
 SHARD = (

@@ -19,7 +19,7 @@ import xxhash
 from .arrow import give_back
 
 #: A worker forgets its pieces when it holds so many, or so many of their ids.
-MAX_WORDS, MAX_POOL = 400_000, 1 << 21
+MAX_WORDS, MAX_POOL = 700_000, 3 << 20
 #: Texts are cut at white space into segments of about so many bytes while pieces are found; new ones are learnt so many at once.
 SEGMENT, LEARN = 1 << 20, 1 << 14
 #: Longer byte ranges are hashed one by one: sums of powers are too regular for them.
