@@ -1,8 +1,9 @@
 """Candidate pairs of rows that share a key, without listing the pairs of a group or putting a large key into one task.
 
 Rows have a key, an id, a sketch and the group that they are known to be in.  Rows of one key are a candidate
-pair if their groups differ and their sketches differ in few places: bits of a long, or half bytes of a
-binary of a multiple of 8 bytes.  Keys of many rows are dealt out as pairs of blocks.
+pair if their groups differ and their sketches differ in few bits; a sketch is a long, or a
+binary of longs, the highest byte of each first.  A binary may end with all the keys of its row, in one order for all rows: then a pair that shares several
+keys is a candidate under the first of them alone.  Keys of many rows are dealt out as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import discard, staged
 
 #: A group of rows is compared in blocks of BLOCK rows, in larger ones where that would make more than MOST_BLOCKS, and in more blocks where they would be larger than LARGEST.
 BLOCK, MOST_BLOCKS, LARGEST = 128, 64, 8192
@@ -24,7 +25,6 @@ HELD = 4096
 
 #: Bytes of sketches that are compared at once, about.
 _AT_ONCE = 1 << 24
-_HALF = np.uint64(0x1111111111111111)
 
 
 def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
@@ -32,19 +32,25 @@ def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     for c in names:
         column = batch.column(c)
         wide = pa.types.is_binary(column.type)
-        out.append(np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1) if wide else np.asarray(column))
+        out.append(np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(len(column), -1) if wide else np.asarray(column))
     return out
 
 
-def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """In how many places sketches differ; wide ones have a last dimension."""
-    z = x ^ y
-    if z.dtype == np.int64:
-        return np.bitwise_count(z.view(np.uint64))
-    z |= z >> np.uint64(1)
-    z |= z >> np.uint64(2)
-    z &= _HALF
-    return np.bitwise_count(z).sum(axis=-1, dtype=np.int64)
+def _apart(x: np.ndarray, y: np.ndarray, bands: int = 0) -> np.ndarray:
+    """In how many bits sketches differ; wide ones have a last dimension, of which the last ``bands`` are keys."""
+    if x.dtype == np.int64:
+        return np.bitwise_count((x ^ y).view(np.uint64))
+    words = x.shape[-1] - bands
+    return np.bitwise_count(x[..., :words] ^ y[..., :words]).sum(axis=-1, dtype=np.int64)
+
+
+def _first(x: np.ndarray, y: np.ndarray, key: np.ndarray, bands: int) -> np.ndarray:
+    """Whether ``key`` is the first of the keys that two rows share, row by row; always without ``bands``."""
+    if not bands:
+        return np.ones(len(x), bool)
+    x, y = x[:, -bands:], y[:, -bands:]
+    at = (x == y).argmax(axis=1)
+    return np.take_along_axis(x, at[:, None], 1)[:, 0].view(np.int64) == key
 
 
 def _stars(most: int):
@@ -67,20 +73,26 @@ def _stars(most: int):
     return star
 
 
-def _block_pairs(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...] | None, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates of two blocks (id, sketch, grp), or within the first."""
+def _block_pairs(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...] | None, most: int, key: int = 0, bands: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates of two blocks (id, sketch, grp) of one key, or within the first."""
     other = x if y is None else y
     step = max(1, _AT_ONCE // max(1, other[1].nbytes))
     for i in range(0, len(x[0]), step):
-        near = (_apart(x[1][i : i + step, None], other[1][None, :]) <= most) & (x[2][i : i + step, None] != other[2][None, :])
+        near = (_apart(x[1][i : i + step, None], other[1][None, :], bands) <= most) & (x[2][i : i + step, None] != other[2][None, :])
         p, q = np.nonzero(near)
         p += i
         if y is None:
             p, q = p[p < q], q[p < q]
+        if bands:
+            for k in range(0, len(p), 1 << 14):  # that many pairs' keys at once
+                a, b = p[k : k + (1 << 14)], q[k : k + (1 << 14)]
+                first = _first(x[1][a], other[1][b], key, bands)
+                yield x[0][a[first]], other[0][b[first]]
+            continue
         yield x[0][p], other[0][q]
 
 
-def _pairs(most: int, wide: bool):
+def _pairs(most: int, wide: bool, bands: int):
     """Sorted by key: candidates (a, b) of different groups, and, with n 1, the rows of keys of more than HELD rows."""
     names = ["n", "a", "b", "sketch", "grp"]
 
@@ -104,12 +116,13 @@ def _pairs(most: int, wide: bool):
             if not len(left):
                 break
             apart = left[grp[left] != grp[left + d]]
-            some = apart[_apart(sketch[apart], sketch[apart + d]) <= most]
+            some = apart[_apart(sketch[apart], sketch[apart + d], bands) <= most]
+            some = some[_first(sketch[some], sketch[some + d], key[some], bands)]
             if len(some):
                 yield cells(id_[some], id_[some + d])
         for k in np.flatnonzero(mixed & (sizes > 64)):
             part = slice(starts[k], starts[k] + sizes[k])
-            for a, b in _block_pairs((id_[part], sketch[part], grp[part]), None, most):
+            for a, b in _block_pairs((id_[part], sketch[part], grp[part]), None, most, int(key[starts[k]]), bands):
                 if len(a):
                     yield cells(a, b)
 
@@ -196,34 +209,36 @@ def runs(batch: pa.RecordBatch, by: list[str]) -> list[tuple[int, int]]:
     return list(zip(edges.tolist(), np.append(edges[1:], batch.num_rows).tolist(), strict=True))
 
 
-def _large_pairs(rows: DataFrame, most: int) -> DataFrame:
+def _large_pairs(rows: DataFrame, most: int, bands: int) -> DataFrame:
     """Candidates (a, b) of rows (key, id, sketch, grp) of keys with many, by block pairs in different tasks."""
     by = ["key", "lo", "hi"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, by):
-            id_, sketch, grp, lo, hi = _columns(batch, "id", "sketch", "grp", "lo", "hi")
+            key, id_, sketch, grp, lo, hi = _columns(batch, "key", "id", "sketch", "grp", "lo", "hi")
             side = batch.column("side").to_numpy(zero_copy_only=False)
             for a, b in runs(batch, by):
                 x, s = tuple(c[a:b] for c in (id_, sketch, grp)), side[a:b]
                 same = lo[a] == hi[a]
-                for p, q in _block_pairs(tuple(c[~s] for c in x), None if same else tuple(c[s] for c in x), most):
+                for p, q in _block_pairs(tuple(c[~s] for c in x), None if same else tuple(c[s] for c in x), most, int(key[a]), bands):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
     dealt = deal(rows, rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
     return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "a bigint, b bigint")
 
 
-def candidate_pairs(keyed: DataFrame, most: int) -> DataFrame:
-    """The candidates (a, b), a < b, of ``keyed`` (key, id, sketch, grp), staged and each once."""
+def candidate_pairs(keyed: DataFrame, most: int, bands: int = 0) -> DataFrame:
+    """The candidates (a, b), a < b, of ``keyed`` (key, id, sketch, grp), staged and each once; the last ``bands`` longs of sketches are keys."""
     dealt = keyed.repartition("key").sortWithinPartitions("key")
     kind = keyed.schema["sketch"].dataType.simpleString()
-    met = staged(dealt.mapInArrow(_pairs(most, kind == "binary"), f"n int, a bigint, b bigint, sketch {kind}, grp bigint"), "met")
+    met = staged(dealt.mapInArrow(_pairs(most, kind == "binary", bands), f"n int, a bigint, b bigint, sketch {kind}, grp bigint"), "met")
     large = met.where("n = 1").select(F.col("a").alias("key"), F.col("b").alias("id"), "sketch", "grp")
     pairs = met.where("n = 0").select("a", "b")
     if not large.isEmpty():
-        pairs = pairs.unionByName(_large_pairs(large, most))
-    return staged(pairs.distinct(), "pairs")
+        pairs = pairs.unionByName(_large_pairs(large, most, bands))
+    out = staged(pairs.distinct(), "pairs")
+    discard(met)
+    return out
 
 
 def candidate_stars(keyed: DataFrame, most: int) -> DataFrame:
