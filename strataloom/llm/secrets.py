@@ -64,30 +64,43 @@ def randomness(token: Column) -> Column:
 
 
 def _battery(v: Column, a: Column) -> Column:
-    n = F.size(v).cast("double")
-    fold = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + f(x))
-    # chi-squared over bins that expect 5 symbols or more, by Wilson and Hilferty's cube root
-    bins = F.greatest(F.lit(2.0), F.least(F.lit(16.0), F.floor(n / 5).cast("double")))
-    counts = F.transform(F.sequence(F.lit(0), bins.cast("int") - 1), lambda j: F.size(F.filter(v, lambda x: F.floor(x * bins / a) == j)).cast("double"))
-    # bins needn't hold the same number of symbols of the alphabet
-    share = lambda j: (F.ceil((j + 1) * a / bins) - F.ceil(j * a / bins)).cast("double") / a
-    expected = F.transform(F.sequence(F.lit(0), bins.cast("int") - 1), lambda j: n * share(j))
-    chi = fold(F.zip_with(counts, expected, lambda o, e: (o - e) * (o - e) / e), lambda x: x)
+    """The p-value of the symbols ``v`` of an alphabet of ``a``: one pass over neighbours, and one for each bin, whatever the length."""
+    zero = F.lit(0.0)
+    start = F.struct(*(zero.alias(c) for c in ("first", "last", "sum", "squares", "products", "high", "turns", "n")))
+
+    def add(s: Column, x: Column) -> Column:
+        new, up, was_up = s["n"] == 0, 2 * x >= a, 2 * s["last"] >= a
+        return F.struct(
+            F.when(new, x).otherwise(s["first"]).alias("first"), x.alias("last"), (s["sum"] + x).alias("sum"), (s["squares"] + x * x).alias("squares"), (s["products"] + F.when(new, zero).otherwise(s["last"] * x)).alias("products"),
+            (s["high"] + F.when(up, 1.0).otherwise(0.0)).alias("high"), (s["turns"] + F.when(~new & (up != was_up), 1.0).otherwise(0.0)).alias("turns"), (s["n"] + 1.0).alias("n"),
+        )
+
+    bins = F.greatest(F.lit(2.0), F.least(F.lit(16.0), F.floor(F.size(v) / 5).cast("double")))
+    bound = F.struct(F.aggregate(v, start, add).alias("s"), bins.alias("bins"))
+    counted = lambda r: F.transform(F.sequence(F.lit(0), r["bins"].cast("int") - 1), lambda j: F.size(F.filter(v, lambda x: F.floor(x * r["bins"] / a) == j)).cast("double"))
+    # each step binds what the next one uses more than once
+    with_counts = F.transform(F.array(bound), lambda r: F.struct(r["s"].alias("s"), r["bins"].alias("bins"), counted(r).alias("counts")))
+    return F.element_at(F.transform(with_counts, lambda r: _combined(r["s"], r["bins"], r["counts"], a)), 1)
+
+
+def _combined(s: Column, bins: Column, counts: Column, a: Column) -> Column:
+    n = s["n"]
+    # chi-squared over bins that expect 5 symbols or more, by Wilson and Hilferty's cube root; bins needn't hold the same number of symbols of the alphabet
+    expected = lambda j: n * (F.ceil((j + 1) * a / bins) - F.ceil(j * a / bins)).cast("double") / a
+    chi = F.aggregate(F.transform(counts, lambda o, j: (o - expected(j)) * (o - expected(j)) / expected(j)), F.lit(0.0), lambda acc, x: acc + x)
     df = bins - 1
     p_chi = F.least(F.lit(1.0), _two_sided(F.greatest(F.lit(0.0), (F.pow(chi / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))))
     # runs above and below the middle
-    high = fold(v, lambda x: F.when(2 * x >= a, 1.0).otherwise(0.0))
+    high = s["high"]
     low = n - high
-    changes = fold(F.zip_with(v, F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), lambda x, y: F.when((2 * x >= a) != (2 * y >= a), 1.0).otherwise(0.0)), lambda x: F.coalesce(x, F.lit(0.0)))
     mean = 2 * high * low / n + 1
     spread = F.sqrt(F.greatest(F.lit(1e-9), (mean - 1) * (mean - 2) / F.greatest(n - 1, F.lit(1.0))))
-    p_runs = F.when((high == 0) | (low == 0), F.lit(0.0)).otherwise(_two_sided((changes + 1 - mean) / spread))
-    # correlation of neighbours
-    centre = fold(v, lambda x: x) / n
-    power = fold(v, lambda x: (x - centre) * (x - centre))
-    shifted = F.zip_with(v, F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), lambda x, y: (x - centre) * (y - centre))
-    serial = fold(shifted, lambda x: F.coalesce(x, F.lit(0.0)))
-    p_serial = F.when(power <= 0, F.lit(0.0)).otherwise(_two_sided(serial / F.greatest(power, F.lit(1e-9)) * F.sqrt(n)))
+    p_runs = F.when((high == 0) | (low == 0), F.lit(0.0)).otherwise(_two_sided((s["turns"] + 1 - mean) / spread))
+    # correlation of neighbours, about the mean of all
+    centre = s["sum"] / n
+    power = s["squares"] - n * centre * centre
+    serial = s["products"] - centre * (2 * s["sum"] - s["first"] - s["last"]) + (n - 1) * centre * centre
+    p_serial = F.when(power <= 1e-9, F.lit(0.0)).otherwise(_two_sided(serial / F.greatest(power, F.lit(1e-9)) * F.sqrt(n)))
     return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
 
 
