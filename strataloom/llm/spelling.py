@@ -9,6 +9,7 @@ node, that of their longest common prefix, so it is found once.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ from .arrow import bound_batches, give_back
 
 #: A partition of the trie holds at most so many words, or a 20,000th of the vocabulary, so the prefixes that go to all tasks are bounded.
 LEAF_WORDS, MOST_LEAVES = 10_000, 20_000
+#: Words that come to a partition from others are dealt into so many parts, and its own words go to each.
+PARTS = 8
 #: A table of at most so many rows (two words each) is broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -155,6 +158,13 @@ class _Tails:
         return np.array([i for i in some.tolist() if self.words[a[i]][at:] == self.words[b[i]][bt:]], np.int64)
 
 
+def _shared(a: bytes, b: bytes, start: int) -> int:
+    """How many bytes from ``start`` on two words have in common."""
+    n = min(len(a), len(b)) - start
+    other = np.flatnonzero(np.frombuffer(a, np.uint8, n, start) != np.frombuffer(b, np.uint8, n, start))
+    return int(other[0]) if len(other) else n
+
+
 def _children(tails: _Tails, lo: np.ndarray, hi: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """lo, hi, letter and parent of the children of nodes (ranges of sorted words) at ``depth``."""
     sizes = hi - lo
@@ -183,10 +193,11 @@ def near_words(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs, by their places, of the sorted distinct ``words`` at distance one; each ends in its only 0 and all have their first ``depth`` bytes in common.
 
     Active pairs of nodes are those at distance one: of one depth, after a letter was replaced, or the first one
-    level deeper, after it was left out.  From there on letters have to be the same.  Two nodes of one word each are
-    compared at once, so levels go on only as far as words share a prefix.
+    level deeper, after it was left out.  From there on letters have to be the same.  A node of one word is
+    compared at once, with another such node's word or with the word that the other node would have to hold, so levels go on
+    only as far as words share a prefix; stretches without a branch are passed over.
     """
-    tails = _Tails(words)
+    tails, index = _Tails(words), {w: i for i, w in enumerate(words)}
     found: list[tuple[np.ndarray, np.ndarray]] = []
     lo, hi = np.zeros(1, np.int64), np.full(1, len(words))
     kids = _children(tails, lo, hi, depth)
@@ -198,13 +209,24 @@ def near_words(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
         ends = of_a[2][a] == 0
         found.append((of_a[0][a[ends]], of_b[0][b[ends]]))
         a, b = a[~ends], b[~ends]
-        single = (of_a[1][a] - of_a[0][a] == 1) & (of_b[1][b] - of_b[0][b] == 1)
-        u, v = of_a[0][a[single]], of_b[0][b[single]]
-        equal = tails.equal(u, at, v, bt)
-        found.append((u[equal], v[equal]))
-        return a[~single], b[~single]
+        alone_a, alone_b = of_a[1][a] - of_a[0][a] == 1, of_b[1][b] - of_b[0][b] == 1
+        u, v = of_a[0][a], of_b[0][b]  # words, the only ones or the first
+        both = alone_a & alone_b
+        equal = tails.equal(u[both], at, v[both], bt)
+        found.append((u[both][equal], v[both][equal]))
+        for one, other, p, q, some in ((u, v, at, bt, alone_a & ~alone_b), (v, u, bt, at, alone_b & ~alone_a)):
+            pairs = [(i, index.get(words[j][:q] + words[i][p:])) for i, j in zip(one[some].tolist(), other[some].tolist(), strict=True)]
+            pairs = np.array([x for x in pairs if x[1] is not None], np.int64).reshape(-1, 2)
+            found.append((pairs[:, 0], pairs[:, 1]))
+        rest = ~(alone_a | alone_b)
+        return a[rest], b[rest]
 
     while len(lo):
+        if len(lo) <= 16 and not len(same[0]) and not len(less[0]):
+            skip = min(_shared(words[i], words[j - 1], depth) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)) - 1
+            if skip > 0:
+                depth += skip
+                kids = _children(tails, lo, hi, depth)
         n = len(lo)
         # children of one depth
         x, y, _ = _matched(*same, kids, kids, n)
@@ -229,10 +251,7 @@ def near_words(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
         other = y != left_out[pair]
         two = sift(x[other], y[other], deep, kids, depth + 2, depth + 1)
         less = tuple(np.concatenate(p) for p in zip(one, two, strict=True))
-        # nodes that go on: with several words, or in an active pair
-        stay = kids[1] - kids[0] > 1
-        stay[same[0]] = stay[same[1]] = stay[less[1]] = stay[deep[3][less[0]]] = True
-        stay &= kids[2] != 0
+        stay = kids[1] - kids[0] > 1  # all nodes in active pairs are such
         new = np.cumsum(stay) - 1
         kept = stay[deep[3]]
         deeper = np.cumsum(kept) - 1
@@ -253,18 +272,22 @@ def near_pairs(words: DataFrame) -> DataFrame:
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         upper = Upper(leaves)
         for batch in batches:
-            leaf, row, at = [], [], []
+            leaf, part, row, at = [], [], [], []
             for i, w in enumerate(batch.column("word").to_pylist()):
                 own, others = upper.reach(w + "\0")
-                leaf.append(number[own])
-                row.append(i)
-                at.append(-1)
+                leaf += [number[own]] * PARTS
+                part += range(PARTS)
+                row += [i] * PARTS
+                at += [-1] * PARTS
+                mine = zlib.crc32(w.encode("latin-1")) % PARTS
                 for p, j in others:
                     leaf.append(number[p])
+                    part.append(mine)
                     row.append(i)
                     at.append(j)
             places = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), batch.column("word").take(places), batch.column("n").take(places), pa.array(at, pa.int32())], names=["leaf", "word", "n", "at"])
+            cells = [pa.array(leaf, pa.int32()), pa.array(part, pa.int32()), batch.column("word").take(places), batch.column("n").take(places), pa.array(at, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cells, names=["leaf", "part", "word", "n", "at"])
         give_back()
 
     def join(part: pa.Table) -> pa.Table:
@@ -273,8 +296,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
         own = int(np.searchsorted(at, 0))
         strings, n = part.column("word").combine_chunks(), np.asarray(part.column("n").combine_chunks())
         words = [w.encode("latin-1") + b"\0" for w in strings.to_pylist()]
-        depth = len(names[part.column("leaf")[0].as_py()])
-        a, b = near_words(words[:own], depth) if own > 1 and not (own and names[part.column("leaf")[0].as_py()].endswith("\0")) else (np.zeros(0, np.int64),) * 2
+        prefix, first = names[part.column("leaf")[0].as_py()], part.column("part")[0].as_py() == 0
+        depth = len(prefix)
+        # pairs inside the partition are one part's work; a prefix that is a whole word has no others
+        a, b = near_words(words[:own], depth) if first and own > 1 and not prefix.endswith("\0") else (np.zeros(0, np.int64),) * 2
         rest = {w[depth:]: i for i, w in enumerate(words[:own])}
         met = [(i, rest.get(words[i][j:])) for i, j in zip(range(own, len(words)), at[own:].tolist(), strict=True)]
         met = np.array([p for p in met if p[1] is not None], np.int64).reshape(-1, 2)
@@ -282,8 +307,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
         a, b = np.concatenate([a, b]), np.concatenate([b, a])
         return pa.table([strings.take(pa.array(a)), pa.array(n[a]), strings.take(pa.array(b)), pa.array(n[b])], names=["word", "n", "near", "near_n"])
 
-    routed = words.select("word", "n").mapInArrow(route, "leaf int, word string, n bigint, at int")
-    return routed.groupBy("leaf").applyInArrow(join, _PAIR)
+    routed = words.select("word", "n").mapInArrow(route, "leaf int, part int, word string, n bigint, at int")
+    return routed.groupBy("leaf", "part").applyInArrow(join, _PAIR)
 
 
 def _roots(links: DataFrame) -> DataFrame:
