@@ -199,7 +199,7 @@ def _search(index: Index, items: DataFrame, k: int) -> DataFrame:
     names, numbers = table.column("term").to_pylist(), np.asarray(table.column("item").combine_chunks())
     at = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]])) if len(numbers) else np.zeros(0, np.int64)
     weights = np.asarray(table.column("w").combine_chunks())
-    queries = [(int(numbers[a]), list(zip(names[a:b], weights[a:b].tolist(), strict=True))) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(numbers)], strict=True)]
+    queries = [(int(numbers[a]), list(zip(names[a:b], weights[a:b].tolist(), strict=True))) for a, b in zip(at.tolist(), np.append(at, len(numbers))[1:].tolist(), strict=True)]
     shared = spark.sparkContext.broadcast(queries)  # as bounded as ``wanted``
 
     def rank(part: pa.Table) -> pa.Table:
