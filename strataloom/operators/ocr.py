@@ -5,16 +5,21 @@ from __future__ import annotations
 import base64
 import shutil
 import subprocess
-from collections.abc import Iterator, Mapping, Sequence
+import threading
+import time
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ordering import place_in_group
 from ..functions.text import is_blank
 from ..session import staged
+from ..sources.keyed import KeyedTable
 
 #: Image suffixes with their types, language codes, the prompt, and the texts of empty pages and books.
 IMAGE_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "tif": "image/tiff", "tiff": "image/tiff", "bmp": "image/bmp", "gif": "image/gif"}
@@ -115,26 +120,77 @@ class CommandEngine:
 RESULTS = "page_id string, engine int, model string, text string, confidence double"
 
 
-def run_engines(pages: DataFrame, engines: Sequence[Engine]) -> DataFrame:
+class Late(Exception):
+    """A call that took longer than it may."""
+
+
+def _within(seconds: float | None, call: Callable[[], tuple[str, float]]) -> tuple[str, float]:
+    """What ``call`` gives in time; one that goes on is left to itself in a thread that ends with its process."""
+    if seconds is None:
+        return call()
+    done: list = []
+
+    def run() -> None:
+        try:
+            done.append((call(), None))
+        except BaseException as error:  # noqa: BLE001  handed on to the waiting thread
+            done.append((None, error))
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not done:
+        raise Late(f"no answer within {seconds} s")
+    value, error = done[0]
+    if error is not None:
+        raise error
+    return value
+
+
+@dataclass(frozen=True)
+class Calls:
+    """How a task calls engines: pages in flight at once, seconds that a call may take, and how often it is tried again, after how long.
+
+    Engines are called from several threads if more than one page is in flight.
+    """
+
+    in_flight: int = 8
+    seconds: float | None = 300.0
+    retries: int = 0
+    wait: float = 0.5
+
+
+def run_engines(pages: DataFrame, engines: Sequence[Engine], calls: Calls = Calls()) -> DataFrame:
     """What each page of ``pages`` (page_id, content, mime, language) gets, engines tried in turn until one succeeds.
 
-    An engine that raises counts as an empty result with confidence 0.
+    An engine that raises, or doesn't answer in time, whenever it is tried counts as an empty result with confidence 0.  Results are in the order of the pages.
     """
     chain = list(engines)
 
+    def attempt(engine: Engine, page) -> tuple[str, float]:
+        for again in range(calls.retries + 1):
+            try:
+                text, confidence = _within(calls.seconds, lambda: engine.process(bytes(page.content or b""), page.mime, page.language))
+                return text or "", float(confidence)
+            except Exception:  # noqa: BLE001  whatever an engine raises is a failed page, not a failed job
+                if again < calls.retries:
+                    time.sleep(calls.wait * 2**again)
+        return "", 0.0
+
+    def results(page) -> list[tuple]:
+        rows = []
+        for k, engine in enumerate(chain):
+            text, confidence = attempt(engine, page)
+            rows.append((page.page_id, k, engine.name, text, confidence))
+            if text and confidence > 0:
+                break
+        return rows
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for page in batch.itertuples(index=False):
-                for k, engine in enumerate(chain):
-                    try:
-                        text, confidence = engine.process(bytes(page.content or b""), page.mime, page.language)
-                    except Exception:  # noqa: BLE001  whatever an engine raises is a failed page, not a failed job
-                        text, confidence = "", 0.0
-                    rows.append((page.page_id, k, engine.name, text or "", float(confidence)))
-                    if text and confidence > 0:
-                        break
-            yield pd.DataFrame(rows, columns=["page_id", "engine", "model", "text", "confidence"])
+        with ThreadPoolExecutor(max(1, calls.in_flight)) as pool:
+            for batch in batches:
+                rows = [row for found in pool.map(results, batch.itertuples(index=False)) for row in found]
+                yield pd.DataFrame(rows, columns=["page_id", "engine", "model", "text", "confidence"])
 
     return pages.select("page_id", "content", "mime", "language").mapInPandas(read, RESULTS)
 
@@ -193,17 +249,53 @@ def book_text(pages: DataFrame, book: str = "book", books: DataFrame | None = No
 CACHE = "page_id string, source_hash string, text string, confidence double, model string"
 
 
-def collect(images: DataFrame, cache: DataFrame, engines: Sequence[Engine], language: str = "fr") -> tuple[DataFrame, DataFrame]:
+class OcrCache:
+    """What images have given, by page, in a keyed table: a look-up reads the buckets of its pages, a store writes those of new results.
+
+    Pages are named book/page_id.  Results are stored with their image's hash, failures too; the last one stays.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.table = KeyedTable(spark, path, CACHE, ["page_id"], buckets)
+
+    def lookup(self, pages: DataFrame) -> DataFrame:
+        """The entries (CACHE) of ``pages`` (page_id)."""
+        return self.table.lookups(pages)
+
+    def store(self, fresh: DataFrame) -> list[int]:
+        """Put ``fresh`` (CACHE, a row a page) in; returns the buckets written."""
+        return self.table.replace(fresh)
+
+
+def collect(images: DataFrame, cache: DataFrame, engines: Sequence[Engine], language: str = "fr", calls: Calls = Calls()) -> tuple[DataFrame, DataFrame]:
     """The pages of ``images`` (book, page_id, content, mime) and the cache (CACHE) afterwards.
 
     A page is read by the engines, in turn, only if the cache doesn't hold its image's hash; what they find is stored, failures
     too.  Pages have book, page_id, page_number, file_name, body and hit.  Cache entries are named book/page_id.
     """
-    name = F.concat_ws("/", F.col("book").cast("string"), F.col("page_id"))
-    named = images.select("book", F.col("page_id").alias("stem"), name.alias("page_id"), "content", "mime", content_hash(F.col("content")).alias("source_hash"))
+    pages, fresh = _collected(images, cache, engines, language, calls)
+    return pages, updated_cache(cache, fresh.select(cache.columns))
+
+
+def collect_with(store: OcrCache, images: DataFrame, engines: Sequence[Engine], language: str = "fr", calls: Calls = Calls()) -> DataFrame:
+    """The pages of ``images`` as in ``collect``, by a cache on disk that holds the new results afterwards."""
+    names = images.select(_cache_name().alias("page_id"))
+    cache = staged(store.lookup(names), "ocr-cache")
+    pages, fresh = _collected(images, cache, engines, language, calls)
+    store.store(fresh)
+    return pages
+
+
+def _cache_name() -> Column:
+    return F.concat_ws("/", F.col("book").cast("string"), F.col("page_id"))
+
+
+def _collected(images: DataFrame, cache: DataFrame, engines: Sequence[Engine], language: str, calls: Calls) -> tuple[DataFrame, DataFrame]:
+    """The pages, and the new entries (CACHE) of the cache, staged."""
+    named = images.select("book", F.col("page_id").alias("stem"), _cache_name().alias("page_id"), "content", "mime", content_hash(F.col("content")).alias("source_hash"))
     misses = cache_misses(named, cache).withColumn("language", F.lit(language))
-    fresh = staged(first_success(run_engines(misses, engines)), "ocr")  # engines run once
+    read = first_success(run_engines(misses, engines, calls))
     pages = named.drop("content", "mime")
-    after = updated_cache(cache, fresh.join(pages.select("page_id", "source_hash"), "page_id").select(cache.columns))
+    fresh = staged(read.join(pages.select("page_id", "source_hash"), "page_id").select("page_id", "source_hash", "text", "confidence", "model"), "ocr")  # engines run once
     numbered = numbered_pages(with_cache(pages, cache, fresh), "book", "stem", "text")
-    return numbered.select("book", F.col("stem").alias("page_id"), "page_number", "file_name", "body", "hit"), after
+    return numbered.select("book", F.col("stem").alias("page_id"), "page_number", "file_name", "body", "hit"), fresh

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
 from ..session import fresh_path
-from ..sources.versions import VersionedTable
+from ..sources.keyed import KeyedTable
 
 SCHEMA = (
     "learner_id string, formation_id string, completed_modules array<string>, current_module string, progression_pct double, comprehension_score double, "
@@ -38,19 +38,23 @@ def upsert(stored: DataFrame, new: DataFrame, keys: list[str], order: str, creat
 
 
 class ProfileStore:
-    """Profiles in a versioned table: a save upserts, a load looks one up."""
+    """Profiles in a keyed table: a save writes the buckets of its learners anew, a load reads one bucket."""
 
-    def __init__(self, spark: SparkSession, embed=None, path: str | None = None):
-        self.embed, self.table = embed, VersionedTable(spark, path or fresh_path(spark, "profiles"), SCHEMA)
+    def __init__(self, spark: SparkSession, embed=None, path: str | None = None, buckets: int = 64):
+        self.embed, self.table = embed, KeyedTable(spark, path or fresh_path(spark, "profiles"), SCHEMA, KEYS, buckets)
 
-    def save(self, profiles: DataFrame) -> None:
-        """Upsert ``profiles``; a profile without text to embed keeps its old vector."""
+    def save(self, profiles: DataFrame) -> list[int]:
+        """Upsert ``profiles`` and return the buckets written; a profile without text to embed keeps its old vector."""
         text = text_to_embed(F.col("weak_points"), F.col("annotations"))
         vector = F.when(text != "", self.embed(text)) if self.embed else F.lit(None).cast("array<float>")
         now = F.current_timestamp()
         rows = profiles.withColumns({"embedding": vector, "created_at": now, "updated_at": now})
-        self.table.write(upsert(self.table.read(), rows, KEYS, "updated_at", "created_at", ("embedding",)))
+        return self.table.update(rows, lambda stored, new: upsert(stored, new, KEYS, "updated_at", "created_at", ("embedding",)))
 
     def load(self, learner_id: str, formation_id: str) -> DataFrame:
         """The profile's row, none if it isn't there."""
-        return self.table.read().where((F.col("learner_id") == learner_id) & (F.col("formation_id") == formation_id))
+        return self.table.lookup(learner_id, formation_id)
+
+    def load_all(self, keys: DataFrame) -> DataFrame:
+        """The rows of many (learner_id, formation_id)."""
+        return self.table.lookups(keys)

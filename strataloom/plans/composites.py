@@ -5,13 +5,14 @@ from __future__ import annotations
 import base64
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ocr, pipeline, profiles, trees
+from ..operators import licences, ocr, pipeline, profiles, trees
 from ..sources import readers
 from .inputs import table
 
@@ -25,48 +26,65 @@ def _epub(title: str, text: str) -> bytes:
     return out.getvalue()
 
 
-def parse_runs(content: bytes) -> list[tuple]:
-    """The stand-in's PDF: a run a line, page|number|font|sizes|y|text."""
-    rows = [line.split("|", 5) for line in content.decode().splitlines()]
-    return [(int(page), int(n), text, font, [float(x) for x in sizes.split(",")], float(y)) for page, n, font, sizes, y, text in rows]
+def _pdf(pages: list[list[tuple[str, list[float], float, str]]], top: int = 800) -> bytes:
+    """A PDF of lines (font, the first glyph's and the others' size, distance from the top, text), its content compressed."""
+    fonts = sorted({line[0] for page in pages for line in page})
+    objects = [b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Kids[%s]/Count %d>>" % (b" ".join(b"%d 0 R" % (3 + len(fonts) + 2 * i) for i in range(len(pages))), len(pages))]
+    objects += [b"<</Type/Font/Subtype/Type1/BaseFont/%s/Encoding/WinAnsiEncoding>>" % f.encode() for f in fonts]
+    named = b"".join(b"/F%d %d 0 R" % (i, 3 + i) for i in range(len(fonts)))
+    escaped = lambda text: text.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+    for page in pages:
+        shown = b"\n".join(
+            b"BT /F%d %g Tf 1 0 0 1 50 %g Tm (%s) Tj /F%d %g Tf (%s) Tj ET" % (fonts.index(f), sizes[0], top - y, escaped(text[:1]), fonts.index(f), sizes[-1], escaped(text[1:])) for f, sizes, y, text in page
+        )
+        body = zlib.compress(shown)
+        objects.append(b"<</Type/Page/Parent 2 0 R/MediaBox[0 0 600 %d]/Resources<</Font<<%s>>>>/Contents %d 0 R>>" % (top, named, len(objects) + 2))
+        objects.append(b"<</Length %d/Filter/FlateDecode>>\nstream\n%s\nendstream" % (len(body), body))
+    out, places = bytearray(b"%PDF-1.4\n"), []
+    for i, x in enumerate(objects, 1):
+        places.append(len(out))
+        out += b"%d 0 obj\n%s\nendobj\n" % (i, x)
+    start = len(out)
+    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places)
+    return bytes(out + b"trailer\n<</Size %d/Root 1 0 R>>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, start))
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file a supplier: every fourth an EPUB, the others runs of text; a third each in a public, a private and another folder."""
+    """A file a supplier: every fourth an EPUB, the others PDF; a third each in a public, a private and another folder."""
     folder = F.when(F.col("s_suppkey") % 3 == 0, "/w/foundry/public/").when(F.col("s_suppkey") % 3 == 1, "/w/foundry/private/").otherwise("/w/else/")
     path = F.concat(folder, F.lit("sup-"), F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % 4 == 0, ".EPUB").otherwise(".pdf"))
     mark = F.when(F.col("s_suppkey") % 5 == 0, "Apache-2.0").when(F.col("s_suppkey") % 5 == 1, "All rights reserved").otherwise("no mark")
-    runs = F.concat(
-        F.lit("1|1|Helvetica-Bold|20,12|20|"), F.col("s_name"), F.lit("\n1|2|Helvetica|9,10|40|Nation   "), F.col("s_nationkey").cast("string"), F.lit(" \n1|3|Helvetica|10|50| \n2|1|Courier|10|20|key "),
-        F.col("s_suppkey").cast("string"), F.lit("\n2|2|Helvetica|10|70|"), mark,
-    )
-    rows = table(spark, sf_dir, "supplier").select(path.alias("path"), runs.alias("runs"), F.col("s_name").alias("name"), mark.alias("mark"))
+    rows = table(spark, sf_dir, "supplier").select(path.alias("path"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("key"), mark.alias("mark"))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            content = [_epub(n, m) if p.lower().endswith(".epub") else r.encode() for p, r, n, m in zip(b["path"], b["runs"], b["name"], b["mark"], strict=True)]
+            content = []
+            for path, name, nation, key, mark in zip(*(b[c] for c in ("path", "name", "nation", "key", "mark")), strict=True):
+                first = [("Helvetica-Bold", [20, 12], 20, name), ("Helvetica", [9, 10], 40, f"Nation   {nation} "), ("Helvetica", [10], 50, " ")]
+                second = [("Courier", [10], 20, f"key {key}"), ("Helvetica", [10], 70, mark)]
+                content.append(_epub(name, mark) if path.lower().endswith(".epub") else _pdf([first, second]))
             yield pd.DataFrame({"path": b["path"], "content": content})
 
     return rows.mapInPandas(build, "path string, content binary")
 
 
 def files_to_asciidoc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.auto_detect(_files(spark, sf_dir), parse_runs, fallback_zone="CSS").drop("path")
+    return pipeline.auto_detect(_files(spark, sf_dir), fallback_zone="CSS").drop("path")
 
 
 def files_to_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = pipeline.chunks_of(pipeline.auto_detect(_files(spark, sf_dir), parse_runs))
+    chunks = pipeline.chunks_of(pipeline.auto_detect(_files(spark, sf_dir)))
     return chunks.select("source_document", "pos", "section_path", "heading_level", "content", "license")
 
 
 def pdf_raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(spark, sf_dir).where("lower(path) like '%.pdf'")
-    return readers.raw_texts(files, parse_runs).join(readers.licences_of(files, parse_runs), "path")
+    return readers.raw_texts(files).withColumn("zone", licences.detect(F.col("text")))
 
 
 def pdf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(spark, sf_dir).where("lower(path) like '%.pdf'")
-    both = [readers.positioned_lines(files, parse_runs, plain).withColumn("plain", F.lit(plain)) for plain in (False, True)]
+    both = [readers.positioned_lines(files, None, plain).withColumn("plain", F.lit(plain)) for plain in (False, True)]
     return both[0].unionByName(both[1])
 
 

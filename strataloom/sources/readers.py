@@ -1,14 +1,13 @@
 """Sources: texts, JSON, scripts, images and binary documents as DataFrames.
 
 Every reader goes through Spark's own file sources, so any store that Spark reads will do.
-Formats that need a parser (PDF, EPUB) take it as a port, run in Arrow batches over the file
-source's rows.
+Formats that need a parser (PDF, EPUB) are read in Arrow batches over the file source's rows; another parser of
+PDF may take the place of the built-in one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +17,7 @@ from ..functions.text import rtrim_ws, trim_ws
 from ..operators.html import asciidoc
 from ..operators.licences import detect
 from ..operators.ocr import CONFIG, content_hash, is_image, mime_type
+from . import named_files, pdf
 
 CHUNK = (
     "id string, sourceDocument string, sectionPath string, headingLevel int, content string, codeBlocks array<string>, entities array<string>, overlapNext string, license string"
@@ -28,6 +28,8 @@ PROFILE = (
     "learnerId string, formationId string, completedModules array<string>, currentModule string, progressionPct double, comprehensionScore double, weakPoints array<string>, "
     "lastInteractionAt string, annotations map<string,string>"
 )
+#: Fixed value: what the name of a cache file ends with.
+CACHE_SUFFIX = ".ocr-cache.json"
 OCR_RESULT = "structuredText string, confidence double, language string, sourceFormat string, generatedAt string, model string, metadata map<string,string>"
 
 
@@ -104,10 +106,12 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ocr_cache(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, source_hash and text of cache files; a corrupt file is a miss."""
-    texts = read_texts(spark, path)
-    parsed = texts.select(F.regexp_replace("source_document", r"\.ocr-cache$", "").alias("page_id"), F.from_json("text", f"sourceHash string, result struct<{OCR_RESULT.replace(' ', ':')}>".replace(",:", ",")).alias("c"))
-    return parsed.where("c.sourceHash is not null").select("page_id", F.col("c.sourceHash").alias("source_hash"), F.col("c.result.structuredText").alias("text"))
+    """The entries (ocr.CACHE) of the cache files below ``path``, named by their folders and page; a corrupt file is a miss."""
+    texts = named_files.read_files(spark, path).where(F.col("name").endswith(CACHE_SUFFIX))
+    shape = f"sourceHash string, result struct<{OCR_RESULT.replace(' ', ':')}>".replace(",:", ",")
+    parsed = texts.select(F.left("name", F.length("name") - len(CACHE_SUFFIX)).alias("page_id"), F.from_json("text", shape).alias("c"))
+    rows = parsed.where("c.sourceHash is not null and c.result is not null")
+    return rows.select("page_id", F.col("c.sourceHash").alias("source_hash"), F.coalesce("c.result.structuredText", F.lit("")).alias("text"), F.coalesce("c.result.confidence", F.lit(0.0)).alias("confidence"), F.col("c.result.model").alias("model"))
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -123,7 +127,7 @@ def dispatch(path: Column) -> Column:
 
 
 Run = tuple[int, int, str, str, "float | list[float]", float]
-#: What reads a PDF: (page, number, text, font name, size or its glyphs' sizes, y) of each run of text.
+#: What may read a PDF instead of the built-in reader: (page, number, text, font name, size or its glyphs' sizes, y) of each run of text.
 Parser = Callable[[bytes], "list[Run]"]
 
 
@@ -132,54 +136,70 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def positioned_lines(files: DataFrame, parser: Parser, plain: bool = False) -> DataFrame:
-    """Lines of PDF ``files`` (path, content) by a parser port; blank lines are dropped.
+def pdf_runs(files: DataFrame, parser: Parser | None = None) -> DataFrame:
+    """The runs of text of PDF ``files`` (path, content), see pdf.RUNS; with ``parser`` what it gives.
 
-    A line has its first glyph's size and no white space at its end; with ``plain`` the largest glyph's, and its white
-    space collapsed.
+    What lines, texts and licences are made of: stage it and a file is parsed once.  A file that can't be read has one
+    row, of page 0, with its error.
     """
+    if parser is None:
+        return pdf.read_runs(files)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in LINES.split(", ")]
-
-        def size(x) -> float:
-            return float((max(x) if plain else x[0]) if isinstance(x, list) and x else 0.0 if isinstance(x, list) else x)
-
+        names = [x.split()[0] for x in pdf.RUNS.split(", ")]
         for batch in batches:
-            rows = [(p, page, n, text, font, size(glyphs), y) for p, c in zip(batch["path"], batch["content"], strict=True) for page, n, text, font, glyphs, y in parser(bytes(c))]
+            rows = []
+            for p, c in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    found = [(page, n, text, font, glyphs if isinstance(glyphs, list) else [glyphs], y) for page, n, text, font, glyphs, y in parser(bytes(c))]
+                except Exception as error:  # noqa: BLE001  whatever a parser raises is a file that can't be read
+                    rows.append((p, 0, 0, None, None, None, None, None, f"{type(error).__name__}: {error}"))
+                    continue
+                rows += [(p, page, n, text, font, float(sizes[0]) if sizes else 0.0, float(max(sizes, default=0.0)), float(y), None) for page, n, text, font, sizes, y in found]
             yield pd.DataFrame(rows, columns=names)
 
-    text = trim_ws(F.regexp_replace("text", r"\s+", " ")) if plain else rtrim_ws(F.col("text"))
-    return files.select("path", "content").mapInPandas(parse, LINES).withColumn("text", text).where(trim_ws(F.col("text")) != "")
+    return files.select("path", "content").mapInPandas(parse, pdf.RUNS)
 
 
-def read_positioned_lines(spark: SparkSession, path: str, parser: Parser, plain: bool = False) -> DataFrame:
-    return positioned_lines(read_files(spark, path), parser, plain)
+def broken_files(runs: DataFrame) -> DataFrame:
+    """path, page (0: the whole file) and error of what couldn't be read."""
+    return runs.where("error is not null").select("path", "page", "error")
 
 
-def raw_texts(files: DataFrame, parser: Parser) -> DataFrame:
-    """path and text of PDF ``files`` (path, content): runs by page, y and number, those of one y joined by a blank.
+def lines_of_runs(runs: DataFrame, plain: bool = False) -> DataFrame:
+    """Lines of ``runs`` that aren't blank (LINES).
 
-    A file that can't be read has a null text.
+    A line has its first glyph's size and no white space at its end; with ``plain`` the largest glyph's in points, and its white
+    space collapsed.
     """
+    text = trim_ws(F.regexp_replace("text", r"\s+", " ")) if plain else rtrim_ws(F.col("text"))
+    size = F.col("size_pt" if plain else "font_size").cast("float")
+    rows = runs.where("error is null").select("path", "page", "seq", text.alias("text"), "font_name", size.alias("font_size"), F.col("y").cast("float").alias("y"))
+    return rows.where(trim_ws(F.col("text")) != "")
+
+
+def texts_of_runs(files: DataFrame, runs: DataFrame) -> DataFrame:
+    """path and text of ``files``: runs by page, y and number, those of one y joined by a blank; null for a file that can't be read."""
+    lines = runs.where("error is null").groupBy("path", "page", "y").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda r: r["text"]), " ").alias("line"))
+    texts = lines.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "y", "line"))), lambda r: F.concat(r["line"], F.lit("\n"))), "").alias("text"))
+    lost = runs.where("error is not null and page = 0").select("path", F.lit(True).alias("lost")).distinct()
+    known = files.select("path").join(texts, "path", "left").join(lost, "path", "left")
+    return known.select("path", F.when(F.col("lost").isNull(), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def positioned_lines(files: DataFrame, parser: Parser | None = None, plain: bool = False) -> DataFrame:
+    return lines_of_runs(pdf_runs(files, parser), plain)
+
+
+def read_positioned_lines(spark: SparkSession, path: str, parser: Parser | None = None, plain: bool = False) -> DataFrame:
+    return positioned_lines(read_files(spark, path), parser, plain)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = []
-            for content in batch["content"]:
-                try:
-                    runs = sorted((page, y, n, text) for page, n, text, _, _, y in parser(bytes(content)))
-                except Exception:  # noqa: BLE001  whatever a parser raises is a file that can't be read
-                    texts.append(None)
-                    continue
-                lines = [" ".join(r[3] for r in row) for _, row in groupby(runs, key=lambda r: r[:2])]
-                texts.append("".join(f"{line}\n" for line in lines))
-            yield pd.DataFrame({"path": batch["path"], "text": texts})
 
-    return files.select("path", "content").mapInPandas(read, "path string, text string")
+def raw_texts(files: DataFrame, parser: Parser | None = None) -> DataFrame:
+    return texts_of_runs(files, pdf_runs(files, parser))
 
 
-def licences_of(files: DataFrame, parser: Parser) -> DataFrame:
+def licences_of(files: DataFrame, parser: Parser | None = None) -> DataFrame:
     """path and zone of PDF ``files`` by their texts; a file that can't be read is UNKNOWN."""
     return raw_texts(files, parser).select("path", detect(F.col("text")).alias("zone"))
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import json_text
 from ..session import complete, staged
+from .named_files import write_files
+from .readers import CACHE_SUFFIX
 
 DOCUMENTS = "id bigint, source_document string, chunk_count int, license string"
 CHUNKS = "id bigint, document_id bigint, chunk_index int, chunk_text string, section_path string, heading_level int, embedding array<float>"
@@ -24,6 +26,21 @@ def write_texts(rows: DataFrame, path: str, by: str | None = None, text: str = "
         rows.select(F.col(text).alias("value"), F.col(by).alias("name")).write.mode("overwrite").partitionBy("name").text(path)
 
 
+def write_pages(pages: DataFrame, path: str) -> None:
+    """OCR pages (book, file_name, body) as files <book>/<file_name>."""
+    write_files(pages, path, "file_name", "body", "book")
+
+
+def write_ocr_cache(entries: DataFrame, path: str, language: str = "fr", generated_at: str | None = None) -> None:
+    """Cache entries (ocr.CACHE) as a JSON file each, which readers.read_ocr_cache reads; the folder is replaced."""
+    result = F.struct(
+        F.col("text").alias("structuredText"), "confidence", F.lit(language).alias("language"), F.lit("png").alias("sourceFormat"), F.lit(generated_at or datetime.now(UTC).isoformat()).alias("generatedAt"), "model",
+        F.create_map().cast("map<string,string>").alias("metadata"),
+    )
+    rows = entries.select(F.concat("page_id", F.lit(CACHE_SUFFIX)).alias("file_name"), json_text(F.struct(F.col("source_hash").alias("sourceHash"), result.alias("result"))).alias("text"))
+    write_files(rows, path)
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 

@@ -61,7 +61,7 @@ def test_cache_and_profiles(spark, tmp_path):
     (tmp_path / "cache").mkdir()
     (tmp_path / "cache/p1.ocr-cache.json").write_text(json.dumps({"sourceHash": "h", "result": {"structuredText": "t", "confidence": 0.9, "metadata": {"a": "b"}}}))
     (tmp_path / "cache/p2.ocr-cache.json").write_text("corrupt")
-    assert [tuple(r) for r in readers.read_ocr_cache(spark, str(tmp_path / "cache")).collect()] == [("p1", "h", "t")]
+    assert [tuple(r) for r in readers.read_ocr_cache(spark, str(tmp_path / "cache")).collect()] == [("p1", "h", "t", 0.9, None)]
     (tmp_path / "p.json").write_text('{"learnerId":"l","formationId":"f","weakPoints":["w"],"annotations":{"k":"v"}}')
     row = readers.read_profiles(spark, str(tmp_path / "p.json")).first()
     assert row.weak_points == ["w"] and row.progression_pct == 0.0 and row.annotations == {"k": "v"}
@@ -92,7 +92,11 @@ def test_sinks(spark, tmp_path):
 
 def test_whole_files(spark, tmp_path):
     from strataloom.operators import pipeline
-    from strataloom.plans.composites import parse_runs
+
+    def parse_runs(content):
+        """A stand-in for a parser: a run a line, page|number|font|sizes|y|text."""
+        rows = [line.split("|", 5) for line in content.decode().splitlines()]
+        return [(int(page), int(n), text, font, [float(x) for x in sizes.split(",")], float(y)) for page, n, font, sizes, y, text in rows]
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.PDF").write_bytes(b"1|1|Helvetica-Bold|20|10|Title\n1|2|Helvetica|10|30|Body, Apache-2.0\n1|3|Helvetica|10|30|same line")
@@ -104,7 +108,7 @@ def test_whole_files(spark, tmp_path):
     assert rows["b.pdf"].text == "= [Document vide]\n\n" and rows["c.epub"].text == "= [EPUB vide]\n\n" and rows["c.epub"].route == "office"
     assert {r.source_document for r in pipeline.chunks_of(found).collect()} >= {"a.PDF"}
     pipeline.write(found, str(tmp_path / "out"), routed=True)
-    assert sorted(p.name for p in (tmp_path / "out/texts").glob("name=*")) == ["name=OSS", "name=office"] and (tmp_path / "out/metadata").exists()
+    assert sorted(str(p.relative_to(tmp_path / "out/texts")) for p in (tmp_path / "out/texts").rglob("*.adoc")) == ["OSS/a.adoc", "office/b.adoc", "office/c.adoc"] and (tmp_path / "out/metadata").exists()
     (tmp_path / "in/d.doc").write_bytes(b"x")
     with pytest.raises(Exception, match="unsupported format"):
         pipeline.auto_detect(readers.read_files(spark, str(tmp_path / "in")), parse_runs).collect()
