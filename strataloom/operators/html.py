@@ -1,7 +1,7 @@
 """XHTML and HTML bodies to AsciiDoc.
 
-Parsing a tree isn't a relational operation, so each document is parsed on its own, in
-Arrow batches, by the standard library; what is only needed of the markup (the
+Parsing markup isn't a relational operation, so each document is read on its own, in
+Arrow batches, by the standard library's tokenizer and an automaton; what is only needed of the markup (the
 headings) is an expression.
 """
 
@@ -20,143 +20,153 @@ _CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr
 _BLOCK = {"p", "div", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "table", "article", "section", "nav", "footer", "header"}
 
 
-class Node:
-    """An element: its tag, attributes, and children, which are elements or strings."""
+def _heading(tag: str) -> int:
+    return int(tag[1]) if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456" else 0
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
 
-    @property
-    def text(self) -> str:
-        out, todo = [], list(reversed(self.children))
-        while todo:
-            x = todo.pop()
-            if isinstance(x, str):
-                out.append(x)
-            else:
-                todo.extend(reversed(x.children))
-        return "".join(out)
+#: What an open element's content is: blocks, a list's items, a quote's paragraphs, inline text, the text of an inline element, text as it is, or nothing.
+_BLOCKS, _ITEMS, _QUOTES, _INLINE, _SPAN, _TEXT, _SKIP = range(7)
+#: What inline elements put before and behind their text.
+_MARKS = {"em": "_", "i": "_", "strong": "*", "b": "*", "code": "``"}
 
-    def find(self, tag: str) -> Node | None:
-        todo = [self]
-        while todo:
-            x = todo.pop()
-            if x.tag == tag:
-                return x
-            todo.extend(c for c in reversed(x.children) if isinstance(c, Node))
-        return None
 
+class _Automaton(HTMLParser):
+    """Markup that may leave tags open to lines of AsciiDoc, event by event.
 
-class _Builder(HTMLParser):
-    """A tree from markup that may leave tags open."""
+    Open elements are a stack of (tag, what the content is, what follows the text); text goes to one buffer while an element
+    that becomes a line is open.  Nothing is nested in calls and no tree is kept, so depth costs a
+    stack entry.  The first body counts alone; what stands before it is forgotten once it begins.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, plain: bool, head: tuple[str, ...]) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = Node("", {})
-        self.open = [self.root]
+        self.plain, self.head = plain, head
+        self.out: list[str] = list(head)
+        self.open: list[tuple[str, int, str]] = [("", _BLOCKS, "")]
+        self.count: dict[str, int] = {}
+        self.text: list[str] = []
+        self.body = 0  # the stack's size with the body on it; -1 behind it
+
+    def _content(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[int, str]:
+        """What a new element's content is, and what follows its text."""
+        above = self.open[-1][1]
+        if above == _BLOCKS:
+            if self.plain:
+                return (_TEXT, "") if _heading(tag) or tag in ("pre", "p", "div") else (_BLOCKS, "")
+            return ({"p": _INLINE, "pre": _TEXT, "ul": _ITEMS, "ol": _ITEMS, "blockquote": _QUOTES}.get(tag, _TEXT if _heading(tag) else _BLOCKS), "")
+        if above == _ITEMS:
+            return (_INLINE if tag == "li" else _SKIP), ""
+        if above == _QUOTES:
+            return (_INLINE if tag == "p" else _SKIP), ""
+        if above == _INLINE:
+            if tag == "br":
+                self.text.append(" +\n")
+            mark = _MARKS.get(tag, "")
+            self.text.append(mark)
+            return _SPAN, f"[{dict(attrs).get('href') or ''}]" if tag == "a" else mark
+        return (_SKIP if above == _SKIP else _SPAN), ""
+
+    def _enter(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "body" and not self.body:
+            self.out, self.text = list(self.head), []
+            content, behind, self.body = _BLOCKS, "", len(self.open) + 1
+        else:
+            above = self.open[-1][1]
+            content, behind = self._content(tag, attrs)
+            if above in (_BLOCKS, _ITEMS, _QUOTES):
+                self.text = []
+                if content == _ITEMS:
+                    self.out.append("")
+        self.open.append((tag, content, behind))
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def _leave(self) -> None:
+        at_body = len(self.open) == self.body
+        tag, content, behind = self.open.pop()
+        self.count[tag] -= 1
+        if self.body == -1:
+            return
+        if at_body:
+            self.body = -1
+        above = self.open[-1][1]
+        if content == _SPAN:
+            self.text.append(behind)
+        elif content == _ITEMS:
+            self.out.append("")
+        elif content in (_INLINE, _TEXT):
+            self._line(tag, "".join(self.text), above)
+
+    def _line(self, tag: str, text: str, above: int) -> None:
+        level = _heading(tag)
+        if self.plain:
+            if level:
+                self.out += ["", f"{'=' * level} {text.strip()}", ""]
+            elif tag == "pre":
+                if text := text.rstrip():
+                    self.out += ["[source,text]", "----", *text.splitlines(), "----", ""]
+            else:
+                self.out.append(text.strip())
+            return
+        text = text.strip()
+        if level:
+            self.out.append(f"{'=' * level} {text}")
+        elif tag == "pre":
+            if text:
+                self.out += ["[source,text]", "----", text, "----"]
+        elif above == _ITEMS:
+            self.out.append(f"* {text}")
+        elif above == _QUOTES:
+            self.out += ["[NOTE]", f"==== {text}", ""]
+        elif text:
+            self.out.append(text)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.body == -1:
+            return
         closes = _CLOSES.get(tag, {"p"} if tag in _BLOCK else set())
-        while len(self.open) > 1 and self.open[-1].tag in closes:
-            self.open.pop()
-        node = Node(tag, {k: v or "" for k, v in attrs})
-        self.open[-1].children.append(node)
-        if tag not in _VOID:
-            self.open.append(node)
+        while len(self.open) > 1 and self.open[-1][0] in closes:
+            self._leave()
+            if self.body == -1:
+                return
+        self._enter(tag, attrs)
+        if tag in _VOID:
+            self._leave()
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.open[-1].children.append(Node(tag, {k: v or "" for k, v in attrs}))
+        if self.body != -1:
+            self._enter(tag, attrs)
+            self._leave()
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
+        if self.body != -1 and self.count.get(tag):
+            while self.open[-1][0] != tag:
+                self._leave()
+            self._leave()
 
     def handle_data(self, data: str) -> None:
-        if self.open[-1].tag not in ("script", "style"):
-            self.open[-1].children.append(data)
-
-
-def parse(markup: str) -> Node:
-    builder = _Builder()
-    builder.feed(markup or "")
-    builder.close()
-    return builder.root
-
-
-def _inline(node: Node) -> str:
-    out = []
-    for child in node.children:
-        if isinstance(child, str):
-            out.append(child)
-        elif child.tag in ("em", "i"):
-            out.append(f"_{child.text}_")
-        elif child.tag in ("strong", "b"):
-            out.append(f"*{child.text}*")
-        elif child.tag == "code":
-            out.append(f"``{child.text}``")
-        elif child.tag == "a":
-            out.append(f"{child.text}[{child.attrs.get('href', '')}]")
-        elif child.tag == "br":
-            out.append(" +\n")
-        else:
-            out.append(child.text)
-    return "".join(out).strip()
-
-
-def _heading(tag: str) -> int:
-    return int(tag[1]) if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456" else 0
-
-
-def _structured(node: Node, out: list[str]) -> None:
-    if level := _heading(node.tag):
-        out.append(f"{'=' * level} {node.text.strip()}")
-    elif node.tag == "p":
-        if text := _inline(node):
-            out.append(text)
-    elif node.tag == "pre":
-        if text := node.text.strip():
-            out += ["[source,text]", "----", text, "----"]
-    elif node.tag in ("ul", "ol"):
-        out += ["", *(f"* {_inline(c)}" for c in node.children if isinstance(c, Node) and c.tag == "li"), ""]
-    elif node.tag == "blockquote":
-        for child in node.children:
-            if isinstance(child, Node) and child.tag == "p":
-                out += ["[NOTE]", f"==== {_inline(child)}", ""]
-    else:
-        for child in node.children:
-            if isinstance(child, Node):
-                _structured(child, out)
-
-
-def _plain(node: Node, out: list[str]) -> None:
-    for child in node.children:
-        if isinstance(child, str):
-            if text := child.strip():
-                out.append(text)
-        elif level := _heading(child.tag):
-            out += ["", f"{'=' * level} {child.text.strip()}", ""]
-        elif child.tag == "pre":
-            if text := child.text.rstrip():
-                out += ["[source,text]", "----", *text.splitlines(), "----", ""]
-        elif child.tag in ("p", "div"):
-            out.append(child.text.strip())
-        else:
-            _plain(child, out)
+        tag, content, _ = self.open[-1]
+        if self.body == -1 or tag in ("script", "style"):
+            return
+        if content in (_INLINE, _SPAN, _TEXT):
+            self.text.append(data)
+        elif content == _BLOCKS and self.plain and (text := data.strip()):
+            self.out.append(text)
+
+    def lines(self, markup: str) -> list[str]:
+        self.feed(markup)
+        self.close()
+        while len(self.open) > 1:
+            self._leave()
+        return self.out
 
 
 def asciidoc(markup: str, plain: bool = False, head: tuple[str, ...] = ()) -> str:
     """One document as AsciiDoc; without text it is marked as empty."""
-    root = parse(markup)
-    body, out = root.find("body"), list(head)
-    if plain:
-        if body is None:
-            return f"= [{EMPTY}]\n\n"
-        _plain(body, out)
-        return "\n".join(out).rstrip() + "\n"
-    _structured(body or root, out)
-    return "\n".join(out).rstrip() + "\n" if "\n".join(out).strip() else f"= [{EMPTY}]\n\n"
+    automaton = _Automaton(plain, head)
+    text = "\n".join(automaton.lines(markup or "")).rstrip()
+    if (not automaton.body) if plain else not text.strip():
+        return f"= [{EMPTY}]\n\n"
+    return f"{text}\n"
 
 
 def to_asciidoc(pages: DataFrame, key: str, markup: str, plain: bool = False, head: tuple[str, ...] = ()) -> DataFrame:
