@@ -45,14 +45,19 @@ def _some(condition: Column, *lines: Column) -> Column:
     return F.when(condition, F.array(*lines)).otherwise(F.array().cast("array<string>"))
 
 
+def _head_and_lines(rows: DataFrame, head: Column) -> DataFrame:
+    """source_document, place and line of a whole document, that of the head first; the lines of a chunk are one."""
+    heads = rows.groupBy("source_document").agg(F.count(F.lit(1)).alias("chunks")).select("source_document", F.lit(0).alias("place"), head.alias("line"))
+    return heads.unionByName(rows.select("source_document", "place", F.array_join("out", "\n").alias("line")))
+
+
 def _joined(rows: DataFrame, head: Column) -> DataFrame:
     text = F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("place", "out"))), lambda r: r["out"])), "\n")
     grouped = rows.groupBy("source_document").agg(text.alias("body"), F.count(F.lit(1)).alias("chunks"))
     return grouped.select("source_document", F.concat(rtrim_ws(F.concat(head, F.lit("\n"), F.col("body"))), F.lit("\n")).alias("text"))
 
 
-def markdown(chunks: DataFrame) -> DataFrame:
-    """source_document and text: its chunks in section order as one Markdown document."""
+def _markdown(chunks: DataFrame) -> tuple[DataFrame, Column]:
     rows = ordered_chunks(chunks)
     last = F.coalesce(F.lag("heading_level").over(Window.partitionBy("source_document").orderBy("place")), F.lit(0))
     level, title, blank = F.col("heading_level"), F.substring_index("section_path", " > ", -1), F.lit("")
@@ -66,11 +71,10 @@ def markdown(chunks: DataFrame) -> DataFrame:
         _some(level == 1, F.lit("---")),
         F.array(blank),
     )
-    return _joined(rows.withColumn("out", out), F.concat(F.lit("# "), F.col("source_document"), F.lit("\n")))
+    return rows.withColumn("out", out), F.concat(F.lit("# "), F.col("source_document"), F.lit("\n"))
 
 
-def asciidoc(chunks: DataFrame) -> DataFrame:
-    """The same as one AsciiDoc document."""
+def _asciidoc(chunks: DataFrame) -> tuple[DataFrame, Column]:
     rows, blank = ordered_chunks(chunks), F.lit("")
     level, title = F.col("heading_level"), F.substring_index("section_path", " > ", -1)
     body = _body(F.col("content"), level)
@@ -83,7 +87,25 @@ def asciidoc(chunks: DataFrame) -> DataFrame:
     )
     note = "Auto-generated by deployKnowledgeBase. Aggregated knowledge base from "
     head = F.concat(F.lit("= "), F.col("source_document"), F.lit(f"\n\n[NOTE]\n====\n{note}"), F.col("chunks").cast("string"), F.lit(" chunks.\n====\n"))
-    return _joined(rows.withColumn("out", out), head)
+    return rows.withColumn("out", out), head
+
+
+def markdown(chunks: DataFrame) -> DataFrame:
+    """source_document and text: its chunks in section order as one Markdown document."""
+    return _joined(*_markdown(chunks))
+
+
+def asciidoc(chunks: DataFrame) -> DataFrame:
+    """The same as one AsciiDoc document."""
+    return _joined(*_asciidoc(chunks))
+
+
+def lines(chunks: DataFrame, form: str) -> DataFrame:
+    """source_document, place and line of the Markdown or AsciiDoc document of each source: joined by line breaks in order of place, and
+    without white space at the end but one line break, they are its text.  For documents that are larger than a row may be.
+    """
+    rows, head = {"markdown": _markdown, "asciidoc": _asciidoc}[form](chunks)
+    return _head_and_lines(rows, head)
 
 
 def json_ld(chunks: DataFrame, namespace: str = "kb") -> DataFrame:

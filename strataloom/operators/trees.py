@@ -7,13 +7,14 @@ has no recursive struct.  ``path`` is the zero-padded chain of ordinals, by whic
 from __future__ import annotations
 
 import json
-import re
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import place_in_group
 from ..functions.text import split_lines, trim_ws
 from ..session import staged
 
@@ -44,7 +45,8 @@ def from_asciidoc(docs: DataFrame) -> DataFrame:
     )
 
 
-_TOKEN = re.compile(r'[ \t\r\n]*(?:([\[\]{},:])|("(?:[^"\\\\]|\\\\.)*"|[^\s\[\]{},:"]+))')
+#: Levels of a tree that are taken apart by expressions; what lies deeper is walked text by text.
+LEVELS = 16
 
 
 def parse_json(text: str):
@@ -53,55 +55,18 @@ def parse_json(text: str):
         return json.loads(text)
     except RecursionError:
         pass
-    at, end, open_, key, result = 0, len(text.rstrip()), [], [], []
-    want = "value"  # or "key", "colon", "next", and "first" right behind an opening bracket
-
-    def put(value) -> None:
-        if not open_:
-            result.append(value)
-        elif isinstance(open_[-1], list):
-            open_[-1].append(value)
-        else:
-            open_[-1][key.pop()] = value
-
-    while at < end:
-        found = _TOKEN.match(text, at)
-        if not found or (result and not open_):
-            raise ValueError(f"invalid JSON at {at}")
-        at, (sign, scalar) = found.end(), found.groups()
-        inside = open_[-1] if open_ else None
-        if sign in ("[", "{") and want in ("value", "first") and not (want == "first" and isinstance(inside, dict)):
-            value = [] if sign == "[" else {}
-            put(value)
-            open_.append(value)
-            want = "first"
-        elif sign in ("]", "}") and want in ("next", "first") and isinstance(inside, list if sign == "]" else dict):
-            open_.pop()
-            want = "next"
-        elif sign == "," and want == "next" and open_:
-            want = "value" if isinstance(inside, list) else "key"
-        elif sign == ":" and want == "colon":
-            want = "value"
-        elif scalar and isinstance(inside, dict) and want in ("key", "first") and scalar[0] == '"':
-            key.append(json.loads(scalar))
-            want = "colon"
-        elif scalar and want in ("value", "first") and not (want == "first" and isinstance(inside, dict)):
-            put(json.loads(scalar))
-            want = "next"
-        else:
-            raise ValueError(f"invalid JSON at {at}")
-    if open_ or not result:
-        raise ValueError("incomplete JSON")
-    return result[0]
-
+    decoder = json.JSONDecoder()
+    decoder.scan_once = json.scanner.py_make_scanner(decoder)  # calls of Python functions take no room on the C stack
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 4 * len(text) + 1000))
+    try:
+        return decoder.decode(text)
+    finally:
+        sys.setrecursionlimit(limit)
 
-def from_json(docs: DataFrame) -> DataFrame:
-    """Nodes of ``docs`` (doc, json): each a list of nested {title, level, type, text, children}.
 
-    The nesting has no bound, so each document is walked on its own in Arrow batches; an invalid or missing
-    text gives no nodes.  What isn't an object is no node; a level that isn't an integer is 0, and a title, type or
-    text that isn't a string is missing.
-    """
+def _walked(subtrees: DataFrame) -> DataFrame:
+    """Nodes of ``subtrees`` (doc, parent, depth, json): lists of nodes below a node, or at the root; for those too deep or odd for expressions."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [x.split()[0] for x in NODES.split(", ")]
@@ -110,12 +75,12 @@ def from_json(docs: DataFrame) -> DataFrame:
         many = lambda x: x if isinstance(x, list) else []
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc"], batch["json"], strict=True):
+            for doc, above, level, text in zip(batch["doc"], batch["parent"], batch["depth"], batch["json"], strict=True):
                 try:
                     roots = parse_json(text or "[]")
                 except ValueError:
                     continue
-                todo = [(node, "", i, 0) for i, node in enumerate(many(roots))][::-1]
+                todo = [(node, above or "", i, level) for i, node in enumerate(many(roots))][::-1]
                 while todo:
                     node, parent, i, depth = todo.pop()
                     if not isinstance(node, dict):
@@ -125,7 +90,49 @@ def from_json(docs: DataFrame) -> DataFrame:
                     todo += [(c, path, j, depth + 1) for j, c in enumerate(many(node.get("children")))][::-1]
             yield pd.DataFrame(rows, columns=columns)
 
-    return docs.select(F.col("doc").cast("string").alias("doc"), "json").mapInPandas(walk, NODES)
+    return subtrees.select("doc", "parent", "depth", "json").mapInPandas(walk, NODES)
+
+
+def _typed(name: str, kind: str, as_: str) -> Column:
+    """A node's value if it is of the kind that variants give it."""
+    value = F.try_variant_get("node", f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(value) == kind, F.try_variant_get("node", f"$.{name}", as_))
+
+
+def from_json(docs: DataFrame) -> DataFrame:
+    """Nodes of ``docs`` (doc, json): each a list of nested {title, level, type, text, children}.
+
+    Each text becomes a variant and its nodes' children are exploded level by level; a level is staged, so a huge
+    tree's nodes are many tasks' work.  Texts nested more deeply than variants may be (1000 brackets), and what lies more than
+    LEVELS levels deep, are walked text by text instead.  An invalid or missing text gives no nodes.  What isn't an object is no
+    node; a level that isn't an integer is 0, and a title, type or text that isn't a string is missing.
+    """
+    texts = docs.select(F.col("doc").cast("string").alias("doc"), "json", F.try_parse_json("json").alias("v"))
+    none = F.lit(None).cast("string")
+    lists = texts.select("doc", none.alias("parent"), F.lit(0).alias("depth"), F.col("v").alias("list"))
+    levels = []
+    for depth in range(LEVELS):
+        each = lists.lateralJoin(lists.sparkSession.tvf.variant_explode_outer(F.col("list").outer()))
+        # of a list the keys are null; an object's fields are no nodes
+        nodes = each.where("key is null and pos is not null").select("doc", "parent", F.col("pos").cast("int").alias("ordinal"), F.col("value").alias("node"))
+        nodes = nodes.where(F.try_variant_get("node", "$", "map<string,variant>").isNotNull())
+        path = F.concat(F.coalesce("parent", F.lit("")), F.lit("/"), F.lpad(F.col("ordinal").cast("string"), 9, "0"))
+        level = _typed("level", "BIGINT", "bigint")
+        rows = nodes.select(
+            "doc", path.alias("path"), "parent", "ordinal", F.lit(depth).alias("depth"), F.when(F.abs(level) < 1 << 31, level).otherwise(0).cast("int").alias("level"), F.coalesce(_typed("title", "STRING", "string"), F.lit("")).alias("title"),
+            _typed("type", "STRING", "string").alias("type"), _typed("text", "STRING", "string").alias("text"), F.try_variant_get("node", "$.children", "variant").alias("list"),
+        )
+        now = staged(rows, "tree-level")
+        levels.append(now.drop("list"))
+        lists = now.where("list is not null").select("doc", F.col("path").alias("parent"), F.lit(depth + 1).alias("depth"), "list")
+        if lists.isEmpty():
+            break
+    out = levels[0]
+    for part in levels[1:]:
+        out = out.unionByName(part)
+    odd = texts.where("v is null and json is not null").select("doc", none.alias("parent"), F.lit(0).alias("depth"), "json")
+    deep = lists.select("doc", "parent", "depth", F.to_json("list").alias("json")).unionByName(odd)
+    return out if deep.isEmpty() else out.unionByName(_walked(deep))
 
 
 def with_paths(nodes: DataFrame) -> DataFrame:
@@ -153,18 +160,17 @@ def is_paragraph(kind: Column, text: Column) -> Column:
 def relational(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """book, documents and paragraphs of nodes (doc, path, parent, ordinal, level, title, type, text).
 
-    Documents are numbered in preorder; a paragraph at the root counts as a
+    Documents are numbered in preorder, by ranges, so one huge tree isn't one task's work; a paragraph at the root counts as a
     document of level -1.  The book's title is the first root's with a level above 0, else unknown.
     """
     marked = nodes.withColumn("paragraph", is_paragraph(F.col("type"), F.col("text"))).withColumn("level", F.when(F.col("paragraph"), -1).otherwise(F.col("level")))
     sections = marked.where(~F.col("paragraph") | F.col("parent").isNull())
-    order = Window.partitionBy("doc").orderBy("path")
-    numbered = sections.withColumn("id", F.row_number().over(order))
+    numbered = place_in_group(sections, "doc", ["path"], "id").withColumn("id", (F.col("id") + 1).cast("int"))
     ids = numbered.select(F.col("doc").alias("d"), F.col("path").alias("p"), F.col("id").alias("above"))
     documents = numbered.join(ids, (F.col("doc") == F.col("d")) & (F.col("parent") == F.col("p")), "left")
     documents = documents.select("doc", "id", "title", "level", F.col("above").alias("parent_id"), F.col("ordinal").alias("sort_order"))
     inner = marked.where(F.col("paragraph") & F.col("parent").isNotNull()).join(ids, (F.col("doc") == F.col("d")) & (F.col("parent") == F.col("p")))
-    paragraphs = inner.withColumn("id", F.row_number().over(order)).select("doc", "id", F.col("above").alias("doc_id"), "text", (F.col("ordinal") + 1).alias("position"))
+    paragraphs = place_in_group(inner, "doc", ["path"], "id").withColumn("id", (F.col("id") + 1).cast("int")).select("doc", "id", F.col("above").alias("doc_id"), "text", (F.col("ordinal") + 1).alias("position"))
     first = F.min_by("title", F.when((F.col("level") > 0) & F.col("parent").isNull(), F.col("path")))
     book = marked.groupBy("doc").agg(F.coalesce(first, F.lit("unknown")).alias("title")).select("doc", F.lit(1).alias("id"), "title")
     return book, documents, paragraphs
@@ -186,16 +192,29 @@ DDL = (
 SCRIPT_END = ("SELECT setval('book_id_seq', (SELECT COALESCE(MAX(id), 1) FROM book));", "SELECT setval('documents_id_seq', (SELECT COALESCE(MAX(id), 1) FROM documents));", "COMMIT;")
 
 
-def sql_script(nodes: DataFrame) -> DataFrame:
-    """doc and text: the tables and their rows as one transaction."""
+def script_rows(nodes: DataFrame) -> DataFrame:
+    """doc, part, id and line: the inserts of the script, in order by part and id."""
     book, documents, paragraphs = relational(nodes)
     number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("NULL"))
-    rows = (
+    return (
         book.select("doc", F.lit(1).alias("part"), "id", F.concat(F.lit("INSERT INTO book (id, title) VALUES (1, '"), quoted(F.col("title")), F.lit("');")).alias("line"))
         .unionByName(documents.select("doc", F.lit(2).alias("part"), "id", F.concat(F.lit("INSERT INTO documents (id, book_id, title, level, parent_id, sort_order) VALUES ("), number("id"), F.lit(", 1, '"), quoted(F.col("title")), F.lit("', "), number("level"), F.lit(", "), number("parent_id"), F.lit(", "), number("sort_order"), F.lit(");")).alias("line")))
         .unionByName(paragraphs.select("doc", F.lit(3).alias("part"), "id", F.concat(F.lit("INSERT INTO paragraphs (doc_id, text, position) VALUES ("), number("doc_id"), F.lit(", '"), quoted(F.coalesce("text", F.lit(""))), F.lit("', "), number("position"), F.lit(");")).alias("line")))
     )
+
+
+def sql_script(nodes: DataFrame) -> DataFrame:
+    """doc and text: the tables and their rows as one transaction."""
     lines = F.transform(F.sort_array(F.collect_list(F.struct("part", "id", "line"))), lambda r: r["line"])
-    grouped = rows.groupBy("doc").agg(lines.alias("rows"))
+    grouped = script_rows(nodes).groupBy("doc").agg(lines.alias("rows"))
     script = F.concat(F.array(F.lit("BEGIN;"), *(F.lit(x) for x in DDL)), "rows", F.array(*(F.lit(x) for x in SCRIPT_END)))
     return grouped.select("doc", F.concat(F.array_join(script, "\n"), F.lit("\n")).alias("text"))
+
+
+def script_lines(nodes: DataFrame) -> DataFrame:
+    """doc, place and line of the whole script: what sql_script joins into one text, for scripts that are larger than a row may be."""
+    inserts = staged(script_rows(nodes), "script-rows")
+    frame = [(0, i, x) for i, x in enumerate(("BEGIN;", *DDL))] + [(4, i, x) for i, x in enumerate(SCRIPT_END)]
+    around = inserts.select("doc").distinct().select("doc", F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.lit(i).alias("id"), F.lit(x).alias("line")) for p, i, x in frame))).alias("f")).select("doc", "f.*")
+    placed = place_in_group(inserts.unionByName(around), "doc", ["part", "id"], "place")
+    return placed.select("doc", "place", "line")
