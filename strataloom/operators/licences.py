@@ -10,12 +10,24 @@ from ..functions.text import is_blank
 #: Patterns of open and closed licences, tried in this order.
 OPEN_PATTERNS = (r"(?i)apache\s+license\s+2\.0", r"(?i)apache-2\.0", r"(?i)creative\s+commons", r"(?i)cc-by", r"(?i)(?<![A-Za-z0-9_])cc0(?![A-Za-z0-9_])")
 CLOSED_PATTERNS = ("©", r"(?i)copyright", r"(?i)all\s+rights\s+reserved")
+#: Words in lower case of which one is in every text that a pattern matches.
+OPEN_WORDS, CLOSED_WORDS = ("apache", "creative", "cc-by", "cc0"), ("©", "copyright", "reserved")
 
 
 def detect(text: Column) -> Column:
-    """OSS, CSS or UNKNOWN by the text; open patterns win, blank or null is UNKNOWN."""
-    any_of = lambda patterns: text.rlike("|".join(f"(?:{p})" for p in patterns))
-    return F.when(text.isNull() | is_blank(text), "UNKNOWN").when(any_of(OPEN_PATTERNS), "OSS").when(any_of(CLOSED_PATTERNS), "CSS").otherwise("UNKNOWN")
+    """OSS, CSS or UNKNOWN by the text; open patterns win, blank or null is UNKNOWN.
+
+    Patterns are tried only on texts that hold one of their words, which is a plain search of bytes.
+    """
+    low = F.lower(text)
+
+    def any_of(patterns: tuple[str, ...], words: tuple[str, ...]) -> Column:
+        some = low.contains(words[0])
+        for word in words[1:]:
+            some = some | low.contains(word)
+        return some & text.rlike("|".join(f"(?:{p})" for p in patterns))
+
+    return F.when(text.isNull() | is_blank(text), "UNKNOWN").when(any_of(OPEN_PATTERNS, OPEN_WORDS), "OSS").when(any_of(CLOSED_PATTERNS, CLOSED_WORDS), "CSS").otherwise("UNKNOWN")
 
 
 def zone_of_path(path: Column) -> Column:

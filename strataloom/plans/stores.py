@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import licences, ocr, pipeline, profiles
+from ..functions import automata
+from ..functions.text import rtrim_ws, split_lines
+from ..operators import chunking, knowledge_base, licences, ocr, pipeline, pivots, profiles, trees
 from ..session import fresh_path
-from ..sources import named_files, readers, sinks
+from ..sources import named_files, parts, readers, sinks
 from .composites import _OCR_SQL, EchoClient, LowerEngine, _files, _images
 from .composites import ORACLE_SQL as FILES_SQL
-from .inputs import table
+from .generated import ORACLE_SQL as GENERATED_SQL
+from .graphs import _flat
+from .inputs import CONVERSATION_SQL, conversation_markdown, table
 from .knowledge import _ZONE
+from .knowledge import ORACLE_SQL as KNOWLEDGE_SQL
 
 
 def ocr_page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +104,45 @@ def chunk_store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source_document", "section_path", F.round("similarity", 9).alias("similarity"))
 
 
+def pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every twentieth one, by an index with pivots."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = pivots.build(vectors, fresh_path(spark, "pivots"), "vec_id", "embedding", 16)
+    found = pivots.nearest(index, vectors.where("vec_id % 20 = 0").select("vec_id", F.col("embedding").alias("vector")), 10, "vec_id")
+    return found.select("vec_id", "place", F.col("id").alias("other"), F.round("similarity", 7).alias("similarity"))
+
+
+def _joined_parts(spark: SparkSession, lines: DataFrame, doc: str) -> DataFrame:
+    """Documents written in parts of some 2,000 characters, put together again."""
+    path = fresh_path(spark, "parts")
+    parts.write_parts(lines, path, doc, chars=2000)
+    rows = parts.read_parts(spark, path).groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda r: r["text"]), "").alias("text"))
+    return rows.select("doc", F.md5(F.concat(rtrim_ws(F.col("text")), F.lit("\n"))).alias("text_md5"))
+
+
+def book_sql_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined_parts(spark, trees.script_lines(_flat(spark, sf_dir)), "doc")
+
+
+def kb_markdown_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined_parts(spark, knowledge_base.lines(chunking.chunk_documents(conversation_markdown(spark, sf_dir)), "markdown"), "source_document")
+
+
+def fence_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each line of the conversations' documents begins inside a code fence, by a scan over ranges of lines."""
+    docs = conversation_markdown(spark, sf_dir)
+    lines = docs.select("source_document", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
+    heading = F.col("line").rlike(chunking.HEADING)
+    symbol = F.when(heading, 2).when(F.ltrim("line").startswith("```"), 1).otherwise(0)
+    found = automata.states(lines, ["source_document"], ["pos"], symbol, automata.FENCES, "state")
+    return found.select("source_document", "pos", F.col("state").alias("inside"))
+
+
 QUERIES = {
+    "pivot_topk": pivot_topk,
+    "book_sql_parts": book_sql_parts,
+    "kb_markdown_parts": kb_markdown_parts,
+    "fence_states": fence_states,
     "ocr_page_files": ocr_page_files,
     "routed_files": routed_files,
     "pipeline_files": pipeline_files,
@@ -117,6 +160,12 @@ p AS (SELECT *, row_number() OVER (PARTITION BY learner_id, formation_id ORDER B
 _AGAIN = "CASE WHEN k % 3 = 0 THEN p_name || '!' ELSE p_name END"
 
 ORACLE_SQL = {
+    "pivot_topk": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT q.vec_id, v.vec_id AS other, round(list_cosine_similarity(q.e, v.e), 12) AS sim FROM v q, v WHERE q.vec_id % 20 = 0)
+SELECT vec_id, place, other, round(sim, 7) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, other)::INT AS place FROM s) WHERE place <= 10""",
+    "book_sql_parts": f"SELECT doc, md5(text) AS text_md5 FROM ({GENERATED_SQL['book_sql']})",
+    "kb_markdown_parts": f"SELECT source_document AS doc, text_md5 FROM ({KNOWLEDGE_SQL['kb_markdown']})",
+    "fence_states": f"WITH {CONVERSATION_SQL} SELECT source_document, pos::INT AS pos, CASE WHEN h THEN coalesce(lag(run) OVER (PARTITION BY source_document ORDER BY pos), 0) % 2 ELSE (run - fence::INT) % 2 END::INT AS inside FROM runs",
     "ocr_page_files": _OCR_SQL + "SELECT book || '/' || file_name AS name, body AS text FROM pages",
     "routed_files": f"SELECT CASE WHEN {_ZONE} = 'OSS' THEN 'OSS/' ELSE 'office/' END || printf('%06d.adoc', doc_id) AS name, md5(coalesce(text, '')) AS text_md5 FROM documents",
     "pipeline_files": f"SELECT route || '/' || file_name AS name, length(text)::INT AS chars FROM ({FILES_SQL['files_to_asciidoc']})",
