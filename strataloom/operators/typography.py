@@ -39,6 +39,10 @@ def is_bold(style: Column) -> Column:
     return style.isin("BOLD", "BOLD_ITALIC")
 
 
+def is_italic(style: Column) -> Column:
+    return style.isin("ITALIC", "BOLD_ITALIC")
+
+
 def size_statistics(lines: DataFrame) -> DataFrame:
     """doc and avg, max, min, range of the font sizes outside monospace; NaN without any."""
     size = F.when(~is_mono(F.col("style")), F.col("font_size").cast("double"))

@@ -46,7 +46,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def font_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     style = typography.font_style(F.expr(_FONT))
-    return table(spark, sf_dir, "part").select("p_partkey", style.alias("style"), typography.is_mono(style).alias("mono"), typography.is_bold(style).alias("bold"))
+    return table(spark, sf_dir, "part").select("p_partkey", style.alias("style"), typography.is_mono(style).alias("mono"), typography.is_bold(style).alias("bold"), typography.is_italic(style).alias("italic"))
 
 
 def header_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +149,7 @@ FROM near JOIN limits ON near.doc = limits.doc"""
 ORACLE_SQL = {
     "adoc_lines": MACHINE_SQL + "SELECT doc, pos, rule, in_code, pending FROM pend",
     "adoc_to_markdown": MACHINE_SQL + EMIT_SQL,
-    "font_style": f"SELECT p_partkey, style, style = 'MONOSPACE' AS mono, style IN ('BOLD', 'BOLD_ITALIC') AS bold FROM (SELECT p_partkey, {_STYLE} AS style FROM (SELECT p_partkey, lower({_FONT_SQL}) AS f FROM part))",
+    "font_style": f"SELECT p_partkey, style, style = 'MONOSPACE' AS mono, style IN ('BOLD', 'BOLD_ITALIC') AS bold, style IN ('ITALIC', 'BOLD_ITALIC') AS italic FROM (SELECT p_partkey, {_STYLE} AS style FROM (SELECT p_partkey, lower({_FONT_SQL}) AS f FROM part))",
     "header_thresholds": f"WITH {STYLED_SQL} SELECT doc, round(avg, 6) AS avg, round(max, 6) AS max, round(range, 6) AS range, round(h1, 6) AS h1, round(h2, 6) AS h2, round(h3, 6) AS h3, round(h4, 6) AS h4 FROM limits",
     "heading_levels": f"""WITH {STYLED_SQL}, p AS (SELECT doc, CASE WHEN range <= 0.5 THEN max + 0.1 ELSE max * 0.95 END AS h1, CASE WHEN range <= 0.5 THEN max + 0.1 ELSE max * 0.75 END AS h2, CASE WHEN range <= 0.5 THEN max + 0.1 ELSE max * 0.5 END AS h3 FROM thresholds)
 SELECT seq, CASE WHEN font_size::DOUBLE >= h1 AND style IN ('BOLD', 'BOLD_ITALIC') THEN 1 WHEN font_size::DOUBLE >= h1 THEN 2 WHEN font_size::DOUBLE >= h2 AND style IN ('BOLD', 'BOLD_ITALIC') THEN 2 WHEN font_size::DOUBLE >= h2 THEN 3
