@@ -1,8 +1,8 @@
 """Candidate pairs of rows that share a key, without listing the pairs of a group or putting a large key into one task.
 
 Rows have a key, an id, a sketch and the group that they are known to be in.  Rows of one key are a candidate
-pair if their groups differ and their sketches differ in few bits; a sketch is a long, or a
-binary of longs, the highest byte of each first.  A binary may end with all the keys of its row, in one order for all rows: then a pair that shares several
+pair if their groups differ and their sketches differ in few places: bits of a long, or half bytes of a
+binary of a multiple of 8 bytes.  A binary may end with all the keys of its row, in one order for all rows: then a pair that shares several
 keys is a candidate under the first of them alone.  Keys of many rows are dealt out as pairs of blocks.
 """
 
@@ -25,6 +25,7 @@ HELD = 4096
 
 #: Bytes of sketches that are compared at once, about.
 _AT_ONCE = 1 << 24
+_HALF = np.uint64(0x1111111111111111)
 
 
 def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
@@ -37,11 +38,15 @@ def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
 
 
 def _apart(x: np.ndarray, y: np.ndarray, bands: int = 0) -> np.ndarray:
-    """In how many bits sketches differ; wide ones have a last dimension, of which the last ``bands`` are keys."""
+    """In how many places sketches differ; wide ones have a last dimension, of which the last ``bands`` are keys."""
     if x.dtype == np.int64:
         return np.bitwise_count((x ^ y).view(np.uint64))
     words = x.shape[-1] - bands
-    return np.bitwise_count(x[..., :words] ^ y[..., :words]).sum(axis=-1, dtype=np.int64)
+    z = x[..., :words] ^ y[..., :words]
+    z |= z >> np.uint64(1)
+    z |= z >> np.uint64(2)
+    z &= _HALF
+    return np.bitwise_count(z).sum(axis=-1, dtype=np.int64)
 
 
 def _first(x: np.ndarray, y: np.ndarray, key: np.ndarray, bands: int) -> np.ndarray:

@@ -34,6 +34,8 @@ from .tokens import groups
 WIDTH, BANDS, ROWS = 5, 32, 6
 #: One bit of each minimum makes a sketch; at 0.8 about a tenth differ, and more than so many in 2 pairs of 100,000.
 APART = 38
+#: The last candidates are held against wider sketches: half bytes of WIDE minima, of which more than WIDE_APART differ in 2 pairs of 100,000 at 0.8.
+WIDE, WIDE_APART = 768, 190
 #: The least similarity of a link, as a fraction.
 LEAST = (4, 5)
 #: Rounds in which a key's texts are checked against one of them, before pairs are listed.
@@ -109,6 +111,30 @@ def shingles(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(hashed, "set_id bigint, hashes array<bigint>")
 
 
+_WIDE_FACTORS = np.random.default_rng(20240613).integers(1, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _wide(sets: DataFrame) -> DataFrame:
+    """(set_id, hashes) to set_id and its wide sketch."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = np.asarray(batch.column("hashes").flatten()).view(np.uint64)
+            at = np.concatenate([[0], np.cumsum(np.asarray(batch.column("hashes").value_lengths()))])
+            out = np.zeros((batch.num_rows, WIDE // 16), np.uint64)
+            for i in range(0, batch.num_rows, 64):  # 64 texts at a time
+                j = min(i + 64, batch.num_rows)
+                part, cuts = hashes[at[i] : at[j]], at[i:j] - at[i]
+                for k, factor in enumerate(_WIDE_FACTORS):
+                    least = np.minimum.reduceat(part * factor, cuts)
+                    least ^= least >> np.uint64(17) ^ least >> np.uint64(34)
+                    out[i:j, k // 16] |= (least & np.uint64(15)) << np.uint64(4 * (k % 16))
+            yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array([r.tobytes() for r in out], pa.binary())], names=["set_id", "sketch"])
+        give_back()
+
+    return sets.mapInArrow(sketch, "set_id bigint, sketch binary")
+
+
 def _packed(longs: Column) -> Column:
     """An array of longs as bytes, the highest of each first."""
     return F.unhex(F.array_join(F.transform(longs, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
@@ -184,9 +210,11 @@ def near_copies(docs: DataFrame, row: str, text: str = "text") -> DataFrame:
                 met = y.join(x, (F.col("key") == F.col("k")) & (F.col("x.grp") != F.col("y.grp")) & _could("x", "y"))
             else:
                 # under the first key that two texts share they are a candidate, whatever others they share
-                whole = worded.select(F.col("set_id").alias("id"), _packed(F.concat("sketch", "keys")).alias("sketch"))
+                some = mixed.select(F.col("set_id").alias("s")).distinct()
+                wide = _wide(hashes.join(some, F.col("set_id") == F.col("s"), "left_semi"))
+                whole = wide.join(worded.select(F.col("set_id").alias("id"), "keys"), F.col("set_id") == F.col("id")).select("id", F.concat("sketch", _packed(F.col("keys"))).alias("sketch"))
                 rows_ = mixed.select("key", F.col("set_id").alias("id"), "grp").join(whole, "id").select("key", "id", "sketch", "grp")
-                found = candidate_pairs(rows_, APART, BANDS)
+                found = candidate_pairs(rows_, WIDE_APART, BANDS)
                 x, y = (nodes.select(F.col("set_id").alias(c), F.struct(*_SET, "grp").alias(e)) for c, e in (("a", "x"), ("b", "y")))
                 met = found.join(x, "a").join(y, "b").where(F.col("x.grp") != F.col("y.grp"))
         first = F.col("x.set_id") < F.col("y.set_id")
