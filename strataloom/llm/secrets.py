@@ -18,6 +18,7 @@ at most the greatest level that keeps the expected share of words among them wit
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,18 +50,28 @@ def _two_sided(z: Column) -> Column:
     return F.least(F.lit(1.0), poly * F.exp(-F.least(x * x, F.lit(700.0))))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used, in lambdas too."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def randomness(token: Column) -> Column:
     """The p-value of the battery for one token of 20 or more characters."""
     stripped = F.regexp_replace(token, "=+$", "")
-    body = F.when(stripped == "", F.lit("A")).otherwise(stripped)  # signs alone score 0, as one symbol does
-    hexes, base32, base36 = body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), body.rlike("^[A-Z2-7]+$"), body.rlike("^[0-9a-z]+$")
-    size = F.when(hexes, 16).when(base32, 32).when(base36, 36).otherwise(64)
-    spelt = F.when(hexes, F.lower(body)).when(base32 | base36, body).otherwise(F.translate(body, "-_", "+/"))
-    alphabet = F.when(hexes, _ALPHABETS[16]).when(base32, _ALPHABETS[32]).when(base36, _ALPHABETS[36]).otherwise(_ALPHABETS[64])
-    symbols = F.transform(F.filter(F.split(spelt, ""), lambda c: c != ""), lambda c: F.struct(F.instr(alphabet, c).alias("i"), size.alias("a")))
-    values = F.transform(symbols, lambda s: F.greatest(s["i"] - 1, F.lit(0)).cast("double"))
-    # one pass binds the values, the next ones use them
-    return F.element_at(F.transform(F.array(F.struct(values.alias("v"), size.cast("double").alias("a"))), lambda s: _battery(s["v"], s["a"])), 1)
+    return _bound(stripped, lambda x: _encoded(F.when(x == "", F.lit("A")).otherwise(x)))  # signs alone score 0, as one symbol does
+
+
+def _encoded(body: Column) -> Column:
+    def spelt(hexes: Column, base32: Column, base36: Column) -> Column:
+        size = F.when(hexes, 16).when(base32, 32).when(base36, 36).otherwise(64)
+        text = F.when(hexes, F.lower(body)).when(base32 | base36, body).otherwise(F.translate(body, "-_", "+/"))
+        alphabet = F.when(hexes, _ALPHABETS[16]).when(base32, _ALPHABETS[32]).when(base36, _ALPHABETS[36]).otherwise(_ALPHABETS[64])
+        return F.struct(text.alias("text"), alphabet.alias("alphabet"), size.cast("double").alias("a"))
+
+    kinds = F.struct(body.rlike("^([0-9a-f]+|[0-9A-F]+)$").alias("hexes"), body.rlike("^[A-Z2-7]+$").alias("base32"), body.rlike("^[0-9a-z]+$").alias("base36"))
+    values = lambda s: F.transform(F.filter(F.split(s["text"], ""), lambda c: c != ""), lambda c: F.greatest(F.instr(s["alphabet"], c) - 1, F.lit(0)).cast("double"))
+    with_values = lambda s: F.struct(values(s).alias("v"), s["a"].alias("a"))
+    return _bound(kinds, lambda k: _bound(spelt(k["hexes"], k["base32"], k["base36"]), lambda s: _bound(with_values(s), lambda t: _battery(t["v"], t["a"]))))
 
 
 def _battery(v: Column, a: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -103,3 +104,18 @@ def test_redaction_replaces_the_union_of_spans(spark, odd):
                 out += before.text[at:start] + "[SECRET]"
             at = max(at, end)
         assert r.text == out + before.text[at:]
+
+
+def test_long_candidates_cost_in_proportion(spark):
+    """A megabyte without a blank, as an embedded picture is, takes seconds, and the battery's p is that of the plain version."""
+    rng = np.random.default_rng(8)
+    long = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 1_000_000))
+    docs = spark.createDataFrame([(1, f"see {long} here"), (2, "plain words"), (3, f"{long[:4000]}")], "doc_id long, text string")
+    secrets.scan(docs.where("doc_id = 2")).collect()
+    began = time.perf_counter()
+    found = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    took = time.perf_counter() - began
+    assert found == {1: "random:4:1000004", 2: "", 3: "random:0:4000"}
+    assert took < 60
+    row = docs.where("doc_id = 3").select(secrets.randomness(F.col("text")).alias("p")).first()
+    assert row.p == pytest.approx(plain_randomness(long[:4000]), abs=1e-6)
