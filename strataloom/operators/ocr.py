@@ -7,8 +7,7 @@ import shutil
 import subprocess
 import threading
 import time
-from collections.abc import Callable, Iterator, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import place_in_group
 from ..functions.text import is_blank
-from ..session import staged
+from ..session import spread, staged
 from ..sources.keyed import KeyedTable
 
 #: Image suffixes with their types, language codes, the prompt, and the texts of empty pages and books.
@@ -120,33 +119,6 @@ class CommandEngine:
 RESULTS = "page_id string, engine int, model string, text string, confidence double"
 
 
-class Late(Exception):
-    """A call that took longer than it may."""
-
-
-def _within(seconds: float | None, call: Callable[[], tuple[str, float]]) -> tuple[str, float]:
-    """What ``call`` gives in time; one that goes on is left to itself in a thread that ends with its process."""
-    if seconds is None:
-        return call()
-    done: list = []
-
-    def run() -> None:
-        try:
-            done.append((call(), None))
-        except BaseException as error:  # noqa: BLE001  handed on to the waiting thread
-            done.append((None, error))
-
-    thread = threading.Thread(target=run, daemon=True)
-    thread.start()
-    thread.join(seconds)
-    if not done:
-        raise Late(f"no answer within {seconds} s")
-    value, error = done[0]
-    if error is not None:
-        raise error
-    return value
-
-
 @dataclass(frozen=True)
 class Calls:
     """How a task calls engines: pages in flight at once, seconds that a call may take, and how often it is tried again, after how long.
@@ -160,6 +132,107 @@ class Calls:
     wait: float = 0.5
 
 
+class _Worker:
+    """A thread's present call: its page, engine and try, and since when it lasts; ``left`` once nobody waits for it any more."""
+
+    def __init__(self, start: tuple | None = None):
+        self.start, self.call, self.since, self.left = start, None, None, False
+
+
+class _Batch:
+    """The pages of a batch read by a few threads, each of which takes the next page when it is done with one.
+
+    A call that lasts too long is left to itself in its thread, which ends with it or with its process; another thread goes
+    on with the page.
+    """
+
+    def __init__(self, pages: list, engines: Sequence[Engine], calls: Calls):
+        self.pages, self.engines, self.calls = pages, engines, calls
+        self.next = iter(range(len(pages)))
+        self.rows: list[list[tuple]] = [[] for _ in pages]
+        self.lock, self.done = threading.Lock(), threading.Event()
+        self.open, self.error = len(pages), None
+        self.workers: list[_Worker] = []
+
+    def results(self) -> list[tuple]:
+        for _ in range(min(max(1, self.calls.in_flight), len(self.pages))):
+            self._start(_Worker())
+        while self.open and not self.done.wait(self._relieve()):
+            pass
+        if self.error is not None:
+            raise self.error
+        return [row for found in self.rows for row in found]
+
+    def _start(self, worker: _Worker) -> None:
+        self.workers.append(worker)
+        threading.Thread(target=self._work, args=(worker,), daemon=True).start()
+
+    def _relieve(self) -> float | None:
+        """Put new threads in the place of those whose call is late; the seconds until the next may be."""
+        seconds = self.calls.seconds
+        if seconds is None:
+            return None
+        least, late = seconds, []
+        with self.lock:
+            now = time.monotonic()
+            for worker in self.workers:
+                rest = seconds if worker.since is None else worker.since + seconds - now
+                if rest <= 0:
+                    worker.left = True
+                    late.append(worker)
+                else:
+                    least = min(least, rest)
+            self.workers = [w for w in self.workers if not w.left]
+        for worker in late:
+            at, engine, tries = worker.call
+            self._start(_Worker((at, engine, tries + 1)))
+        return least
+
+    def _work(self, worker: _Worker) -> None:
+        try:
+            if worker.start is not None:
+                self._page(worker, *worker.start)
+            while not worker.left and self.error is None:
+                at = next(self.next, None)
+                if at is None:
+                    break
+                self._page(worker, at, 0, 0)
+        except BaseException as error:  # noqa: BLE001  handed on to the waiting thread
+            if not worker.left:
+                self.error = error
+                self.done.set()
+
+    def _page(self, worker: _Worker, at: int, engine: int, tries: int) -> None:
+        page = self.pages[at]
+        while engine < len(self.engines):
+            text, confidence = "", 0.0
+            while tries <= self.calls.retries:
+                if tries:
+                    time.sleep(self.calls.wait * 2 ** (tries - 1))
+                with self.lock:
+                    worker.call, worker.since = (at, engine, tries), time.monotonic()
+                try:
+                    text, confidence = self.engines[engine].process(bytes(page.content or b""), page.mime, page.language)
+                    text, confidence, failed = text or "", float(confidence), False
+                except Exception:  # noqa: BLE001  whatever an engine raises is a failed page, not a failed job
+                    text, confidence, failed = "", 0.0, True
+                with self.lock:
+                    worker.since = None
+                    if worker.left:
+                        return
+                if not failed:
+                    break
+                tries += 1
+            self.rows[at].append((page.page_id, engine, self.engines[engine].name, text, confidence))
+            if text and confidence > 0:
+                break
+            engine, tries = engine + 1, 0
+        with self.lock:
+            self.open -= 1
+            if not self.open:
+                self.done.set()
+
+
 def run_engines(pages: DataFrame, engines: Sequence[Engine], calls: Calls = Calls()) -> DataFrame:
     """What each page of ``pages`` (page_id, content, mime, language) gets, engines tried in turn until one succeeds.
 
@@ -167,30 +240,10 @@ def run_engines(pages: DataFrame, engines: Sequence[Engine], calls: Calls = Call
     """
     chain = list(engines)
 
-    def attempt(engine: Engine, page) -> tuple[str, float]:
-        for again in range(calls.retries + 1):
-            try:
-                text, confidence = _within(calls.seconds, lambda: engine.process(bytes(page.content or b""), page.mime, page.language))
-                return text or "", float(confidence)
-            except Exception:  # noqa: BLE001  whatever an engine raises is a failed page, not a failed job
-                if again < calls.retries:
-                    time.sleep(calls.wait * 2**again)
-        return "", 0.0
-
-    def results(page) -> list[tuple]:
-        rows = []
-        for k, engine in enumerate(chain):
-            text, confidence = attempt(engine, page)
-            rows.append((page.page_id, k, engine.name, text, confidence))
-            if text and confidence > 0:
-                break
-        return rows
-
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(max(1, calls.in_flight)) as pool:
-            for batch in batches:
-                rows = [row for found in pool.map(results, batch.itertuples(index=False)) for row in found]
-                yield pd.DataFrame(rows, columns=["page_id", "engine", "model", "text", "confidence"])
+        for batch in batches:
+            rows = _Batch(list(batch.itertuples(index=False)), chain, calls).results()
+            yield pd.DataFrame(rows, columns=["page_id", "engine", "model", "text", "confidence"])
 
     return pages.select("page_id", "content", "mime", "language").mapInPandas(read, RESULTS)
 
@@ -294,7 +347,7 @@ def _collected(images: DataFrame, cache: DataFrame, engines: Sequence[Engine], l
     """The pages, and the new entries (CACHE) of the cache, staged."""
     named = images.select("book", F.col("page_id").alias("stem"), _cache_name().alias("page_id"), "content", "mime", content_hash(F.col("content")).alias("source_hash"))
     misses = cache_misses(named, cache).withColumn("language", F.lit(language))
-    read = first_success(run_engines(misses, engines, calls))
+    read = first_success(run_engines(spread(misses, "page_id"), engines, calls))
     pages = named.drop("content", "mime")
     fresh = staged(read.join(pages.select("page_id", "source_hash"), "page_id").select("page_id", "source_hash", "text", "confidence", "model"), "ocr")  # engines run once
     numbered = numbered_pages(with_cache(pages, cache, fresh), "book", "stem", "text")

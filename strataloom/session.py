@@ -71,6 +71,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Tasks that each core gets of rows whose work isn't in proportion to their bytes.
+TASKS_A_CORE = 4
+
+
+def tasks_for(spark: SparkSession) -> int:
+    return TASKS_A_CORE * max(2, spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt out by the hash of ``by`` to several tasks a core.
+
+    For rows that are small and cost much each: by their bytes alone, files and shuffles would give them to a few tasks.
+    """
+    return df.repartition(tasks_for(df.sparkSession), *by)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete staged tables that nothing reads any more; other frames are left alone."""
     for df in frames:

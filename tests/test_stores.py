@@ -172,3 +172,36 @@ def test_calls_in_flight_deadlines_and_retries(spark):
     for retries, text in ((0, ""), (1, "t1")):
         found = ocr.run_engines(pages.where("page_id = 'p01'"), [flaky()], ocr.Calls(retries=retries, wait=0.01)).collect()
         assert [r.text for r in found] == [text]
+
+
+def test_engines_share_a_few_threads(spark):
+    class Named:
+        name = "named"
+
+        def process(self, content, mime, language):
+            import threading
+
+            return threading.current_thread().name, 0.5
+
+    pages = spark.range(300).coalesce(1).select(F.col("id").cast("string").alias("page_id"), F.lit(b"x").alias("content"), F.lit("image/png").alias("mime"), F.lit("fr").alias("language"))
+    found = ocr.run_engines(pages, [Named()], ocr.Calls(in_flight=4, seconds=30.0)).collect()
+    assert [int(r.page_id) for r in found] == list(range(300)) and len({r.text for r in found}) <= 4
+
+
+def test_a_late_call_goes_on_to_the_next_engine(spark):
+    class Stuck:
+        name = "stuck"
+
+        def process(self, content, mime, language):
+            time.sleep(3 if content == b"1" else 0)
+            return "done", 0.5
+
+    class Last:
+        name = "last"
+
+        def process(self, content, mime, language):
+            return "last", 0.4
+
+    pages = spark.createDataFrame([(str(i), bytearray(str(i).encode()), "image/png", "fr") for i in range(6)], "page_id string, content binary, mime string, language string").coalesce(1)
+    found = ocr.run_engines(pages, [Stuck(), Last()], ocr.Calls(in_flight=2, seconds=0.3, retries=1, wait=0.01)).collect()
+    assert [(r.page_id, r.model, r.text) for r in found] == [("0", "stuck", "done"), ("1", "stuck", ""), ("1", "last", "last"), *((str(i), "stuck", "done") for i in range(2, 6))]
