@@ -43,9 +43,9 @@ def file_stem(path: Column) -> Column:
 
 def read_texts(spark: SparkSession, path: str, license: str = "UNKNOWN", keep_suffix: bool = False) -> DataFrame:
     """source_document, text and license of whole text files (Markdown, AsciiDoc, SQL)."""
-    texts = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    name = file_name(F.col("path")) if keep_suffix else file_stem(F.col("path"))
-    return texts.select(name.alias("source_document"), F.col("value").alias("text"), F.lit(license).alias("license"))
+    files = named_files.small_files(spark, path, unpacked=True)
+    name = F.col("name") if keep_suffix else file_stem(F.col("name"))
+    return files.select(name.alias("source_document"), F.decode("content", "UTF-8").alias("text"), F.lit(license).alias("license"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -96,7 +96,7 @@ def read_graph(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema(PROFILE).json(path, multiLine=True)
+    rows = _json_rows(spark, path, PROFILE, {})
     return rows.select(
         F.col("learnerId").alias("learner_id"), F.col("formationId").alias("formation_id"), F.coalesce("completedModules", F.array().cast("array<string>")).alias("completed_modules"),
         F.col("currentModule").alias("current_module"), F.coalesce("progressionPct", F.lit(0.0)).alias("progression_pct"), F.coalesce("comprehensionScore", F.lit(0.0)).alias("comprehension_score"),
@@ -116,8 +116,8 @@ def read_ocr_cache(spark: SparkSession, path: str) -> DataFrame:
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """page_id (the stem), content, mime and source_hash of a folder's images."""
-    files = spark.read.format("binaryFile").load(path).where(is_image(F.col("path")))
-    return files.select(file_stem(F.col("path")).alias("page_id"), "content", mime_type(F.col("path")).alias("mime"), content_hash(F.col("content")).alias("source_hash"))
+    files = named_files.small_files(spark, path).where(is_image(F.col("name")))
+    return files.select(file_stem(F.col("name")).alias("page_id"), "content", mime_type(F.col("name")).alias("mime"), content_hash(F.col("content")).alias("source_hash"))
 
 
 def dispatch(path: Column) -> Column:
@@ -260,7 +260,11 @@ def enriched_nodes(texts: DataFrame, column: str = "text") -> DataFrame:
 
 
 def _json_rows(spark: SparkSession, path: str, schema: str, defaults: dict[str, object]) -> DataFrame:
-    rows = spark.read.schema(schema).json(path, multiLine=True)
+    """The objects of JSON files, one or an array a file; what can't be read is a row of nulls."""
+    kind = spark.createDataFrame([], schema).schema.simpleString()
+    texts = named_files.small_files(spark, path, unpacked=True).select(F.decode("content", "UTF-8").alias("text"))
+    found = F.coalesce(F.from_json("text", f"array<{kind}>"), F.array(F.lit(None).cast(kind)))
+    rows = texts.select(F.explode(found).alias("r")).select("r.*")
     return rows.withColumns({c: F.coalesce(F.col(c), F.lit(v) if not isinstance(v, dict) else F.create_map().cast("map<string,string>")) for c, v in defaults.items()})
 
 

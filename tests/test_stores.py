@@ -174,6 +174,24 @@ def test_calls_in_flight_deadlines_and_retries(spark):
         assert [r.text for r in found] == [text]
 
 
+def test_many_small_files_make_few_tasks(spark, tmp_path):
+    few, many = str(tmp_path / "few"), str(tmp_path / "many")
+    for path, n in ((few, 40), (many, 1500)):
+        rows = spark.range(n).select(F.format_string("p%d.json", "id").alias("file_name"), F.format_string('{"learnerId": "l%d", "progressionPct": 2.5}', "id").alias("text"))
+        named_files.write_files(rows, path)
+    for read in (named_files.read_files, readers.read_texts, readers.read_profiles, readers.read_ocr_config):
+        assert read(spark, many).rdd.getNumPartitions() == read(spark, few).rdd.getNumPartitions()
+        assert read(spark, many).count() == 1500
+    assert {r.learner_id for r in readers.read_profiles(spark, many).collect()} == {f"l{i}" for i in range(1500)}
+
+
+def test_json_files_of_objects_and_arrays(spark, tmp_path):
+    for name, text in (("one", '{"model": "a", "maxTokens": 1}'), ("two", '[{"model": "b"}, {"model": "c"}]'), ("broken", '{"model": '), ("empty", "")):
+        (tmp_path / f"{name}.json").write_text(text)
+    found = readers.read_ocr_config(spark, str(tmp_path))
+    assert sorted((r.model or "", r.maxTokens) for r in found.collect()) == [("", 4096), ("a", 1), ("b", 4096), ("c", 4096)]
+
+
 def test_engines_share_a_few_threads(spark):
     class Named:
         name = "named"
