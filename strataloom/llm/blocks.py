@@ -78,35 +78,57 @@ def _stars(most: int):
     return star
 
 
-def _block_pairs(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...] | None, most: int, key: int = 0, bands: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates of two blocks (id, sketch, grp) of one key, or within the first."""
+def _nearest(key: np.ndarray, g: np.ndarray, h: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """The places of the pairs that are the least apart of all of one key and the same two groups."""
+    g, h = np.minimum(g, h), np.maximum(g, h)
+    order = np.lexsort((apart, h, g, key))
+    key, g, h = key[order], g[order], h[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (key[1:] != key[:-1]) | (g[1:] != g[:-1]) | (h[1:] != h[:-1])
+    return order[new]
+
+
+def _block_pairs(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...] | None, most: int, key: int = 0, bands: int = 0, nearest: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+    """Candidates of two blocks (id, sketch, grp) of one key, or within the first: their ids and groups."""
     other = x if y is None else y
     step = max(1, _AT_ONCE // max(1, other[1].nbytes))
     for i in range(0, len(x[0]), step):
-        near = (_apart(x[1][i : i + step, None], other[1][None, :], bands) <= most) & (x[2][i : i + step, None] != other[2][None, :])
+        apart = _apart(x[1][i : i + step, None], other[1][None, :], bands)
+        near = (apart <= most) & (x[2][i : i + step, None] != other[2][None, :])
         p, q = np.nonzero(near)
+        apart = apart[p, q]
         p += i
         if y is None:
-            p, q = p[p < q], q[p < q]
+            some = p < q
+            p, q, apart = p[some], q[some], apart[some]
         if bands:
-            for k in range(0, len(p), 1 << 14):  # that many pairs' keys at once
-                a, b = p[k : k + (1 << 14)], q[k : k + (1 << 14)]
-                first = _first(x[1][a], other[1][b], key, bands)
-                yield x[0][a[first]], other[0][b[first]]
-            continue
-        yield x[0][p], other[0][q]
+            # so many pairs' keys at once
+            first = [_first(x[1][p[k : k + (1 << 14)]], other[1][q[k : k + (1 << 14)]], key, bands) for k in range(0, len(p), 1 << 14)]
+            if first:
+                some = np.concatenate(first)
+                p, q, apart = p[some], q[some], apart[some]
+        if nearest and len(p):
+            some = _nearest(np.zeros(len(p), np.int64), x[2][p], other[2][q], apart)
+            p, q = p[some], q[some]
+        yield x[0][p], other[0][q], x[2][p], other[2][q]
+
+
+def _ordered(a: np.ndarray, b: np.ndarray, between: pa.Array | None, g: np.ndarray, h: np.ndarray) -> list[pa.Array]:
+    """The ids of pairs, the lesser first, and their groups."""
+    ends = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
+    return [*ends, *([] if between is None else [between]), pa.array(np.where(a < b, g, h)), pa.array(np.where(a < b, h, g))]
 
 
-def _pairs(most: int, wide: bool, bands: int):
-    """Sorted by key: candidates (a, b) of different groups, and, with n 1, the rows of keys of more than HELD rows."""
-    names = ["n", "a", "b", "sketch", "grp"]
+def _pairs(most: int, wide: bool, bands: int, nearest: bool):
+    """Sorted by key: candidates (a, b) of different groups grp and other, and, with n 1, the rows of keys of more than HELD rows."""
+    names = ["n", "a", "b", "sketch", "grp", "other"]
 
-    def cells(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    def cells(a: np.ndarray, b: np.ndarray, g: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
         none = pa.nulls(len(a), pa.binary() if wide else pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, pa.array(np.zeros(len(a), np.int64))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), *_ordered(a, b, none, g, h)], names=names)
 
     def large(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(batch.num_rows, np.int32)), *(batch.column(c) for c in ("key", "id", "sketch", "grp"))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(batch.num_rows, np.int32)), *(batch.column(c) for c in ("key", "id", "sketch", "grp")), pa.nulls(batch.num_rows, pa.int64())], names=names)
 
     def compare(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         key, id_, sketch, grp = _columns(rows, "key", "id", "sketch", "grp")
@@ -114,22 +136,29 @@ def _pairs(most: int, wide: bool, bands: int):
         sizes = np.diff(np.append(starts, len(key)))
         mixed = np.minimum.reduceat(grp, starts) != np.maximum.reduceat(grp, starts)
         few = np.repeat(mixed & (sizes <= 64), sizes)
-        left = np.flatnonzero(few)
+        left, met = np.flatnonzero(few), []
         for d in range(1, 64):  # small keys all at once: each row with the d-th one behind it
             left = left[left + d < len(key)]
             left = left[key[left] == key[left + d]]
             if not len(left):
                 break
             apart = left[grp[left] != grp[left + d]]
-            some = apart[_apart(sketch[apart], sketch[apart + d], bands) <= most]
-            some = some[_first(sketch[some], sketch[some + d], key[some], bands)]
-            if len(some):
-                yield cells(id_[some], id_[some + d])
+            far = _apart(sketch[apart], sketch[apart + d], bands)
+            some, far = apart[far <= most], far[far <= most]
+            first = _first(sketch[some], sketch[some + d], key[some], bands)
+            if first.any():
+                met.append((some[first], some[first] + d, far[first]))
+        if met:
+            p, q, far = (np.concatenate(c) for c in zip(*met, strict=True))
+            if nearest:
+                some = _nearest(key[p], grp[p], grp[q], far)
+                p, q = p[some], q[some]
+            yield cells(id_[p], id_[q], grp[p], grp[q])
         for k in np.flatnonzero(mixed & (sizes > 64)):
             part = slice(starts[k], starts[k] + sizes[k])
-            for a, b in _block_pairs((id_[part], sketch[part], grp[part]), None, most, int(key[starts[k]]), bands):
-                if len(a):
-                    yield cells(a, b)
+            for found in _block_pairs((id_[part], sketch[part], grp[part]), None, most, int(key[starts[k]]), bands, nearest):
+                if len(found[0]):
+                    yield cells(*found)
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # rows of the last key, if not too many
@@ -214,8 +243,8 @@ def runs(batch: pa.RecordBatch, by: list[str]) -> list[tuple[int, int]]:
     return list(zip(edges.tolist(), np.append(edges[1:], batch.num_rows).tolist(), strict=True))
 
 
-def _large_pairs(rows: DataFrame, most: int, bands: int) -> DataFrame:
-    """Candidates (a, b) of rows (key, id, sketch, grp) of keys with many, by block pairs in different tasks."""
+def _large_pairs(rows: DataFrame, most: int, bands: int, nearest: bool) -> DataFrame:
+    """Candidates (a, b, grp, other) of rows (key, id, sketch, grp) of keys with many, by block pairs in different tasks."""
     by = ["key", "lo", "hi"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,23 +254,28 @@ def _large_pairs(rows: DataFrame, most: int, bands: int) -> DataFrame:
             for a, b in runs(batch, by):
                 x, s = tuple(c[a:b] for c in (id_, sketch, grp)), side[a:b]
                 same = lo[a] == hi[a]
-                for p, q in _block_pairs(tuple(c[~s] for c in x), None if same else tuple(c[s] for c in x), most, int(key[a]), bands):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+                for p, q, g, h in _block_pairs(tuple(c[~s] for c in x), None if same else tuple(c[s] for c in x), most, int(key[a]), bands, nearest):
+                    yield pa.RecordBatch.from_arrays(_ordered(p, q, None, g, h), names=["a", "b", "grp", "other"])
 
     dealt = deal(rows, rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
-    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "a bigint, b bigint")
+    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "a bigint, b bigint, grp bigint, other bigint")
 
 
-def candidate_pairs(keyed: DataFrame, most: int, bands: int = 0) -> DataFrame:
-    """The candidates (a, b), a < b, of ``keyed`` (key, id, sketch, grp), staged and each once; the last ``bands`` longs of sketches are keys."""
+def candidate_pairs(keyed: DataFrame, most: int, bands: int = 0, groups: bool = False, nearest: bool = False) -> DataFrame:
+    """The candidates (a, b), a < b, of ``keyed`` (key, id, sketch, grp), staged and each once; the last ``bands`` longs of sketches are keys.
+
+    With ``groups`` also their groups (ga, gb).  With ``nearest`` of a key's candidates between the same two groups only the
+    least apart, or one a block pair of a large key.
+    """
     dealt = keyed.repartition("key").sortWithinPartitions("key")
     kind = keyed.schema["sketch"].dataType.simpleString()
-    met = staged(dealt.mapInArrow(_pairs(most, kind == "binary", bands), f"n int, a bigint, b bigint, sketch {kind}, grp bigint"), "met")
+    met = staged(dealt.mapInArrow(_pairs(most, kind == "binary", bands, nearest), f"n int, a bigint, b bigint, sketch {kind}, grp bigint, other bigint"), "met")
     large = met.where("n = 1").select(F.col("a").alias("key"), F.col("b").alias("id"), "sketch", "grp")
-    pairs = met.where("n = 0").select("a", "b")
+    pairs = met.where("n = 0").select("a", "b", "grp", "other")
     if not large.isEmpty():
-        pairs = pairs.unionByName(_large_pairs(large, most, bands))
-    out = staged(pairs.distinct(), "pairs")
+        pairs = pairs.unionByName(_large_pairs(large, most, bands, nearest))
+    found = pairs.select("a", "b", F.col("grp").alias("ga"), F.col("other").alias("gb")) if groups else pairs.select("a", "b")
+    out = staged(found.distinct(), "pairs")
     discard(met)
     return out
 

@@ -195,9 +195,9 @@ def near_copies(docs: DataFrame, row: str, text: str = "text") -> DataFrame:
     nodes = staged(chosen.select("set_id", "size", *(F.col("sketch")[i].alias(f"s{i}") for i in range(BANDS * ROWS // 64)), F.col("set_id").alias("grp")), "nodes")
     ones = chosen.select("set_id", F.col("one").alias("__one"))
     hashes = staged(shingles(docs.join(ones, F.col(row) == F.col("__one")).select("set_id", text)), "shingles")
-    checked = None
-    for turn in range(STARS + 2):
-        mixed = None
+    checked, whole = None, None
+    for turn in range(STARS + 3):
+        mixed, pairs = None, None
         if turn == 0:  # what the fingerprints say
             x, y = (nodes.select(*(F.col(c).alias(f"{c}_{e}") for c in (*_SET, "grp"))) for e in "xy")
             both = alike.join(x, F.col("x") == F.col("set_id_x")).join(y, F.col("y") == F.col("set_id_y"))
@@ -209,17 +209,18 @@ def near_copies(docs: DataFrame, row: str, text: str = "text") -> DataFrame:
                 x = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "grp").alias("h"), F.struct(*_SET, "grp").alias("x")))["x"].alias("x")).withColumnRenamed("key", "k")
                 met = y.join(x, (F.col("key") == F.col("k")) & (F.col("x.grp") != F.col("y.grp")) & _could("x", "y"))
             else:
-                # under the first key that two texts share they are a candidate, whatever others they share
-                some = mixed.select(F.col("set_id").alias("s")).distinct()
-                wide = _wide(hashes.join(some, F.col("set_id") == F.col("s"), "left_semi"))
-                whole = wide.join(worded.select(F.col("set_id").alias("id"), "keys"), F.col("set_id") == F.col("id")).select("id", F.concat("sketch", _packed(F.col("keys"))).alias("sketch"))
+                # under the first key that two texts share they are a candidate, whatever others they share; of those between the
+                # same two groups the nearest go first, since most of the others are within one group then
+                if whole is None:
+                    some = mixed.select(F.col("set_id").alias("s")).distinct()
+                    wide = _wide(hashes.join(some, F.col("set_id") == F.col("s"), "left_semi"))
+                    whole = staged(wide.join(worded.select(F.col("set_id").alias("id"), "keys"), F.col("set_id") == F.col("id")).select("id", F.concat("sketch", _packed(F.col("keys"))).alias("sketch")), "wide")
                 rows_ = mixed.select("key", F.col("set_id").alias("id"), "grp").join(whole, "id").select("key", "id", "sketch", "grp")
-                found = candidate_pairs(rows_, WIDE_APART, BANDS)
-                x, y = (nodes.select(F.col("set_id").alias(c), F.struct(*_SET, "grp").alias(e)) for c, e in (("a", "x"), ("b", "y")))
-                met = found.join(x, "a").join(y, "b").where(F.col("x.grp") != F.col("y.grp"))
+                pairs = candidate_pairs(rows_, WIDE_APART, BANDS, groups=True, nearest=turn == STARS + 1)
         first = F.col("x.set_id") < F.col("y.set_id")
         ends = {"a": ("x", "y", "set_id"), "b": ("y", "x", "set_id"), "ga": ("x", "y", "grp"), "gb": ("y", "x", "grp")}
-        pairs = met.select(*(F.when(first, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(n) for n, (p, q, c) in ends.items())).distinct()
+        if pairs is None:
+            pairs = met.select(*(F.when(first, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(n) for n, (p, q, c) in ends.items())).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
@@ -227,7 +228,7 @@ def near_copies(docs: DataFrame, row: str, text: str = "text") -> DataFrame:
         checked = done if checked is None else checked.unionByName(done)
         before, nodes = nodes, _regrouped(nodes, _verified(pairs, hashes))
         discard(before, *([] if mixed is None else [mixed]))
-    discard(keyed, hashes, alike)
+    discard(keyed, hashes, alike, *([] if whole is None else [whole]))
     return rows.select(row, F.col("set_id").alias("s")).join(nodes, F.col("s") == F.col("set_id"), "left").select(row, F.coalesce("grp", "s").alias("grp"))
 
 

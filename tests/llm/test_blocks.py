@@ -36,3 +36,22 @@ def test_the_first_shared_key():
     for key, want in ((1, [True, False, False]), (2, [False, True, False]), (3, [False, False, True])):
         assert blocks._first(x, y, np.array([key] * 3), 3).tolist() == want
     assert blocks._first(x, y, np.array([1] * 3), 0).all()
+
+
+def test_nearest_candidates_are_one_between_two_groups_of_a_key(spark):
+    """Small keys, keys compared as blocks in one task and keys dealt out: groups told apart, the least apart of their pairs."""
+    rng = np.random.default_rng(8)
+    rows = [(key, 10_000 * key + i, int(rng.integers(0, 256)), i % 3) for key, n in ((1, 20), (2, 300), (3, 5000)) for i in range(n)]
+    keyed = spark.createDataFrame(rows, "key long, id long, sketch long, grp long").repartition(3)
+    every = blocks.candidate_pairs(keyed.where("key < 3"), 3, groups=True)
+    some = blocks.candidate_pairs(keyed, 3, groups=True, nearest=True).collect()
+    sketch, grp = {r[1]: r[2] for r in rows}, {r[1]: r[3] for r in rows}
+    assert all(r.a < r.b and (r.ga, r.gb) == (grp[r.a], grp[r.b]) and r.ga != r.gb for r in some)
+    apart = {}
+    for r in every.collect():
+        at = (r.a // 10_000, *sorted((r.ga, r.gb)))
+        apart[at] = min(apart.get(at, 64), (sketch[r.a] ^ sketch[r.b]).bit_count())
+    found = [(r.a // 10_000, *sorted((r.ga, r.gb)), (sketch[r.a] ^ sketch[r.b]).bit_count()) for r in some]
+    assert sorted(x for x in found if x[0] < 3) == sorted((*k, n) for k, n in apart.items()) and len(apart) == 6
+    large = [x for x in found if x[0] == 3]
+    assert {x[1:3] for x in large} == {(0, 1), (0, 2), (1, 2)} and len(large) < 5000
