@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrow import bound_batches, give_back
 from ..functions.ordering import place_in_group
 from ..functions.text import split_lines, trim_ws
 from ..session import staged
@@ -89,7 +90,9 @@ def _walked(subtrees: DataFrame) -> DataFrame:
                     rows.append((doc, path, parent or None, i, depth, number(node.get("level")), string(node.get("title")) or "", string(node.get("type")), string(node.get("text"))))
                     todo += [(c, path, j, depth + 1) for j, c in enumerate(many(node.get("children")))][::-1]
             yield pd.DataFrame(rows, columns=columns)
+        give_back()
 
+    bound_batches(subtrees.sparkSession)
     return subtrees.select("doc", "parent", "depth", "json").mapInPandas(walk, NODES)
 
 

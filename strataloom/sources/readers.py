@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrow import bound_batches, give_back
 from ..functions.text import rtrim_ws, trim_ws
 from ..operators.html import asciidoc
 from ..operators.licences import detect
@@ -157,7 +158,9 @@ def pdf_runs(files: DataFrame, parser: Parser | None = None) -> DataFrame:
                     continue
                 rows += [(p, page, n, text, font, float(sizes[0]) if sizes else 0.0, float(max(sizes, default=0.0)), float(y), None) for page, n, text, font, sizes, y in found]
             yield pd.DataFrame(rows, columns=names)
+        give_back()
 
+    bound_batches(files.sparkSession)
     return files.select("path", "content").mapInPandas(parse, pdf.RUNS)
 
 
@@ -237,7 +240,9 @@ def epub_texts(files: DataFrame, plain: bool = False, head: tuple[str, ...] = ()
                     continue
                 rows.append((where, asciidoc(f"<body>{markup}</body>" if "<body" not in markup else markup, plain, head)))
             yield pd.DataFrame(rows, columns=["path", "text"])
+        give_back()
 
+    bound_batches(files.sparkSession)
     return files.select("path", "content").mapInPandas(convert, "path string, text string")
 
 
