@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import licences, ocr, pipeline, profiles, trees
+from ..session import spread, staged
 from ..sources import readers
 from .inputs import table
 
@@ -65,7 +66,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
                 content.append(_epub(name, mark) if path.lower().endswith(".epub") else _pdf([first, second]))
             yield pd.DataFrame({"path": b["path"], "content": content})
 
-    return rows.mapInPandas(build, "path string, content binary")
+    return staged(spread(rows, "key").mapInPandas(build, "path string, content binary"), "made")
 
 
 def files_to_asciidoc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import arrow, embedding
 from strataloom.operators import html
+from strataloom.plans import composites
 from strataloom.sources import readers
 
 _ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -63,3 +64,10 @@ def test_embedding_is_the_same_with_a_short_memory(monkeypatch, at_once):
         monkeypatch.setattr(embedding, name, value)
     known = embedding.Words()
     assert np.array_equal(embedding.hashed_vectors(texts, known=known), want) and len(known) <= max(5, at_once)
+
+
+def test_files_are_made_and_parsed_by_several_tasks(spark):
+    """Suppliers are one small file, and so all PDF and EPUB files were one task's."""
+    files = composites._files(spark, "/root/testdata/sf0.001")
+    assert min(n.rdd.getNumPartitions() for n in (files, readers.pdf_runs(files.where("path like '%.pdf'")))) > 1
+    assert files.count() == spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
