@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, json_text, rtrim_ws, split_lines, trim_ws
+from ..session import staged
 
 
 def _left_pad(c: Column, width: int, fill: str) -> Column:
@@ -46,9 +47,13 @@ def _some(condition: Column, *lines: Column) -> Column:
 
 
 def _head_and_lines(rows: DataFrame, head: Column) -> DataFrame:
-    """source_document, place and line of a whole document, that of the head first; the lines of a chunk are one."""
+    """source_document, place and line of a whole document, that of the head first; the lines of a chunk are one.
+
+    The rows are staged: heads and ranges of lines read them again, and they are what costs.
+    """
+    rows = staged(rows.select("source_document", "place", F.array_join("out", "\n").alias("line")), "lines")
     heads = rows.groupBy("source_document").agg(F.count(F.lit(1)).alias("chunks")).select("source_document", F.lit(0).alias("place"), head.alias("line"))
-    return heads.unionByName(rows.select("source_document", "place", F.array_join("out", "\n").alias("line")))
+    return heads.unionByName(rows)
 
 
 def _joined(rows: DataFrame, head: Column) -> DataFrame:

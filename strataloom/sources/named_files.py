@@ -64,7 +64,7 @@ class _Writer(DataSourceArrowWriter):
         store, root = opened(self.beside)
         own = f"{root}/_attempts/{context.partitionId()}-{context.taskAttemptId()}"
         store.create_dir(own, recursive=False)
-        names, made = set(), {own, root}
+        names, made = {}, {root}  # while they are made files have numbers, so an attempt has no folders of its own
 
         def make(folder: str) -> None:
             """Step by step below what is there: a task that outlives its job mustn't bring the job's folder back."""
@@ -80,14 +80,13 @@ class _Writer(DataSourceArrowWriter):
                     raise ValueError(f"no name for a file: {name!r}")
                 if name in names:
                     raise ValueError(f"{_TWICE}{name!r}")
-                names.add(name)
-                make(_parent(f"{own}/{name}"))
-                with store.open_output_stream(f"{own}/{name}", compression=None) as out:
+                names[name] = f"{own}/{len(names)}"
+                with store.open_output_stream(names[name], compression=None) as out:
                     if value.is_valid:
                         out.write(value.as_buffer())
-        for name in names:
+        for name, there in names.items():
             make(_parent(f"{root}/{name}"))
-            store.move(f"{own}/{name}", f"{root}/{name}")
+            store.move(there, f"{root}/{name}")
         return Written(len(names))
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:

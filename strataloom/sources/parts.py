@@ -26,11 +26,13 @@ def write_parts(lines: DataFrame, path: str, doc: str = "doc", place: str = "pla
     first = ahead.groupBy("doc").agg(F.min("ahead").alias("first")).withColumnRenamed("doc", "d")
     numbered = ahead.join(first, F.col("doc") == F.col("d")).withColumn("part", F.floor((F.col("ahead") - F.col("first")) / chars))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda r: F.concat(r["line"], F.lit("\n")))
-    parts = numbered.groupBy("doc", "part").agg(F.array_join(ordered, "").alias("text"), F.count(F.lit(1)).alias("lines"))
-    named = parts.withColumn("file_name", F.concat(F.lit("part-"), F.lpad(F.col("part").cast("string"), 9, "0")))
-    entry = F.struct("part", F.struct(F.col("file_name").alias("name"), "lines", F.length("text").alias("chars")).alias("e"))
-    sizes = named.groupBy("doc").agg(json_text(F.struct(F.transform(F.sort_array(F.collect_list(entry)), lambda r: r["e"]).alias("parts"), F.sum("lines").alias("lines"))).alias("text"))
-    files = named.select("doc", "file_name", "text").unionByName(sizes.select("doc", F.lit(MANIFEST).alias("file_name"), "text"))
+    file_name = F.concat(F.lit("part-"), F.lpad(F.col("part").cast("string"), 9, "0"))
+    named = numbered.groupBy("doc", "part").agg(F.array_join(ordered, "").alias("text")).select("doc", file_name.alias("file_name"), "text")
+    # from the lines' lengths, so no text is put together twice
+    counted = numbered.groupBy("doc", "part").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line") + 1).alias("chars"))
+    entry = F.struct("part", F.struct(file_name.alias("name"), "lines", "chars").alias("e"))
+    sizes = counted.groupBy("doc").agg(json_text(F.struct(F.transform(F.sort_array(F.collect_list(entry)), lambda r: r["e"]).alias("parts"), F.sum("lines").alias("lines"))).alias("text"))
+    files = named.unionByName(sizes.select("doc", F.lit(MANIFEST).alias("file_name"), "text"))
     write_files(files, path, folder="doc")
 
 
