@@ -34,7 +34,8 @@ def routed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "routed")
     named_files.write_files(rows, path, folder="route")
     made = rows.select(F.concat_ws("/", "route", "file_name").alias("name"))
-    return made.join(named_files.read_files(spark, path), "name", "left").select("name", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+    found = named_files.read_files(spark, path).select("name", F.md5("text").alias("found"))  # hashed where a file is read, so no text is shuffled
+    return made.join(found, "name", "left").select("name", F.coalesce("found", F.md5(F.lit(""))).alias("text_md5"))
 
 
 def pipeline_files(spark: SparkSession, sf_dir: str) -> DataFrame:

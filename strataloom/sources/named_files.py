@@ -195,6 +195,8 @@ def small_files(spark: SparkSession, path: str, deep: bool = False, unpacked: bo
     Spark's own file sources count each file as 4 MB, list the folder on the driver and so make a task of every 32 small files;
     here a task lists a folder and the files are dealt out evenly.  Empty and hidden files are passed over, as Spark does.  A path that is no folder, or of a
     store that Arrow doesn't know, goes to Spark's source.  With ``unpacked`` what ends in .gz or the like is decompressed.
+    Spark takes the contents to be about as large as the listed names, so without the hint a join would broadcast them through the driver;
+    a hint to broadcast the join's other side comes before it.
     """
     try:
         store, root = opened(path.rstrip("/"))
@@ -230,7 +232,7 @@ def small_files(spark: SparkSession, path: str, deep: bool = False, unpacked: bo
         if names:
             yield made(names, contents)
 
-    return files.select("name").repartition(tasks, "name").mapInArrow(read, "name string, content binary")
+    return files.select("name").repartition(tasks, "name").mapInArrow(read, "name string, content binary").hint("merge")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Files of their own names, keyed tables and the OCR cache on disk."""
 
+import hashlib
 import time
 
 import pytest
@@ -223,3 +224,27 @@ def test_a_late_call_goes_on_to_the_next_engine(spark):
     pages = spark.createDataFrame([(str(i), bytearray(str(i).encode()), "image/png", "fr") for i in range(6)], "page_id string, content binary, mime string, language string").coalesce(1)
     found = ocr.run_engines(pages, [Stuck(), Last()], ocr.Calls(in_flight=2, seconds=0.3, retries=1, wait=0.01)).collect()
     assert [(r.page_id, r.model, r.text) for r in found] == [("0", "stuck", "done"), ("1", "stuck", ""), ("1", "last", "last"), *((str(i), "stuck", "done") for i in range(2, 6))]
+
+
+def test_contents_of_files_are_never_broadcast(spark, tmp_path):
+    from strataloom.plans import stores
+    from strataloom.sources import parts
+
+    def planned(df):
+        found = df.collect()
+        return found, df._jdf.queryExecution().executedPlan().toString()  # with what was decided while it ran
+
+    path = str(tmp_path / "out")
+    texts = spark.range(60).select(F.format_string("f%02d", "id").alias("name"), F.when(F.col("id") % 10 == 0, "").otherwise(F.repeat(F.col("id").cast("string"), 300_000)).alias("text"))
+    named_files.write_files(texts, path, "name")  # 28 MB, of which Spark knows the names alone
+    found, plan = planned(texts.select("name").join(named_files.read_files(spark, path), "name", "left").select("name", F.length("text").alias("n")))
+    assert "Broadcast" not in plan and {r.name: r.n for r in found} == {f"f{i:02d}": len(str(i)) * 300_000 if i % 10 else None for i in range(60)}
+    parts.write_parts(spark.createDataFrame([("d", i, "x" * 50) for i in range(100)], "doc string, place int, line string"), str(tmp_path / "parts"), chars=1000)
+    found, plan = planned(parts.read_parts(spark, str(tmp_path / "parts")))
+    assert "Broadcast" not in plan and "".join(r.text for r in sorted(found, key=lambda r: r.part)) == ("x" * 50 + "\n") * 100
+    docs = [(1, "Apache License 2.0"), (2, None), (3, ""), (4, "© é"), (1_000_000, "plain\r\n")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found, plan = planned(stores.routed_files(spark, str(tmp_path)))
+    assert "Broadcast" not in plan and {r.name: r.text_md5 for r in found} == {
+        f"{'OSS' if n == 1 else 'office'}/{n:06d}.adoc": hashlib.md5((t or "").encode()).hexdigest() for n, t in docs
+    }
